@@ -95,7 +95,7 @@ class Encoder:
     added token's string), and all texts under other pre-tokenizers, are encoded whole.
     """
 
-    KEEP = 400_000
+    KEEP = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -106,26 +106,31 @@ class Encoder:
         self.pieces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec.get("truncation")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.vocab = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by piece, without the space before it
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        new = list(set(pieces).difference(self.known))
+        if len(self.known) + len(new) > self.KEEP:
+            self.known, new = {}, list(set(pieces))
+        self.known.update(zip(new, self._encode([" " + x for x in new]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        out: list[bytes] = []
-        for text in texts:
-            if not self.pieces or "  " in text or any(x in text for x in self.added):
-                out += self._encode([text])
-                continue
-            cut = text.split(" ")
-            cut[1:] = [" " + x for x in cut[1:]]
-            if new := list({x for x in cut if x not in self.known}):
-                if len(self.known) + len(new) > self.KEEP:
-                    self.known = {}
-                    new = list(set(cut))
-                self.known.update(zip(new, self._encode(new), strict=True))
-            out.append(b"".join([self.known[x] for x in cut]))
+        whole = [not self.pieces or "  " in x or any(a in x for a in self.added) for x in texts]
+        cuts = [[] if w else x.split(" ") for x, w in zip(texts, whole, strict=True)]
+        # what stands before the first space is encoded as it is
+        heads = self._encode([x if w else c[0] for x, w, c in zip(texts, whole, cuts, strict=True)])
+        out = []
+        for head, cut in zip(heads, cuts, strict=True):
+            rest = cut[1:]
+            try:
+                out.append(head + b"".join(map(self.known.__getitem__, rest)))
+            except KeyError:
+                self._learn(rest)
+                out.append(head + b"".join(map(self.known.__getitem__, rest)))
         return out
 
 
