@@ -107,15 +107,31 @@ class Encoder:
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.vocab = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}  # by piece, without the space before it
+        self.units: dict[str, bytes] = {}  # by part of a piece, as it is
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _units(piece: str) -> list[str]:
+        """Cut a piece at places where the pre-tokenizer always cuts: around one newline, before one last stop or comma."""
+        at = piece.find("\n")
+        if 0 < at < len(piece) - 1 and not piece[at - 1].isspace() and not piece[at + 1].isspace():
+            return [*Encoder._units(piece[:at]), "\n", *Encoder._units(piece[at + 1 :])]
+        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return [piece]
+
     def _learn(self, pieces: list[str]) -> None:
-        new = list(set(pieces).difference(self.known))
-        if len(self.known) + len(new) > self.KEEP:
-            self.known, new = {}, list(set(pieces))
-        self.known.update(zip(new, self._encode([" " + x for x in new]), strict=True))
+        new = set(pieces).difference(self.known)
+        if len(self.known) + len(self.units) + len(new) > self.KEEP:
+            self.known, self.units, new = {}, {}, set(pieces)
+        cut = {x: self._units(" " + x) for x in new}
+        unknown = list({u for x in cut.values() for u in x}.difference(self.units))
+        coded = dict(zip(unknown, self._encode(unknown), strict=True))
+        self.units.update((u, coded[u]) for x in cut.values() if len(x) > 1 for u in x if u in coded)
+        for x, units in cut.items():
+            self.known[x] = b"".join([coded.get(u) or self.units[u] for u in units])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
