@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_decontamination
 from .exact import OP3_SQL, op3_exact_dedup
+from .lm_score import OP1_SQL, op1_lm_score
 from .mixing import OP6_SQL, op6_mixing
 from .sharding import op10_sharding
 from .token_files import op7_token_files
 from .warc import op4_warc
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
     "op6_mixing": op6_mixing,
@@ -18,4 +20,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-SQL = {"op3_exact_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op8_decontamination": OP8_SQL}
+SQL = {"op1_lm_score": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op8_decontamination": OP8_SQL}
