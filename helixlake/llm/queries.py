@@ -6,6 +6,7 @@ from .decontamination import OP8_SQL, op8_decontamination
 from .exact import OP3_SQL, op3_exact_dedup
 from .lm_score import OP1_SQL, op1_lm_score
 from .mixing import OP6_SQL, op6_mixing
+from .repeats import op9_repeats
 from .sharding import op10_sharding
 from .token_files import op7_token_files
 from .warc import op4_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
+    "op9_repeats": op9_repeats,
     "op10_sharding": op10_sharding,
 }
 
