@@ -1,9 +1,9 @@
 r"""Benchmark decontamination [native]: windows of test words held as a broadcast hash set, scanned over all documents.
 
 A-Z is lower-cased and words are the runs of digits, letters and non-ASCII characters. A window is ``width``
-consecutive words of a test item; an item of fewer words is one window. Each document's words are hashed once; hashes
-of longer windows are built from two shorter ones, so a window costs a few steps whatever its width. Hash hits are
-verified word by word before they count.
+consecutive words of a test item; an item of fewer words is one window. The set is keyed by each window's longest word:
+the scan probes it once for each word of a document, and the windows of a word found there are verified word by word
+around it. All widths take the one scan.
 
 The test set's windows are broadcast only while there are at most ``broadcast_limit`` of them (checked); beyond
 that the same join shuffles both sides.
@@ -30,26 +30,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
-def _joined(left: Column, right: Column, gap: int, length: Column) -> Column:
-    """Hashes of windows made of the window at i and that at i + gap, for the first ``length`` i."""
-    return F.zip_with(F.slice(left, F.lit(1), length), F.slice(right, F.lit(gap + 1), length), lambda a, b: F.xxhash64(a, b))
-
-
-def window_hashes(df: DataFrame, words_col: str, widths: list[int]) -> DataFrame:
-    """Add _w<L> for each width L: the hashes of all windows of L words, by their start."""
-    need, todo = {1}, set(widths)
-    while todo:
-        n = todo.pop()
-        need.add(n)
-        if n > 1 and (half := 1 << ((n - 1).bit_length() - 1)) not in need:
-            todo.add(half)
-    out = df.withColumn("_w1", F.transform(words_col, lambda x: F.xxhash64(x)))
-    for n in sorted(need - {1}):
-        half = 1 << ((n - 1).bit_length() - 1)
-        out = out.withColumn(f"_w{n}", _joined(F.col(f"_w{half}"), F.col(f"_w{half}"), n - half, F.greatest(F.size(words_col) - (n - 1), F.lit(0))))
-    return out.drop(*[f"_w{n}" for n in need - set(widths)])
-
-
 def test_windows(items: DataFrame, width: int, item: str, text: str) -> DataFrame:
     """Distinct (item, n, gram): the windows of each item; gram is the array of its words."""
     cut = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
@@ -61,34 +41,27 @@ def test_windows(items: DataFrame, width: int, item: str, text: str) -> DataFram
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast_limit: int = 500_000) -> DataFrame:
     """One row per document: key, _t (hash of its text), n_words, n_hit, n_items, items_sha256, contaminated."""
     tests = test_windows(items, width, item, item_text)
-    shape = tests.groupBy("n").count().collect()  # at most ``width`` rows
-    widths, total = sorted(r["n"] for r in shape), sum(r["count"] for r in shape)
+    # each window is found by its longest word (the first of the greatest), which is seldom a common one
+    longest = F.array_max(F.transform("gram", lambda x, i: F.struct(F.length(x).alias("len"), x.alias("word"), (-i).alias("at"))))
+    side = tests.withColumn("_l", longest).select("item", "n", "gram", F.col("_l.word").alias("word"), (-F.col("_l.at")).alias("off"))
+    side = F.broadcast(side) if tests.count() <= broadcast_limit else side
     ident = [F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t")]
     base = docs.select(*ident, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
     none = F.sha2(F.lit("").cast("binary"), 256)
-    if not widths:
-        hits = None
-    else:
-        hashed = window_hashes(tests, "gram", widths)
-        hashed = hashed.select("item", "n", "gram", F.coalesce(*[F.when(F.col("n") == n, F.get(f"_w{n}", F.lit(0))) for n in widths]).alias("h"))
-        scan = window_hashes(docs.select(*ident, words(F.col(text)).alias("w")), "w", widths)
-        found = None
-        for n in widths:
-            at = scan.select(key, "_t", "w", F.posexplode(f"_w{n}").alias("pos", "h"))
-            side = hashed.filter(F.col("n") == n).drop("n")
-            side = F.broadcast(side) if total <= broadcast_limit else side
-            part = at.join(side, "h").filter(F.slice("w", F.col("pos") + 1, F.lit(n)) == F.col("gram")).select(key, "_t", "pos", F.lit(n).alias("n"), "item")
-            found = part if found is None else found.unionByName(part)
-        spans = F.collect_set(F.struct("pos", "n"))
-        covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1)))))
-        hits = (
-            found.groupBy(key, "_t").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-            .select(F.col(key).alias("_k"), F.col("_t").alias("_tt"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
-        )
-    if hits is None:
-        joined = base.withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": none})
-    else:
-        joined = base.join(hits, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_tt")), "left").drop("_k", "_tt")
+    start = F.col("i") - F.col("off")
+    inside = (start >= 0) & (start + F.col("n") <= F.size("w"))
+    found = (
+        docs.select(*ident, words(F.col(text)).alias("w")).select(key, "_t", "w", F.posexplode("w").alias("i", "word"))
+        .join(side, "word").filter(inside & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("gram")))
+        .select(key, "_t", start.alias("pos"), "n", "item")
+    )
+    spans = F.collect_set(F.struct("pos", "n"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1)))))
+    hits = (
+        found.groupBy(key, "_t").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+        .select(F.col(key).alias("_k"), F.col("_t").alias("_tt"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    )
+    joined = base.join(hits, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_tt")), "left").drop("_k", "_tt")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         key, "_t", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"),
