@@ -21,8 +21,8 @@ from .common import table
 
 #: What separates words, after lower-casing A-Z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words, before.
+RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,12 +46,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     side = tests.withColumn("_l", longest).select("item", "n", "gram", F.col("_l.word").alias("word"), (-F.col("_l.at")).alias("off"))
     side = F.broadcast(side) if tests.count() <= broadcast_limit else side
     ident = [F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t")]
-    base = docs.select(*ident, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    base = docs.select(*ident, F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), RAW_GAP), "")).cast("long").alias("n_words"))
     none = F.sha2(F.lit("").cast("binary"), 256)
     start = F.col("i") - F.col("off")
+    # the outer explode keeps Spark from splitting every text a second time to drop empty arrays; the join drops their nulls
     inside = (start >= 0) & (start + F.col("n") <= F.size("w"))
     found = (
-        docs.select(*ident, words(F.col(text)).alias("w")).select(key, "_t", "w", F.posexplode("w").alias("i", "word"))
+        docs.select(*ident, words(F.col(text)).alias("w")).select(key, "_t", "w", F.posexplode_outer("w").alias("i", "word"))
         .join(side, "word").filter(inside & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("gram")))
         .select(key, "_t", start.alias("pos"), "n", "item")
     )
