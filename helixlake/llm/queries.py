@@ -9,12 +9,14 @@ from .mixing import OP6_SQL, op6_mixing
 from .repeats import op9_repeats
 from .sharding import op10_sharding
 from .token_files import op7_token_files
+from .toxicity import op5_toxicity
 from .warc import op4_warc
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
