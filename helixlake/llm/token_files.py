@@ -17,6 +17,7 @@ from __future__ import annotations
 import io
 import json
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -87,15 +88,25 @@ class TokenFile:
         return self.ids(int(self.starts[i]), int(self.counts[i]))
 
 
+def byte_level() -> dict[int, int]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next from 256 up."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (x for x in range(256) if x not in plain)
+    return {x: 256 + i for i, x in enumerate(others)}
+
+
+BYTE_LEVEL = byte_level()
+
+
 class Encoder:
     """Ids of texts, by the tokenizers library.
 
     With a byte-level pre-tokenizer, no token runs across the place before a single space, so texts are cut there and
-    each distinct piece is encoded once while it stays in a bounded cache. Other texts (with adjacent spaces or an
+    each distinct word is encoded once while it stays in a bounded cache. Other texts (with adjacent spaces or an
     added token's string), and all texts under other pre-tokenizers, are encoded whole.
     """
 
-    KEEP = 500_000
+    KEEP = 700_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -106,11 +117,10 @@ class Encoder:
         self.pieces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec.get("truncation")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.vocab = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}  # by piece, without the space before it
-        self.units: dict[str, bytes] = {}  # by part of a piece, as it is
+        self.units: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _units(piece: str) -> list[str]:
@@ -122,16 +132,20 @@ class Encoder:
             return [piece[:-1], piece[-1]]
         return [piece]
 
-    def _learn(self, pieces: list[str]) -> None:
-        new = set(pieces).difference(self.known)
-        if len(self.known) + len(self.units) + len(new) > self.KEEP:
-            self.known, self.units, new = {}, {}, set(pieces)
-        cut = {x: self._units(" " + x) for x in new}
-        unknown = list({u for x in cut.values() for u in x}.difference(self.units))
-        coded = dict(zip(unknown, self._encode(unknown), strict=True))
-        self.units.update((u, coded[u]) for x in cut.values() if len(x) > 1 for u in x if u in coded)
-        for x, units in cut.items():
-            self.known[x] = b"".join([coded.get(u) or self.units[u] for u in units])
+    def _ids(self, unit: str) -> bytes:
+        """Letters, with or without a space before them, are one word to the pre-tokenizer and go to the model at once."""
+        if (unit[1:] if unit[:1] == " " else unit).isalpha():
+            found = self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(BYTE_LEVEL))
+            return array("I", [x.id for x in found]).tobytes()
+        return self._encode([unit])[0]
+
+    def _unit(self, unit: str) -> bytes:
+        found = self.units.get(unit)
+        if found is None:
+            if len(self.units) >= self.KEEP:
+                self.units.clear()
+            found = self.units[unit] = self._ids(unit)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
@@ -139,15 +153,17 @@ class Encoder:
         cuts = [[] if w else x.split(" ") for x, w in zip(texts, whole, strict=True)]
         # what stands before the first space is encoded as it is
         heads = self._encode([x if w else c[0] for x, w, c in zip(texts, whole, cuts, strict=True)])
-        out = []
-        for head, cut in zip(heads, cuts, strict=True):
-            rest = cut[1:]
-            try:
-                out.append(head + b"".join(map(self.known.__getitem__, rest)))
-            except KeyError:
-                self._learn(rest)
-                out.append(head + b"".join(map(self.known.__getitem__, rest)))
-        return out
+        rests = [c[1:] for c in cuts]
+        unit, get = self._unit, self.units.get
+        known = {}
+        for piece in set().union(*rests):
+            text = " " + piece
+            found = get(text)
+            if found is None:
+                parts = (text,) if piece.isalpha() else self._units(text)
+                found = unit(text) if len(parts) == 1 else b"".join([unit(x) for x in parts])
+            known[piece] = found
+        return [head + b"".join(map(known.__getitem__, rest)) for head, rest in zip(heads, rests, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -185,8 +201,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, key:
 
         schema = pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                some = batch.slice(i, 64)
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
                 coded = code.encode([x or "" for x in some.column(1).to_pylist()])
                 keys.append(some.column(0))
                 for x in coded:
