@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_decontamination
 from .exact import OP3_SQL, op3_exact_dedup
+from .jaccard import op2_jaccard_join
 from .lm_score import OP1_SQL, op1_lm_score
 from .mixing import OP6_SQL, op6_mixing
 from .repeats import op9_repeats
@@ -14,6 +15,7 @@ from .warc import op4_warc
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
