@@ -2,8 +2,11 @@
 
 The score of a word is count(n-gram) / count(its context) for the longest n-gram that occurs, times ``alpha`` for each
 word of context given up. Counts leave out the document that is scored, else each n-gram would support itself.
+
 N-gram count tables are partitioned by hash; each group of documents asks the partitions for its distinct n-grams
-(lookups.py), looks its exploded n-grams up in the answers and sums the logarithms per document.
+(lookups.py), looks its exploded n-grams up in the answers and sums the logarithms per document. Words and pairs are
+asked for first. A longer n-gram can be in another document only if both n-grams inside it that are one word shorter
+are, so only those are asked for, which changes no count.
 
 Defined results: words are those of words.py; a word that no other document has counts as one of n + 1 words (n: the
 others' words); a null or wordless text has n_words 0 and null scores; rows are scored separately even if they are
@@ -15,81 +18,138 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import lookups
 from .common import table
-from .words import chunks, mix, ngrams, text_buffer, tokenise
+from .words import chunks, ngrams, text_buffer, tokenise
 
 #: The key under which the number of words is counted.
 ALL = np.uint64(0)
 
 
-def _grams(text: pa.ChunkedArray, order: int):
-    """(n-gram hashes by order, the rows' bounds by order) of a group's texts."""
-    found = [[] for _ in range(order)]
-    sizes = [[] for _ in range(order)]
-    raw, off = text_buffer(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)
-    for a, b in chunks(off):
-        words, bounds, _ = tokenise(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-        for n in range(order):
-            grams, at = ngrams(words, bounds, n + 1)
-            found[n].append(grams)
-            sizes[n].append(np.diff(at))
-    return [np.concatenate(x) if x else np.empty(0, np.uint64) for x in found], [np.concatenate(([0], np.cumsum(np.concatenate(x)))).astype(np.int64) if x else np.zeros(1, np.int64) for x in sizes]
-
-
-def _asked(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.unique(np.concatenate([*grams, np.full(1, ALL)]), return_counts=True)
-    counts[0] = len(grams[0])  # ALL sorts first
-    return keys, counts
-
-
-def _own(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """How often the row of each n-gram has it."""
-    row = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
-    _, inverse, counts = np.unique(grams ^ mix(row + np.uint64(1)), return_inverse=True, return_counts=True)
-    return counts[inverse]
+class Grams:
+    """The n-grams of a group's texts for one n: distinct keys in order, and for each n-gram its key's place, how often
+    its own row has it, and the word it ends at."""
+
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, words: np.ndarray, n: int):
+        order = np.argsort(hashes, kind="stable")  # rows stay in order within a key
+        sizes = np.diff(bounds)
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        s, r = hashes[order], row[order]
+        first = np.ones(len(s), bool)
+        first[1:] = s[1:] != s[:-1]
+        run = first.copy()
+        run[1:] |= r[1:] != r[:-1]
+        self.keys = s[first]
+        self.counts = np.diff(np.append(np.flatnonzero(first), len(s)))
+        self.place = np.empty(len(s), np.int32)
+        self.place[order] = np.cumsum(first) - 1
+        begins = np.flatnonzero(run)
+        lengths = np.diff(np.append(begins, len(s)))
+        self.own = np.empty(len(s), np.int32)
+        self.own[order] = np.repeat(lengths, lengths)
+        self.end = (np.arange(len(s)) + np.repeat(words[:-1] - bounds[:-1], sizes) + (n - 1)).astype(np.int32)
+
+    def others(self, totals: np.ndarray, n_words: int) -> np.ndarray:
+        """Counts without the own row, at the word each n-gram ends at; 0 elsewhere."""
+        out = np.zeros(n_words, np.float64)
+        out[self.end] = totals[self.place].astype(np.float64) - self.own
+        return out
+
+
+class Texts:
+    """A group's texts: n-grams are made when they are needed, as they take much memory."""
+
+    def __init__(self, group: pa.Table):
+        raw, off = text_buffer(group["text"].combine_chunks())
+        found = [tokenise(raw[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in chunks(off)]
+        self.words = np.concatenate([x[0] for x in found])
+        self.bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x[1]) for x in found])))).astype(np.int64)
+
+    def grams(self, n: int) -> Grams:
+        return Grams(*ngrams(self.words, self.bounds, n), self.bounds, n)
+
+
+def _first_keys(one: Grams, two: Grams, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, counts, their order) of what is asked for first: the number of words, words and pairs."""
+    keys = np.concatenate(([ALL], one.keys, two.keys))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate(([n_words], one.counts, two.counts))[order], order
+
+
+def _wanted(grams: Grams, shorter: np.ndarray) -> np.ndarray:
+    """Which keys may be in other documents, as the two shorter n-grams inside are (by the word they end at)."""
+    out = np.zeros(len(grams.keys), bool)
+    out[grams.place[(shorter[grams.end] > 0) & (shorter[grams.end - 1] > 0)]] = True
+    return out
+
+
+def _counts(texts: Texts, replies: pa.Table, orders: int):
+    """Yield n, the n-grams and their counts in other documents, up to ``orders`` answered orders; last the total of words."""
+    stage = replies["stage"].to_numpy()
+    one, two, n_words = texts.grams(1), texts.grams(2), len(texts.words)
+    _, _, order = _first_keys(one, two, n_words)
+    totals = np.empty(len(order), np.uint64)
+    totals[order] = lookups.answers(replies.filter(pa.array(stage == 2)))
+    split = 1 + len(one.keys)
+    found = [float(totals[0]), one.others(totals[1:split], n_words), two.others(totals[split:], n_words)]
+    for n in range(3, orders + 1):
+        grams = texts.grams(n)
+        asked = _wanted(grams, found[-1])
+        every = np.zeros(len(asked), np.uint64)
+        every[asked] = lookups.answers(replies.filter(pa.array(stage == n)))
+        known = np.where(asked[grams.place], every[grams.place].astype(np.float64) - grams.own, 0.0)
+        counts = np.zeros(n_words)
+        counts[grams.end] = known
+        found.append(counts)
+    return found
 
 
 def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, key: str = "doc_id", text: str = "text", bytes_per_group: int = 8 << 20) -> DataFrame:
     """One row per document: key, n_words, log_score (sum of natural logarithms), score (mean per word)."""
+    assert order >= 2, "backoff needs a context"
     dealt, groups = lookups.grouped(docs, key, text, bytes_per_group)
     kind = docs.schema[key].dataType.simpleString()
 
-    def request(group: pa.Table) -> pa.Table:
-        grams, _ = _grams(group["text"], order)
-        return lookups.ask(group["grp"][0].as_py(), *_asked(grams), groups)
+    def first(group: pa.Table) -> pa.Table:
+        texts = Texts(group)
+        keys, counts, _ = _first_keys(texts.grams(1), texts.grams(2), len(texts.words))
+        return lookups.ask(group["grp"][0].as_py(), keys, counts, groups)
+
+    def longer(n: int):
+        def ask(group: pa.Table, replies: pa.Table) -> pa.Table:
+            texts = Texts(group)
+            shorter = _counts(texts, replies, n - 1)[-1]
+            grams = texts.grams(n)
+            asked = _wanted(grams, shorter)
+            return lookups.ask(group["grp"][0].as_py(), grams.keys[asked], grams.counts[asked], groups)
+
+        return ask
 
     def finish(group: pa.Table, replies: pa.Table) -> pa.Table:
-        grams, bounds = _grams(group["text"], order)
-        keys, _ = _asked(grams)
-        totals = lookups.answers(replies)
-        sizes = np.diff(bounds[0])
-        others = np.repeat(float(totals[0]) - sizes, sizes)  # words of all other documents, for each word
-        # counts without the document itself, of the n-gram that ends at each word
-        left = []
-        for n in range(order):
-            ends = np.full(len(grams[0]), 0.0)
-            if len(grams[n]):
-                row = np.repeat(np.arange(len(sizes)), np.diff(bounds[n]))
-                at = np.arange(len(grams[n])) - bounds[n][row] + bounds[0][row] + n
-                ends[at] = totals[np.searchsorted(keys, grams[n])].astype(np.float64) - _own(grams[n], bounds[n])
-            left.append(ends)
-        place = np.arange(len(others)) - np.repeat(bounds[0][:-1], sizes)
-        log = np.log(alpha) * np.minimum(order - 1, place) + np.where(left[0] > 0, np.log(np.maximum(left[0], 1)) - np.log(np.maximum(others, 1)), -np.log(others + 1))
+        texts = Texts(group)
+        every, *left = _counts(texts, replies, order)
+        sizes = np.diff(texts.bounds)
+        others = every - np.repeat(sizes, sizes)  # words of all other documents
+        place = np.minimum(np.arange(len(others)) - np.repeat(texts.bounds[:-1], sizes), order - 1)
+        log = np.log(alpha) * place + np.where(left[0] > 0, np.log(np.maximum(left[0], 1)) - np.log(np.maximum(others, 1)), -np.log(others + 1))
         for n in range(1, order):
-            context = np.zeros(len(others))
-            context[1:] = left[n - 1][:-1]  # the context ends one word earlier; it counts only where the n-gram occurs
-            seen = left[n] > 0
-            log = np.where(seen, np.log(alpha) * np.maximum(np.minimum(order - 1, place) - n, 0) + np.log(np.maximum(left[n], 1)) - np.log(np.maximum(context, 1)), log)
-        sums = np.add.reduceat(np.append(log, 0.0), bounds[0][:-1]) * (sizes > 0) if len(sizes) else np.empty(0)
+            seen = np.flatnonzero(left[n] > 0)
+            context = left[n - 1][seen - 1]  # it ends one word earlier
+            log[seen] = np.log(alpha) * (place[seen] - n) + np.log(left[n][seen]) - np.log(context)
         none = sizes == 0
-        mean = sums / np.maximum(sizes, 1)
-        return pa.table({key: group["id"].combine_chunks(), "n_words": pa.array(sizes.astype(np.int64)), "log_score": pa.array(sums, mask=none), "score": pa.array(mean, mask=none)})
+        sums = np.add.reduceat(np.append(log, 0.0), texts.bounds[:-1]) * ~none
+        return pa.table({key: group["id"].combine_chunks(), "n_words": pa.array(sizes), "log_score": pa.array(sums, mask=none), "score": pa.array(sums / np.maximum(sizes, 1), mask=none)})
 
     by_group = dealt.groupBy("grp")
-    asked = by_group.applyInArrow(request, lookups.ASK)
-    replies = asked.groupBy("bucket").applyInArrow(lookups.sum_bucket, lookups.ANSWER)
+
+    def answered(asked: DataFrame, n: int) -> DataFrame:
+        return asked.groupBy("bucket").applyInArrow(lookups.sum_bucket, lookups.ANSWER).withColumn("stage", F.lit(n))
+
+    replies = answered(by_group.applyInArrow(first, lookups.ASK), 2)
+    for n in range(3, order + 1):
+        replies = replies.unionByName(answered(by_group.cogroup(replies.groupBy("grp")).applyInArrow(longer(n), lookups.ASK), n))
     return by_group.cogroup(replies.groupBy("grp")).applyInArrow(finish, f"{key} {kind}, n_words long, log_score double, score double")
 
 

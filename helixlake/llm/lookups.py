@@ -66,8 +66,7 @@ def sum_bucket(asked: pa.Table) -> pa.Table:
     parts = [unpack_sorted(x.as_buffer()) for x in asked["keys"]]
     counts = np.concatenate([unplanes(x.as_buffer()) for x in asked["counts"]])
     found, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    sums = np.zeros(len(found), np.uint64)
-    np.add.at(sums, inverse, counts)
+    sums = np.bincount(inverse, weights=counts, minlength=len(found)).astype(np.uint64)
     totals = np.split(sums[inverse], np.cumsum([len(x) for x in parts])[:-1])
     rows = [(g, b, planes(np.ascontiguousarray(t))) for g, b, t in zip(asked["grp"].to_pylist(), asked["bucket"].to_pylist(), totals, strict=True)]
     return table(rows, [("grp", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])

@@ -173,9 +173,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
         if not found:
             return each, np.empty(0, np.uint64), np.empty(0, np.uint64)
         names, inverse = np.unique(np.concatenate(found), return_inverse=True)
-        counts = np.zeros(len(names), np.uint64)
-        np.add.at(counts, inverse, np.concatenate(weight))
-        return each, names, counts
+        return each, names, np.bincount(inverse, weights=np.concatenate(weight)).astype(np.uint64)
 
     def ask_names(group: pa.Table, replies: pa.Table) -> pa.Table:
         _, names, counts = named(group, flags_of(replies)) if group.num_rows else (None, np.empty(0, np.uint64), np.empty(0, np.uint64))

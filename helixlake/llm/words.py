@@ -15,7 +15,7 @@ FOLD = np.where((_code >= 65) & (_code <= 90), _code + 32, _code)
 BYTE = np.random.Generator(np.random.PCG64(20240613)).integers(1, 2**63, 256, dtype=np.uint64)[FOLD] | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Text is worked on in pieces of about so many bytes, which bounds the working memory.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
