@@ -1 +1 @@
-
+"""Scalar expressions: pure Column functions that stay inside whole-stage code generation."""

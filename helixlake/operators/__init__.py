@@ -1 +1 @@
-
+"""Relational operators over manifests, chunks, predictions and histories."""

@@ -1 +1 @@
-
+"""Sources and sinks: FASTA, tables, lineage, atomic publication."""
