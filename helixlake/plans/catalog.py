@@ -1,2 +1,908 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries over the driver tables, each with independent SQL.
+
+The driver has no nucleotide data, so its tables stand in: documents are records (sources, texts, exact copies), labels
+are their classes, customer > orders > lineitem is genome > contig > chunk, embeddings hold logits, events are
+histories. Sequences are made from MD5 digests.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numeric as N
+from ..functions import sequence as S
+from ..operators import audit, calibrate, chunks, evaluate, manifest, qc, similarity, splits, taxonomy, weights
+from ..operators.components import connected_components
+from ..session import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir: f(_Tables(spark, sf_dir))
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+class _Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c if isinstance(c, Column) else F.col(c), 6)
+
+
+# ---- stand-ins --------------------------------------------------------------------------------------------------
+
+SIZE, TAIL = 500, 50
+
+
+def split_of(key: Column) -> Column:
+    draw = F.conv(F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 8), 16, 10).cast("long") % 10
+    return F.when(draw < 8, "train").when(draw == 8, "validation").otherwise("inference")
+
+
+def sql_split(key: str) -> str:
+    draw = f"(('0x' || substr(sha256(({key})::VARCHAR), 1, 8))::BIGINT % 10)"
+    return f"CASE WHEN {draw} < 8 THEN 'train' WHEN {draw} = 8 THEN 'validation' ELSE 'inference' END"
+
+
+def records(t: _Tables) -> DataFrame:
+    """Documents as records: genome = source and language, split by id."""
+    docs = t.documents.join(t.labels, "doc_id", "left")
+    return docs.select("doc_id", F.col("doc_id").alias("record_id"), "source", "lang", F.coalesce("text", F.lit("")).alias("text"), F.concat_ws("/", "source", "lang").alias("genome_id"), "quality", "toxic", split_of(F.col("doc_id")).alias("split"))
+
+
+RECORDS = f"""rec AS (SELECT d.doc_id, d.doc_id AS record_id, d.source, d.lang, coalesce(d.text, '') AS text, d.source || '/' || d.lang AS genome_id, l.quality, l.toxic,
+  {sql_split("d.doc_id")} AS split FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def pieces(t: _Tables) -> DataFrame:
+    keep = ("source", "lang", "genome_id", "quality", "toxic", "split")
+    cut = chunks.explode_chunks(records(t), SIZE, TAIL, sequence="text", keep=keep)
+    return cut.withColumns({"hash": F.sha2(F.col("piece").cast("binary"), 256), "valid_length": F.col("end") - F.col("start")})
+
+
+PIECES = f"""{RECORDS},
+cut0 AS (SELECT *, length(text) AS n, length(text) // {SIZE} AS f, length(text) % {SIZE} AS rest FROM rec WHERE length(text) > 0),
+cut1 AS (SELECT *, CASE WHEN n <= {SIZE} THEN 0 WHEN rest > 0 AND rest < {TAIL} THEN f - 1 ELSE f END AS steps FROM cut0),
+rng AS (SELECT record_id, i * {SIZE} AS a, (i + 1) * {SIZE} AS z FROM (SELECT record_id, unnest(range(steps)) AS i FROM cut1)
+  UNION ALL SELECT record_id, steps * {SIZE}, CASE WHEN n > {SIZE} AND rest > 0 AND rest < {TAIL} THEN steps * {SIZE} + ({SIZE} + rest) // 2 ELSE n END FROM cut1 WHERE steps * {SIZE} < n
+  UNION ALL SELECT record_id, steps * {SIZE} + ({SIZE} + rest) // 2, n FROM cut1 WHERE n > {SIZE} AND rest > 0 AND rest < {TAIL}),
+pc AS (SELECT rec.* EXCLUDE (text), a AS start, z AS "end", substr(text, (a + 1)::INT, (z - a)::INT) AS piece, sha256(substr(text, (a + 1)::INT, (z - a)::INT)) AS hash, z - a AS valid_length
+  FROM rng JOIN rec USING (record_id))"""
+
+
+def dna(t: _Tables) -> DataFrame:
+    """Sequences of 32 letters with U, N and other codes."""
+    return t.part.select("p_partkey", F.translate(F.md5(F.col("p_name").cast("binary")), "0123456789abcdef", "acgtACGTACGTuNRY").alias("s"))
+
+
+DNA = "dna AS (SELECT p_partkey, translate(md5(p_name), '0123456789abcdef', 'acgtACGTACGTuNRY') AS s FROM part)"
+NORMAL = "regexp_replace(translate(upper(s), 'U', 'T'), '[^ACGTN]', 'N', 'g')"
+RC = "translate(reverse(x), 'ACGTN', 'TGCAN')"
+
+K = 5
+
+
+def predictions(t: _Tables) -> DataFrame:
+    v = F.col("vec_id")
+    logits = F.transform(F.slice("embedding", 1, K), lambda x: x.cast("double"))
+    return t.embeddings.select(
+        v.alias("chunk_id"), F.concat(F.lit("g"), v % 60).alias("genome_id"), F.concat(F.lit("c"), v % 150).alias("contig_id"), F.concat(F.lit("s"), v % 7).alias("source"),
+        F.concat(F.lit("k"), v % 40).alias("split_group"), (100 + v * 37 % 6000).alias("valid_length"), (F.col("label") % K).cast("int").alias("truth"), logits.alias("logits"), N.softmax(logits).alias("p"),
+    )
+
+
+PRED = f"""emb AS (SELECT vec_id AS chunk_id, 'g' || vec_id % 60 AS genome_id, 'c' || vec_id % 150 AS contig_id, 's' || vec_id % 7 AS source, 'k' || vec_id % 40 AS split_group,
+  100 + vec_id * 37 % 6000 AS valid_length, (label % {K})::INT AS truth, list_transform(embedding[1:{K}], lambda x: x::DOUBLE) AS logits FROM embeddings),
+pred0 AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM emb),
+pred AS (SELECT * EXCLUDE (e), list_transform(e, lambda x: x / list_sum(e)) AS p FROM pred0),
+sc AS (SELECT *, (list_position(p, list_max(p)) - 1)::INT AS predicted, list_max(p) AS confidence FROM pred)"""
+
+
+def chunked_orders(t: _Tables) -> DataFrame:
+    """Lines as chunks of orders (contigs) of customers (genomes)."""
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return lines.select(
+        F.col("c_custkey").alias("genome_id"), F.col("o_orderkey").alias("contig_id"), F.col("l_linenumber").alias("chunk"), F.col("l_quantity").cast("long").alias("valid_length"),
+        F.col("c_mktsegment").alias("labels"), F.col("c_nationkey").alias("source"), split_of(F.col("c_custkey")).alias("split"),
+    )
+
+
+ORDERS = f"""ch AS (SELECT c_custkey AS genome_id, o_orderkey AS contig_id, l_linenumber AS chunk, l_quantity::BIGINT AS valid_length, c_mktsegment AS labels, c_nationkey AS source, {sql_split("c_custkey")} AS split
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+
+# ---- flagship ---------------------------------------------------------------------------------------------------
+
+
+@query("flagship_shared_fragments", f"""WITH {PIECES}
+SELECT hash, count(DISTINCT source) AS sources, count(DISTINCT quality) AS qualities, count(*) AS n FROM pc GROUP BY hash HAVING count(DISTINCT source) > 1""")
+def _(t):
+    found = pieces(t).groupBy("hash").agg(F.countDistinct("source").alias("sources"), F.countDistinct("quality").alias("qualities"), F.count("*").alias("n"))
+    return found.filter("sources > 1")
+
+
+# ---- scalar expressions -----------------------------------------------------------------------------------------
+
+
+@query("f1_normalize_dna", f"WITH {DNA} SELECT p_partkey, {NORMAL} AS x FROM dna")
+def _(t):
+    return dna(t).select("p_partkey", S.normalize_dna(F.col("s")).alias("x"))
+
+
+@query("f2_reverse_complement", f"WITH {DNA}, n AS (SELECT p_partkey, {NORMAL} AS x FROM dna) SELECT p_partkey, {RC} AS rc FROM n")
+def _(t):
+    return dna(t).select("p_partkey", S.reverse_complement(S.normalize_dna(F.col("s"))).alias("rc"))
+
+
+@query("f3_canonical_hash", f"WITH {DNA}, n AS (SELECT p_partkey, {NORMAL} AS x FROM dna) SELECT p_partkey, sha256(x) AS forward, sha256(least(x, {RC})) AS canonical FROM n")
+def _(t):
+    x = S.normalize_dna(F.col("s"))
+    return dna(t).select("p_partkey", S.sequence_hash(x).alias("forward"), S.canonical_hash(x).alias("canonical"))
+
+
+@query("f4_stable_id", "SELECT doc_id, 'REC_' || substr(sha256(coalesce(source, '') || chr(31) || doc_id::VARCHAR), 1, 20) AS record_id FROM documents")
+def _(t):
+    return t.documents.select("doc_id", S.stable_id(F.col("source"), F.col("doc_id"), prefix="REC_").alias("record_id"))
+
+
+@query("f5_n_fraction", f"WITH {DNA}, n AS (SELECT p_partkey, {NORMAL} AS x FROM dna) SELECT p_partkey, round((length(x) - length(replace(x, 'N', ''))) / length(x), 6) AS n_fraction FROM n")
+def _(t):
+    return dna(t).select("p_partkey", r6(S.n_fraction(S.normalize_dna(F.col("s")))).alias("n_fraction"))
+
+
+@query("f6_f7_canonical_names", r"SELECT page_id, regexp_replace(upper(url), '[^A-Z0-9]', '', 'g') AS accession, lower(trim(regexp_replace(replace(url, '_', ' '), '\s+', ' ', 'g'))) AS taxon FROM pages")
+def _(t):
+    return t.pages.select("page_id", S.canonical_accession(F.col("url")).alias("accession"), S.canonical_taxon(F.col("url")).alias("taxon"))
+
+
+@query("f8_usable_genus", """SELECT p_partkey, lower(trim(g)) NOT IN ('', 'na', 'nan', 'none', 'unknown', 'unclassified', '(미분류)', 'mirus_unclassified', 'mirus', 'ncldv', 'g_') AND NOT contains(lower(trim(g)), 'unclassified') AS usable
+FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ' NA ' WHEN 1 THEN 'Unclassified_x' WHEN 2 THEN '' WHEN 3 THEN 'g_' ELSE p_name END AS g FROM part)""")
+def _(t):
+    key = F.col("p_partkey") % 5
+    genus = F.when(key == 0, " NA ").when(key == 1, "Unclassified_x").when(key == 2, "").when(key == 3, "g_").otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", S.usable_genus(genus).alias("usable"))
+
+
+@query("f9_header_parse", """SELECT o_orderkey, CASE s WHEN 0 THEN 'ARC' WHEN 1 THEN 'EVE_NCLDV' ELSE 'MITO' END || '__' || CASE s WHEN 1 THEN 'h-' || o_custkey || '-1' ELSE 'g' || o_custkey END AS genome_id,
+  CASE s WHEN 0 THEN 'ARC__c' || o_orderkey WHEN 1 THEN 'EVE_NCLDV__r' || o_orderkey ELSE 'MITO__g' || o_custkey END AS contig_id, CASE s WHEN 1 THEN 'h-' || o_custkey || '-1' ELSE '' END AS host
+FROM (SELECT *, o_orderkey % 3 AS s FROM orders)""")
+def _(t):
+    kind, c, o = F.col("o_orderkey") % 3, F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")
+    source = F.when(kind == 0, "ARC").when(kind == 1, "EVE_NCLDV").otherwise("MITO")
+    header = F.when(kind == 0, F.concat(F.lit("ARC__g"), c, F.lit("|c"), o)).when(kind == 1, F.concat(F.lit("EVE-NCLDV__h_"), c, F.lit(".1_eves|r"), o, F.lit(" x"))).otherwise(F.concat(F.lit("g"), c, F.lit(" text")))
+    file = F.when(kind == 2, F.concat(F.lit("MITO__g"), c, F.lit(".fna"))).otherwise(F.lit(""))
+    parsed = S.parse_header(source, header, file)
+    return t.orders.select("o_orderkey", parsed.alias("h")).select("o_orderkey", "h.genome_id", "h.contig_id", "h.host")
+
+
+@query("f10_lineage_ranks", "SELECT p_partkey, p_brand AS phylum, p_type AS class, '' AS species FROM part")
+def _(t):
+    ranks = S.lineage_ranks(F.concat_ws("|", F.lit("root"), "p_brand", "p_type"))
+    return t.part.select("p_partkey", F.get(ranks, F.lit(0)).alias("phylum"), F.get(ranks, F.lit(1)).alias("class"), F.get(ranks, F.lit(5)).alias("species"))
+
+
+@query("f14_f15_cascades", f"""WITH {RECORDS} SELECT doc_id, CASE WHEN toxic = 1 THEN 'cellular_genome_is_viral_host:a:x,b:y' WHEN length(text) % 100 / 100 > 0.9 THEN 'n_fraction_above_0.9' WHEN source = 'src1' AND lang = 'de' THEN NULL END AS reason,
+CASE WHEN lang = 'en' THEN 'EVE_HOST::' || source ELSE 'GENOME::' || genome_id END AS base FROM rec""")
+def _(t):
+    hosts = F.when(F.col("toxic") == 1, F.array(F.lit("b:y"), F.lit("a:x")))
+    source = F.when(F.col("lang") == "en", F.lit("EVE_x")).otherwise(F.lit("BAC"))
+    reason = S.exclusion_reason(hosts, F.length("text") % 100 / 100, source, F.col("lang"), 0.9)
+    return records(t).select("doc_id", reason.alias("reason"), S.base_group(source, F.lit(""), F.col("source"), F.lit(""), F.col("genome_id")).alias("base"))
+
+
+@query("f18_tie_hash", "SELECT c_custkey, sha256('7|' || c_custkey || '|train') AS tie FROM customer")
+def _(t):
+    return t.customer.select("c_custkey", S.tie_hash(F.lit(7), F.col("c_custkey"), F.lit("train")).alias("tie"))
+
+
+@query("f19_sample_weight", f"WITH {ORDERS} SELECT genome_id, contig_id, chunk, round(valid_length / greatest(sum(valid_length) OVER (PARTITION BY genome_id), 1), 9) AS w FROM ch")
+def _(t):
+    ch = chunked_orders(t)
+    total = ch.groupBy("genome_id").agg(F.sum("valid_length").alias("bp"))
+    return ch.join(total, "genome_id").select("genome_id", "contig_id", "chunk", F.round(S.sample_weight(F.col("valid_length"), F.col("bp")), 9).alias("w"))
+
+
+@query("f21_softmax", f"WITH {PRED} SELECT chunk_id, round(p[1], 6) AS p0, round(p[5], 6) AS p4 FROM pred")
+def _(t):
+    return predictions(t).select("chunk_id", r6(F.get("p", F.lit(0))).alias("p0"), r6(F.get("p", F.lit(4))).alias("p4"))
+
+
+@query("f23_temperature", f"""WITH {PRED}, z AS (SELECT chunk_id, list_transform(p, lambda x: exp(ln(least(greatest(x, 1e-12), 1)) / 0.75)) AS e FROM pred)
+SELECT chunk_id, round(e[1] / list_sum(e), 6) AS p0 FROM z""")
+def _(t):
+    return predictions(t).select("chunk_id", r6(F.get(N.temperature(F.col("p"), 0.75), F.lit(0))).alias("p0"))
+
+
+@query("f24_f25_argmax_reject", f"WITH {PRED} SELECT chunk_id, CASE WHEN confidence >= 0.5 THEN predicted::VARCHAR ELSE 'unknown' END AS called FROM sc")
+def _(t):
+    p = F.col("p")
+    return predictions(t).select("chunk_id", F.when(N.accepted(p, 0.5), N.argmax(p).cast("string")).otherwise("unknown").alias("called"))
+
+
+@query("f26_f27_length_bands", """SELECT doc_id, CASE WHEN n_chars < 500 THEN '<500' WHEN n_chars < 5000 THEN '500-4999' ELSE '>=5000' END AS band,
+CASE WHEN n_chars < 500 THEN '1–499' WHEN n_chars < 1000 THEN '500–999' WHEN n_chars < 2000 THEN '1,000–1,999' WHEN n_chars < 3000 THEN '2,000–2,999' WHEN n_chars < 4000 THEN '3,000–3,999' WHEN n_chars < 5000 THEN '4,000–4,999' ELSE '5,000' END AS fine FROM documents""")
+def _(t):
+    return t.documents.select("doc_id", S.length_band(F.col("n_chars")).alias("band"), S.fine_band(F.col("n_chars")).alias("fine"))
+
+
+@query("f29_random_strand", f"""WITH {DNA}, n AS (SELECT p_partkey, {NORMAL} AS x FROM dna)
+SELECT p_partkey, CASE WHEN ('0x' || substr(sha256('3|1|' || p_partkey), 1, 13))::BIGINT / 4503599627370496.0 < 0.5 THEN {RC} ELSE x END AS s FROM n""")
+def _(t):
+    return dna(t).select("p_partkey", S.random_strand(S.normalize_dna(F.col("s")), 3, F.lit(1), F.col("p_partkey")).alias("s"))
+
+
+@query("f30_undo_temperature", f"WITH {PRED}, z AS (SELECT chunk_id, list_transform(p, lambda x: pow(x, 0.75)) AS e FROM pred) SELECT chunk_id, round(e[1] / list_sum(e), 6) AS p0 FROM z")
+def _(t):
+    return predictions(t).select("chunk_id", r6(F.get(N.undo_temperature(F.col("p"), 0.75), F.lit(0))).alias("p0"))
+
+
+@query("f31_smoothed_loss", f"WITH {PRED} SELECT chunk_id, round(0.95 * -ln(greatest(p[truth + 1], 1e-12)) + 0.05 / 5 * list_sum(list_transform(p, lambda x: -ln(greatest(x, 1e-12)))), 6) AS loss FROM pred")
+def _(t):
+    return predictions(t).select("chunk_id", r6(N.smoothed_cross_entropy(F.col("p"), F.col("truth"), 0.05, K)).alias("loss"))
+
+
+@query("f34_units", "SELECT c_custkey, round(c_acctbal / nullif(c_nationkey, 0), 6) AS per_second FROM customer")
+def _(t):
+    return t.customer.select("c_custkey", r6(N.per_second(F.col("c_acctbal"), F.col("c_nationkey"))).alias("per_second"))
+
+
+# ---- generators -------------------------------------------------------------------------------------------------
+
+
+@query("g1_chunk_explode", f'WITH {PIECES} SELECT record_id, start, "end", hash FROM pc')
+def _(t):
+    return pieces(t).select("record_id", "start", "end", "hash")
+
+
+@query("g3_observations", f"""WITH {PIECES}, o AS (SELECT split, 'record_id' AS kind, record_id::VARCHAR AS key FROM pc UNION ALL SELECT split, 'genome_id', genome_id FROM pc UNION ALL SELECT split, 'hash', hash FROM pc)
+SELECT kind, split, count(*) AS n, count(DISTINCT key) AS keys FROM o GROUP BY kind, split""")
+def _(t):
+    obs = qc.observations(pieces(t), ("record_id", "genome_id", "hash"), "quality")
+    return obs.groupBy("kind", "split").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
+
+
+@query("g5_species_explode", """SELECT p_partkey, lower(trim(regexp_replace(replace(x, '_', ' '), '\\s+', ' ', 'g'))) AS species FROM (SELECT p_partkey, unnest([p_brand, p_type]) AS x FROM part)""")
+def _(t):
+    text = F.concat(F.lit("g__none;s__"), "p_brand", F.lit(";s__"), "p_type", F.lit(";s__"))
+    return t.part.select("p_partkey", F.explode(S.species_of(text)).alias("species"))
+
+
+# ---- joins ------------------------------------------------------------------------------------------------------
+
+
+@query("j1_left_metadata", "SELECT d.doc_id, l.quality, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def _(t):
+    meta = t.labels.withColumn("_seen", F.lit(True))
+    return t.documents.join(meta, "doc_id", "left").select("doc_id", "quality", F.col("_seen").isNull().alias("missing"))
+
+
+@query("j2_label_cascade", """SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'snapshot_metadata' WHEN e.k IS NOT NULL THEN 'gv_labels' WHEN p.k IS NOT NULL THEN 'provisional' ELSE 'missing' END AS taxonomy_source,
+CASE WHEN o_custkey % 4 = 0 THEN 'own' WHEN e.k IS NOT NULL THEN e.v WHEN p.k IS NOT NULL THEN p.v ELSE '' END AS phylum
+FROM orders LEFT JOIN (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 3 = 0) e ON o_custkey = e.k LEFT JOIN (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 5 = 0) p ON o_custkey = p.k""")
+def _(t):
+    side = lambda m, v: t.customer.filter(F.col("c_custkey") % m == 0).select(F.lit("x").alias("source"), F.col("c_custkey").alias("raw_genome"), F.array(F.col(v), *[F.lit("")] * 5).alias("ranks"))
+    own = F.when(F.col("o_custkey") % 4 == 0, F.array(F.lit("own"), *[F.lit("")] * 5))
+    rows = t.orders.select("o_orderkey", F.lit("x").alias("source"), F.col("o_custkey").alias("raw_genome"), own.alias("snapshot"))
+    return manifest.taxonomy_cascade(rows, side(3, "c_mktsegment"), side(5, "c_name")).select("o_orderkey", "taxonomy_source", F.get("taxonomy", F.lit(0)).alias("phylum"))
+
+
+@query("j3_host_overlap", f"""WITH {PIECES}, b AS (SELECT sha256(substr(text, 1, 500)) AS hash, count(*) AS n FROM benchmark GROUP BY 1),
+m AS (SELECT DISTINCT record_id, source, hash FROM pc)
+SELECT m.record_id, count(*) AS matches, sum(b.n)::BIGINT AS items FROM m JOIN b USING (hash) GROUP BY m.record_id""")
+def _(t):
+    items = t.benchmark.groupBy(F.sha2(F.substring("text", 1, 500).cast("binary"), 256).alias("hash")).agg(F.count("*").alias("n"))
+    found = pieces(t).select("record_id", "source", "hash").distinct().join(items, "hash")
+    return found.groupBy("record_id").agg(F.count("*").alias("matches"), F.sum("n").cast("long").alias("items"))
+
+
+@query("j3_j4_host_match", """WITH c AS (SELECT c_custkey, 'f__' || c_custkey || '.fna' AS filename, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS a, upper(c_custkey::VARCHAR) AS b, lower(c_mktsegment) AS s FROM customer),
+h AS (SELECT regexp_replace(upper(o_custkey::VARCHAR), '[^A-Z0-9]', '', 'g') AS k, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1),
+sp AS (SELECT lower(s_name) AS k, count(*) AS n FROM supplier GROUP BY 1)
+SELECT filename, 'exact_assembly_accession' AS match_type, h.k AS match_value, h.n AS matching_viral_records FROM c JOIN h ON h.k IN (c.a, c.b)
+UNION ALL SELECT filename, 'exact_host_species_name', sp.k, sp.n FROM c JOIN sp ON sp.k = c.s""")
+def _(t):
+    genomes = t.customer.select(F.lit("BAC").alias("source"), F.concat(F.lit("f__"), "c_custkey", F.lit(".fna")).alias("filename"), F.col("c_name").alias("assembly_accession"), F.col("c_mktsegment").alias("species_name"), F.lit("").alias("organism_name"))
+    hosts = t.orders.filter(F.col("o_orderkey") % 7 == 0).select(F.lit("EVE_NCLDV").alias("viral_source"), F.col("o_custkey").cast("string").alias("host"))
+    species = t.supplier.select(F.concat(F.lit("s__"), "s_name").alias("taxonomy"))
+    return manifest.host_overlaps(genomes, hosts, species).select("filename", "match_type", "match_value", "matching_viral_records")
+
+
+@query("j6_inventory_difference", """SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+def _(t):
+    return manifest.inventory_difference(t.documents, t.labels, "doc_id")
+
+
+@query("j7_j8_unchanged", f"WITH {RECORDS} SELECT doc_id AS record_id, CASE WHEN doc_id % 5 = 0 THEN 'not in manifest' ELSE 'changed' END AS problem FROM rec WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+def _(t):
+    rows = records(t).select("record_id", F.col("text").alias("sequence"))
+    changed = F.when(F.col("record_id") % 7 == 0, F.concat("sequence", F.lit("x"))).otherwise(F.col("sequence"))
+    saved = rows.filter("record_id % 5 <> 0").select("record_id", S.sequence_hash(changed).alias("sequence_sha256"))
+    return manifest.unchanged(rows, saved)
+
+
+@query("j9_semi_allowed", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def _(t):
+    return t.documents.join(t.labels.filter("quality = 1"), "doc_id", "left_semi").select("doc_id", "source")
+
+
+@query("j10_genome_info", f"WITH {ORDERS} SELECT genome_id, contig_id, chunk, sum(valid_length) OVER (PARTITION BY genome_id)::BIGINT AS genome_total_bp, split FROM ch")
+def _(t):
+    ch = chunked_orders(t)
+    info = ch.groupBy("genome_id").agg(F.sum("valid_length").cast("long").alias("genome_total_bp"))
+    return ch.join(info, "genome_id").select("genome_id", "contig_id", "chunk", "genome_total_bp", "split")
+
+
+@query("j11_anti_conflict", f"""WITH {PIECES} SELECT record_id, start, hash FROM pc WHERE hash NOT IN (SELECT hash FROM pc GROUP BY hash HAVING count(DISTINCT source) > 1)""")
+def _(t):
+    p = pieces(t)
+    return p.join(splits.label_conflicts(p, "hash", "source"), "hash", "left_anti").select("record_id", "start", "hash")
+
+
+@query("j12_j13_final_manifest", f"""WITH {RECORDS}, h AS (SELECT sha256(text) AS k FROM rec GROUP BY 1 HAVING count(DISTINCT quality) > 1),
+m AS (SELECT doc_id, genome_id, CASE WHEN sha256(text) IN (SELECT k FROM h) THEN 'conflicting_labels_for_identical_sequence' WHEN toxic = 1 THEN 'toxic' WHEN length(text) < 60 THEN 'short' END AS exclusion_reason FROM rec)
+SELECT doc_id, exclusion_reason, CASE WHEN exclusion_reason IS NOT NULL THEN 'quarantine' ELSE {sql_split("genome_id")} END AS split FROM m""")
+def _(t):
+    rec = records(t).select("doc_id", "record_id", F.col("genome_id").alias("base_group_id"), S.sequence_hash(F.col("text")).alias("canonical_sha256"), "quality", "toxic", F.lit(None).cast("string").alias("split"), F.when(F.length("text") < 60, F.lit("short")).alias("exclusion_reason"))
+    groups = rec.select("base_group_id", F.col("base_group_id").alias("similarity_component")).distinct()
+    assigned = groups.select(F.col("similarity_component").alias("component"), split_of(F.col("similarity_component")).alias("split"))
+    early = rec.filter("toxic = 1").select("record_id", F.lit("toxic").alias("reason"))
+    return splits.final_manifest(rec, groups, assigned, splits.label_conflicts(rec, "canonical_sha256", "quality"), early).select("doc_id", "exclusion_reason", "split")
+
+
+@query("j15_a46_consistency", f"""WITH {RECORDS} SELECT count(*) AS n, count_if(s IS DISTINCT FROM split) AS mismatches, bool_and(s IS NOT DISTINCT FROM split) AS aligned
+FROM (SELECT rec.split, CASE WHEN doc_id % 11 = 0 THEN 'train' ELSE rec.split END AS s FROM rec)""")
+def _(t):
+    saved = records(t).select("doc_id", F.when(F.col("doc_id") % 11 == 0, "train").otherwise(F.col("split")).alias("s"))
+    same = F.col("s").eqNullSafe(F.col("split"))
+    return records(t).join(saved, "doc_id", "left").agg(F.count("*").alias("n"), F.count_if(~same).alias("mismatches"), F.bool_and(same).alias("aligned"))
+
+
+@query("j16_cross_split_edges", f"""SELECT count(*) AS edges, count_if(a.s <> b.s) AS crossing FROM orders JOIN (SELECT c_custkey, {sql_split("c_custkey")} AS s FROM customer) a ON o_custkey = a.c_custkey
+JOIN (SELECT c_custkey, {sql_split("c_custkey")} AS s FROM customer) b ON o_orderkey % 150 + 1 = b.c_custkey""")
+def _(t):
+    groups = t.customer.select(F.col("c_custkey").alias("grp"), split_of(F.col("c_custkey")).alias("split"))
+    edges = t.orders.select(F.col("o_custkey").alias("left_group"), (F.col("o_orderkey") % 150 + 1).alias("right_group"))
+    both = edges.join(groups.select(F.col("grp").alias("left_group")), "left_group", "left_semi").join(groups.select(F.col("grp").alias("right_group")), "right_group", "left_semi")
+    return both.agg(F.count("*").alias("edges")).crossJoin(audit.crossing_edges(edges, groups).agg(F.count("*").alias("crossing")))
+
+
+@query("j17_j18_one_to_one", """WITH a AS (SELECT doc_id AS k, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT doc_id AS k, count(*) AS n FROM labels GROUP BY 1)
+SELECT problem, count(*) AS n FROM (SELECT CASE WHEN a.k IS NULL THEN 'left lacks' WHEN b.k IS NULL THEN 'right lacks' WHEN a.n > 1 OR b.n > 1 THEN 'repeats' END AS problem FROM a FULL JOIN b ON a.k = b.k) WHERE problem IS NOT NULL GROUP BY 1""")
+def _(t):
+    return audit.one_to_one(t.documents, t.labels, "doc_id")
+
+
+@query("j19_recomputed", f"""WITH {ORDERS}, g AS (SELECT genome_id, avg(valid_length) AS v FROM ch GROUP BY 1) SELECT genome_id, round(v + (genome_id % 9 = 0)::INT, 6) AS saved, round(v, 6) AS again FROM g WHERE genome_id % 9 = 0""")
+def _(t):
+    again = chunked_orders(t).groupBy("genome_id").agg(F.avg("valid_length").alias("v"))
+    saved = again.withColumn("v", F.col("v") + F.when(F.col("genome_id") % 9 == 0, 1).otherwise(0))
+    return audit.recomputed(saved, again, ["genome_id"], "v").select("genome_id", r6("a").alias("saved"), r6("b").alias("again"))
+
+
+@query("j20_multiset_difference", """(SELECT source, lang, 'left' AS side FROM documents EXCEPT ALL SELECT source, lang, 'left' FROM documents WHERE doc_id % 3 = 0)
+UNION ALL (SELECT source, lang, 'right' FROM documents WHERE doc_id % 3 = 0 EXCEPT ALL SELECT source, lang, 'right' FROM documents)""")
+def _(t):
+    pairs = t.documents.select("doc_id", "source", "lang")
+    return qc.multiset_difference(pairs.drop("doc_id"), pairs.filter("doc_id % 3 = 0").drop("doc_id"))
+
+
+FIRST = f"""{RECORDS}, h AS (SELECT doc_id, genome_id, lang AS label, sha256(text) AS hash FROM rec),
+f AS (SELECT *, first_value(genome_id) OVER w AS fg, first_value(label) OVER w AS fl, first_value(doc_id) OVER w AS fd FROM h WINDOW w AS (PARTITION BY hash ORDER BY doc_id))"""
+
+
+def _exact(t):
+    rows = records(t).select("record_id", F.col("genome_id").alias("grp"), F.col("lang").alias("label"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.col("doc_id").alias("pos"))
+    return similarity.exact_edges(rows)
+
+
+@query("j23_exact_fragment_edges", f"WITH {FIRST} SELECT DISTINCT least(genome_id, fg) AS left_group, greatest(genome_id, fg) AS right_group, 'exact_fragment' AS reason FROM f WHERE label = fl AND genome_id <> fg")
+def _(t):
+    return _exact(t)[0]
+
+
+@query("j24_cross_label_records", f"WITH {FIRST} SELECT DISTINCT unnest([doc_id, fd]) AS record_id FROM f WHERE label <> fl")
+def _(t):
+    return _exact(t)[1].select("record_id")
+
+
+@query("j25_split_pairs", f"""WITH {PIECES}, s AS (SELECT DISTINCT hash, split FROM pc) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM s a JOIN s b ON a.hash = b.hash AND a.split < b.split GROUP BY 1, 2""")
+def _(t):
+    return audit.split_pairs(pieces(t), "hash")
+
+
+@query("j26_hash_membership", f"""WITH {PIECES} SELECT split, count(*) AS n FROM pc WHERE split <> 'train' AND hash IN (SELECT hash FROM pc WHERE split = 'train') GROUP BY split""")
+def _(t):
+    p = pieces(t).select("hash", "split")
+    return p.filter("split <> 'train'").join(p.filter("split = 'train'"), "hash", "left_semi").groupBy("split").agg(F.count("*").alias("n"))
+
+
+# ---- aggregates -------------------------------------------------------------------------------------------------
+
+
+@query("a1_source_summary", f"""WITH {RECORDS} SELECT source, count(*) AS records, count(DISTINCT genome_id) AS genomes, sum(length(text))::BIGINT AS bases, count_if(toxic = 1) AS quarantined, count_if(length(text) = 0) AS empty FROM rec GROUP BY source""")
+def _(t):
+    rows = records(t).withColumns({"sequence_length": F.length("text"), "exclusion_reason": F.when(F.col("toxic") == 1, F.lit("toxic"))})
+    return manifest.source_summary(rows)
+
+
+@query("a2_distinct_genomes", f"WITH {RECORDS} SELECT count(DISTINCT genome_id) AS genomes FROM rec")
+def _(t):
+    return records(t).agg(F.countDistinct("genome_id").alias("genomes"))
+
+
+@query("a3_overlap_reasons", """SELECT 'x' AS source, l_orderkey::VARCHAR AS filename, string_agg(DISTINCT l_returnflag || ':' || l_linestatus, ',' ORDER BY l_returnflag || ':' || l_linestatus) AS reasons FROM lineitem GROUP BY l_orderkey""")
+def _(t):
+    rows = t.lineitem.select(F.lit("x").alias("source"), F.col("l_orderkey").cast("string").alias("filename"), F.col("l_returnflag").alias("matched_viral_source"), F.col("l_linestatus").alias("match_type"))
+    return manifest.overlap_reasons(rows).select("source", "filename", F.array_join("host_reasons", ",").alias("reasons"))
+
+
+@query("a4_records_per_host", "SELECT l_suppkey, l_shipmode AS mode, n FROM (SELECT l_suppkey, l_linestatus AS l_shipmode, count(*) AS n FROM lineitem GROUP BY 1, 2)")
+def _(t):
+    return t.lineitem.groupBy("l_suppkey", F.col("l_linestatus").alias("mode")).agg(F.count("*").alias("n"))
+
+
+@query("a5_label_conflict", f"WITH {PIECES} SELECT hash, count(DISTINCT source) AS labels FROM pc GROUP BY hash HAVING count(DISTINCT source) > 1")
+def _(t):
+    return splits.label_conflicts(pieces(t), "hash", "source")
+
+
+@query("a6_a7_component_stats", f"""WITH {ORDERS}, b AS (SELECT source, labels, sum(valid_length) AS b, min(contig_id) AS o FROM ch GROUP BY 1, 2)
+SELECT source AS component, sum(valid_length)::BIGINT AS bases, count(*) AS contigs, count(DISTINCT genome_id) AS genomes, (SELECT arg_max(labels, (b, -o)) FROM b WHERE b.source = ch.source) AS main_labels FROM ch GROUP BY source""")
+def _(t):
+    rows = chunked_orders(t).withColumn("component", F.col("source"))
+    return splits.component_stats(rows, bases="valid_length", label="labels", order="contig_id").drop("main_source")
+
+
+@query("a8_component_names", "WITH g AS (SELECT c_nationkey, min(c_custkey::VARCHAR) AS m FROM customer GROUP BY 1) SELECT c_nationkey, 'SIM_' || substr(sha256(m), 1, 20) AS component FROM g")
+def _(t):
+    return t.customer.groupBy("c_nationkey").agg(F.min(F.col("c_custkey").cast("string")).alias("m")).select("c_nationkey", S.stable_id(F.col("m"), prefix="SIM_").alias("component"))
+
+
+@query("a9_source_label_split", f"WITH {RECORDS} SELECT source, quality, split, count(*) AS records, count(DISTINCT genome_id) AS genomes FROM rec GROUP BY 1, 2, 3")
+def _(t):
+    return records(t).groupBy("source", "quality", "split").agg(F.count("*").alias("records"), F.countDistinct("genome_id").alias("genomes"))
+
+
+@query("a10_genome_totals", f"WITH {ORDERS} SELECT genome_id, sum(valid_length)::BIGINT AS bp, arg_max(split, contig_id) AS split FROM ch GROUP BY 1")
+def _(t):
+    return chunked_orders(t).groupBy("genome_id").agg(F.sum("valid_length").cast("long").alias("bp"), F.max_by("split", "contig_id").alias("split"))
+
+
+@query("a11_chunk_counters", f"""WITH {PIECES}, x AS (SELECT *, 'main' AS task FROM pc UNION ALL SELECT *, 'sub' FROM pc WHERE quality IS NOT NULL)
+SELECT task, split, count(*) AS chunks, sum(valid_length)::BIGINT AS bases, count(DISTINCT genome_id) AS genomes FROM x GROUP BY GROUPING SETS ((task, split), (task))""")
+def _(t):
+    return chunks.chunk_counts(pieces(t).withColumn("sub_labels", F.col("quality")))
+
+
+OBS = f"""{PIECES}, o AS (SELECT split, quality, 'hash' AS kind, hash AS key FROM pc UNION ALL SELECT split, quality, 'genome_id', genome_id FROM pc),
+x AS (SELECT kind, key, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM o GROUP BY kind, key HAVING count(DISTINCT split) > 1)"""
+
+
+def _observed(t):
+    return qc.observations(pieces(t), ("hash", "genome_id"), "quality")
+
+
+@query("a12_cross_split_overlap", f"WITH {OBS} SELECT kind, count(*) AS overlaps FROM x GROUP BY kind")
+def _(t):
+    return qc.overlap_counts(_observed(t))
+
+
+@query("a13_chunk_label_conflicts", f"WITH {PIECES} SELECT hash AS key, count(DISTINCT quality) AS labels FROM pc GROUP BY 1 HAVING count(DISTINCT quality) > 1")
+def _(t):
+    return qc.label_conflicts(qc.observations(pieces(t).withColumn("chunk_hash", F.col("hash")), ("chunk_hash",), "quality"))
+
+
+@query("a14_overlap_examples", f"WITH {OBS} SELECT kind, key, splits FROM x ORDER BY kind, key LIMIT 20")
+def _(t):
+    return qc.overlap_examples(_observed(t))
+
+
+@query("a15_fingerprint", "SELECT count(*) AS differences FROM (SELECT doc_id, text FROM documents EXCEPT ALL SELECT doc_id, text FROM documents)")
+def _(t):
+    rows = t.documents.select("doc_id", "text")
+    a, b = qc.fingerprint(rows, "doc_id", "text"), qc.fingerprint(rows.repartition(5), "doc_id", "text")
+    return a.exceptAll(b).agg(F.count("*").alias("differences"))
+
+
+TAXA = f"tx AS (SELECT c_custkey AS genome_id, c_nationkey AS taxon, {sql_split('c_custkey')} AS split FROM customer UNION ALL SELECT c_custkey, 99, {sql_split('c_custkey')} FROM customer WHERE c_custkey % 10 = 0)"
+
+
+def _taxa(t):
+    base = t.customer.select(F.col("c_custkey").alias("genome_id"), F.format_string("t%02d", F.col("c_nationkey")).alias("taxon"), split_of(F.col("c_custkey")).alias("split"))
+    return base.unionByName(base.filter("genome_id % 10 = 0").withColumn("taxon", F.lit("t99")))
+
+
+@query("a16_w5_vocabulary", f"WITH {TAXA}, n AS (SELECT taxon, count(DISTINCT genome_id) AS genomes FROM tx WHERE split = 'train' GROUP BY 1 HAVING count(DISTINCT genome_id) >= 5) SELECT format('t{{:02d}}', taxon) AS taxon, genomes, (row_number() OVER (ORDER BY taxon) - 1)::INT AS label_id FROM n")
+def _(t):
+    return taxonomy.vocabulary(_taxa(t), 5)
+
+
+@query("a17_j14_known_counts", f"""WITH {TAXA}, {ORDERS}, n AS (SELECT taxon FROM tx WHERE split = 'train' GROUP BY 1 HAVING count(DISTINCT genome_id) >= 45), r AS (SELECT genome_id, min(taxon) AS taxon FROM tx GROUP BY 1 HAVING count(DISTINCT taxon) = 1)
+SELECT ch.split, count_if(taxon IN (SELECT taxon FROM n)) AS known_chunks, count_if(taxon NOT IN (SELECT taxon FROM n)) AS unseen_taxon_chunks FROM ch JOIN r USING (genome_id) GROUP BY 1""")
+def _(t):
+    rows = _taxa(t)
+    return taxonomy.known_counts(taxonomy.relabel(chunked_orders(t), taxonomy.reliable_genomes(rows), taxonomy.vocabulary(rows, 45)))
+
+
+@query("a18_dataset_stats", f"WITH {ORDERS} SELECT labels, count(*) AS chunks, sum(valid_length)::BIGINT AS bases, count(DISTINCT genome_id) AS genomes, count(DISTINCT (genome_id, contig_id)) AS contigs FROM ch GROUP BY 1")
+def _(t):
+    return weights.dataset_stats(chunked_orders(t))
+
+
+CLASS = f"{ORDERS}, g AS (SELECT labels, count(DISTINCT genome_id) AS genomes FROM ch GROUP BY 1), r AS (SELECT *, pow((SELECT max(genomes) FROM g) / genomes, 0.5) AS w FROM g), cw AS (SELECT labels, genomes, w / (SELECT avg(w) FROM r) AS weight FROM r)"
+
+
+@query("a19_class_weights", f"WITH {CLASS} SELECT labels, genomes, round(weight, 6) AS weight FROM cw")
+def _(t):
+    return weights.class_weights(weights.dataset_stats(chunked_orders(t)).select("labels", "genomes")).withColumn("weight", r6("weight"))
+
+
+def _weighted(t):
+    ch = chunked_orders(t)
+    total = ch.groupBy("genome_id").agg(F.sum("valid_length").alias("bp"))
+    ch = ch.join(total, "genome_id").withColumn("sample_weight", S.sample_weight(F.col("valid_length"), F.col("bp")))
+    return weights.normalised_weights(ch, weights.class_weights(weights.dataset_stats(ch).select("labels", "genomes")))
+
+
+WEIGHTED = f"""{CLASS}, s AS (SELECT ch.*, valid_length / sum(valid_length) OVER (PARTITION BY genome_id) * weight AS sw FROM ch JOIN cw USING (labels)),
+lw AS (SELECT *, sw * count(*) OVER (PARTITION BY split) / sum(sw) OVER (PARTITION BY split) AS loss_weight FROM s)"""
+
+
+@query("a20_weight_norm", f"WITH {WEIGHTED} SELECT split, labels, count(*) AS n, round(avg(loss_weight), 6) AS mean_weight FROM lw GROUP BY 1, 2")
+def _(t):
+    return _weighted(t).groupBy("split", "labels").agg(F.count("*").alias("n"), r6(F.avg("loss_weight")).alias("mean_weight"))
+
+
+def level_sql(key: str) -> str:
+    logs = ", ".join(f"sum(ln(least(greatest(p[{c + 1}], 1e-12), 1)) * valid_length) / sum(valid_length)" for c in range(K))
+    return f"""SELECT {key} AS k, list_value({logs}) AS lg, sum(valid_length) AS valid_length, arg_min(truth, chunk_id) AS truth, arg_min(source, chunk_id) AS source FROM pred GROUP BY {key}"""
+
+
+def level_pred(key: str) -> str:
+    return f"lv0 AS ({level_sql(key)}), lv1 AS (SELECT *, list_transform(lg, lambda x: exp(x - list_max(lg))) AS e FROM lv0), lv AS (SELECT * EXCLUDE (e, lg), list_transform(e, lambda x: x / list_sum(e)) AS p FROM lv1)"
+
+
+@query("a21_logprob_aggregate", f"WITH {PRED}, {level_pred('genome_id')} SELECT k AS genome_id, truth, valid_length::BIGINT AS valid_length, round(p[1], 6) AS p0, round(p[5], 6) AS p4 FROM lv")
+def _(t):
+    out = evaluate.aggregate_level(predictions(t), ["genome_id"], K)
+    return out.select("genome_id", "truth", "valid_length", r6(F.get("p", F.lit(0))).alias("p0"), r6(F.get("p", F.lit(4))).alias("p4"))
+
+
+@query("a41_contig_reaggregation", f"WITH {PRED}, {level_pred('(genome_id, contig_id)')} SELECT truth, count(*) AS n, count_if(list_position(p, list_max(p)) - 1 = truth) AS hits FROM lv GROUP BY truth")
+def _(t):
+    out = evaluate.scored(evaluate.aggregate_level(predictions(t), ["genome_id", "contig_id"], K))
+    return out.groupBy("truth").agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("truth")).alias("hits"))
+
+
+CELLS = f"""{PRED}, c AS (SELECT t.i AS truth, q.i AS predicted, (SELECT count(*) FROM sc WHERE sc.truth = t.i AND sc.predicted = q.i) AS n FROM range({K}) t(i), range({K}) q(i)),
+m AS (SELECT k.i::INT AS class, (SELECT sum(n) FROM c WHERE truth = k.i AND predicted = k.i) AS tp, (SELECT sum(n) FROM c WHERE truth = k.i) AS support, (SELECT sum(n) FROM c WHERE predicted = k.i) AS called FROM range({K}) k(i)),
+f AS (SELECT class, coalesce(tp / nullif(called, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(support, 0), 0)::DOUBLE AS recall, coalesce(2 * tp / nullif(called + support, 0), 0)::DOUBLE AS f1, support, tp FROM m)"""
+
+
+@query("a23_confusion", f"WITH {CELLS} SELECT truth::INT AS truth, predicted::INT AS predicted, n FROM c")
+def _(t):
+    return evaluate.confusion(evaluate.scored(predictions(t)), K)
+
+
+@query("a24_precision_recall_f1", f"WITH {CELLS} SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM f")
+def _(t):
+    out = evaluate.class_metrics(evaluate.confusion(evaluate.scored(predictions(t)), K))
+    return out.select("class", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"), F.col("support").cast("long").alias("support"))
+
+
+@query("a25_summary", f"WITH {CELLS} SELECT round(avg(f1), 6) AS macro_f1, round(avg(recall) FILTER (support > 0), 6) AS balanced_accuracy, round(sum(tp) / sum(support), 6) AS accuracy FROM f")
+def _(t):
+    out = evaluate.summary(evaluate.class_metrics(evaluate.confusion(evaluate.scored(predictions(t)), K)))
+    return out.select(*[r6(c).alias(c) for c in ("macro_f1", "balanced_accuracy", "accuracy")])
+
+
+CURVE = f"{PRED}, cv AS (SELECT least(floor(confidence * 10), 9)::INT AS bin, count(*) AS count, avg(confidence) AS mean_confidence, avg((predicted = truth)::INT) AS accuracy FROM sc GROUP BY 1)"
+
+
+@query("a26_reliability", f"WITH {CURVE} SELECT bin, count, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 6) AS accuracy FROM cv")
+def _(t):
+    return evaluate.reliability(evaluate.scored(predictions(t))).select("bin", "count", r6("mean_confidence").alias("mean_confidence"), r6("accuracy").alias("accuracy"))
+
+
+@query("a26_ece", f"WITH {CURVE} SELECT round(sum(count * abs(mean_confidence - accuracy)) / sum(count), 6) AS ece FROM cv")
+def _(t):
+    return evaluate.ece(evaluate.reliability(evaluate.scored(predictions(t)))).select(r6("ece").alias("ece"))
+
+
+@query("a27_average_precision", f"""WITH {PRED}, x AS (SELECT c::INT AS class, p[c + 1] AS s, truth = c AS y FROM pred, range({K}) r(c)), g AS (SELECT class, s, count_if(y) AS tp, count(*) AS n FROM x GROUP BY 1, 2),
+w AS (SELECT class, s, sum(tp) OVER d / sum(n) OVER d AS pr, sum(tp) OVER d / nullif(sum(tp) OVER (PARTITION BY class), 0) AS rc FROM g WINDOW d AS (PARTITION BY class ORDER BY s DESC)),
+l AS (SELECT *, coalesce(lag(rc) OVER (PARTITION BY class ORDER BY s DESC), 0) AS r0, coalesce(lag(pr) OVER (PARTITION BY class ORDER BY s DESC), 1) AS p0 FROM w)
+SELECT class, round(sum((rc - r0) * pr), 6) AS average_precision, round(sum((rc - r0) * (pr + p0) / 2), 6) AS pr_auc FROM l GROUP BY class""")
+def _(t):
+    each = predictions(t).select("truth", F.posexplode("p").alias("class", "s"))
+    curve = evaluate.precision_recall(each, F.col("s"), F.col("truth") == F.col("class"), ("class",))
+    return evaluate.average_precision(curve, ("class",)).select("class", r6("average_precision").alias("average_precision"), r6("pr_auc").alias("pr_auc"))
+
+
+REPEATS = 40
+
+
+@query("a28_bootstrap_ci", f"""WITH {PRED}, gr AS (SELECT split_group, row_number() OVER (ORDER BY split_group) - 1 AS i FROM (SELECT DISTINCT split_group FROM sc)), gn AS (SELECT count(*) AS g FROM gr),
+pick AS (SELECT rep, ('0x' || substr(sha256('0|' || rep || '|' || d), 1, 8))::BIGINT % g AS i FROM gn, range({REPEATS}) r(rep), range(1000000) q(d) WHERE d < g),
+cm AS (SELECT rep, truth, predicted, count(*) AS n FROM pick JOIN gr USING (i) JOIN sc USING (split_group) GROUP BY ALL),
+f AS (SELECT rep, k.c, coalesce(2 * sum(n) FILTER (truth = k.c AND predicted = k.c), 0) / nullif(coalesce(sum(n) FILTER (truth = k.c), 0) + coalesce(sum(n) FILTER (predicted = k.c), 0), 0) AS f1 FROM cm, range({K}) k(c) GROUP BY 1, 2),
+m AS (SELECT rep, sum(coalesce(f1, 0)) / {K} AS macro FROM f GROUP BY rep)
+SELECT round(quantile_cont(macro, 0.025), 6) AS low, round(quantile_cont(macro, 0.975), 6) AS high, (SELECT g FROM gn) AS groups FROM m""")
+def _(t):
+    return evaluate.bootstrap_hashed(evaluate.scored(predictions(t)), K, REPEATS, 0).select(r6("low").alias("low"), r6("high").alias("high"), "groups")
+
+
+@query("a29_slices_grouping_sets", f"""WITH {PRED}, x AS (SELECT 'chunk' AS level, source, CASE WHEN valid_length < 500 THEN '<500' WHEN valid_length < 5000 THEN '500-4999' ELSE '>=5000' END AS band, (predicted = truth)::INT AS r FROM sc)
+SELECT level, source, band, count(*) AS n, round(avg(r), 6) AS accuracy FROM x GROUP BY GROUPING SETS ((level), (level, source), (level, band))""")
+def _(t):
+    out = evaluate.slices(evaluate.scored(predictions(t)).withColumn("level", F.lit("chunk")), K)
+    return out.withColumn("accuracy", r6("accuracy"))
+
+
+@query("g4_level_expansion", f"""WITH {PRED}, {level_pred('genome_id')} SELECT 'chunk' AS level, count(*) AS n, sum(valid_length)::BIGINT AS bp FROM pred UNION ALL SELECT 'contig', count(DISTINCT (genome_id, contig_id)), sum(valid_length)::BIGINT FROM pred UNION ALL SELECT 'genome', count(*), sum(valid_length)::BIGINT FROM lv""")
+def _(t):
+    return evaluate.all_levels(predictions(t), K).groupBy("level").agg(F.count("*").alias("n"), F.sum("valid_length").cast("long").alias("bp"))
+
+
+@query("a30_open_set", f"""WITH {PRED}, x AS (SELECT *, CASE WHEN truth = 4 THEN -1 ELSE truth END AS t, confidence >= 0.4 AS a FROM sc)
+SELECT count_if(t >= 0) AS known_n, count_if(t < 0) AS unseen_n, round(avg(a::INT), 6) AS prediction_coverage, round(avg((NOT a)::INT) FILTER (t < 0), 6) AS unknown_rejection_rate, round(avg((predicted = t AND a)::INT) FILTER (t >= 0), 6) AS known_unconditional_accuracy FROM x""")
+def _(t):
+    rows = predictions(t).withColumn("truth", F.when(F.col("truth") == 4, -1).otherwise(F.col("truth")))
+    out = taxonomy.open_set_report(rows, 0.4)
+    return out.select("known_n", "unseen_n", *[r6(c).alias(c) for c in ("prediction_coverage", "unknown_rejection_rate", "known_unconditional_accuracy")])
+
+
+GRID = f"""{PRED}, gl AS (SELECT genome_id, arg_max(truth, chunk_id) AS truth, list_value({", ".join(f"sum(logits[{c + 1}] * valid_length) / sum(valid_length)" for c in range(K))}) AS lg FROM emb GROUP BY 1),
+tt AS (SELECT unnest([0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0])::DOUBLE AS temperature), gd AS (SELECT temperature, avg(ln(list_sum(list_transform(lg, lambda x: exp(x / temperature)))) - lg[truth + 1] / temperature) AS nll FROM gl, tt GROUP BY 1)"""
+
+
+@query("a31_temperature", f"WITH {GRID} SELECT temperature, round(nll, 6) AS nll FROM gd")
+def _(t):
+    return calibrate.temperature_grid(calibrate.genome_logits(predictions(t), K)).withColumn("nll", r6("nll"))
+
+
+@query("o7_best_temperature", f"WITH {GRID} SELECT arg_min(temperature, (nll, temperature)) AS temperature FROM gd")
+def _(t):
+    return calibrate.best_temperature(calibrate.temperature_grid(calibrate.genome_logits(predictions(t), K))).select("temperature")
+
+
+@query("a32_mean_nll", f"WITH {PRED} SELECT source, round(avg(-ln(greatest(p[truth + 1], 1e-12))), 6) AS nll FROM pred GROUP BY 1")
+def _(t):
+    return calibrate.mean_nll(predictions(t), by=("source",)).withColumn("nll", r6("nll"))
+
+
+@query("a33_nested_means", f"WITH {PRED}, s AS (SELECT source, avg((predicted = truth)::INT) AS a FROM sc GROUP BY 1), g AS (SELECT split_group, avg((predicted = truth)::INT) AS a FROM sc GROUP BY 1) SELECT round((SELECT avg(a) FROM s), 6) AS by_source, round((SELECT avg(a) FROM g), 6) AS by_group")
+def _(t):
+    rows = evaluate.scored(predictions(t)).withColumn("right", (F.col("predicted") == F.col("truth")).cast("double"))
+    mean = lambda k, n: rows.groupBy(k).agg(F.avg("right").alias("a")).agg(r6(F.avg("a")).alias(n))
+    return mean("source", "by_source").crossJoin(mean("split_group", "by_group"))
+
+
+@query("a34_keys_crossing", f"""WITH {PIECES} SELECT 'hash' AS key_kind, count(*) FILTER (n > 1) AS crossing FROM (SELECT hash, count(DISTINCT split) AS n FROM pc GROUP BY 1)
+UNION ALL SELECT 'genome_id', count(*) FILTER (n > 1) FROM (SELECT genome_id, count(DISTINCT split) AS n FROM pc GROUP BY 1)""")
+def _(t):
+    return audit.keys_crossing(pieces(t), ["hash", "genome_id"])
+
+
+@query("a35_crosstab", f"WITH {RECORDS} SELECT split, count(DISTINCT genome_id) FILTER (lang = 'en') AS en, count(DISTINCT genome_id) FILTER (lang = 'de') AS de, count(DISTINCT genome_id) FILTER (lang = 'xx') AS xx FROM rec GROUP BY 1")
+def _(t):
+    return audit.crosstab(records(t), "split", "lang", ["en", "de", "xx"], "genome_id")
+
+
+@query("a36_flag_accuracy", f"WITH {PRED} SELECT valid_length >= 3000 AS flag, count(*) AS n, sum(valid_length)::BIGINT AS bp, round(avg((predicted = truth)::INT), 6) AS accuracy FROM sc GROUP BY 1")
+def _(t):
+    rows = evaluate.scored(predictions(t)).withColumn("flag", F.col("valid_length") >= 3000)
+    return rows.groupBy("flag").agg(F.count("*").alias("n"), F.sum("valid_length").cast("long").alias("bp"), r6(F.avg((F.col("predicted") == F.col("truth")).cast("double"))).alias("accuracy"))
+
+
+@query("a37_key_collisions", f"""WITH {RECORDS}, g AS (SELECT source, sha256(text) AS h, count(*) AS n FROM rec GROUP BY 1, 2)
+SELECT source, sum(n)::BIGINT AS records, count(*) AS unique_keys, count_if(n > 1) AS collision_groups, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS collision_records, coalesce(sum(n - 1) FILTER (n > 1), 0)::BIGINT AS merged_excess FROM g GROUP BY 1""")
+def _(t):
+    rows = records(t).withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
+    return audit.collisions(rows, "source", ["h"])
+
+
+@query("a38_collision_causes", f"WITH {RECORDS} SELECT sha256(text) AS h, count(*) AS n, count(DISTINCT source) AS distinct_source, count(DISTINCT lang) AS distinct_lang FROM rec GROUP BY 1 HAVING count(*) > 1")
+def _(t):
+    rows = records(t).withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
+    return audit.collision_causes(rows, ["h"], ["source", "lang"])
+
+
+@query("a39_length_histogram", f"""WITH {PIECES}, x AS (SELECT pc.source, pc.split, valid_length, length(rec.text) AS total FROM pc JOIN rec USING (record_id)), k AS (SELECT *,
+CASE WHEN valid_length = {SIZE} THEN 'full_5kb' WHEN total <= {SIZE} THEN 'short_contig' WHEN total % {SIZE} > 0 AND total % {SIZE} < {TAIL} THEN 'rebalanced' ELSE 'tail' END AS kind FROM x)
+SELECT source, split, kind, count(*) AS n, sum(valid_length)::BIGINT AS bases FROM k GROUP BY GROUPING SETS ((source, split, kind), (source), (split))""")
+def _(t):
+    rows = records(t).withColumn("total", F.length("text"))
+    cut = chunks.explode_chunks(rows, SIZE, TAIL, sequence="text", keep=("source", "split", "total")).withColumn("valid_length", F.col("end") - F.col("start"))
+    kinds = cut.withColumn("kind", S.piece_kind(F.col("valid_length"), F.col("start"), F.col("total"), SIZE, TAIL))
+    return kinds.groupingSets([["source", "split", "kind"], ["source"], ["split"]], "source", "split", "kind").agg(F.count("*").alias("n"), F.sum("valid_length").cast("long").alias("bases"))
+
+
+@query("a40_inventory_rollup", f"WITH {RECORDS} SELECT lang, split, count(*) AS records, count(DISTINCT genome_id) AS genomes FROM rec GROUP BY ROLLUP (lang, split)")
+def _(t):
+    return records(t).rollup("lang", "split").agg(F.count("*").alias("records"), F.countDistinct("genome_id").alias("genomes"))
+
+
+@query("a42_before_after", f"""WITH {RECORDS}, x AS (SELECT 'before' AS stage, * FROM rec UNION ALL SELECT 'after', * FROM rec WHERE toxic IS DISTINCT FROM 1) SELECT stage, source, count(*) AS records, count(DISTINCT genome_id) AS genomes, sum(length(text))::BIGINT AS bases FROM x GROUP BY 1, 2""")
+def _(t):
+    rows = records(t)
+    both = rows.withColumn("stage", F.lit("before")).unionByName(rows.filter("toxic IS DISTINCT FROM 1").withColumn("stage", F.lit("after")))
+    return both.groupBy("stage", "source").agg(F.count("*").alias("records"), F.countDistinct("genome_id").alias("genomes"), F.sum(F.length("text")).cast("long").alias("bases"))
+
+
+@query("a43_top_concentration", f"WITH {ORDERS} SELECT genome_id, count(*) AS n FROM ch WHERE valid_length < 20 GROUP BY 1 ORDER BY n DESC, genome_id LIMIT 10")
+def _(t):
+    return chunked_orders(t).filter("valid_length < 20").groupBy("genome_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "genome_id").limit(10)
+
+
+@query("a44_excluded_genomes", f"""WITH {RECORDS}, x AS (SELECT genome_id, CASE WHEN source IN ('src1', 'src2') THEN 'a' || doc_id % 2 WHEN toxic = 1 THEN 'toxic' END AS r FROM rec)
+SELECT genome_id, count(*) AS records FROM x GROUP BY 1 HAVING count_if(r IS NULL) = 0""")
+def _(t):
+    reason = F.when(F.col("source").isin("src1", "src2"), F.concat(F.lit("a"), F.col("doc_id") % 2)).when(F.col("toxic") == 1, "toxic")
+    return audit.excluded_genomes(records(t).withColumn("r", reason), "genome_id", "r").select("genome_id", F.col("records").cast("long").alias("records"))
+
+
+@query("a45_loss_by_source", f"WITH {WEIGHTED}, s2 AS (SELECT source, sum(loss_weight * valid_length) AS l, sum(loss_weight) AS w FROM lw GROUP BY 1) SELECT source, round(l / sum(l) OVER (), 6) AS loss_share, round(w / sum(w) OVER (), 6) AS mass_share FROM s2")
+def _(t):
+    return weights.loss_by_source(_weighted(t), "valid_length").select("source", r6("loss_share").alias("loss_share"), r6("mass_share").alias("mass_share"))
+
+
+# ---- windows, folds, order ---------------------------------------------------------------------------------------
+
+
+@query("w1_w2_first_last", "SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1")
+def _(t):
+    first = manifest.first_by(t.events, ["user_id"], ["ts", "event_id"], "event_type", "first_type")
+    return first.join(manifest.last_by(t.events, ["user_id"], ["ts", "event_id"], "event_type", "last_type"), "user_id")
+
+
+def _stats(t):
+    """Nations as strata, customers as groups."""
+    size = t.orders.groupBy(F.col("o_custkey").alias("component")).agg(F.sum(F.floor("o_totalprice")).cast("long").alias("bases"), F.count("*").alias("genomes"))
+    return size.join(t.customer.select(F.col("c_custkey").alias("component"), F.col("c_nationkey").alias("main_source"), F.lit(0).alias("main_label")), "component")
+
+
+GREEDY = """WITH RECURSIVE st AS (SELECT o_custkey AS g, c_nationkey AS s, sum(floor(o_totalprice))::BIGINT AS b, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+tot AS (SELECT s, sum(b)::DOUBLE AS tb, sum(n)::DOUBLE AS tn FROM st GROUP BY s), rk AS (SELECT st.*, tb, tn, row_number() OVER (PARTITION BY st.s ORDER BY b DESC, sha256('0|' || g || '|order')) AS k FROM st JOIN tot USING (s)),
+fold AS (SELECT s, 0::BIGINT AS k, NULL::BIGINT AS g, NULL::VARCHAR AS split, [0.0, 0.0, 0.0]::DOUBLE[] AS ub, [0.0, 0.0, 0.0]::DOUBLE[] AS un FROM tot
+UNION ALL SELECT s, k, g, names[pick], list_transform(ub, lambda x, i: CASE WHEN i = pick THEN x + b ELSE x END), list_transform(un, lambda x, i: CASE WHEN i = pick THEN x + n ELSE x END) FROM (
+ SELECT *, CASE WHEN (s1, h1, 'train') <= (s2, h2, 'validation') AND (s1, h1, 'train') <= (s3, h3, 'inference') THEN 1 WHEN (s2, h2, 'validation') <= (s3, h3, 'inference') THEN 2 ELSE 3 END AS pick, ['train', 'validation', 'inference'] AS names FROM (
+ SELECT rk.s, rk.k, rk.g, rk.b, rk.n, ub, un,
+  (ub[1] + b) / greatest(tb * 0.8::DOUBLE, 1) + (un[1] + n) / greatest(tn * 0.8::DOUBLE, 1) AS s1, sha256('0|' || rk.g || '|train') AS h1,
+  (ub[2] + b) / greatest(tb * 0.1::DOUBLE, 1) + (un[2] + n) / greatest(tn * 0.1::DOUBLE, 1) AS s2, sha256('0|' || rk.g || '|validation') AS h2,
+  (ub[3] + b) / greatest(tb * 0.1::DOUBLE, 1) + (un[3] + n) / greatest(tn * 0.1::DOUBLE, 1) AS s3, sha256('0|' || rk.g || '|inference') AS h3
+ FROM fold JOIN rk ON rk.s = fold.s AND rk.k = fold.k + 1)))
+SELECT g AS component, split FROM fold WHERE k > 0"""
+
+
+@query("w4_greedy_split", GREEDY)
+def _(t):
+    return splits.allocate(_stats(t))
+
+
+@query("w7_history_repair")
+def _(t):
+    """Epochs that go back where a run was resumed: every user's events, the 17th of each 20 starts again 5 earlier."""
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = t.events.select(F.col("user_id").alias("run"), at.alias("pos"), "value")
+    epoch = (F.col("pos") - F.when(F.col("pos") > 17, 5).otherwise(0)) / 10
+    return calibrate.repair_history(rows.select("run", "pos", epoch.alias("epoch"), "value"), 2.1)
+
+
+HISTORY = "hs AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, value FROM events)"
+
+
+def _history(t):
+    from pyspark.sql import Window
+
+    return t.events.select(F.col("user_id").alias("run"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"), "value")
+
+
+@query("w8_first_of_epoch", "SELECT epoch, arg_min(event_id, (ts, event_id)) AS event_id FROM (SELECT *, floor(value)::BIGINT AS epoch FROM events) GROUP BY 1")
+def _(t):
+    rows = t.events.select(F.floor("value").cast("long").alias("epoch"), "event_id", F.struct("ts", "event_id").alias("pos"))
+    return calibrate.first_of_epoch(rows).select("epoch", "event_id")
+
+
+@query("w10_best_so_far", f"WITH {HISTORY}, b AS (SELECT *, max(value) OVER (PARTITION BY run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM hs) SELECT run, pos::BIGINT AS pos, greatest(value, m) AS best, m IS NULL OR value > m AS improved FROM b")
+def _(t):
+    return calibrate.best_so_far(_history(t), "value", by=("run",)).select("run", F.col("pos").cast("long").alias("pos"), "best", "improved")
+
+
+@query("w10_best_checkpoint", f"WITH {HISTORY} SELECT run, arg_max(pos, (value, -pos))::BIGINT AS pos, max(value) AS value FROM hs GROUP BY 1")
+def _(t):
+    return calibrate.best_checkpoint(_history(t), "value", by=("run",)).select("run", F.col("pos").cast("long").alias("pos"), "value")
+
+
+@query("w11_early_stop", f"""WITH {HISTORY}, b AS (SELECT *, coalesce(value > max(value) OVER (PARTITION BY run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM hs),
+l AS (SELECT *, pos - max(pos) FILTER (better) OVER (PARTITION BY run ORDER BY pos) AS waited FROM b) SELECT run, min(pos) FILTER (waited >= 4)::BIGINT AS stop FROM l GROUP BY 1""")
+def _(t):
+    return calibrate.early_stop(_history(t), "value", patience=2, interval=0.5)
+
+
+@query("o3_group_order", "SELECT o_custkey AS component, row_number() OVER (ORDER BY sum(floor(o_totalprice)) DESC, sha256('0|' || o_custkey || '|order')) AS place FROM orders GROUP BY 1")
+def _(t):
+    from pyspark.sql import Window
+
+    order = Window.orderBy(F.desc("bases"), S.tie_hash(F.lit(0), F.col("component"), F.lit("order")))
+    return _stats(t).select("component", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("u1_union_sources", "SELECT origin, count(*) AS n FROM (SELECT 'documents' AS origin FROM documents UNION ALL SELECT 'pages' FROM pages UNION ALL SELECT 'benchmark' FROM benchmark) GROUP BY 1")
+def _(t):
+    parts = [getattr(t, n).select(F.lit(n).alias("origin")) for n in ("documents", "pages", "benchmark")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("origin").agg(F.count("*").alias("n"))
+
+
+@query("u3_intersection", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def _(t):
+    return t.documents.select("doc_id").intersect(t.labels.select("doc_id"))
+
+
+@query("u6_classes_present", "SELECT count(DISTINCT label) = 10 AS complete FROM embeddings")
+def _(t):
+    want = F.array(*[F.lit(i) for i in range(10)])
+    return t.embeddings.agg((F.size(F.array_except(want, F.collect_set("label"))) == 0).alias("complete"))
+
+
+# ---- graph ------------------------------------------------------------------------------------------------------
+
+EDGES = "ed AS (SELECT o_custkey AS u, o_custkey + 1000000 + o_orderkey % 40 AS v FROM orders WHERE o_orderkey % 9 = 0)"
+
+
+def _edges(t):
+    return t.orders.filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("u"), (F.col("o_custkey") + 1000000 + F.col("o_orderkey") % 40).alias("v"))
+
+
+@query("h1_components", f"""WITH RECURSIVE {EDGES}, sy AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), reach AS (SELECT u AS node, u AS seen FROM sy UNION SELECT reach.node, sy.v FROM reach JOIN sy ON reach.seen = sy.u)
+SELECT node, min(seen) AS component FROM reach GROUP BY node""")
+def _(t):
+    return connected_components(_edges(t))
+
+
+@query("h2_components_with_vertices", f"""WITH RECURSIVE {EDGES}, sy AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed UNION SELECT c_custkey, c_custkey FROM customer), reach AS (SELECT u AS node, u AS seen FROM sy UNION SELECT reach.node, sy.v FROM reach JOIN sy ON reach.seen = sy.u),
+c AS (SELECT node, min(seen) AS component FROM reach GROUP BY node) SELECT component, count(*) AS n FROM c GROUP BY 1""")
+def _(t):
+    return connected_components(_edges(t), vertices=t.customer.select(F.col("c_custkey").alias("node"))).groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query("h3_first_reason", "SELECT least(l_suppkey, l_partkey) AS left_group, greatest(l_suppkey, l_partkey) AS right_group, arg_min(l_returnflag, (l_orderkey, l_linenumber)) AS reason FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2")
+def _(t):
+    rows = t.lineitem.select(F.col("l_suppkey").alias("left_group"), F.col("l_partkey").alias("right_group"), F.col("l_returnflag").alias("reason"), F.struct("l_orderkey", "l_linenumber").alias("pos"))
+    return similarity.first_reason(rows)
+
+
+@query("h4_cluster_edges", """WITH c AS (SELECT c_custkey AS record_id, c_name AS grp, c_nationkey AS cl, CASE WHEN c_nationkey < 20 THEN 'a' ELSE c_mktsegment END AS label FROM customer),
+k AS (SELECT cl, arg_min(grp, record_id) AS head, count(DISTINCT label) AS labels FROM c GROUP BY 1)
+SELECT DISTINCT least(grp, head) AS left_group, greatest(grp, head) AS right_group FROM c JOIN k USING (cl) WHERE labels = 1 AND grp <> head""")
+def _(t):
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("record_id"), F.col("c_name").alias("grp"), F.when(F.col("c_nationkey") < 20, "a").otherwise(F.col("c_mktsegment")).alias("label"), F.col("c_nationkey").alias("cl"))
+    heads = rows.groupBy("cl").agg(F.min("id").alias("head"))
+    pairs = rows.join(heads, "cl").filter("id <> head").select(F.col("head").alias("left"), F.col("id").alias("right"))
+    return similarity.cluster_edges(pairs, rows.drop("cl"))[0].select("left_group", "right_group")
+
+
+@query("j22_near_duplicates")
+def _(t):
+    """Near pairs among sequences with planted mutations: every part's digest, repeated, and a copy with one letter changed."""
+    base = dna(t).filter("p_partkey <= 300").select("p_partkey", S.normalize_dna(F.concat("s", F.translate(F.reverse("s"), "A", "C"), "s")).alias("sequence"))
+    other = base.select((F.col("p_partkey") + 1_000_000).alias("p_partkey"), S.reverse_complement(F.concat(F.substring("sequence", 1, 40), F.lit("A"), F.substring("sequence", 42, 200))).alias("sequence"))
+    rows = base.unionByName(other).select(F.col("p_partkey").alias("id"), "sequence")
+    return similarity.near_pairs(rows, k=15).select("left", "right", r6("identity").alias("identity"))
