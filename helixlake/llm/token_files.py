@@ -96,6 +96,7 @@ def byte_level() -> dict[int, int]:
 
 
 BYTE_LEVEL = byte_level()
+SPACE = chr(BYTE_LEVEL[32])
 
 
 class Encoder:
@@ -117,7 +118,8 @@ class Encoder:
         self.pieces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec.get("truncation")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.vocab = self.tokenizer.get_vocab_size()
-        self.units: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -135,16 +137,19 @@ class Encoder:
     def _ids(self, unit: str) -> bytes:
         """Letters, with or without a space before them, are one word to the pre-tokenizer and go to the model at once."""
         if (unit[1:] if unit[:1] == " " else unit).isalpha():
-            found = self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(BYTE_LEVEL))
+            plain = unit.replace(" ", SPACE) if unit.isascii() else unit.encode().decode("latin-1").translate(BYTE_LEVEL)
+            found = self.tokenizer.model.tokenize(plain)
             return array("I", [x.id for x in found]).tobytes()
         return self._encode([unit])[0]
 
     def _unit(self, unit: str) -> bytes:
-        found = self.units.get(unit)
+        """Ids of a unit, kept by the unit without the space before it."""
+        kept, name = (self.spaced, unit[1:]) if unit[:1] == " " else (self.bare, unit)
+        found = kept.get(name)
         if found is None:
-            if len(self.units) >= self.KEEP:
-                self.units.clear()
-            found = self.units[unit] = self._ids(unit)
+            if len(self.spaced) + len(self.bare) >= self.KEEP:
+                self.spaced.clear(), self.bare.clear()
+            found = kept[name] = self._ids(unit)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -154,15 +159,12 @@ class Encoder:
         # what stands before the first space is encoded as it is
         heads = self._encode([x if w else c[0] for x, w, c in zip(texts, whole, cuts, strict=True)])
         rests = [c[1:] for c in cuts]
-        unit, get = self._unit, self.units.get
-        known = {}
-        for piece in set().union(*rests):
+        unit = self._unit
+        known = {x: self.spaced.get(x) for x in set().union(*rests)}
+        for piece in [x for x, found in known.items() if found is None]:
             text = " " + piece
-            found = get(text)
-            if found is None:
-                parts = (text,) if piece.isalpha() else self._units(text)
-                found = unit(text) if len(parts) == 1 else b"".join([unit(x) for x in parts])
-            known[piece] = found
+            parts = (text,) if piece.isalpha() else self._units(text)
+            known[piece] = unit(text) if len(parts) == 1 else b"".join([unit(x) for x in parts])
         return [head + b"".join(map(known.__getitem__, rest)) for head, rest in zip(heads, rests, strict=True)]
 
 
