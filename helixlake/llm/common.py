@@ -29,7 +29,7 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def prefix_sums(df: DataFrame, group: str, u: str, ties: Sequence[Column], amount: Column, out: str, rows: int, per_bucket: int = 4096) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, u: str, ties: Sequence[Column], amount: Column, out: str, rows: int, per_bucket: int = 512) -> DataFrame:
     """Add ``out``: the running sum of ``amount`` within ``group``, in the order of ``u`` in [0, 1) and then ``ties``.
 
     Works in two levels, so that no group meets in one task: rows fall into order-preserving buckets of ``u``
