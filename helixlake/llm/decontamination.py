@@ -5,8 +5,8 @@ consecutive words of a test item; an item of fewer words is one window. The set
 the scan probes it once for each word of a document, and the windows of a word found there are verified word by word
 around it. All widths take the one scan.
 
-The test set's windows are broadcast only while there are at most ``broadcast_limit`` of them (checked); beyond
-that the same join shuffles both sides.
+The windows are counted first and broadcast in blocks of about ``broadcast_limit``, one scan per block: whatever the
+test set's size, a broadcast stays bounded and a document's words are never shuffled.
 
 Defined results: a null or wordless text has n_words 0 and no hits; null or wordless items have no windows; item rows
 with the same id count once; rows with equal id and text get equal results; empty tables give no hits or no rows.
@@ -14,6 +14,8 @@ with the same id count once; rows with equal id and text get equal results; empt
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +46,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     # each window is found by its longest word (the first of the greatest), which is seldom a common one
     longest = F.array_max(F.transform("gram", lambda x, i: F.struct(F.length(x).alias("len"), x.alias("word"), (-i).alias("at"))))
     side = tests.withColumn("_l", longest).select("item", "n", "gram", F.col("_l.word").alias("word"), (-F.col("_l.at")).alias("off"))
-    side = F.broadcast(side) if tests.count() <= broadcast_limit else side
+    parts = max(1, math.ceil(tests.count() / broadcast_limit))
+    part = F.pmod(F.xxhash64("item", "gram"), F.lit(parts))
     ident = [F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t")]
     base = docs.select(*ident, F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), RAW_GAP), "")).cast("long").alias("n_words"))
     none = F.sha2(F.lit("").cast("binary"), 256)
     start = F.col("i") - F.col("off")
     # the outer explode keeps Spark from splitting every text a second time to drop empty arrays; the join drops their nulls
     inside = (start >= 0) & (start + F.col("n") <= F.size("w"))
-    found = (
-        docs.select(*ident, words(F.col(text)).alias("w")).select(key, "_t", "w", F.posexplode_outer("w").alias("i", "word"))
-        .join(side, "word").filter(inside & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("gram")))
-        .select(key, "_t", start.alias("pos"), "n", "item")
-    )
+    scan = docs.select(*ident, words(F.col(text)).alias("w")).select(key, "_t", "w", F.posexplode_outer("w").alias("i", "word"))
+    found = None
+    for i in range(parts):
+        block = F.broadcast(side.filter(part == i) if parts > 1 else side)
+        hit = scan.join(block, "word").filter(inside & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("gram"))).select(key, "_t", start.alias("pos"), "n", "item")
+        found = hit if found is None else found.unionByName(hit)
     spans = F.collect_set(F.struct("pos", "n"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1)))))
     hits = (
