@@ -86,19 +86,19 @@ def _wanted(grams: Grams, shorter: np.ndarray) -> np.ndarray:
 
 
 def _counts(texts: Texts, replies: pa.Table, orders: int):
-    """Yield n, the n-grams and their counts in other documents, up to ``orders`` answered orders; last the total of words."""
+    """[words of all documents, then for each order up to ``orders`` the counts in other documents by the word an n-gram ends at]."""
     stage = replies["stage"].to_numpy()
     one, two, n_words = texts.grams(1), texts.grams(2), len(texts.words)
-    _, _, order = _first_keys(one, two, n_words)
+    _, counts, order = _first_keys(one, two, n_words)
     totals = np.empty(len(order), np.uint64)
-    totals[order] = lookups.answers(replies.filter(pa.array(stage == 2)))
+    totals[order] = lookups.answers(replies.filter(pa.array(stage == 2))) + counts.astype(np.uint64)
     split = 1 + len(one.keys)
     found = [float(totals[0]), one.others(totals[1:split], n_words), two.others(totals[split:], n_words)]
     for n in range(3, orders + 1):
         grams = texts.grams(n)
         asked = _wanted(grams, found[-1])
         every = np.zeros(len(asked), np.uint64)
-        every[asked] = lookups.answers(replies.filter(pa.array(stage == n)))
+        every[asked] = lookups.answers(replies.filter(pa.array(stage == n))) + grams.counts[asked].astype(np.uint64)
         known = np.where(asked[grams.place], every[grams.place].astype(np.float64) - grams.own, 0.0)
         counts = np.zeros(n_words)
         counts[grams.end] = known

@@ -182,8 +182,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     def finish(group: pa.Table, replies: pa.Table) -> pa.Table:
         stage = replies["stage"].to_numpy()
         flags = flags_of(replies.filter(pa.array(stage == 1)))
-        each, names, _ = named(group, flags)
-        totals = lookups.answers(replies.filter(pa.array(stage == 2)))
+        each, names, counts = named(group, flags)
+        totals = lookups.answers(replies.filter(pa.array(stage == 2))) + counts
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         for (_, _, raw, off, w), own in zip(windows(group), each, strict=True):
             edge = np.zeros(len(raw) + 1, np.int32)
