@@ -40,6 +40,8 @@ def bands_for(threshold: float, recall: float, most: int = 128) -> tuple[int, in
     best = (most, 1)
     for rows in range(1, most + 1):
         share = threshold**rows
+        if share < 1e-9:
+            break
         bands = 1 if share >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - share))
         if bands * rows <= most:
             best = (bands, rows)
