@@ -52,8 +52,16 @@ def smoothing_floor(epsilon: float, classes: int) -> float:
 
 
 def round1(x: Column) -> Column:
-    """One decimal, by the exact binary value (0.35 gives 0.3): Java's HALF_UP on the exact expansion."""
-    return F.format_string("%.1f", F.round(x.cast("decimal(38,20)").cast("double"), 10)).cast("double")
+    """One decimal by the exact binary value, ties to even (0.35 gives 0.3, 1.15 gives 1.1; Spark's round uses the
+    shortest decimal and gives 0.4 and 1.2).
+
+    The value is compared with the tie between tenths without rounding: 16 x and 4 x are exact, and so are both sums.
+    """
+    a = F.abs(x.cast("double"))
+    low = F.floor(a * 10)
+    side = (a * 16 - (2 * low + 1)) + a * 4
+    tenths = F.when(side > 0, low + 1).when(side < 0, low).otherwise(low + low % 2)
+    return F.when(x < 0, -(tenths / 10)).otherwise(tenths / 10)
 
 
 def per_second(amount: Column, seconds: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +57,7 @@ class FastaReader(DataSourceReader):
 
         store, _ = fs.FileSystem.from_uri(self.folder)
         with store.open_input_stream(partition.path, compression=None) as raw:
-            text = gzip.open(raw, "rt") if partition.path.endswith(".gz") else (x.decode() for x in raw)
+            text = gzip.open(raw, "rt") if partition.path.endswith(".gz") else io.TextIOWrapper(io.BufferedReader(raw))
             for pos, header, sequence in parse(text, self.headers_only):
                 if header.startswith(self.prefix):
                     yield partition.path, partition.path.rsplit("/", 1)[-1], pos, header, sequence
