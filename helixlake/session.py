@@ -64,9 +64,16 @@ def save(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
 _shipped: set[str] = set()
 
+#: Python workers hold a few copies of a batch, so texts go to them in small ones.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for the Python code that some operators run there."""
+    """Send this package to the executors once per application, for the Python code that some operators run there; and
+    bound the batches they get, unless the session says how."""
+    name, default, small = BATCH
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, small)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
