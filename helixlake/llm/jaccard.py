@@ -30,7 +30,7 @@ from .common import table
 from .words import chunks, mix, ngrams, per_row_unique, text_buffer, tokenise
 
 #: A task verifies two blocks of about so many n-grams and so many sets each.
-BLOCK_GRAMS, BLOCK_SETS = 1 << 20, 1 << 10
+BLOCK_GRAMS, BLOCK_SETS = 1 << 19, 1 << 9
 #: An n-gram in more of a task's sets than this is counted by matrix product, others pair by pair.
 DENSE = 32
 
@@ -111,10 +111,10 @@ def intersections(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
     freq = np.diff(np.append(start, len(v)))
     each = np.repeat(freq, freq)
     rank = np.arange(len(v)) - np.repeat(start, freq)
-    out = np.zeros(m * m, np.float64)
+    out = np.zeros(m * m, np.int32)
     for d in range(1, min(DENSE, int(freq.max(initial=0)))):
         at = np.flatnonzero((each <= DENSE) & (rank + d < each))
-        out += np.bincount(o[at] * m + o[at + d], minlength=m * m)
+        np.add.at(out, o[at] * m + o[at + d], 1)
     out = out.reshape(m, m)
     common = np.flatnonzero(freq > DENSE)
     for i in range(0, len(common), 4096):
@@ -122,13 +122,14 @@ def intersections(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
         block = np.zeros((m, len(some)), np.float32)
         rows = np.concatenate([o[start[j] : start[j] + freq[j]] for j in some])
         block[rows, np.repeat(np.arange(len(some)), freq[some])] = 1
-        out += np.triu(block @ block.T, 1)
+        out += np.triu(block @ block.T, 1).astype(np.int32)
     return out + out.T
 
 
 def _linked(inter: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> np.ndarray:
-    union = sizes[:, None] + sizes[None, :] - inter
-    return inter * threshold.denominator >= union * threshold.numerator
+    # J >= a / b with |A or B| = |A| + |B| - |A and B|, in whole numbers
+    a, b = threshold.numerator, threshold.denominator
+    return inter.astype(np.int64) * (a + b) >= a * (sizes[:, None] + sizes[None, :])
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.998, key: str = "doc_id", text: str = "text") -> DataFrame:

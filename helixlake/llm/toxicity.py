@@ -232,25 +232,26 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         rows.unpersist()
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.7, passages: bool = True, prefix: str = "") -> DataFrame:
-    """All columns of docs but its text, with score, predicted and passages (words first to last, score, E-value).
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.7, passages: bool = True, prefix: str = "", keep_text: bool = False) -> DataFrame:
+    """All columns of docs (its text only if asked for), with score, predicted and passages (words first to last, score, E-value).
 
     A column of docs that has the name of a result is replaced by it; a prefix for the results' names avoids that.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's sample
     results = [prefix + x for x in ("score", "predicted", "passages")[: 2 + passages]]
     rest = [c for c in docs.columns if c != text and c not in results]
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
+    out = [text, *rest] if keep_text else rest
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in out)
     part = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())])
 
     def run(batches):
         for batch in batches:
             seen = list(scan(batch.column(0), held.value))
             p = held.value.probability(np.array([f for f, _ in seen], float).reshape(-1, FEATURES))
-            columns = [*batch.columns[1:], pa.array(p), pa.array((p >= threshold).astype(np.int32))]
+            columns = [*batch.columns[0 if keep_text else 1 :], pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             if passages:
                 columns.append(pa.array([[dict(zip(("first", "last", "score", "e_value"), x, strict=True)) for x in found] for _, found in seen], pa.list_(part)))
-            yield pa.RecordBatch.from_arrays(columns, [*rest, *results])
+            yield pa.RecordBatch.from_arrays(columns, [*out, *results])
 
     types = ("double", "int", "array<struct<first: int, last: int, score: double, e_value: double>>")
     return docs.select(text, *rest).mapInArrow(run, kinds + ", ".join(f"{n} {t}" for n, t in zip(results, types, strict=False)))
@@ -259,7 +260,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text", fit_on: DataFrame | None = None) -> DataFrame:
     """The documents whose score is below the threshold, with their own columns."""
     model = fit(docs if fit_on is None else fit_on, labels, key, text)
-    scored = score(docs.withColumn("_body", F.coalesce(F.col(text), F.lit(""))), model, key, "_body", threshold, passages=False, prefix="_toxic_")
+    scored = score(docs, model, key, text, threshold, passages=False, prefix="_toxic_", keep_text=True)
     return scored.filter("_toxic_predicted = 0").select(*docs.columns)
 
 
