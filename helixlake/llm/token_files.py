@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zlib
 from array import array
 
@@ -99,12 +100,20 @@ BYTE_LEVEL = byte_level()
 SPACE = chr(BYTE_LEVEL[32])
 
 
+#: A stop or comma that does not follow a letter or digit; white space other than spaces and newlines.
+LOOSE_STOP = re.compile(r"(?<![^\W_])[.,]")
+OTHER_BLANK = re.compile(r"[^\S \n]")
+#: Marks the cuts of a text; a text that has it is encoded whole.
+CUT = "\x1f"
+
+
 class Encoder:
     """Ids of texts, by the tokenizers library.
 
-    With a byte-level pre-tokenizer, no token runs across the place before a single space, so texts are cut there and
-    each distinct word is encoded once while it stays in a bounded cache. Other texts (with adjacent spaces or an
-    added token's string), and all texts under other pre-tokenizers, are encoded whole.
+    With a byte-level pre-tokenizer no token runs across certain places: before a single space, before a stop or comma
+    that follows a letter or digit, around a newline that stands alone. Texts are cut there, and each distinct piece
+    is encoded once while it stays in a bounded cache. Other texts (with adjacent spaces or an added token's string),
+    and all texts under other pre-tokenizers, are encoded whole.
     """
 
     KEEP = 700_000
@@ -118,54 +127,42 @@ class Encoder:
         self.pieces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec.get("truncation")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.vocab = self.tokenizer.get_vocab_size()
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _units(piece: str) -> list[str]:
-        """Cut a piece at places where the pre-tokenizer always cuts: around one newline, before one last stop or comma."""
-        at = piece.find("\n")
-        if 0 < at < len(piece) - 1 and not piece[at - 1].isspace() and not piece[at + 1].isspace():
-            return [*Encoder._units(piece[:at]), "\n", *Encoder._units(piece[at + 1 :])]
-        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return [piece]
-
-    def _ids(self, unit: str) -> bytes:
+    def _cut(self, text: str) -> list[str]:
+        if not self.pieces or "  " in text or CUT in text or any(x in text for x in self.added):
+            return [text]
+        cut = text
+        if not LOOSE_STOP.search(text):
+            cut = cut.replace(".", CUT + ".").replace(",", CUT + ",")
+        if "\n" in text and not ("\n\n" in text or " \n" in text or "\n " in text or OTHER_BLANK.search(text)):
+            cut = cut.replace("\n", CUT + "\n" + CUT)
+        return cut.replace(" ", CUT + " ").split(CUT)
+
+    def _learn(self, new: set[str]) -> None:
         """Letters, with or without a space before them, are one word to the pre-tokenizer and go to the model at once."""
-        if (unit[1:] if unit[:1] == " " else unit).isalpha():
-            plain = unit.replace(" ", SPACE) if unit.isascii() else unit.encode().decode("latin-1").translate(BYTE_LEVEL)
-            found = self.tokenizer.model.tokenize(plain)
-            return array("I", [x.id for x in found]).tobytes()
-        return self._encode([unit])[0]
-
-    def _unit(self, unit: str) -> bytes:
-        """Ids of a unit, kept by the unit without the space before it."""
-        kept, name = (self.spaced, unit[1:]) if unit[:1] == " " else (self.bare, unit)
-        found = kept.get(name)
-        if found is None:
-            if len(self.spaced) + len(self.bare) >= self.KEEP:
-                self.spaced.clear(), self.bare.clear()
-            found = kept[name] = self._ids(unit)
-        return found
+        tokenize, other = self.tokenizer.model.tokenize, []
+        for piece in new:
+            if self.pieces and (piece[1:] if piece[:1] == " " else piece).isalpha():
+                plain = piece.replace(" ", SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LEVEL)
+                self.known[piece] = array("I", [x.id for x in tokenize(plain)]).tobytes()
+            else:
+                other.append(piece)
+        self.known.update(zip(other, self._encode(other), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        whole = [not self.pieces or "  " in x or any(a in x for a in self.added) for x in texts]
-        cuts = [[] if w else x.split(" ") for x, w in zip(texts, whole, strict=True)]
-        # what stands before the first space is encoded as it is
-        heads = self._encode([x if w else c[0] for x, w, c in zip(texts, whole, cuts, strict=True)])
-        rests = [c[1:] for c in cuts]
-        unit = self._unit
-        known = {x: self.spaced.get(x) for x in set().union(*rests)}
-        for piece in [x for x, found in known.items() if found is None]:
-            text = " " + piece
-            parts = (text,) if piece.isalpha() else self._units(text)
-            known[piece] = unit(text) if len(parts) == 1 else b"".join([unit(x) for x in parts])
-        return [head + b"".join(map(known.__getitem__, rest)) for head, rest in zip(heads, rests, strict=True)]
+        cuts = [self._cut(x) for x in texts]
+        parts = [c for c in cuts if len(c) > 1]
+        new = set().union(*parts).difference(self.known)
+        if len(self.known) + len(new) > self.KEEP:
+            self.known, new = {}, set().union(*parts)
+        self._learn(new)
+        whole = iter(self._encode([c[0] for c in cuts if len(c) == 1]))
+        return [next(whole) if len(c) == 1 else b"".join(map(self.known.__getitem__, c)) for c in cuts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -203,8 +200,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, key:
 
         schema = pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 1024):
+                some = batch.slice(i, 1024)
                 coded = code.encode([x or "" for x in some.column(1).to_pylist()])
                 keys.append(some.column(0))
                 for x in coded:
