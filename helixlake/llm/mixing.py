@@ -59,14 +59,17 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     return run.withColumn("copies", sum(in_mix[1:], in_mix[0])).withColumn("taken", F.col("_size") * F.col("copies"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed stream itself: each taken copy of a row with its epoch and virtual finish, globally sorted by finish."""
-    columns = docs.columns
-    planned = plan(sized(docs), **options)
+def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The mixed stream itself: each taken copy of a row with its epoch and virtual finish, globally sorted by finish.
+
+    Columns of docs named epoch or finish stay as they are, in place of the stream's own.
+    """
+    rows = sized(docs, text).select(F.struct(*docs.columns).alias("_row"), F.col(source).alias("_from"), F.col(key).alias("_key"), "_size")
+    planned = plan(rows, source="_from", key="_key", **options)
     copies = planned.filter("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     finish = F.try_divide(F.col("epoch") * F.col("source_size") + F.col("_cum"), F.col("target"))
-    stream = copies.withColumn("finish", F.coalesce(finish, F.lit(0.0)))
-    return stream.select(*columns, "epoch", "finish").orderBy("finish", "epoch")
+    stream = copies.withColumn("finish", F.coalesce(finish, F.lit(0.0))).orderBy("finish", "epoch")
+    return stream.select("_row.*", *[c for c in ("epoch", "finish") if c not in docs.columns])
 
 
 def op6_mixing(spark, sf_dir):

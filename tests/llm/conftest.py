@@ -32,7 +32,7 @@ def edge(spark, edge_rows):
     from pyspark.sql import functions as F
 
     # extra columns whose names clash with those that operators make inside
-    return spark.createDataFrame(edge_rows, SCHEMA).withColumn("score", F.lit("x")).withColumn("n", F.lit(1)).withColumn("size", F.lit(2)).repartition(3)
+    return spark.createDataFrame(edge_rows, SCHEMA).withColumn("score", F.lit("x")).withColumn("n", F.lit(1)).withColumn("size", F.lit(2)).withColumn("target", F.lit(0)).withColumn("level", F.lit(0)).withColumn("copies", F.lit(9)).repartition(3)
 
 
 @pytest.fixture(scope="session")
