@@ -906,3 +906,86 @@ def _(t):
     other = base.select((F.col("p_partkey") + 1_000_000).alias("p_partkey"), S.reverse_complement(F.concat(F.substring("sequence", 1, 40), F.lit("A"), F.substring("sequence", 42, 200))).alias("sequence"))
     rows = base.unionByName(other).select(F.col("p_partkey").alias("id"), "sequence")
     return similarity.near_pairs(rows, k=15).select("left", "right", r6("identity").alias("identity"))
+
+
+# ---- the rest of the inventory -----------------------------------------------------------------------------------
+
+
+@query("f16_relative_path", "SELECT page_id, CASE WHEN starts_with(url, 'http:/') THEN substr(url, 7) ELSE url END AS path FROM pages")
+def _(t):
+    return t.pages.select("page_id", S.relative_path(F.col("url"), "http:").alias("path"))
+
+
+@query("f20_number_formats", "SELECT c_custkey, printf('%.8f', c_acctbal / 7) AS eight, printf('%.6f', c_acctbal / 7) AS six FROM customer")
+def _(t):
+    return t.customer.select("c_custkey", F.format_string("%.8f", F.col("c_acctbal") / 7).alias("eight"), F.format_string("%.6f", F.col("c_acctbal") / 7).alias("six"))
+
+
+@query("p6_p8_filters", f"WITH {PIECES} SELECT record_id, start FROM pc WHERE valid_length >= {TAIL} AND split IN ('train', 'validation') AND quality IS NOT NULL")
+def _(t):
+    return pieces(t).filter((F.col("valid_length") >= TAIL) & F.col("split").isin("train", "validation") & F.col("quality").isNotNull()).select("record_id", "start")
+
+
+@query("p15_error_rows", f"WITH {PRED} SELECT chunk_id, truth, predicted FROM sc WHERE truth <> predicted")
+def _(t):
+    return evaluate.scored(predictions(t)).filter("truth <> predicted").select("chunk_id", "truth", "predicted")
+
+
+@query("j5_reasons_per_record", """WITH r AS (SELECT l_orderkey AS k, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS reasons FROM lineitem WHERE l_discount > 0.05 GROUP BY 1) SELECT o_orderkey, coalesce(reasons, '') AS reasons FROM orders LEFT JOIN r ON o_orderkey = k""")
+def _(t):
+    reasons = t.lineitem.filter("l_discount > 0.05").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("reasons"))
+    return t.orders.join(reasons, "o_orderkey", "left").select("o_orderkey", F.coalesce("reasons", F.lit("")).alias("reasons"))
+
+
+@query("w3_cluster_rows", "SELECT l_suppkey AS representative, count(DISTINCT l_partkey) AS members FROM lineitem GROUP BY 1")
+def _(t):
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("representative")).agg(F.countDistinct("l_partkey").alias("members"))
+
+
+@query("w9_chunk_numbers", f"WITH {PIECES} SELECT record_id, start, row_number() OVER (PARTITION BY record_id ORDER BY start) - 1 AS number FROM pc")
+def _(t):
+    rows = records(t).filter(F.length("text") > 0)
+    cut = rows.select("record_id", F.posexplode(S.chunk_ranges(F.length("text"), SIZE, TAIL)).alias("number", "r"))
+    return cut.select("record_id", F.col("r.start").alias("start"), F.col("number").cast("long").alias("number"))
+
+
+@query("o2_report_order", "SELECT c_mktsegment, c_nationkey, c_custkey FROM customer ORDER BY c_mktsegment, c_nationkey, c_custkey LIMIT 30")
+def _(t):
+    return t.customer.select("c_mktsegment", "c_nationkey", "c_custkey").orderBy("c_mktsegment", "c_nationkey", "c_custkey").limit(30)
+
+
+@query("o6_group_assignments", f"WITH {ORDERS} SELECT 'G' || source AS split_group, split, sum(valid_length)::BIGINT AS bases, count(DISTINCT genome_id) AS genomes, count(*) AS contigs, string_agg(DISTINCT labels, ',' ORDER BY labels) AS labels FROM ch GROUP BY 1, 2")
+def _(t):
+    rows = chunked_orders(t).select(F.concat(F.lit("G"), "source").alias("split_group"), "split", F.col("valid_length").alias("sequence_length"), "genome_id", F.col("source").cast("string").alias("source"), F.col("labels").alias("main_label"))
+    return splits.group_assignments(rows).drop("sources")
+
+
+@query("u4_distinct_pairs", "SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem")
+def _(t):
+    return t.lineitem.select(F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")).distinct()
+
+
+@query("x2_scored_chunks", f"WITH {DNA}, n AS (SELECT p_partkey, {NORMAL} AS x FROM dna), v AS (SELECT p_partkey, [exp((length(x) - length(replace(x, c, ''))) / length(x)) FOR c IN ['A', 'C', 'G', 'T']] AS e FROM n) SELECT p_partkey, round(e[1] / list_sum(e), 6) AS p0, (list_position(e, list_max(e)) - 1)::INT AS predicted FROM v")
+def _(t):
+    from ..operators import scorer
+
+    rows = dna(t).select("p_partkey", S.normalize_dna(F.col("s")).alias("sequence"))
+    out = scorer.score_batches(rows, scorer.composition_scorer, 4, keep=("p_partkey",), longest=5000)
+    return out.select("p_partkey", r6(F.get("p", F.lit(0))).alias("p0"), N.argmax(F.col("p")).alias("predicted"))
+
+
+@query("x7_lineage_gate", "SELECT doc_id::VARCHAR AS artifact, CASE WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 = 0")
+def _(t):
+    then = t.documents.select(F.col("doc_id").cast("string").alias("artifact"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "doc_id")
+    now = then.filter("doc_id % 5 <> 0").withColumn("sha256", F.when(F.col("doc_id") % 3 == 0, F.lit("x")).otherwise(F.col("sha256")))
+    return qc.verify_lineage(now.drop("doc_id"), then.drop("doc_id"))
+
+
+@query("s16_s17_fan_out", f"WITH {PIECES} SELECT task, split, count(*) AS n FROM (SELECT 'main' AS task, split FROM pc UNION ALL SELECT 'sub', split FROM pc WHERE quality IS NOT NULL) GROUP BY 1, 2")
+def _(t):
+    """One write partitioned by split, read back; the sub task is a filter of it."""
+    from ..session import save
+
+    table = save(pieces(t).select("record_id", "start", "quality", "split"), "chunks", "split")
+    main, sub = table.withColumn("task", F.lit("main")), table.filter("quality IS NOT NULL").withColumn("task", F.lit("sub"))
+    return main.unionByName(sub).groupBy("task", "split").agg(F.count("*").alias("n"))

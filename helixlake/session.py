@@ -84,3 +84,30 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(top.rglob("*.py")):
             out.write(path, path.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(archive))
+
+
+def check_environment(spark: SparkSession) -> dict[str, object]:
+    """A smoke test of what the plans rely on; raises where something is wrong."""
+    import pyarrow
+    from pyspark.sql import functions as F
+
+    found = {
+        "spark": spark.version,
+        "arrow": pyarrow.__version__,
+        "time_zone": spark.conf.get("spark.sql.session.timeZone"),
+        "adaptive": spark.conf.get("spark.sql.adaptive.enabled") == "true",
+        "ansi": spark.conf.get("spark.sql.ansi.enabled") == "true",
+        "shared_root": shared_root(spark),
+    }
+    rows = spark.range(10).mapInArrow(lambda batches: batches, "id long").agg(F.sum("id")).first()[0]
+    if rows != 45 or save(spark.range(3), "check").count() != 3:
+        raise RuntimeError("Python workers or the shared folder do not work")
+    return found
+
+
+def observed(df: DataFrame, name: str, **measures):
+    """The frame with statistics that come with its run: (frame, observation); observation.get after an action."""
+    from pyspark.sql import Observation
+
+    watch = Observation(name)
+    return df.observe(watch, *[c.alias(n) for n, c in measures.items()]), watch
