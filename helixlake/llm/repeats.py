@@ -54,12 +54,10 @@ class Windows:
     """The ``length``-byte strings of a run of texts, by anchor."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, length: int, gram: int):
-        n, self.length = len(raw), length
-        self.anchor = np.empty(0, np.int64)
+        n, self.length, self.raw = len(raw), length, raw
+        self.anchor, self.sums = np.empty(0, np.int64), None
         if n < length:
             return
-        up, self.down = _powers(n + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[raw] * up[:n])))
         grams = self.hash(np.arange(n - gram + 1), gram)
         bits = np.uint64(max(1, n.bit_length()))
         least = ((grams >> bits) << bits) | np.arange(len(grams), dtype=np.uint64)
@@ -82,8 +80,12 @@ class Windows:
         self.g = grams[self.anchor]
         span = self.last - self.first
         self.c = mix(self.hash(self.first, span + length) ^ (span.astype(np.uint64) << np.uint64(32)) ^ (self.anchor - self.first).astype(np.uint64))
+        self.sums = None  # eight times the text; made again if strings must be named
 
     def hash(self, start: np.ndarray, size) -> np.ndarray:
+        up, self.down = _powers(len(self.raw) + 1)
+        if self.sums is None:
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[self.raw] * up[:-1])))
         return mix((self.sums[start + size] - self.sums[start]) * self.down[start])
 
     def names(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +93,9 @@ class Windows:
         sizes = self.last[which] - self.first[which] + 1
         total = int(sizes.sum())
         starts = np.repeat(self.first[which], sizes) + np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return starts, mix(self.hash(starts, self.length) ^ np.repeat(self.g[which], sizes))
+        named = mix(self.hash(starts, self.length) ^ np.repeat(self.g[which], sizes))
+        self.sums = None
+        return starts, named
 
 
 def _pairs(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,19 +138,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     dealt, groups = lookups.grouped(docs, key, text, bytes_per_group)
     kind = docs.schema[key].dataType.simpleString()
 
-    def windows(group: pa.Table):
+    def windows(group: pa.Table) -> list[tuple[np.ndarray, np.ndarray, Windows]]:
+        """(bytes, offsets, strings) of runs of a group's texts."""
         raw, off = text_buffer(group["text"].combine_chunks())
-        for a, b in chunks(off):
-            local = off[a : b + 1] - off[a]
-            yield a, b, raw[off[a] : off[b]], local, Windows(raw[off[a] : off[b]], local, length, gram)
+        parts = [(raw[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in chunks(off)]
+        return [(x, local, Windows(x, local, length, gram)) for x, local in parts]
 
-    def pairs(group: pa.Table):
-        sides = [(w.g, w.c) for *_, w in windows(group) if len(w.anchor)]
+    def pairs(runs):
+        sides = [(w.g, w.c) for *_, w in runs if len(w.anchor)]
         empty = np.empty(0, np.uint64)
         return _pairs(*(np.concatenate(x) for x in zip(*sides, strict=True))) if sides else _pairs(empty, empty)
 
     def request(group: pa.Table) -> pa.Table:
-        g, c, n, _ = pairs(group)
+        g, c, n, _ = pairs(windows(group))
         grp = group["grp"][0].as_py()
         cut = np.searchsorted(lookups.bucket_of(g, groups), np.arange(groups + 1, dtype=np.uint64))
         rows = [(i, grp, lookups.pack_sorted(g[a:z]), lookups.planes(c[a:z]), lookups.planes(n[a:z].astype(np.uint64))) for i, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
@@ -156,11 +160,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
         order = np.argsort(replies["bucket"].to_numpy(), kind="stable")
         return np.concatenate([np.frombuffer(replies["totals"][int(i)].as_buffer(), np.uint8) for i in order]) if len(order) else np.empty(0, np.uint8)
 
-    def named(group: pa.Table, flags: np.ndarray):
+    def named(runs, flags: np.ndarray):
         """The flags of each run's anchors, and the names of the strings that a group must ask for."""
-        *_, place = pairs(group)
+        *_, place = pairs(runs)
         each, at, found, weight = [], 0, [], []
-        for *_, w in windows(group):
+        for *_, w in runs:
             own = flags[place[at : at + len(w.anchor)]] if len(w.anchor) else np.empty(0, np.uint8)
             at += len(w.anchor)
             each.append(own)
@@ -176,16 +180,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
         return each, names, np.bincount(inverse, weights=np.concatenate(weight)).astype(np.uint64)
 
     def ask_names(group: pa.Table, replies: pa.Table) -> pa.Table:
-        _, names, counts = named(group, flags_of(replies)) if group.num_rows else (None, np.empty(0, np.uint64), np.empty(0, np.uint64))
+        _, names, counts = named(windows(group), flags_of(replies))
         return lookups.ask(group["grp"][0].as_py(), names, counts, groups)
 
     def finish(group: pa.Table, replies: pa.Table) -> pa.Table:
         stage = replies["stage"].to_numpy()
         flags = flags_of(replies.filter(pa.array(stage == 1)))
-        each, names, counts = named(group, flags)
+        runs = windows(group)
+        each, names, counts = named(runs, flags)
         totals = lookups.answers(replies.filter(pa.array(stage == 2))) + counts
         n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for (_, _, raw, off, w), own in zip(windows(group), each, strict=True):
+        for (raw, off, w), own in zip(runs, each, strict=True):
             edge = np.zeros(len(raw) + 1, np.int32)
             if len(w.anchor):
                 whole = np.flatnonzero(own & REPEATS)
