@@ -65,7 +65,7 @@ def save(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 _shipped: set[str] = set()
 
 #: Python workers hold a few copies of a batch, so texts go to them in small ones.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
 
 
 def ship(spark: SparkSession) -> None:
