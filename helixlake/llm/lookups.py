@@ -50,10 +50,16 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def bucket_ranges(keys: np.ndarray, buckets: int):
+    """(bucket, first, last + 1) of the runs of sorted keys in one bucket; only buckets with keys."""
+    at = bucket_of(keys, buckets)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.empty(0, np.int64)
+    return list(zip(at[first].tolist(), first.tolist(), np.append(first[1:], len(at)).tolist(), strict=True)) if len(at) else []
+
+
 def ask(grp: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
     """The questions of a group about its sorted distinct keys."""
-    cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
-    rows = [(b, grp, pack_sorted(keys[a:z]), planes(counts[a:z].astype(np.uint64))) for b, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
+    rows = [(b, grp, pack_sorted(keys[a:z]), planes(counts[a:z].astype(np.uint64))) for b, a, z in bucket_ranges(keys, buckets)]
     return table(rows, [("bucket", pa.int32()), ("grp", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 

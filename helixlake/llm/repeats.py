@@ -152,8 +152,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     def request(group: pa.Table) -> pa.Table:
         g, c, n, _ = pairs(windows(group))
         grp = group["grp"][0].as_py()
-        cut = np.searchsorted(lookups.bucket_of(g, groups), np.arange(groups + 1, dtype=np.uint64))
-        rows = [(i, grp, lookups.pack_sorted(g[a:z]), lookups.planes(c[a:z]), lookups.planes(n[a:z].astype(np.uint64))) for i, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
+        rows = [(i, grp, lookups.pack_sorted(g[a:z]), lookups.planes(c[a:z]), lookups.planes(n[a:z].astype(np.uint64))) for i, a, z in lookups.bucket_ranges(g, groups)]
         return lookups.table(rows, [("bucket", pa.int32()), ("grp", pa.int32()), ("keys", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
 
     def flags_of(replies: pa.Table) -> np.ndarray:
