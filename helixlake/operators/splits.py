@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -14,16 +14,24 @@ from .components import connected_components
 RATIOS = {"train": 0.8, "validation": 0.1, "inference": 0.1}
 
 
+def class_label(main: str = "main_label", sub: str = "sub_label") -> Column:
+    return F.concat_ws("/", F.col(main).cast("string"), F.coalesce(F.col(sub).cast("string"), F.lit("")))
+
+
 def build_components(manifest: DataFrame, edges: DataFrame) -> DataFrame:
-    """(base_group_id, similarity_component): groups joined by edges and by equal records of one label.
+    """(base_group_id, similarity_component): groups joined by edges and by equal records of one class.
 
-    Equal records link to the first of their hash only, if the labels agree; rows excluded later still count. Edges
-    may bring groups that the manifest lacks. A component is named by a hash of its smallest group.
+    Equal records link to the first of their hash only, if the classes agree. Quarantined records are left out; records
+    excluded later (pre-split exclusions, conflicting hashes) still count. Edges may bring groups that the manifest
+    lacks; blank ends are dropped. A component is named by a hash of its smallest group.
     """
-    firsts = manifest.groupBy("canonical_sha256").agg(F.min_by(F.struct("base_group_id", "main_label"), F.struct("source_path", "pos")).alias("f"))
-    equal = manifest.filter("split IS NULL OR split <> 'quarantine'").join(firsts, "canonical_sha256").filter("main_label = f.main_label AND base_group_id <> f.base_group_id")
-    links = edges.select(F.col("left_group").alias("u"), F.col("right_group").alias("v")).unionByName(equal.select(F.col("base_group_id").alias("u"), F.col("f.base_group_id").alias("v")))
-    found = connected_components(links, vertices=manifest.select(F.col("base_group_id").alias("node")))
+    rows = manifest.filter("split IS NULL OR split <> 'quarantine'").withColumn("_class", class_label())
+    firsts = rows.groupBy("canonical_sha256").agg(F.min_by(F.struct("base_group_id", "_class"), F.struct("source_path", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    equal = rows.join(firsts, "canonical_sha256").filter("_class = f._class AND base_group_id <> f.base_group_id")
+    links = edges.select(F.trim("left_group").alias("u"), F.trim("right_group").alias("v")).filter("u <> '' AND v <> ''")
+    links = links.unionByName(equal.select(F.col("base_group_id").alias("u"), F.col("f.base_group_id").alias("v")))
+    loose = links.select(F.explode(F.array("u", "v")).alias("node"))  # ends of edges to themselves are vertices, too
+    found = connected_components(links, vertices=rows.select(F.col("base_group_id").alias("node")).unionByName(loose))
     return found.select(F.col("node").alias("base_group_id"), S.stable_id(F.col("component"), prefix="SIM_").alias("similarity_component"))
 
 
