@@ -200,8 +200,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, key:
 
         schema = pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                some = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, 2048):
+                some = batch.slice(i, 2048)
                 coded = code.encode([x or "" for x in some.column(1).to_pylist()])
                 keys.append(some.column(0))
                 for x in coded:
