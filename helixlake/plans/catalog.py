@@ -86,9 +86,9 @@ pc AS (SELECT rec.* EXCLUDE (text), a AS start, z AS "end", substr(text, (a + 1)
   FROM rng JOIN rec USING (record_id))"""
 
 
-def dna(t: _Tables) -> DataFrame:
+def dna(t: _Tables, of: Column | None = None) -> DataFrame:
     """Sequences of 32 letters with U, N and other codes."""
-    return t.part.select("p_partkey", F.translate(F.md5(F.col("p_name").cast("binary")), "0123456789abcdef", "acgtACGTACGTuNRY").alias("s"))
+    return t.part.select("p_partkey", F.translate(F.md5((F.col("p_name") if of is None else of).cast("binary")), "0123456789abcdef", "acgtACGTACGTuNRY").alias("s"))
 
 
 DNA = "dna AS (SELECT p_partkey, translate(md5(p_name), '0123456789abcdef', 'acgtACGTACGTuNRY') AS s FROM part)"
@@ -899,13 +899,36 @@ def _(t):
     return similarity.cluster_edges(pairs, rows.drop("cl"))[0].select("left_group", "right_group")
 
 
+def mutants(rows):
+    """(id, sequence): every part's digest, repeated (even ids), and a copy with one letter changed on the other strand."""
+    base = rows.select((F.col("p_partkey") * 2).alias("id"), S.normalize_dna(F.concat("s", F.translate(F.reverse("s"), "A", "C"), "s")).alias("sequence"))
+    other = base.select((F.col("id") + 1).alias("id"), S.reverse_complement(F.concat(F.substring("sequence", 1, 40), F.lit("A"), F.substring("sequence", 42, 200))).alias("sequence"))
+    return base.unionByName(other)
+
+
 @query("j22_near_duplicates")
 def _(t):
-    """Near pairs among sequences with planted mutations: every part's digest, repeated, and a copy with one letter changed."""
-    base = dna(t).filter("p_partkey <= 300").select("p_partkey", S.normalize_dna(F.concat("s", F.translate(F.reverse("s"), "A", "C"), "s")).alias("sequence"))
-    other = base.select((F.col("p_partkey") + 1_000_000).alias("p_partkey"), S.reverse_complement(F.concat(F.substring("sequence", 1, 40), F.lit("A"), F.substring("sequence", 42, 200))).alias("sequence"))
-    rows = base.unionByName(other).select(F.col("p_partkey").alias("id"), "sequence")
-    return similarity.near_pairs(rows, k=15).select("left", "right", r6("identity").alias("identity"))
+    """Near pairs among sequences with planted mutations, over the whole table."""
+    return similarity.near_pairs(mutants(dna(t)), k=15).select("left", "right", r6("identity").alias("identity"))
+
+
+@query("j21_genome_ani", f"""WITH dna AS (SELECT p_partkey, translate(md5(p_partkey || p_name), '0123456789abcdef', 'acgtACGTACGTuNRY') AS s FROM part),
+n AS (SELECT p_partkey * 2 AS id, s || translate(reverse(s), 'A', 'C') || s AS s FROM dna), e AS (SELECT id, {NORMAL} AS q FROM n),
+o AS (SELECT id + 1 AS id, substr(q, 1, 40) || 'A' || substr(q, 42) AS x FROM e), al AS (SELECT id, q FROM e UNION ALL SELECT id, {RC} FROM o),
+w AS (SELECT id, i // 32 AS w, substr(q, (i + 1)::INT, 15) AS x FROM (SELECT id, q, unnest(range(length(q) - 14)) AS i FROM al)), km AS (SELECT DISTINCT id, w, least(x, {RC}) AS kmer FROM w),
+g AS (SELECT id, count(DISTINCT kmer) AS k, count(DISTINCT w) AS w FROM km GROUP BY 1),
+sh AS (SELECT a.id AS l, b.id AS r, count(DISTINCT a.kmer) AS common, count(DISTINCT a.w) AS hl, count(DISTINCT b.w) AS hr FROM km a JOIN km b ON a.kmer = b.kmer AND a.id < b.id GROUP BY 1, 2),
+sc AS (SELECT l, r, pow(common / least(a.k, b.k), 1 / 15) AS ani, hl / a.w AS af FROM sh JOIN g a ON a.id = l JOIN g b ON b.id = r)
+SELECT l AS left_genome, r AS right_genome, round(ani, 6) AS ani, round(af, 6) AS af_shorter FROM sc WHERE ani >= 0.95 AND af >= 0.85""")
+def _(t):
+    """Such sequences as genomes, in windows of 32 k-mer starts; the key is in the digest, as few names are distinct."""
+    k, step = 15, 32
+    rows = mutants(dna(t, F.concat("p_partkey", "p_name")))
+    at = F.explode(F.sequence(F.lit(0), F.length("sequence") - k, F.lit(step)))
+    windows = rows.select(F.col("id").alias("g"), "sequence", at.alias("a")).select(F.struct("g", "a").alias("id"), F.substring("sequence", F.col("a") + 1, F.lit(step + k - 1)).alias("sequence"))
+    sketch = similarity.kmer_sketch(windows, k, step).select(F.col("id.g").alias("genome"), F.col("id.a").alias("window"), "kmer")
+    found = similarity.ani_edges(sketch, rows.select(F.col("id").alias("genome"), F.length("sequence").alias("bp")), k)
+    return found.select("left_genome", "right_genome", r6("ani").alias("ani"), r6("af_shorter").alias("af_shorter"))
 
 
 # ---- the rest of the inventory -----------------------------------------------------------------------------------
