@@ -316,12 +316,26 @@ sp AS (SELECT lower(s_name) AS k, count(*) AS n FROM supplier GROUP BY 1)
 SELECT filename, 'exact_assembly_accession' AS match_type, h.k AS match_value, h.n AS matching_viral_records FROM c JOIN h ON h.k IN (c.a, c.b)
 UNION ALL SELECT filename, 'exact_host_species_name', sp.k, sp.n FROM c JOIN sp ON sp.k = c.s""")
 def _(t):
+    return host_match(t, t.orders.filter(F.col("o_orderkey") % 7 == 0))
+
+
+def host_match(t, orders):
     genomes = t.customer.select(F.lit("BAC").alias("source"), F.concat(F.lit("f__"), "c_custkey", F.lit(".fna")).alias("filename"), F.col("c_name").alias("assembly_accession"), F.col("c_mktsegment").alias("species_name"), F.lit("").alias("organism_name"))
-    hosts = t.orders.filter(F.col("o_orderkey") % 7 == 0).select(F.lit("EVE_NCLDV").alias("viral_source"), F.col("o_custkey").cast("string").alias("host"))
+    hosts = orders.select(F.lit("EVE_NCLDV").alias("viral_source"), F.col("o_custkey").cast("string").alias("host"))
     species = t.supplier.select(F.concat(F.lit("s__"), "s_name").alias("taxonomy"))
     return manifest.host_overlaps(genomes, hosts, species).select("filename", "match_type", "match_value", "matching_viral_records")
 
 
+@query("j3_j4_host_match_all", """WITH c AS (SELECT c_custkey, 'f__' || c_custkey || '.fna' AS filename, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS a, upper(c_custkey::VARCHAR) AS b, lower(c_mktsegment) AS s FROM customer),
+h AS (SELECT regexp_replace(upper(o_custkey::VARCHAR), '[^A-Z0-9]', '', 'g') AS k, count(*) AS n FROM orders GROUP BY 1),
+sp AS (SELECT lower(s_name) AS k, count(*) AS n FROM supplier GROUP BY 1),
+m AS (SELECT filename, unnest(list_distinct([a, b])) AS k FROM c)
+SELECT filename, 'exact_assembly_accession' AS match_type, h.k AS match_value, h.n AS matching_viral_records FROM m JOIN h USING (k)
+UNION ALL SELECT filename, 'exact_host_species_name', sp.k, sp.n FROM c JOIN sp ON sp.k = c.s""")
+def _(t):
+    return host_match(t, t.orders)
+
+
 @query("j6_inventory_difference", """SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def _(t):
     return manifest.inventory_difference(t.documents, t.labels, "doc_id")
@@ -868,7 +882,11 @@ EDGES = "ed AS (SELECT o_custkey AS u, o_custkey + 1000000 + o_orderkey % 40 AS
 
 
 def _edges(t):
-    return t.orders.filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("u"), (F.col("o_custkey") + 1000000 + F.col("o_orderkey") % 40).alias("v"))
+    return all_edges(t).filter("o_orderkey % 9 = 0").select("u", "v")
+
+
+def all_edges(t):
+    return t.orders.select("o_orderkey", F.col("o_custkey").alias("u"), (F.col("o_custkey") + 1000000 + F.col("o_orderkey") % 40).alias("v"))
 
 
 @query("h1_components", f"""WITH RECURSIVE {EDGES}, sy AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), reach AS (SELECT u AS node, u AS seen FROM sy UNION SELECT reach.node, sy.v FROM reach JOIN sy ON reach.seen = sy.u)
@@ -883,6 +901,17 @@ def _(t):
     return connected_components(_edges(t), vertices=t.customer.select(F.col("c_custkey").alias("node"))).groupBy("component").agg(F.count("*").alias("n"))
 
 
+@query("h1_components_all")
+def _(t):
+    """Over every order; the recursive SQL is for a ninth of them."""
+    return connected_components(all_edges(t))
+
+
+@query("h2_components_with_vertices_all")
+def _(t):
+    return connected_components(all_edges(t), vertices=t.customer.select(F.col("c_custkey").alias("node"))).groupBy("component").agg(F.count("*").alias("n"))
+
+
 @query("h3_first_reason", "SELECT least(l_suppkey, l_partkey) AS left_group, greatest(l_suppkey, l_partkey) AS right_group, arg_min(l_returnflag, (l_orderkey, l_linenumber)) AS reason FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2")
 def _(t):
     rows = t.lineitem.select(F.col("l_suppkey").alias("left_group"), F.col("l_partkey").alias("right_group"), F.col("l_returnflag").alias("reason"), F.struct("l_orderkey", "l_linenumber").alias("pos"))

@@ -1,9 +1,9 @@
 """Queries that must take the whole of their tables."""
 
 import random
+from collections import Counter
 
 import duckdb
-import pytest
 
 from helixlake.plans import catalog
 
@@ -24,3 +24,34 @@ def test_near_duplicates_take_every_part(spark, tmp_path):
                 want.add((i, j))
     got = {(r["left"], r["right"]) for r in catalog.QUERIES["j22_near_duplicates"](spark, str(tmp_path)).collect()}
     assert len(want) >= len(names) and got == want
+
+
+def union_find(edges):
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {x: top(x) for x in list(up)}
+
+
+def test_components_take_every_order(spark):
+    orders = duckdb.sql(f"SELECT o_orderkey, o_custkey FROM '{SF}/orders.parquet'").fetchall()
+    edges = [(c, c + 1000000 + o % 40) for o, c in orders]
+    want = union_find(edges)
+    assert {r["node"]: r["component"] for r in catalog.QUERIES["h1_components_all"](spark, SF).collect()} == want
+    alone = [(c, c) for (c,) in duckdb.sql(f"SELECT c_custkey FROM '{SF}/customer.parquet'").fetchall()]
+    sizes = Counter(union_find(edges + alone).values())
+    assert {r["component"]: r["n"] for r in catalog.QUERIES["h2_components_with_vertices_all"](spark, SF).collect()} == sizes
+
+
+def test_host_match_counts_every_order(spark):
+    rows = catalog.QUERIES["j3_j4_host_match_all"](spark, SF).filter("match_type = 'exact_assembly_accession'").collect()
+    want = duckdb.sql(f"SELECT count(*) FROM '{SF}/orders.parquet' JOIN '{SF}/customer.parquet' ON o_custkey = c_custkey").fetchall()[0][0]
+    assert sum(r["matching_viral_records"] for r in rows) == want
