@@ -32,6 +32,14 @@ def crosstab(rows: DataFrame, row: str, column: str, values: list, genome: str)
     return rows.groupBy(row).pivot(column, values).agg(F.countDistinct(genome)).na.fill(0)
 
 
+def crosstab_rows(rows: DataFrame, row: str, column: str, genome: str) -> DataFrame:
+    """(row, column, genomes): distinct genomes for every pair of a row value and a column value found, 0 where there are none."""
+    n = rows.groupBy(F.col(row).alias("_r"), F.col(column).alias("_c")).agg(F.countDistinct(genome).alias("n"))
+    every = n.select(F.col("_r").alias(row)).distinct().crossJoin(n.select(F.col("_c").alias(column)).distinct())
+    both = every.join(n, F.col(row).eqNullSafe(F.col("_r")) & F.col(column).eqNullSafe(F.col("_c")), "left")
+    return both.select(row, column, F.coalesce("n", F.lit(0)).alias("genomes"))
+
+
 def collisions(rows: DataFrame, source: str, keys: list[str]) -> DataFrame:
     """Per source: records, distinct keys, colliding keys, records under them, records that would be merged."""
     n = rows.groupBy(source, *keys).agg(F.count("*").alias("n"))

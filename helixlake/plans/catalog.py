@@ -718,6 +718,12 @@ def _(t):
     return audit.crosstab(records(t), "split", "lang", ["en", "de", "xx"], "genome_id")
 
 
+@query("a35_crosstab_all", f"""WITH {RECORDS}, n AS (SELECT split, lang, count(DISTINCT genome_id) AS n FROM rec GROUP BY 1, 2)
+SELECT s.split, l.lang, coalesce(n.n, 0) AS genomes FROM (SELECT DISTINCT split FROM rec) s CROSS JOIN (SELECT DISTINCT lang FROM rec) l LEFT JOIN n ON n.split = s.split AND n.lang IS NOT DISTINCT FROM l.lang""")
+def _(t):
+    return audit.crosstab_rows(records(t), "split", "lang", "genome_id")
+
+
 @query("a36_flag_accuracy", f"WITH {PRED} SELECT valid_length >= 3000 AS flag, count(*) AS n, sum(valid_length)::BIGINT AS bp, round(avg((predicted = truth)::INT), 6) AS accuracy FROM sc GROUP BY 1")
 def _(t):
     rows = evaluate.scored(predictions(t)).withColumn("flag", F.col("valid_length") >= 3000)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 
+from helixlake.operators import audit
 from helixlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +56,15 @@ def test_host_match_counts_every_order(spark):
     rows = catalog.QUERIES["j3_j4_host_match_all"](spark, SF).filter("match_type = 'exact_assembly_accession'").collect()
     want = duckdb.sql(f"SELECT count(*) FROM '{SF}/orders.parquet' JOIN '{SF}/customer.parquet' ON o_custkey = c_custkey").fetchall()[0][0]
     assert sum(r["matching_viral_records"] for r in rows) == want
+
+
+def test_crosstab_has_every_language(spark):
+    rows = catalog.QUERIES["a35_crosstab_all"](spark, SF).collect()
+    langs = {x for (x,) in duckdb.sql(f"SELECT DISTINCT lang FROM '{SF}/documents.parquet'").fetchall()}
+    assert {r["lang"] for r in rows} == langs and len(langs) > 3 and len(rows) == len({r["split"] for r in rows}) * len(langs)
+
+
+def test_crosstab_rows_fills_zeros_and_keeps_nulls(spark):
+    rows = spark.createDataFrame([("a", "x", "g1"), ("a", "x", "g1"), ("a", "y", "g2"), ("b", None, "g3")], "s string, c string, g string")
+    got = {(r["s"], r["c"]): r["genomes"] for r in audit.crosstab_rows(rows, "s", "c", "g").collect()}
+    assert got == {("a", "x"): 1, ("a", "y"): 1, ("a", None): 0, ("b", "x"): 0, ("b", "y"): 0, ("b", None): 1}
