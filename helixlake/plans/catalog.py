@@ -1012,6 +1012,12 @@ def _(t):
     return t.customer.select("c_mktsegment", "c_nationkey", "c_custkey").orderBy("c_mktsegment", "c_nationkey", "c_custkey").limit(30)
 
 
+@query("o2_report_order_all", "SELECT c_mktsegment, c_nationkey, c_custkey FROM customer ORDER BY c_mktsegment, c_nationkey, c_custkey")
+def _(t):
+    """The whole report in order; o2_report_order is its head."""
+    return t.customer.select("c_mktsegment", "c_nationkey", "c_custkey").orderBy("c_mktsegment", "c_nationkey", "c_custkey")
+
+
 @query("o6_group_assignments", f"WITH {ORDERS} SELECT 'G' || source AS split_group, split, sum(valid_length)::BIGINT AS bases, count(DISTINCT genome_id) AS genomes, count(*) AS contigs, string_agg(DISTINCT labels, ',' ORDER BY labels) AS labels FROM ch GROUP BY 1, 2")
 def _(t):
     rows = chunked_orders(t).select(F.concat(F.lit("G"), "source").alias("split_group"), "split", F.col("valid_length").alias("sequence_length"), "genome_id", F.col("source").cast("string").alias("source"), F.col("labels").alias("main_label"))

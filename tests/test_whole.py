@@ -68,3 +68,9 @@ def test_crosstab_rows_fills_zeros_and_keeps_nulls(spark):
     rows = spark.createDataFrame([("a", "x", "g1"), ("a", "x", "g1"), ("a", "y", "g2"), ("b", None, "g3")], "s string, c string, g string")
     got = {(r["s"], r["c"]): r["genomes"] for r in audit.crosstab_rows(rows, "s", "c", "g").collect()}
     assert got == {("a", "x"): 1, ("a", "y"): 1, ("a", None): 0, ("b", "x"): 0, ("b", "y"): 0, ("b", None): 1}
+
+
+def test_report_has_every_row_in_order(spark):
+    rows = [tuple(r) for r in catalog.QUERIES["o2_report_order_all"](spark, SF).collect()]
+    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{SF}/customer.parquet'").fetchall()[0][0] > 30
+    assert rows == sorted(rows)
