@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import numeric as N
 from ..functions import sequence as S
 from ..operators import audit, calibrate, chunks, evaluate, manifest, qc, similarity, splits, taxonomy, weights
@@ -651,16 +652,26 @@ def _(t):
 REPEATS = 40
 
 
-@query("a28_bootstrap_ci", f"""WITH {PRED}, gr AS (SELECT split_group, row_number() OVER (ORDER BY split_group) - 1 AS i FROM (SELECT DISTINCT split_group FROM sc)), gn AS (SELECT count(*) AS g FROM gr),
-pick AS (SELECT rep, ('0x' || substr(sha256('0|' || rep || '|' || d), 1, 8))::BIGINT % g AS i FROM gn, range({REPEATS}) r(rep), range(1000000) q(d) WHERE d < g),
+def bootstrap_sql(repeats: int) -> str:
+    return f"""WITH {PRED}, gr AS (SELECT split_group, row_number() OVER (ORDER BY split_group) - 1 AS i FROM (SELECT DISTINCT split_group FROM sc)), gn AS (SELECT count(*) AS g FROM gr),
+pick AS (SELECT rep, ('0x' || substr(sha256('0|' || rep || '|' || d), 1, 8))::BIGINT % g AS i FROM gn, range({repeats}) r(rep), range(1000000) q(d) WHERE d < g),
 cm AS (SELECT rep, truth, predicted, count(*) AS n FROM pick JOIN gr USING (i) JOIN sc USING (split_group) GROUP BY ALL),
 f AS (SELECT rep, k.c, coalesce(2 * sum(n) FILTER (truth = k.c AND predicted = k.c), 0) / nullif(coalesce(sum(n) FILTER (truth = k.c), 0) + coalesce(sum(n) FILTER (predicted = k.c), 0), 0) AS f1 FROM cm, range({K}) k(c) GROUP BY 1, 2),
 m AS (SELECT rep, sum(coalesce(f1, 0)) / {K} AS macro FROM f GROUP BY rep)
-SELECT round(quantile_cont(macro, 0.025), 6) AS low, round(quantile_cont(macro, 0.975), 6) AS high, (SELECT g FROM gn) AS groups FROM m""")
+SELECT round(quantile_cont(macro, 0.025), 6) AS low, round(quantile_cont(macro, 0.975), 6) AS high, (SELECT g FROM gn) AS groups FROM m"""
+
+
+@query("a28_bootstrap_ci", bootstrap_sql(REPEATS))
 def _(t):
     return evaluate.bootstrap_hashed(evaluate.scored(predictions(t)), K, REPEATS, 0).select(r6("low").alias("low"), r6("high").alias("high"), "groups")
 
 
+@query("a28_bootstrap_ci_200", bootstrap_sql(Settings().bootstrap_repeats))
+def _(t):
+    """With the replicates of the settings."""
+    return evaluate.bootstrap_hashed(evaluate.scored(predictions(t)), K, Settings().bootstrap_repeats, 0).select(r6("low").alias("low"), r6("high").alias("high"), "groups")
+
+
 @query("a29_slices_grouping_sets", f"""WITH {PRED}, x AS (SELECT 'chunk' AS level, source, CASE WHEN valid_length < 500 THEN '<500' WHEN valid_length < 5000 THEN '500-4999' ELSE '>=5000' END AS band, (predicted = truth)::INT AS r FROM sc)
 SELECT level, source, band, count(*) AS n, round(avg(r), 6) AS accuracy FROM x GROUP BY GROUPING SETS ((level), (level, source), (level, band))""")
 def _(t):

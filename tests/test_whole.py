@@ -5,7 +5,8 @@ from collections import Counter
 
 import duckdb
 
-from helixlake.operators import audit
+from helixlake.config import Settings
+from helixlake.operators import audit, evaluate
 from helixlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +75,11 @@ def test_report_has_every_row_in_order(spark):
     rows = [tuple(r) for r in catalog.QUERIES["o2_report_order_all"](spark, SF).collect()]
     assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{SF}/customer.parquet'").fetchall()[0][0] > 30
     assert rows == sorted(rows)
+
+
+def test_bootstrap_takes_the_replicates_of_the_settings(spark, monkeypatch):
+    seen = []
+    plain = evaluate.bootstrap_hashed
+    monkeypatch.setattr(evaluate, "bootstrap_hashed", lambda frame, classes, repeats, seed: seen.append(repeats) or plain(frame, classes, repeats, seed))
+    assert catalog.QUERIES["a28_bootstrap_ci_200"](spark, SF).first()["low"] > 0
+    assert seen == [Settings().bootstrap_repeats] == [200]
