@@ -4,12 +4,14 @@ Fit, on at most ``sample`` labelled rows (chosen by a hash of the id; copies of
 
 1. Log-odds of toxic against other documents for each word, with Dirichlet priors in levels: the whole corpus is the
    prior of a word's first 4 bytes, those of its first 6, and those of the word. Each estimate is drawn back by its
-   standard error. A fixed cost per word keeps the mean negative; repeats of a word in a text count less and less.
+   standard error. A fixed cost per word keeps the mean negative.
 2. On rows kept out of 1: lambda of Karlin and Altschul from the scores in documents that are not toxic, and the
-   logistic curve from a document's calibrated best and total segments to its label.
+   logistic curve from a document's calibrated best and total segments to its label. For the curve alone, repeats of a
+   word in a text count less and less, with a lambda of their own.
 
 Score: one linear scan of each whole text finds all its maximal scoring segments (Ruzzo and Tompa); a segment of score
-S among m words has E-value m exp(-lambda S), and those below ``significance`` are reported as toxic passages.
+S among m words has E-value m exp(-lambda S), and those below ``significance`` are reported as toxic passages, wherever
+in the text they are and however often its words came before.
 
 Defined results: a null text is an empty one, and wordless texts have no passages and the curve's score for none;
 labels other than 0 and 1 are left out, an id labelled twice is toxic if one label says so; without labels of both
@@ -49,7 +51,8 @@ def held_out(key: Column) -> Column:
 class Model:
     keys: list[np.ndarray] = field(default_factory=lambda: [np.empty(0, np.uint64)] * 3)  # sorted hashes of words, 6- and 4-byte prefixes
     odds: list[np.ndarray] = field(default_factory=lambda: [np.empty(0)] * 3)
-    lam: float = 1.0
+    lam: float = 1.0  # of the scores as they are, for passages
+    damped_lam: float = 1.0  # of the damped scores, for the curve
     curve: np.ndarray | None = None
     base: float = 0.0
 
@@ -106,24 +109,31 @@ def maximal_segments(positive: list[int], before: list[float], after: list[float
     return [(a, b, h - l) for a, b, l, h in held]
 
 
-def scan(column: pa.Array, model: Model, significance: float = 0.05):
-    """For each text: (features, [(first word, last word, score, E-value)])."""
+def segments(s: np.ndarray, bounds: np.ndarray, lam: float):
+    """For each text: (its words, maximal segments, their calibrated scores in nats)."""
+    run = np.concatenate(([0.0], np.cumsum(s)))
+    plus = np.flatnonzero(s > 0)
+    cut = np.searchsorted(plus, bounds)
+    for i in range(len(bounds) - 1):
+        m = int(bounds[i + 1] - bounds[i])
+        at = plus[cut[i] : cut[i + 1]]
+        found = maximal_segments((at - bounds[i]).tolist(), run[at].tolist(), run[at + 1].tolist()) if len(at) else []
+        yield m, found, [lam * x - math.log(max(m, 1)) for *_, x in found]
+
+
+def scan(column: pa.Array, model: Model, significance: float = 0.05, passages: bool = True):
+    """For each text: (features, [(first word, last word, score, E-value)]); the lists are empty unless passages are asked for."""
     raw, off = text_buffer(column)
     for a, b in chunks(off):
         words, bounds, heads = tokenise(raw[off[a] : off[b]], off[a : b + 1] - off[a], PREFIXES)
-        s = damped(model.scores(words, heads), words, bounds)
-        run = np.concatenate(([0.0], np.cumsum(s)))
-        plus = np.flatnonzero(s > 0)
-        cut = np.searchsorted(plus, bounds)
-        for i in range(b - a):
-            m = int(bounds[i + 1] - bounds[i])
-            at = plus[cut[i] : cut[i + 1]]
-            found = maximal_segments((at - bounds[i]).tolist(), run[at].tolist(), run[at + 1].tolist()) if len(at) else []
-            nats = [model.lam * x - math.log(max(m, 1)) for *_, x in found]
-            passages = [(f, last, x, math.exp(min(-n, 50))) for (f, last, x), n in zip(found, nats, strict=True) if n > -math.log(significance)]
+        s = model.scores(words, heads)
+        seen = [[] for _ in range(b - a)]
+        if passages:
+            seen = [[(f, last, x, math.exp(min(-n, 50))) for (f, last, x), n in zip(found, nats, strict=True) if n > -math.log(significance)] for _, found, nats in segments(s, bounds, model.lam)]
+        for (m, _, nats), out in zip(segments(damped(s, words, bounds), bounds, model.damped_lam), seen, strict=True):
             best = max(nats, default=-math.log(max(m, 1)))
             total = sum(n for n in nats if n > 0)
-            yield (best, math.log1p(total), math.log1p(m)), passages
+            yield (best, math.log1p(total), math.log1p(m)), out
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> DataFrame:
@@ -219,24 +229,30 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         model.keys, model.odds = keys, odds
         kept = rows.filter("part = 1")
 
-        def sample_scores(batches):  # a histogram of the scores in documents that are not toxic
+        def sample_scores(batches):  # histograms of the scores in documents that are not toxic, as they are and damped
             for batch in batches:
-                total = np.zeros(4001)
+                total = np.zeros((2, 4001))
                 raw, off = text_buffer(batch.column(0))
                 for a, b in chunks(off):
                     words, bounds, heads = tokenise(raw[off[a] : off[b]], off[a : b + 1] - off[a], PREFIXES)
-                    s = damped(model.scores(words, heads), words, bounds)
-                    total += np.bincount(np.clip(np.rint(s * 100) + 2000, 0, 4000).astype(np.int64), minlength=4001)
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at].astype(np.int64))], ["at", "n"])
+                    s = model.scores(words, heads)
+                    for damp in (0, 1):
+                        s = damped(s, words, bounds) if damp else s
+                        total[damp] += np.bincount(np.clip(np.rint(s * 100) + 2000, 0, 4000).astype(np.int64), minlength=4001)
+                damp, at = np.nonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(damp.astype(np.int32)), pa.array(at.astype(np.int64)), pa.array(total[damp, at].astype(np.int64))], ["damp", "at", "n"])
+
+        histogram = kept.filter("toxic = 0").select("text").mapInArrow(sample_scores, "damp int, at long, n long").groupBy("damp", "at").agg(F.sum("n").alias("n")).toPandas()
+
+        def root(damp: int) -> float:
+            part = histogram[histogram["damp"] == damp]
+            return karlin_lambda((part["at"].to_numpy() - 2000) / 100, part["n"].to_numpy() / max(1, part["n"].sum()))
 
-        histogram = kept.filter("toxic = 0").select("text").mapInArrow(sample_scores, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-        share = histogram["n"].to_numpy() / max(1, histogram["n"].sum())
-        model.lam = karlin_lambda((histogram["at"].to_numpy() - 2000) / 100, share)
+        model.lam, model.damped_lam = root(0), root(1)
 
         def features(batches):
             for batch in batches:
-                x = [f for f, _ in scan(batch.column(0), model)]
+                x = [f for f, _ in scan(batch.column(0), model, passages=False)]
                 columns = [pa.array([r[i] for r in x], pa.float64()) for i in range(FEATURES)]
                 yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], [*(f"x{i}" for i in range(FEATURES)), "toxic"])
 
@@ -261,7 +277,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         for batch in batches:
-            seen = list(scan(batch.column(0), held.value))
+            seen = list(scan(batch.column(0), held.value, passages=passages))
             p = held.value.probability(np.array([f for f, _ in seen], float).reshape(-1, FEATURES))
             columns = [*batch.columns[0 if keep_text else 1 :], pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             if passages:
