@@ -306,9 +306,11 @@ def _(t):
 m AS (SELECT DISTINCT record_id, source, hash FROM pc)
 SELECT m.record_id, count(*) AS matches, sum(b.n)::BIGINT AS items FROM m JOIN b USING (hash) GROUP BY m.record_id""")
 def _(t):
-    items = t.benchmark.groupBy(F.sha2(F.substring("text", 1, 500).cast("binary"), 256).alias("hash")).agg(F.count("*").alias("n"))
-    found = pieces(t).select("record_id", "source", "hash").distinct().join(items, "hash")
-    return found.groupBy("record_id").agg(F.count("*").alias("matches"), F.sum("n").cast("long").alias("items"))
+    """Benchmark items enter by all their fragments, cut as the documents are; items is of distinct items."""
+    cut = chunks.explode_chunks(t.benchmark.select(F.col("item_id").alias("record_id"), "text"), SIZE, TAIL, sequence="text")
+    items = cut.select(F.col("record_id").alias("item"), F.sha2(F.col("piece").cast("binary"), 256).alias("hash")).distinct()
+    found = pieces(t).select("record_id", "hash").join(items, "hash")
+    return found.groupBy("record_id").agg(F.countDistinct("hash").alias("matches"), F.countDistinct("item").alias("items"))
 
 
 @query("j3_j4_host_match", """WITH c AS (SELECT c_custkey, 'f__' || c_custkey || '.fna' AS filename, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS a, upper(c_custkey::VARCHAR) AS b, lower(c_mktsegment) AS s FROM customer),

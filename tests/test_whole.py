@@ -83,3 +83,15 @@ def test_bootstrap_takes_the_replicates_of_the_settings(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "bootstrap_hashed", lambda frame, classes, repeats, seed: seen.append(repeats) or plain(frame, classes, repeats, seed))
     assert catalog.QUERIES["a28_bootstrap_ci_200"](spark, SF).first()["low"] > 0
     assert seen == [Settings().bootstrap_repeats] == [200]
+
+
+def test_host_overlap_takes_all_fragments_of_an_item(spark, tmp_path):
+    rnd = random.Random(2)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    a, b, c, short = text(500), text(500), text(300), text(200)
+    docs = [(1, text(500) + b), (2, a + b + c), (3, short), (4, text(700))]
+    spark.createDataFrame([(i, x, "en", "s") for i, x in docs], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, a + b + c), (2, short), (3, short), (4, ""), (5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["j3_host_overlap"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 1), (2, 3, 1), (3, 1, 2)}
