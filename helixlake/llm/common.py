@@ -29,17 +29,34 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def prefix_sums(df: DataFrame, group: str, u: str, ties: Sequence[Column], amount: Column, out: str, rows: int, per_bucket: int = 512) -> DataFrame:
-    """Add ``out``: the running sum of ``amount`` within ``group``, in the order of ``u`` in [0, 1) and then ``ties``.
-
-    Works in two levels, so that no group meets in one task: rows fall into order-preserving buckets of ``u``
-    (about ``per_bucket`` rows each, however large the group), the buckets' totals are summed first, and each bucket
-    then adds its own running sum to its offset. Only narrow rows should be passed in.
+def _offsets(totals: DataFrame, keys: list[str], buckets: int, fan: int) -> DataFrame:
+    """Add ``_o``: the sum of ``_t`` in all smaller ``_b`` of the same keys; level by level, ``fan`` buckets a task."""
+    if buckets <= fan:
+        before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        return totals.withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    cut = totals.withColumn("_p", F.floor(F.col("_b") / fan).cast("long"))
+    upper = cut.groupBy(*keys, F.col("_p").alias("_b")).agg(F.sum("_t").alias("_t"))
+    upper = _offsets(upper, keys, math.ceil(buckets / fan), fan).select(*keys, F.col("_b").alias("_p"), F.col("_o").alias("_above"))
+    before = Window.partitionBy(*keys, "_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = cut.withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    return inside.join(upper, [*keys, "_p"]).withColumn("_o", F.col("_o") + F.col("_above")).drop("_p", "_above")
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], u: str, ties: Sequence[Column], amount: Column, out: str, rows: int, per_bucket: int = 512, fan: int = 4096, counted: DataFrame | None = None) -> DataFrame:
+    """Add ``out``: the running sum of ``amount`` within ``keys`` (none: over all rows), in the order of ``u`` in [0, 1)
+    and then ``ties``.
+
+    No group meets in one task: rows fall into order-preserving buckets of ``u`` (about ``per_bucket`` rows each,
+    however large the group), buckets into ranges of ``fan`` buckets, those into larger ones, until one range is left;
+    each level adds what lies before it. ``counted`` has the same rows in fewer columns, for the buckets' totals.
     """
-    buckets = max(1, math.ceil(rows / per_bucket))
-    cut = df.withColumn("_b", F.floor(F.col(u) * buckets).cast("int")).withColumn("_a", amount)
-    totals = cut.groupBy(group, "_b").agg(F.sum("_a").alias("_t"))
-    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(group, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(group, "_b").orderBy(u, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(offsets, [group, "_b"]).withColumn(out, F.col("_o") + F.sum("_a").over(inside)).drop("_b", "_a", "_o")
+    keys, buckets = list(keys), max(1, math.ceil(rows / per_bucket))
+
+    def cut_up(x: DataFrame) -> DataFrame:
+        return x.withColumn("_b", F.least(F.floor(F.col(u) * buckets), F.lit(buckets - 1)).cast("long")).withColumn("_a", amount)
+
+    cut = cut_up(df)
+    totals = cut_up(df if counted is None else counted).groupBy(*keys, "_b").agg(F.sum("_a").alias("_t"))
+    offsets = _offsets(totals, keys, buckets, fan).select(*keys, "_b", "_o")
+    inside = Window.partitionBy(*keys, "_b").orderBy(u, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(offsets, [*keys, "_b"]).withColumn(out, F.col("_o") + F.sum("_a").over(inside)).drop("_b", "_a", "_o")

@@ -37,7 +37,7 @@ def shard(docs: DataFrame, n_shards: int = 16, weights: Sequence[float] | None =
         # the order within a shard; the text's checksum spreads records that share one key
         uniform(F.coalesce(F.col(key).cast("string"), F.lit("")), F.crc32(body).cast("string"), F.lit("slot")).alias("_u"),
     )
-    ranked = prefix_sums(placed, "shard", "_u", [F.col(key), F.col("text_crc32"), F.col("size")], F.lit(1).cast("long"), "_r", docs.count())
+    ranked = prefix_sums(placed, ["shard"], "_u", [F.col(key), F.col("text_crc32"), F.col("size")], F.lit(1).cast("long"), "_r", docs.count())
     return ranked.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_r") - 1).alias("slot"), "grown_shard")
 
 

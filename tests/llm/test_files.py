@@ -127,7 +127,7 @@ def test_pipeline(spark, sf):
     after = corpus_pipeline.without_benchmark(spark, left, sf)
     assert {r.doc_id for r in after.collect()} == one - bad and after.columns == docs.columns
     rest = docs.filter(docs["doc_id"].isin(sorted(one - bad)))
-    copies = Counter({r.doc_id: r.copies for r in mixing.plan(mixing.sized(rest)).collect() if r.copies})
+    copies = Counter({r["_key"]: r.copies for r in mixing.plan(rest).collect() if r.copies})
     after = corpus_pipeline.mixed(spark, rest, sf)
     assert Counter(r.doc_id for r in after.collect()) == copies and after.columns == docs.columns
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == copies

@@ -7,6 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from helixlake.llm import decontamination, mixing, queries, sharding
+from helixlake.llm.common import prefix_sums
 
 
 def same_as_sql(spark, name, sf):
@@ -96,8 +97,7 @@ def fill(sizes):
 
 
 def test_mixing(spark, edge, edge_rows, empty):
-    narrow = edge.select("doc_id", "text", "source")
-    rows = mixing.plan(mixing.sized(narrow)).collect()
+    rows = mixing.plan(edge).collect()
     assert len(rows) == len(edge_rows)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = Counter()
@@ -106,15 +106,55 @@ def test_mixing(spark, edge, edge_rows, empty):
     want = fill(sizes)
     taken, largest = Counter(), Counter()
     for r in rows:
-        assert r._size == size(r.text) and r.source_size == sizes[r.source]
-        assert abs(r.target - want[r.source]) < 1e-6 and r.taken <= 2 * r._size
-        taken[r.source] += r.taken
-        largest[r.source] = max(largest[r.source], r._size)
+        assert r.source_size == sizes[r["_from"]]
+        assert abs(r.target - want[r["_from"]]) < 1e-6 and r.taken <= 2 * r["_size"]
+        taken[r["_from"]] += r.taken
+        largest[r["_from"]] = max(largest[r["_from"]], r["_size"])
+    assert Counter((r["_key"], r["_from"], r["_size"]) for r in rows) == Counter((r[0], r[3], size(r[1])) for r in edge_rows)
+    # all copies in the order of their virtual finish, by a plain loop
+    queues = {}
+    for r in sorted(rows, key=lambda r: r["_cum"]):
+        queues.setdefault(r["_from"], []).append(r)
+    copies = [((e * sizes[s] + r["_cum"]) / want[s], r["_size"]) for s, q in queues.items() for e in (0, 1) for r in q if r["_size"]]
+    sent, cut = 0, 0.0
+    for finish, n in sorted(copies):
+        sent += n
+        if sent >= 1.5 * sum(sizes.values()):
+            cut = finish
+            break
+    for r in rows:
+        s = r["_from"]
+        assert r.copies == sum(e * sizes[s] + r["_cum"] - r["_size"] / 2 <= cut * want[s] + 1e-9 for e in (0, 1))
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-9
-    again = mixing.plan(mixing.sized(narrow.repartition(7))).select("doc_id", "taken").collect()
-    assert Counter(map(tuple, again)) == Counter((r.doc_id, r.taken) for r in rows)
-    stream = mixing.mix(edge).collect()
-    assert Counter(r.doc_id for r in stream) == Counter(i for r in rows for i in [r.doc_id] * r.copies)
-    assert [r.finish for r in stream] == sorted(r.finish for r in stream)
-    assert mixing.mix(empty).count() == 0
+        assert abs(taken[s] - cut * want[s]) <= largest[s] / 2 + 1e-6 or taken[s] == 2 * sizes[s]
+    again = mixing.plan(edge.repartition(7)).select("_key", "taken").collect()
+    assert Counter(map(tuple, again)) == Counter((r["_key"], r.taken) for r in rows)
+    for ordered in (True, False):
+        stream = mixing.mix(edge, ordered=ordered).collect()
+        assert Counter(r.doc_id for r in stream) == Counter(i for r in rows for i in [r["_key"]] * r.copies)
+        assert not ordered or [r.finish for r in stream] == sorted(r.finish for r in stream)
+    assert mixing.mix(empty).count() == 0 and mixing.plan(empty).count() == 0
+    only = mixing.plan(spark.createDataFrame([(1, None, None), (2, "", None)], "doc_id long, text string, source string")).collect()
+    assert [(r.target, r.taken) for r in only] == [(0.0, 0), (0.0, 0)]
+
+
+def test_mixing_breaks_ties_by_text(spark):
+    """Of rows with one key and size, the same are taken whatever the partitions."""
+    rows = [(i % 5, f"{'abcdefgh'[i % 8]} {i}", "s") for i in range(200)]
+    runs = []
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        runs.append(Counter((r.doc_id, r.text) for r in mixing.mix(docs, weights=[1], share=0.5, max_epochs=1).collect()))
+    assert runs[0] == runs[1] and sum(runs[0].values()) == 100
+
+
+def test_prefix_sums_through_many_levels(spark):
+    rows = [(i % 3, (i * 7919 % 10007) / 10007, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g int, u double, v long")
+    for keys in (["g"], []):
+        got = {r.v: r.s for r in prefix_sums(df, keys, "u", [F.col("v")], F.col("v"), "s", 3000, per_bucket=4, fan=5).collect()}
+        run, want = Counter(), {}
+        for g, _, v in sorted(rows, key=lambda r: r[1:]):
+            run[g if keys else 0] += v
+            want[v] = run[g if keys else 0]
+        assert got == want
