@@ -2,16 +2,17 @@
 
 1. Each text becomes its set of word n-grams (5 words; a text of fewer words is one n-gram). Equal sets are one node.
 2. MinHash values are cut into bands; numbers of bands and rows are chosen for the target recall at the threshold.
-   Nodes shuffle on band hashes; sharing one joins them to a candidate group (a star to the band's least node, so a
-   band of any size makes no more links than it has nodes).
-3. Every pair within a candidate group is verified on the full sets: groups are cut into blocks of bounded size and
-   each pair of blocks is one task, which counts links and returns a spanning forest of its verified pairs. No pair is
-   listed, none is left out.
+   Nodes shuffle on band hashes. A node goes to a block of nodes that share a band with the same head (the least node
+   of a band); blocks are of bounded size.
+3. Two blocks meet if some band is in both, and only then; each such pair of blocks is one task, which verifies the
+   pairs across them on the full sets, counts links and returns a spanning forest of its verified pairs. So every pair
+   that shares a band is verified once, no pair of documents is listed, and chains of candidates do not grow together.
 4. Classes are the connected components of the verified links.
 
 Defined results: a null or wordless text has no n-grams, no links, and is a class of its own; rows with equal sets
 link to each other; class_id and copy_id are the smallest ids (null if all are null); repeated rows are separate
-documents; an empty table gives no rows. Sets are compared as 64-bit n-gram hashes, nodes by 128 bits of a set's hashes.
+documents; a very long text is one set, worked on in one task (8 bytes a distinct n-gram); an empty table gives no
+rows. Sets are compared as 64-bit n-gram hashes, nodes by 128 bits of a set's hashes.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .words import chunks, mix, ngrams, per_row_unique, text_buffer, tokenise
 
 #: A task verifies two blocks of about so many n-grams and so many sets each.
 BLOCK_GRAMS, BLOCK_SETS = 1 << 19, 1 << 9
+#: Members (some 100 bytes each) that are broadcast to fetch their texts; more of them are joined by shuffles.
+BROADCAST_ROWS = 500_000
 #: An n-gram in more of a task's sets than this is counted by matrix product, others pair by pair.
 DENSE = 32
 
@@ -143,28 +146,34 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
 
     banded = save(nodes.select("node", F.explode("bands").alias("band")), "bands")
     heads = save(banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("c")).filter("c > 1").select("band", "head"), "band-heads")
-    stars = banded.join(heads, "band").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    groups = connected_components(stars).withColumnRenamed("component", "grp")
-    members = save(groups.join(nodes.drop("bands"), "node"), "members")
-    size = members.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    members = save(members.join(save(size, "blocks"), "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocked")
+    shared = save(banded.join(heads, "band"), "shared-bands")
+    clusters = save(shared.groupBy("node").agg(F.min("head").alias("cluster")).join(nodes.select("node", "id", "_t", "copies", "n"), "node"), "clusters")
+    size = save(clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks")), "cluster-sizes")
+    block = F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")))  # two blocks of one name would only verify more pairs
+    members = save(clusters.join(size, "cluster").select("node", "id", "_t", "copies", block.alias("block")), "members")
+    # which blocks meet: a band that very many nodes share is in few blocks, each listed once
+    in_bands = save(shared.select("node", "band").join(members.select("node", "block"), "node").select("band", "block").distinct(), "blocks-of-bands")
+    meet = in_bands.withColumnRenamed("block", "p").join(in_bands.withColumnRenamed("block", "q"), "band").filter("p <= q").select("p", "q").distinct()
+    meet = save(meet, "block-pairs")
+    partners = meet.select(F.col("p").alias("block"), "p", "q").unionByName(meet.filter("p <> q").select(F.col("q").alias("block"), "p", "q"))
 
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(key).alias("id"), body.alias("text"), F.xxhash64(body).alias("_t"))
-    same = texts["id"].eqNullSafe(members["id"]) & (texts["_t"] == members["_t"])
-    wanted = texts.join(members, same).select("text", "node", "grp", "block", "blocks", "copies")
+    few = members.select("node", "id", "_t", "block", "copies")
+    few = F.broadcast(few) if members.count() <= BROADCAST_ROWS else few
+    same = texts["id"].eqNullSafe(few["id"]) & (texts["_t"] == few["_t"])
+    wanted = texts.join(few, same).select("text", "node", "block", "copies")
 
     def resolve(batches):
-        schema = pa.schema([("node", pa.string()), ("grp", pa.string()), ("block", pa.int32()), ("blocks", pa.int32()), ("copies", pa.int64()), ("grams", pa.binary())])
+        schema = pa.schema([("node", pa.string()), ("block", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())])
         for batch in batches:
             grams = []
             for _, values, cut in _sets(batch.column(0), n):
                 grams += [values[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(grams, pa.binary())], schema=schema)
 
-    sets = wanted.mapInArrow(resolve, "node string, grp string, block int, blocks int, copies long, grams binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = sets.select("node", "grp", "block", "copies", "grams", other).withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
+    sets = save(wanted.mapInArrow(resolve, "node string, block long, copies long, grams binary"), "sets")
+    dealt = sets.join(partners, "block")
 
     def verify(group: pa.Table) -> pa.Table:
         names = group["node"].to_pylist()
@@ -190,7 +199,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
         out = [(x, None, c) for x, c in zip(names, counts.tolist(), strict=True) if c] + [(a, b, 0) for a, b in edges]
         return pa.table({"node": pa.array([x[0] for x in out], pa.string()), "other": pa.array([x[1] for x in out], pa.string()), "links": pa.array([x[2] for x in out], pa.int64())})
 
-    checked = save(dealt.groupBy("grp", "p", "q").applyInArrow(verify, "node string, other string, links long"), "verified")
+    checked = save(dealt.groupBy("p", "q").applyInArrow(verify, "node string, other string, links long"), "verified")
     classes = connected_components(checked.filter(F.col("other").isNotNull()).select(F.col("node").alias("u"), F.col("other").alias("v"))).withColumnRenamed("component", "class")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     full = nodes.select("node", "id", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -221,3 +230,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
 
 def op2_jaccard_join(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_t")
+
+
+#: Every pair that shares an n-gram, by the n-grams themselves: what banding must find (and does, on the test tables).
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(len(w), 5) AS n FROM d WHERE len(w) > 0))),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y, b.n = cx.n AND b.n = cy.n AS same FROM inter b JOIN c cx ON x = cx.doc_id JOIN c cy ON y = cy.doc_id WHERE b.n * 9 >= 4 * (cx.n + cy.n)),
+e AS (SELECT x, y, same FROM link UNION ALL SELECT y, x, same FROM link),
+reach(doc_id, member) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, member FROM reach JOIN e ON e.x = reach.doc_id),
+m AS (SELECT doc_id, min(member) AS class_id FROM reach GROUP BY doc_id),
+k AS (SELECT x AS doc_id, count(*) AS n_links, min(y) FILTER (same) AS copy FROM e GROUP BY x)
+SELECT d.doc_id, m.class_id, coalesce(k.n_links, 0)::BIGINT AS n_links, least(d.doc_id, coalesce(k.copy, d.doc_id)) AS copy_id, coalesce(c.n, 0)::BIGINT AS n_grams
+FROM d JOIN m USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_decontamination
 from .exact import OP3_SQL, op3_exact_dedup
-from .jaccard import op2_jaccard_join
+from .jaccard import OP2_SQL, op2_jaccard_join
 from .lm_score import OP1_SQL, op1_lm_score
 from .mixing import OP6_SQL, op6_mixing
 from .repeats import op9_repeats
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-SQL = {"op1_lm_score": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op8_decontamination": OP8_SQL}
+SQL = {"op1_lm_score": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op8_decontamination": OP8_SQL}
