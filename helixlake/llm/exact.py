@@ -6,11 +6,12 @@ distinct pairs sorted and numbered, and so on until one name is left of each tex
 step can collide. Texts of different block counts finish at different levels or with different pairs (a missing
 partner is 0).
 
-A text whose byte length and 64-bit checksum no other text shares has no equal, so only the others go through the
-naming; a checksum that two different texts share costs time there, never a wrong result.
+A text whose byte length and 64-bit checksum no other text shares has no equal: that pair is its identity, and only the
+others go through the naming. A checksum that two different texts share costs time there, never a wrong result.
 
 Defined results: null counts as empty, and empty texts equal each other; of rows that share the smallest doc_id one
-is kept; a null doc_id sorts after all others; other columns are not looked at; an empty table gives no rows.
+is kept; a null doc_id sorts after all others; a very long text is many blocks, of which no task needs more than a few;
+other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ def block_names(texts: DataFrame, block: int = 4096) -> DataFrame:
     starts = F.sequence(F.lit(0), count - 1)
     pieces = texts.select("rid", count.alias("n"), F.posexplode(F.transform(starts, lambda i: F.substring(body, i * block + 1, block))).alias("at", "piece"))
     names = _numbered(pieces.select("piece"), "block-names")
-    now = save(pieces.join(names, "piece").select("rid", "n", "at", "name"), "named")
+    # never broadcast: a block unfolds many times from its compressed size
+    now = save(pieces.join(names.hint("merge"), "piece").select("rid", "n", "at", "name"), "named")
     most = now.agg(F.max("n")).first()[0] or 1
     done, level = None, 0
     while True:
@@ -50,7 +52,7 @@ def block_names(texts: DataFrame, block: int = 4096) -> DataFrame:
         )
         pairs = save(pairs, "pairs")
         names = _numbered(pairs.select("a", "b"), "pair-names")
-        now = save(pairs.join(names, ["a", "b"]).select("rid", "n", "at", "name"), "named")
+        now = save(pairs.join(names.hint("merge"), ["a", "b"]).select("rid", "n", "at", "name"), "named")
         most, level = (most + 1) // 2, level + 1
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def put(folder: str, name: str, data: bytes) -> None:
-    """Publish a file at once: a retried or speculative task replaces it by the same bytes."""
+    """Publish a file at once, under a name that no other attempt of a task uses."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)

@@ -4,7 +4,7 @@ Every (key, shard) pair has a fixed pseudo-random draw; a record goes to the sha
 -ln(u)/weight. A shard that is added takes records only into itself, a shard that is removed gives away only its own.
 
 Defined results: a null text counts as empty; rows with equal keys (a null key included) share one shard, since the key
-alone decides; an empty table gives an empty table; other columns of the input are not looked at.
+alone decides; very long texts are only measured; an empty table gives an empty table; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -43,3 +43,16 @@ def shard(docs: DataFrame, n_shards: int = 16, weights: Sequence[float] | None =
 
 def op10_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
+
+
+#: Smallest draw -ln(u) is greatest u; the table of CRC-32 is made by its rule.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+t AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+b AS (SELECT doc_id, strlen(body) + 1 AS size, list_transform(regexp_extract_all(hex(body), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
+c AS (SELECT doc_id, size, xor(4294967295, list_reduce([4294967295] || bytes, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))) AS text_crc32 FROM b, t),
+s AS (SELECT *, list_transform(range(17), lambda i: ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, i::VARCHAR)), 1, 13))::BIGINT) AS u,
+  ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, text_crc32::VARCHAR, 'slot')), 1, 13))::BIGINT AS place FROM c),
+k AS (SELECT *, (list_position(u, list_max(u[1:16])) - 1)::INT AS shard, (list_position(u, list_max(u)) - 1)::INT AS grown_shard FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM k
+"""

@@ -9,7 +9,8 @@ Every block starts on a byte, so any document is read from the few blocks that h
 numpy at once. Documents are written in ascending order of their key, over files in ascending order of their name.
 
 Defined results: a null text is an empty one (the end id only); null keys come first; rows with equal keys are
-separate documents, in the order of their text's hash; an empty table gives no files.
+separate documents, in the order of their text's hash; a very long text is encoded by one task and never cut over two
+files; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -185,12 +186,12 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, key:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        code, part, made = encoder(path), TaskContext.get().partitionId(), 0
+        code, part, attempt, made = encoder(path), TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         keys, counts, parts, held = [], [], [], 0
 
         def flush():
             nonlocal made, held
-            name = f"part-{part:07d}-{made:05d}.tok"
+            name = f"part-{part:07d}-{made:05d}-{attempt}.tok"  # in the order of keys
             ids = np.frombuffer(b"".join(parts), "<u4")
             put(folder, name, write_file(pa.chunked_array(keys).combine_chunks(), np.array(counts, np.int64), ids, max(code.vocab, end_id + 1)))
             row = pa.RecordBatch.from_pylist([{"file": name, "n_docs": len(counts), "n_tokens": len(ids)}], schema)

@@ -5,8 +5,12 @@ spaced ones, ``sample_bytes`` at most); then every record is a frame of its own,
 archives can be cut and joined at records. Of records with equal payloads of at least ``least`` bytes, that with the
 largest id is a response and the others are revisits that refer to it.
 
-Defined results: a null payload is an empty one; a null url leaves out the target; rows that repeat an id with the
-same payload have the same record type; a null id sorts below all others; an empty table gives no archives.
+Names of archives carry the task's attempt, and the manifest lists those that count: an attempt that was lost or came
+second leaves files that nobody reads.
+
+Defined results: ids are integers or strings; a null payload is an empty one; a null url leaves out the target; rows that repeat an id with the
+same payload have the same record type; a null id sorts below all others; a record larger than ``bytes_per_file`` is
+the last of its archive; columns other than id, url and payload are not looked at; an empty table gives no archives.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import base64
 import hashlib
 import io
 import struct
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,12 +36,14 @@ FEW = 16
 
 
 def _id(value) -> str:
-    return "<urn:x-record:none>" if value is None else f"<urn:x-record:{value}>"
+    return "<urn:x-no-record>" if value is None else f"<urn:x-record:{quote(str(value), safe='')}>"
 
 
-def _value(text: str):
-    body = text.removeprefix("<urn:x-record:").removesuffix(">")
-    return None if body == "none" else int(body)
+def _value(text: str, kind: pa.DataType):
+    if text == "<urn:x-no-record>":
+        return None
+    body = unquote(text.removeprefix("<urn:x-record:").removesuffix(">"))
+    return int(body) if pa.types.is_integer(kind) else body
 
 
 def record(kind: str, key, url, payload: bytes, date: str, refers_to=None) -> bytes:
@@ -115,12 +121,12 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     def write(batches):
         from pyspark import TaskContext
 
-        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, attempt, made, held, size = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, [], 0
         schema = pa.schema([("file", pa.string()), ("n_records", pa.int64())])
 
         def flush():
             nonlocal made, size
-            name = f"part-{part:07d}-{made:05d}.warc.zst"
+            name = f"part-{part:07d}-{made:05d}-{attempt}.warc.zst"
             put(folder, name, archive(held))
             row = pa.RecordBatch.from_pylist([{"file": name, "n_records": len(held)}], schema)
             made, size = made + 1, 0
@@ -140,10 +146,11 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     return save(plan_records(pages, key, url, payload, least).mapInArrow(write, "file string, n_records long"), "warc-manifest")
 
 
-def read_warc(folder: str, manifest: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per record of the archives: key, payload_bytes, payload_digest, record_type, refers_to, file."""
+def read_warc(folder: str, manifest: DataFrame, key: str = "page_id", kind: str = "long") -> DataFrame:
+    """One row per record of the archives: key (of type kind), payload_bytes, payload_digest, record_type, refers_to, file."""
     names = [key, "payload_bytes", "payload_digest", "record_type", "refers_to", "file"]
-    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()], strict=True)))
+    ids = {"string": pa.string(), "int": pa.int32()}.get(kind, pa.int64())
+    schema = pa.schema(list(zip(names, [ids, pa.int64(), pa.string(), pa.string(), ids, pa.string()], strict=True)))
 
     def read(batches):
         for batch in batches:
@@ -156,12 +163,23 @@ def read_warc(folder: str, manifest: DataFrame, key: str = "page_id") -> DataFra
                     if head["warc-type"] == "response":
                         assert length == len(payload) and digest == base64.b32encode(hashlib.sha1(payload).digest()).decode(), "a payload is damaged"
                     other = head.get("warc-refers-to")
-                    rows.append((_value(head["warc-record-id"]), length, digest, head["warc-type"], other and _value(other), name))
+                    rows.append((_value(head["warc-record-id"], ids), length, digest, head["warc-type"], other and _value(other, ids), name))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return contents(manifest.sparkSession, folder, manifest).mapInArrow(read, f"{key} long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string")
+    return contents(manifest.sparkSession, folder, manifest).mapInArrow(read, f"{key} {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, file string")
 
 
 def op4_warc(spark, sf_dir):
     folder = new_folder(spark, "warc")
-    return read_warc(folder, write_warc(table(spark, sf_dir, "pages"), folder))
+    return read_warc(folder, write_warc(table(spark, sf_dir, "pages"), folder)).drop("file")
+
+
+#: Base 32 has 5 bits a letter, so 5 digits of the hexadecimal SHA-1 make 4 letters.
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS digest, max(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(digest, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM h
+"""

@@ -90,6 +90,21 @@ def test_archives(spark, tmp_path):
     assert warc.read_warc(folder, warc.write_warc(pages.limit(0), folder)).count() == 0
 
 
+def test_archives_of_other_keys_and_columns(spark):
+    """String ids (odd ones too), columns whose names clash, records above the bound of a file, leftovers of lost attempts."""
+    from pyspark.sql import functions as F
+
+    rows = [("a>b\r\nc", "u", "x" * 5000), ("none", "u", "same"), (None, "u", "same"), ("é %3E", None, None), ("z", "u", "same")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").withColumns({c: F.lit("x") for c in ("id", "payload", "digest", "n", "first", "refers_to")})
+    folder = new_folder(spark, "t")
+    manifest = warc.write_warc(pages, folder, bytes_per_file=1000)
+    from helixlake.llm.files import put
+
+    put(folder, "part-0000000-00000-999999.warc.zst", warc.archive([warc.record("response", "ghost", "u", b"x", "2000-01-01T00:00:00Z")]))
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(folder, manifest, kind="string").collect()}
+    assert got == {("a>b\r\nc", 5000, "response", None), ("none", 4, "revisit", "z"), (None, 4, "revisit", "z"), ("é %3E", 0, "response", None), ("z", 4, "response", None)}
+
+
 def test_archive_format():
     import io
 
