@@ -7,7 +7,7 @@ from .exact import OP3_SQL, op3_exact_dedup
 from .jaccard import OP2_SQL, op2_jaccard_join
 from .lm_score import OP1_SQL, op1_lm_score
 from .mixing import OP6_SQL, op6_mixing
-from .repeats import op9_repeats
+from .repeats import OP9_SQL, op9_repeats
 from .sharding import OP10_SQL, op10_sharding
 from .token_files import op7_token_files
 from .toxicity import op5_toxicity
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-SQL = {"op1_lm_score": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_mixing": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_sharding": OP10_SQL}
+SQL = {"op1_lm_score": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_mixing": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_repeats": OP9_SQL, "op10_sharding": OP10_SQL}

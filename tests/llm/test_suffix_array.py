@@ -45,6 +45,19 @@ def test_maximal_repeats_and_cover():
         for t, (removed, _, _) in enumerate(repeats.brute_force(texts, 4)):
             covered = {p for n, at in found for u, i in at if u == t for p in range(i, i + n)}
             assert len(covered) == removed
+            spans = suffix_array.repeated_spans(texts, 4)[t]
+            assert {p for a, z in zip(spans[::2], spans[1::2], strict=True) for p in range(a, z)} == covered
+
+
+def test_sorted_suffixes():
+    rnd = random.Random(3)
+    for _ in range(30):
+        texts = [bytes(rnd.choice(b"ab\0") for _ in range(rnd.randint(0, 30))) for _ in range(6)]
+        row, start, lcp = suffix_array.sorted_suffixes(texts, 3)
+        found = [texts[r][i:] for r, i in zip(row.tolist(), start.tolist(), strict=True)]
+        assert found == sorted(t[i:] for t in texts for i in range(len(t) - 2))
+        for a, b, n in zip(found, found[1:], lcp[1:].tolist(), strict=False):
+            assert a[:n] == b[:n] and a[n : n + 1] != b[n : n + 1] or n == min(len(a), len(b))
 
 
 def test_repeat_groups(spark, empty):

@@ -57,6 +57,35 @@ def test_repeats_brute_force(spark, edge, edge_rows, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("options", [{"crowd": 2}, {"bucket_bytes": 200}, {"bytes_per_group": 300}])
+def test_repeats_in_crowds_buckets_and_pieces(spark, monkeypatch, options):
+    """Anchors of many contexts, tiny buckets, and long texts cut into pieces among runs of several sizes change nothing."""
+    monkeypatch.setattr(repeats, "CHUNK", 64)
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choice("abcdefgh\0é") for _ in range(n))
+    passage, other = noise(60), noise(33)
+    rows = [(i, noise(rnd.randint(0, 30)) + passage[rnd.randint(0, 9) :] + noise(rnd.randint(0, 30)) + (other if i % 3 else "")) for i in range(60)]
+    rows += [(60, noise(3000) + passage + noise(500) + passage), (61, passage), (62, passage + "x"), (63, noise(700)), (64, "z" * 900), (65, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs, length=20, **options).collect()}
+    assert got == dict(zip([i for i, _ in rows], repeats.brute_force([(t or "").encode() for _, t in rows], 20), strict=True))
+
+
+def test_anchors_do_not_depend_on_the_run():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    text = rnd.integers(97, 100, 500).astype(np.uint8)
+    seen = {}
+    for before, after in ((0, 0), (7, 3000), (100_000, 11), (3, 300_000)):
+        raw = np.concatenate((rnd.integers(97, 100, before).astype(np.uint8), text, rnd.integers(97, 100, after).astype(np.uint8)))
+        x = repeats.Anchored(raw, np.array([0, len(raw)]), 50, 25)
+        for a, z, g in zip(x.first.tolist(), x.last.tolist(), x.g.tolist(), strict=True):
+            for i in range(max(a, before), min(z, before + 450) + 1):
+                assert seen.setdefault(i - before, g) == g
+    assert len(seen) == 451
+
+
 def backoff(texts, order, alpha):
     every = [words(t) for t in texts]
     grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
