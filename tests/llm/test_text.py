@@ -186,16 +186,12 @@ def test_maximal_segments_match_definition():
         at = [i for i, x in enumerate(s) if x > 0]
         got = {(a, b) for a, b, _ in toxicity.maximal_segments(at, [run[i] for i in at], [run[i + 1] for i in at])}
 
-        def best(lo, hi, out):  # the definition: the best segment (longest of ties is cut at its minimal ends), then both rests
-            top = max(((run[j + 1] - run[i], -(j - i), -i) for i in range(lo, hi) for j in range(i, hi)), default=(0, 0, 0))
-            if top[0] > 0:
-                i, j = -top[2], -top[2] - top[1]
-                out.add((i, j))
-                best(lo, i, out), best(j + 1, hi, out)
-
-        want: set = set()
-        best(0, len(s), want)
-        assert sum(run[b + 1] - run[a] for a, b in got) == sum(run[b + 1] - run[a] for a, b in want)
+        # the definition: segments whose proper parts score less, and which no greater such segment holds
+        n = len(s)
+        total = lambda i, j: run[j + 1] - run[i]  # noqa: B023, E731
+        proper = [(i, j) for i in range(n) for j in range(i, n) if all(total(a, b) < total(i, j) for a in range(i, j + 1) for b in range(a, j + 1) if (a, b) != (i, j)) and total(i, j) > 0]
+        want = {(i, j) for i, j in proper if not any((a, b) != (i, j) and a <= i and j <= b for a, b in proper)}
+        assert got == want
 
 
 def test_toxicity(spark, edge, edge_rows, empty):
