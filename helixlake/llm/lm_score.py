@@ -3,14 +3,17 @@
 The score of a word is count(n-gram) / count(its context) for the longest n-gram that occurs, times ``alpha`` for each
 word of context given up. Counts leave out the document that is scored, else each n-gram would support itself.
 
-N-gram count tables are partitioned by hash; each group of documents asks the partitions for its distinct n-grams
-(lookups.py), looks its exploded n-grams up in the answers and sums the logarithms per document. Words and pairs are
-asked for first. A longer n-gram can be in another document only if both n-grams inside it that are one word shorter
-are, so only those are asked for, which changes no count.
+N-gram count tables are partitioned by hash; documents are exploded into n-grams, counted by group of documents before
+they are dealt by hash, joined with the count tables there (lookups.py, as rows or as frames), and go back to their
+group, which sums the logarithms per document. Words and pairs are asked for first. A longer n-gram can be in another
+document only if both n-grams inside it that are one word shorter are, so only those are asked for, which changes no
+count.
 
 Defined results: words are those of words.py; a word that no other document has counts as one of n + 1 words (n: the
 others' words); a null or wordless text has n_words 0 and null scores; rows are scored separately even if they are
-equal, and equal rows are each other's "other documents"; an empty table gives no rows.
+equal, and equal rows are each other's "other documents" (those equal in key too share a group); a very long text is a
+group of its own, held by one task in some 60 bytes a word; other columns are not looked at; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -89,16 +92,16 @@ def _counts(texts: Texts, replies: pa.Table, orders: int):
     """[words of all documents, then for each order up to ``orders`` the counts in other documents by the word an n-gram ends at]."""
     stage = replies["stage"].to_numpy()
     one, two, n_words = texts.grams(1), texts.grams(2), len(texts.words)
-    _, counts, order = _first_keys(one, two, n_words)
+    keys, counts, order = _first_keys(one, two, n_words)
     totals = np.empty(len(order), np.uint64)
-    totals[order] = lookups.answers(replies.filter(pa.array(stage == 2))) + counts.astype(np.uint64)
+    totals[order] = lookups.answers(replies.filter(pa.array(stage == 2)), keys) + counts.astype(np.uint64)
     split = 1 + len(one.keys)
     found = [float(totals[0]), one.others(totals[1:split], n_words), two.others(totals[split:], n_words)]
     for n in range(3, orders + 1):
         grams = texts.grams(n)
         asked = _wanted(grams, found[-1])
         every = np.zeros(len(asked), np.uint64)
-        every[asked] = lookups.answers(replies.filter(pa.array(stage == n))) + grams.counts[asked].astype(np.uint64)
+        every[asked] = lookups.answers(replies.filter(pa.array(stage == n)), grams.keys[asked]) + grams.counts[asked].astype(np.uint64)
         known = np.where(asked[grams.place], every[grams.place].astype(np.float64) - grams.own, 0.0)
         counts = np.zeros(n_words)
         counts[grams.end] = known
@@ -106,16 +109,25 @@ def _counts(texts: Texts, replies: pa.Table, orders: int):
     return found
 
 
-def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, key: str = "doc_id", text: str = "text", bytes_per_group: int = 8 << 20) -> DataFrame:
-    """One row per document: key, n_words, log_score (sum of natural logarithms), score (mean per word)."""
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, key: str = "doc_id", text: str = "text", bytes_per_group: int = 8 << 20, rows: bool | None = None) -> DataFrame:
+    """One row per document: key, n_words, log_score (sum of natural logarithms), score (mean per word).
+
+    rows: whether n-grams are exchanged as rows or as frames; by default rows beyond lookups.FRAMES groups, where frames
+    would hold few keys. The results are the same.
+    """
     assert order >= 2, "backoff needs a context"
     dealt, groups = lookups.grouped(docs, key, text, bytes_per_group)
     kind = docs.schema[key].dataType.simpleString()
+    by_rows = groups > lookups.FRAMES if rows is None else rows
+    form = lookups.ROWS if by_rows else lookups.ASK
+
+    def put(grp: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+        return lookups.ask_rows(grp, keys, counts) if by_rows else lookups.ask(grp, keys, counts, groups)
 
     def first(group: pa.Table) -> pa.Table:
         texts = Texts(group)
         keys, counts, _ = _first_keys(texts.grams(1), texts.grams(2), len(texts.words))
-        return lookups.ask(group["grp"][0].as_py(), keys, counts, groups)
+        return put(group["grp"][0].as_py(), keys, counts)
 
     def longer(n: int):
         def ask(group: pa.Table, replies: pa.Table) -> pa.Table:
@@ -123,7 +135,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, key: str = "doc_i
             shorter = _counts(texts, replies, n - 1)[-1]
             grams = texts.grams(n)
             asked = _wanted(grams, shorter)
-            return lookups.ask(group["grp"][0].as_py(), grams.keys[asked], grams.counts[asked], groups)
+            return put(group["grp"][0].as_py(), grams.keys[asked], grams.counts[asked])
 
         return ask
 
@@ -145,11 +157,12 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, key: str = "doc_i
     by_group = dealt.groupBy("grp")
 
     def answered(asked: DataFrame, n: int) -> DataFrame:
-        return asked.groupBy("bucket").applyInArrow(lookups.sum_bucket, lookups.ANSWER).withColumn("stage", F.lit(n))
+        found = lookups.count_tables(asked) if by_rows else asked.groupBy("bucket").applyInArrow(lookups.sum_bucket, lookups.ANSWER)
+        return found.withColumn("stage", F.lit(n))
 
-    replies = answered(by_group.applyInArrow(first, lookups.ASK), 2)
+    replies = answered(by_group.applyInArrow(first, form), 2)
     for n in range(3, order + 1):
-        replies = replies.unionByName(answered(by_group.cogroup(replies.groupBy("grp")).applyInArrow(longer(n), lookups.ASK), n))
+        replies = replies.unionByName(answered(by_group.cogroup(replies.groupBy("grp")).applyInArrow(longer(n), form), n))
     return by_group.cogroup(replies.groupBy("grp")).applyInArrow(finish, f"{key} {kind}, n_words long, log_score double, score double")
 
 

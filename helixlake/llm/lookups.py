@@ -1,8 +1,12 @@
 """Counting keys over a whole corpus and handing the answers back to where they were asked.
 
-Documents are dealt into groups of bounded size. A group asks for its distinct keys, as sorted arrays cut by key range
-(bucket); a bucket adds up what all groups ask for and answers each of them in its own order. However often a key
-occurs, a bucket gets it once per group, so no key is hot; and no row per key and document is ever made.
+Documents are dealt into groups of bounded size, and a group asks for its distinct keys with their counts: however often
+a key occurs, it is asked for once per group, so no key is hot. The questions are
+
+* rows (grp, key, n): the count table is their sum by key, and a join with it answers each row; or
+* frames: a group's keys as sorted arrays cut by key range (bucket), a row each. A bucket adds up what all groups ask for
+  and answers each of them in its own order. That takes a third of the bytes while frames are long; as there are groups
+  times buckets of them, rows are better beyond FRAMES groups.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ from pyspark.sql import functions as F
 
 ASK = "bucket int, grp int, keys binary, counts binary"
 ANSWER = "grp int, bucket int, totals binary"
+ROWS = "grp int, k long, n long"
+#: Groups up to which frames hold some hundred keys each.
+FRAMES = 4096
 
 
 def grouped(docs: DataFrame, key: str, text: str, bytes_per_group: int = 8 << 20) -> tuple[DataFrame, int]:
@@ -63,6 +70,20 @@ def ask(grp: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Tabl
     return table(rows, [("bucket", pa.int32()), ("grp", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
+def ask_rows(grp: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+    return pa.table({"grp": pa.array(np.full(len(keys), grp, np.int32)), "k": pa.array(keys.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
+
+
+def count_tables(asked: DataFrame) -> DataFrame:
+    """(grp, k, n: the count over all other groups) of the rows asked for, where it is not 0.
+
+    Rows are dealt by the key once, for the count table and for the join with it; a key has a row a group at most.
+    """
+    dealt = asked.repartition("k")
+    counts = dealt.groupBy("k").agg(F.sum("n").alias("total"))
+    return dealt.join(counts, "k").filter("total > n").select("grp", "k", (F.col("total") - F.col("n")).alias("n"))
+
+
 def table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
     schema = pa.schema(fields)
     columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
@@ -80,8 +101,12 @@ def sum_bucket(asked: pa.Table) -> pa.Table:
     return table(rows, [("grp", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
 
 
-def answers(replies: pa.Table) -> np.ndarray:
-    """What other groups count for the keys that a group asked for, in the order of its sorted keys."""
+def answers(replies: pa.Table, keys: np.ndarray) -> np.ndarray:
+    """What other groups count for the sorted keys that a group asked for."""
+    if "k" in replies.column_names:
+        out = np.zeros(len(keys), np.uint64)
+        out[np.searchsorted(keys, replies["k"].to_numpy().view(np.uint64))] = replies["n"].to_numpy()
+        return out
     order = np.argsort(replies["bucket"].to_numpy(), kind="stable")
     column = replies["totals"]
     return np.concatenate([unplanes(column[int(i)].as_buffer()) for i in order]) if len(order) else np.empty(0, np.uint64)

@@ -110,13 +110,14 @@ def backoff(texts, order, alpha):
     return out
 
 
+@pytest.mark.parametrize("by_rows", [False, True])
 @pytest.mark.parametrize("order", [2, 3, 4])
-def test_lm_score_brute_force(edge, edge_rows, empty, order):
-    rows = lm_score.score(edge, order=order, bytes_per_group=20_000).collect()
+def test_lm_score_brute_force(edge, edge_rows, empty, order, by_rows):
+    rows = lm_score.score(edge, order=order, bytes_per_group=20_000, rows=by_rows).collect()
     want = backoff([r[1] for r in edge_rows], order, 0.4)
     expected = sorted((str(r[0]), len(words(r[1])), round(x, 6) if words(r[1]) else None) for r, x in zip(edge_rows, want, strict=True))
     assert sorted((str(r.doc_id), r.n_words, None if r.log_score is None else round(r.log_score, 6)) for r in rows) == expected
-    assert lm_score.score(empty, order=order).count() == 0
+    assert lm_score.score(empty, order=order, rows=by_rows).count() == 0
 
 
 def near(texts, n=5, threshold=0.8):
