@@ -93,7 +93,7 @@ def lineage_ranks(lineage: Column) -> Column:
 def species_of(taxonomy: Column) -> Column:
     """array of the species parts of a ';' taxonomy, canonical."""
     parts = F.filter(F.split(F.coalesce(taxonomy, F.lit("")), ";"), lambda x: x.startswith("s__"))
-    return F.filter(F.transform(parts, lambda x: canonical_taxon(F.substring(x, 4, 10_000))), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: canonical_taxon(F.regexp_replace(x, "^s__", ""))), lambda x: x != "")
 
 
 def genus_or_selected(genus: Column, selected: Column) -> Column:
@@ -120,7 +120,7 @@ def base_group(source: Column, genus: Column, host: Column, votu: Column, genome
 
 def relative_path(path: Column, root: str) -> Column:
     top = root.rstrip("/") + "/"
-    return F.when(path.startswith(top), F.substring(path, len(top) + 1, 10_000)).otherwise(path)
+    return F.when(path.startswith(top), F.right(path, F.length(path) - len(top))).otherwise(path)
 
 
 def chunk_ranges(length: Column, size: int = 5000, min_tail: int = 500) -> Column:

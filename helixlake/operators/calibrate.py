@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
+
 TEMPERATURES = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0)
 
 
@@ -37,23 +38,21 @@ def repair_history(history: DataFrame, checkpoint: float, run: str = "run", orde
     """Keep, per run, the branch of a training history that the checkpoint stands for.
 
     Where the epoch goes back, rows after the new epoch are dropped; the row of an epoch that is already there stays.
-    Rows after the checkpoint go. Epochs compare at one decimal of their exact binary value. A run's history is small.
+    Rows after the checkpoint go. Epochs compare at one decimal of their exact binary value. A run's history is small,
+    and one array of its rows is folded.
     """
-    limit = round(checkpoint, 1)
+    at = N.round1(F.col("epoch").cast("double"))
+    rows = history.select(run, F.struct(F.col(order).alias("_o"), at.alias("_e"), F.struct(*history.columns).alias("_row")).alias("_x"))
+    listed = rows.groupBy(run).agg(F.array_sort(F.collect_list("_x")).alias("_l"))
+    nothing = F.filter("_l", lambda x: F.lit(False))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[float, int]] = []
-        part = part.sort_values(order).reset_index(drop=True)
-        for i, value in enumerate(part["epoch"]):
-            epoch = round(float(value), 1)
-            if kept and epoch <= kept[-1][0]:
-                kept = [x for x in kept if x[0] <= epoch]
-                if kept and kept[-1][0] == epoch:
-                    continue
-            kept.append((epoch, i))
-        return part.iloc[[i for epoch, i in kept if epoch <= limit]]
+    def step(kept: Column, x: Column) -> Column:
+        before = F.filter(kept, lambda y: y["_e"] <= x["_e"])
+        there = F.exists(before, lambda y: y["_e"] == x["_e"])
+        return F.when(there, before).otherwise(F.concat(before, F.array(x)))
 
-    return history.groupBy(run).applyInPandas(fold, history.schema)
+    kept = F.filter(F.aggregate("_l", nothing, step), lambda x: x["_e"] <= F.lit(round(checkpoint, 1)))
+    return listed.select(F.explode(kept).alias("_x")).select("_x._row.*")
 
 
 def first_of_epoch(history: DataFrame, order: str = "pos") -> DataFrame:
@@ -77,18 +76,13 @@ def early_stop(history: DataFrame, metric: str, patience: float, interval: float
     """The check at which training stops, per run: ``patience / interval`` checks (rounded, 1 at least) in a row without
     a gain of more than min_delta over the best. (stop null: it runs to its end)."""
     checks = max(1, round(patience / interval))
+    listed = history.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), F.col(metric).cast("double").alias("v")))).alias("_l"))
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("waited"), F.lit(None).cast("long").alias("stop"))
+
+    def step(now: Column, x: Column) -> Column:
+        better = now["best"].isNull() | (x["v"] > now["best"] + min_delta)
+        waited = F.when(better, 0).otherwise(now["waited"] + 1)
+        stop = F.coalesce(now["stop"], F.when(waited >= checks, x["at"]))
+        return F.struct(F.when(better, x["v"]).otherwise(now["best"]).alias("best"), waited.alias("waited"), stop.alias("stop"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        best, waited, stop = None, 0, None
-        for at, value in part.sort_values(order)[[order, metric]].itertuples(index=False):
-            if best is None or value > best + min_delta:
-                best, waited = value, 0
-            else:
-                waited += 1
-                if waited >= checks:
-                    stop = at
-                    break
-        return pd.DataFrame([[*part.iloc[0][list(by)], stop]], columns=[*by, "stop"]).astype({"stop": "Int64"})
-
-    keys = ", ".join(f"{c} {history.schema[c].dataType.simpleString()}" for c in by)
-    return history.groupBy(*by).applyInPandas(fold, f"{keys}, stop long")
+    return listed.select(*by, F.aggregate("_l", start, step)["stop"].alias("stop"))

@@ -9,10 +9,20 @@ from ..functions import sequence as S
 
 
 def explode_chunks(records: DataFrame, size: int = 5000, min_tail: int = 500, sequence: str = "sequence", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(record_id, *keep, start, end, piece): ranges are closed-form, so this is one narrow step without a shuffle."""
-    ranges = S.chunk_ranges(F.length(sequence), size, min_tail)
-    cut = records.filter(F.length(sequence) > 0).select("record_id", *keep, F.col(sequence).alias("_s"), F.explode(ranges).alias("r"))
-    return cut.select("record_id", *keep, F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.substring("_s", (F.col("r.start") + 1).cast("int"), (F.col("r.end") - F.col("r.start")).cast("int")).alias("piece"))
+    """(record_id, *keep, start, end, piece): ranges are closed-form, so this is one narrow step without a shuffle.
+
+    A record is cut in one pass from its start to its end, whatever its length; only a short remainder and the piece
+    before it are cut anew.
+    """
+    cut = records.filter(F.length(sequence) > 0).select("record_id", *keep, F.col(sequence).alias("_s"), F.length(sequence).alias("_n"))
+    cut = cut.withColumn("_p", F.regexp_extract_all("_s", F.lit(f"(?s).{{1,{int(size)}}}"), F.lit(0)))
+    rest = F.col("_n") % size
+    short = (F.col("_n") > size) & (rest > 0) & (rest < min_tail)
+    last, middle = F.concat(F.element_at("_p", -2), F.element_at("_p", -1)), F.floor((size + rest) / 2).cast("int")
+    halves = F.array(F.substring(last, F.lit(1), middle), F.substring(last, middle + 1, F.length(last)))
+    pieces = F.when(short, F.concat(F.slice("_p", F.lit(1), F.size("_p") - 2), halves)).otherwise(F.col("_p"))
+    rows = cut.select("record_id", *keep, F.explode(F.arrays_zip(S.chunk_ranges(F.col("_n"), size, min_tail).alias("r"), pieces.alias("p"))).alias("x"))
+    return rows.select("record_id", *keep, F.col("x.r.start").alias("start"), F.col("x.r.end").alias("end"), F.col("x.p").alias("piece"))
 
 
 def chunk_table(records: DataFrame, manifest: DataFrame, size: int = 5000, min_tail: int = 500, n_limit: float = 0.2) -> DataFrame:

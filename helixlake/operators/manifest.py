@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -71,7 +71,7 @@ def build_manifest(records: DataFrame, metadata: DataFrame, reasons: DataFrame,
     metadata: (source, filename, snapshot, votu, uvig, main_label, sub_label, record_type). Sequences are hashed and
     measured before any join, and left out of every shuffle.
     """
-    clean = records.withColumn("sequence", S.normalize_dna(F.col("sequence"))).filter(F.length("sequence") > 0)
+    clean = records.withColumn("sequence", S.normalize_dna(F.col("sequence"))).filter(F.length("sequence") > 0)  # empty_records counts the others
     seq = F.col("sequence")
     slim = clean.select(
         "source", "filename", "path", "pos", "header", S.parse_header(F.col("source"), F.col("header"), F.col("filename")).alias("h"),
@@ -96,6 +96,19 @@ def repeated_ids(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("record_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def select_sources(df: DataFrame, known: list[str], wanted: list[str] | None = None, source: str = "source") -> DataFrame:
+    """Rows of the wanted sources (all known ones if none are named); an unknown name is an error."""
+    if unknown := sorted(set(wanted or []) - set(known)):
+        raise ValueError(f"unknown sources: {', '.join(unknown)}")
+    return df.filter(F.col(source).isin(*(wanted or known)))
+
+
+def empty_records(records: DataFrame) -> DataFrame:
+    """(source, empty): FASTA records that the manifest leaves out as nothing is left of their sequence."""
+    nothing = F.length(F.regexp_replace(F.coalesce("sequence", F.lit("")), r"\s", "")) == 0
+    return records.groupBy("source").agg(F.count_if(nothing).alias("empty"))
+
+
 def source_summary(records: DataFrame, source: str = "source", genome: str = "genome_id", bases: str = "sequence_length", excluded: str = "exclusion_reason") -> DataFrame:
     return records.groupBy(source).agg(
         F.count("*").alias("records"), F.countDistinct(genome).alias("genomes"), F.sum(bases).cast("long").alias("bases"),
@@ -110,6 +123,3 @@ def unchanged(records: DataFrame, manifest: DataFrame) -> DataFrame:
     problem = F.when(F.col("now").isNull(), "no sequence").when(F.col("sequence_sha256").isNull(), "not in manifest").when(F.col("now") != F.col("sequence_sha256"), "changed")
     return both.select("record_id", problem.alias("problem")).filter("problem is not null")
 
-
-def with_position(df: DataFrame, *order: str) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))

@@ -42,6 +42,22 @@ def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sum((h % 1_000_000_007).cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("parity"))
 
 
+def shared_split(main: DataFrame, sub: DataFrame, columns: tuple[str, ...] = ("chunk_id", "sequence")) -> DataFrame:
+    """(split, shared): whether the main task's rows of class 1, under their sub labels, are the sub task's rows.
+
+    Digests of the multisets are compared, so the order in which files list them does not matter.
+    """
+    own = main.filter("labels = 1").select("split", *columns, F.col("sub_labels").cast("string").alias("label"))
+    other = sub.select("split", *columns, F.col("labels").cast("string").alias("label"))
+
+    def digest(df: DataFrame, name: str) -> DataFrame:
+        h = F.xxhash64(*columns, "label")
+        return df.groupBy("split").agg(F.struct(F.count("*").alias("n"), F.sum((h % 1_000_000_007).cast("decimal(38,0)")).alias("sum"), F.bit_xor(h).alias("parity")).alias(name))
+
+    both = digest(own, "a").join(digest(other, "b"), "split", "full_outer")
+    return both.select("split", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("shared"))
+
+
 def qc_report(chunks: DataFrame, label: str = "labels") -> DataFrame:
     """One row: overlaps by kind, label conflicts, passed."""
     obs = observations(chunks, label=label)

@@ -39,8 +39,8 @@ def first_reason(edges: DataFrame, order: str = "pos") -> DataFrame:
 
 def kmer_sketch(fragments: DataFrame, k: int = 21, keep: int = 80, sequence: str = "sequence") -> DataFrame:
     """(id, kmer, rank): the ``keep`` smallest hashes of canonical k-mers of each fragment, exploded."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(sequence) - k + 1, F.lit(1)))
-    kmers = F.transform(at, lambda i: F.substring(F.col(sequence), i, F.lit(k)))
+    every = F.regexp_extract_all(sequence, F.lit(f"(?s)(?=(.{{{int(k)}}}))"), F.lit(1))  # one pass over the sequence
+    kmers = F.when(F.length(sequence) < k, F.array(sequence)).otherwise(every)
     hashes = F.array_distinct(F.transform(kmers, lambda x: F.xxhash64(F.least(x, S.reverse_complement(x)))))
     return fragments.select("id", F.posexplode(F.slice(F.array_sort(hashes), 1, keep)).alias("rank", "kmer"))
 
@@ -49,8 +49,8 @@ def near_pairs(fragments: DataFrame, identity: float = 0.95, coverage: float = 0
     """(left, right, identity): fragments alike on either strand.
 
     Sharing one of their smallest k-mers links each fragment to the bucket's centre, its longest member, so a bucket of
-    any size gives as many candidates as it has members. Each candidate is verified by edit distance within the
-    threshold, on both strands, with the length ratio as the coverage of both.
+    any size gives as many candidates as it has members. Each candidate is verified by edit distance, counted up to the
+    threshold only, on both strands, with the length ratio as the coverage of both.
     """
     base = save(fragments.select("id", F.col(sequence).alias("s"), F.length(sequence).alias("n")), "fragments")
     sketch = kmer_sketch(base.select("id", F.col("s").alias("sequence")), k, keep).join(base.select("id", "n"), "id")
@@ -58,9 +58,10 @@ def near_pairs(fragments: DataFrame, identity: float = 0.95, coverage: float = 0
     found = sketch.join(centre, "kmer").filter("id <> centre").select(F.least("id", "centre").alias("left"), F.greatest("id", "centre").alias("right")).distinct()
     a, b = base.select(F.col("id").alias("left"), F.col("s").alias("x"), F.col("n").alias("nx")), base.select(F.col("id").alias("right"), F.col("s").alias("y"), F.col("n").alias("ny"))
     pairs = found.join(a, "left").join(b, "right").filter(F.least("nx", "ny") >= F.greatest("nx", "ny") * coverage)
-    distance = F.least(F.levenshtein("x", "y"), F.levenshtein("x", S.reverse_complement(F.col("y"))))
-    like = 1 - distance / F.greatest("nx", "ny")
-    return pairs.select("left", "right", like.alias("identity")).filter(F.col("identity") >= identity)
+    most = F.floor(F.greatest("nx", "ny") * (1 - identity) + 1e-9).cast("int")
+    within = lambda y: f"levenshtein(x, {y}, most)"  # noqa: E731  -1 beyond it
+    near = pairs.withColumns({"most": most, "z": S.reverse_complement(F.col("y"))}).withColumn("d", F.array_min(F.filter(F.array(F.expr(within("y")), F.expr(within("z"))), lambda d: d >= 0)))
+    return near.filter("d IS NOT NULL").select("left", "right", (1 - F.col("d") / F.greatest("nx", "ny")).alias("identity")).filter(F.col("identity") >= identity - 1e-9)
 
 
 def cluster_edges(pairs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:

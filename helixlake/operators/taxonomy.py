@@ -39,6 +39,11 @@ def dataset(relabelled: DataFrame) -> DataFrame:
     return relabelled.filter("labels >= 0 OR split = 'inference'")
 
 
+def unseen(relabelled: DataFrame) -> DataFrame:
+    """The chunks of unseen taxa, of every split, for the open-set files."""
+    return relabelled.filter("labels < 0")
+
+
 def known_counts(relabelled: DataFrame) -> DataFrame:
     return relabelled.groupBy("split").agg(F.count_if(F.col("labels") >= 0).alias("known_chunks"), F.count_if(F.col("labels") < 0).alias("unseen_taxon_chunks"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -26,9 +27,12 @@ def get_spark(app: str = "helixlake", master: str | None = None) -> SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a new local one if driver and executors are one
+    process (tests); on a cluster that is an error, as executors do not share local folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="helixlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import io
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,22 +19,32 @@ class _File(InputPartition):
         self.path = path
 
 
-def parse(lines: Iterator[str], headers_only: bool = False) -> Iterator[tuple[int, str, str | None]]:
-    """(position, header, sequence) of each record; text before the first header is an error."""
-    header, parts, pos = None, [], -1
-    for line in lines:
-        line = line.strip()
-        if line.startswith(">"):
-            if header is not None:
-                yield pos, header, None if headers_only else "".join(parts)
-            header, parts, pos = line[1:], [], pos + 1
-        elif line:
-            if header is None:
-                raise ValueError("a FASTA file has sequence before its first header")
-            if not headers_only:
-                parts.append(line)
-    if header is not None:
-        yield pos, header, None if headers_only else "".join(parts)
+#: Bytes read at once, and about the bytes of a batch of rows.
+BLOCK = 1 << 22
+
+
+def _cut(stream) -> Iterator[bytes]:
+    """What lies before, between and after the line starts with '>'."""
+    parts, carry = [], b"\n"
+    while block := stream.read(BLOCK):
+        data = carry + block
+        carry = b"\n" if data.endswith(b"\n") else b""
+        first, *more = data[: len(data) - len(carry)].split(b"\n>")
+        parts.append(first)
+        for piece in more:
+            yield b"".join(parts)
+            parts = [piece]
+    yield b"".join(parts)
+
+
+def parse(stream, headers_only: bool = False) -> Iterator[tuple[int, str, str | None]]:
+    """(position, header, sequence) of the records of a byte stream; anything but blanks before the first is an error."""
+    records = _cut(stream)
+    if next(records).strip():
+        raise ValueError("a FASTA file has sequence before its first header")
+    for pos, entry in enumerate(records):
+        header, _, body = entry.partition(b"\n")
+        yield pos, header.strip().decode(), None if headers_only else b"".join(map(bytes.strip, body.split(b"\n"))).decode()
 
 
 class FastaReader(DataSourceReader):
@@ -43,28 +52,42 @@ class FastaReader(DataSourceReader):
         self.folder = options.get("path")
         self.headers_only = str(options.get("headersonly", "false")).lower() == "true"
         self.prefix = options.get("prefix", "")
+        self.suffixes = tuple(options["suffixes"].split(",")) if options.get("suffixes") else SUFFIXES
 
     def partitions(self):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(self.folder)
         info = store.get_file_info(root)
-        found = [root] if info.type == fs.FileType.File else [x.path for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.path.endswith(SUFFIXES)]
+        found = [root] if info.type == fs.FileType.File else [x.path for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.path.endswith(self.suffixes)]
         return [_File(p) for p in sorted(set(found))]
 
     def read(self, partition: _File):
+        import pyarrow as pa
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(self.folder)
+        name = partition.path.rsplit("/", 1)[-1]
+        schema = pa.schema([("path", pa.string()), ("filename", pa.string()), ("pos", pa.int64()), ("header", pa.string()), ("sequence", pa.string())])
+
+        def batch(rows):
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (partition.path, name, *r), strict=True)) for r in rows], schema)
+
         with store.open_input_stream(partition.path, compression=None) as raw:
-            text = gzip.open(raw, "rt") if partition.path.endswith(".gz") else io.TextIOWrapper(io.BufferedReader(raw))
-            for pos, header, sequence in parse(text, self.headers_only):
-                if header.startswith(self.prefix):
-                    yield partition.path, partition.path.rsplit("/", 1)[-1], pos, header, sequence
+            stream = gzip.open(raw) if partition.path.endswith(".gz") else raw
+            held, size = [], 0
+            for row in parse(stream, self.headers_only):
+                if row[1].startswith(self.prefix):
+                    held.append(row)
+                    size += len(row[1]) + len(row[2] or "")
+                    if size >= BLOCK:
+                        yield batch(held)
+                        held, size = [], 0
+            yield batch(held)
 
 
 class FastaSource(DataSource):
-    """spark.read.format("fasta").option("headersOnly", ...).option("prefix", ...).load(path)"""
+    """spark.read.format("fasta").option("headersOnly", ...).option("prefix", ...).option("suffixes", ...).load(path)"""
 
     @classmethod
     def name(cls):
@@ -89,7 +112,7 @@ def read_fasta_native(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", "true").text(path)
     block = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", "")
     header = F.trim(F.substring_index(block, "\n", 1))
-    body = F.regexp_replace(F.substring(block, F.length(F.substring_index(block, "\n", 1)) + 1, 2_000_000_000), r"\s+", "")
+    body = F.regexp_replace(F.right(block, F.length(block) - F.length(F.substring_index(block, "\n", 1))), r"\s+", "")
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"), header.alias("header"), body.alias("sequence"))
     return named.filter(F.col("header") != "")
 
@@ -97,4 +120,4 @@ def read_fasta_native(spark: SparkSession, path: str) -> DataFrame:
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """Header lines alone, without parsing sequences."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    return lines.filter(F.col("value").startswith(">")).select(F.col("_metadata.file_name").alias("filename"), F.trim(F.substring("value", 2, 1_000_000)).alias("header"))
+    return lines.filter(F.col("value").startswith(">")).select(F.col("_metadata.file_name").alias("filename"), F.trim(F.regexp_replace("value", "^>", "")).alias("header"))

@@ -201,10 +201,49 @@ def test_bootstrap(spark):
     rng = np.random.default_rng(1)
     rows = [(int(t), int(t) if rng.random() < 0.8 else 1 - int(t), f"k{i % 20}") for i, t in enumerate(rng.integers(0, 2, 400))]
     df = spark.createDataFrame(rows, "truth int, predicted int, split_group string")
-    exact = evaluate.bootstrap_exact(df, 2, 200)["macro_f1_95ci"]
-    hashed = evaluate.bootstrap_hashed(df, 2, 200).first()
-    assert abs(exact[0] - hashed.low) < 0.03 and abs(exact[1] - hashed.high) < 0.03
-    assert evaluate.bootstrap_exact(df.filter("split_group = 'k1'"), 2)["macro_f1_95ci"] is None
+    hashed = evaluate.bootstrap_hashed(df, 2, 50, seed=3).first()
+    names = sorted({g for *_, g in rows})
+    scores = []
+    for rep in range(50):
+        picked = [names[int(hashlib.sha256(f"3|{rep}|{d}".encode()).hexdigest()[:8], 16) % 20] for d in range(20)]
+        some = [(t, p) for name in picked for t, p, g in rows if g == name]
+        f1 = lambda c: 2 * sum(t == p == c for t, p in some) / sum((t == c) + (p == c) for t, p in some)  # noqa: B023, E731
+        scores.append((f1(0) + f1(1)) / 2)
+    assert np.allclose([hashed.low, hashed.high], np.quantile(scores, [0.025, 0.975])) and hashed.groups == 20
+
+
+def test_chunks_of_long_records_take_linear_time(spark):
+    import time
+
+    letters = "ACGTé𐐀"
+    rows = [(str(n), "".join(letters[(i * 7 + i // 5) % 6] for i in range(n))) for n in (1, 99, 100, 101, 114, 115, 200, 214, 215, 1000, 1014)]
+    got = {(r.record_id, r.start): r.piece for r in chunks.explode_chunks(spark.createDataFrame(rows, "record_id string, sequence string"), 100, 15).collect()}
+    assert got == {(k, a): s[a:z] for k, s in rows for a, z in ranges(len(s), 100, 15)}
+    took = []
+    for n in (2 << 20, 4 << 20, 8 << 20, 16 << 20):
+        one = spark.range(1).select(F.lit("r").alias("record_id"), F.repeat(F.lit("ACGT"), n // 4).alias("sequence"))
+        began = time.perf_counter()
+        assert chunks.explode_chunks(one).agg(F.sum(F.length("piece"))).first()[0] == n
+        took.append(time.perf_counter() - began)
+    assert took[-1] < 5 and took[-1] < 6 * max(took[-2], 0.3)
+
+
+def test_kmers_of_all_places(spark):
+    rows = spark.createDataFrame([("a", "ACGTNACGTA"), ("b", "AC"), ("c", "")], "id string, sequence string")
+    got = {}
+    for r in similarity.kmer_sketch(rows, 4, 100).groupBy("id").agg(F.collect_set("kmer").alias("k")).collect():
+        got[r.id] = set(r.k)
+    canon = lambda x: min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    words = {k: {canon(s[i : i + 4]) for i in range(max(1, len(s) - 3))} for k, s in (("a", "ACGTNACGTA"), ("b", "AC"), ("c", ""))}
+    hashes = {x: spark.range(1).select(F.xxhash64(F.lit(x))).first()[0] for s in words.values() for x in s}
+    assert got == {k: {hashes[x] for x in s} for k, s in words.items()}
+
+
+def test_shared_split(spark):
+    main = spark.createDataFrame([("train", "c1", "AC", 1, 0), ("train", "c2", "GG", 0, None), ("inference", "c3", "TT", 1, 2)], "split string, chunk_id string, sequence string, labels int, sub_labels int")
+    sub = main.filter("labels = 1").withColumn("labels", F.col("sub_labels"))
+    assert {r.split: r.shared for r in qc.shared_split(main, sub).collect()} == {"train": True, "inference": True}
+    assert {r.split: r.shared for r in qc.shared_split(main, sub.withColumn("labels", F.lit(0))).collect()} == {"train": True, "inference": False}
 
 
 def test_history(spark):

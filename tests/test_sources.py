@@ -1,4 +1,5 @@
 import gzip
+import io
 
 import pytest
 from pyspark.errors import PySparkException
@@ -36,7 +37,17 @@ def test_native_reader_agrees(spark, folder):
 
 def test_sequence_before_header():
     with pytest.raises(ValueError):
-        list(fasta.parse(iter(["ACGT\n"])))
+        list(fasta.parse(io.BytesIO(b"ACGT\n")))
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 20])
+def test_records_do_not_depend_on_the_blocks_read(monkeypatch, block):
+    monkeypatch.setattr(fasta, "BLOCK", block)
+    text = b"\n\n>a one\r\nAC\r\nGT\n\n>b\n>c >d\nA>C\n T \n>" + b"e" * 20 + b"\n" + b"ACGT\n" * 9
+    want = [(0, "a one", "ACGT"), (1, "b", ""), (2, "c >d", "A>CT"), (3, "e" * 20, "ACGT" * 9)]
+    assert list(fasta.parse(io.BytesIO(text))) == want
+    assert list(fasta.parse(io.BytesIO(text), True)) == [(i, h, None) for i, h, _ in want]
+    assert list(fasta.parse(io.BytesIO(b""))) == []
 
 
 def test_tables(spark, tmp_path):
@@ -46,6 +57,23 @@ def test_tables(spark, tmp_path):
     assert tables.read_tsv(spark, f"file://{tmp_path}/none.tsv", ["k"], optional=True).count() == 0
     (tmp_path / "l.tsv").write_text("x\troot|p|c\nno tab\nx\troot|q\n")
     assert [tuple(r) for r in tables.read_labels(spark, f"file://{tmp_path}/l.tsv").collect()] == [("x", "root|q")]
+    (tmp_path / "order.tsv").write_text("".join(f"k{i % 7}\tv{i}\n" for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # many splits of one file
+    last = {r.id: r.lineage for r in tables.read_labels(spark, f"file://{tmp_path}/order.tsv").collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert last == {f"k{i % 7}": f"v{i}" for i in range(4000)}
+    (tmp_path / "c.tsv").write_text("r\tm\nr\tn\n")
+    assert sorted(map(tuple, tables.read_fields(spark, f"file://{tmp_path}/c.tsv", ["representative", "member"]).collect())) == [("r", "m"), ("r", "n")]
+    with pytest.raises(PySparkException):
+        tables.read_fields(spark, f"file://{tmp_path}/c.tsv", ["representative"]).collect()
+    (tmp_path / "h.tsv").write_text("Ref_file\tQuery_file\tANI\tAlign_fraction_ref\tAlign_fraction_query\tx\na\tb\t99.5\t90\t80\tz\na\ta\t100\t100\t100\tz\n")
+    assert [tuple(r) for r in tables.read_hits(spark, f"file://{tmp_path}/h.tsv").collect()] == [("a", "b", 99.5, 90.0, 80.0)]
+    with gzip.open(tmp_path / "k.csv.gz", "wt") as f:
+        f.write('sequence,labels\n"A,C",1\nGG,0\n')
+    assert sorted(map(tuple, tables.read_chunks(spark, f"file://{tmp_path}/k.csv.gz", "sequence string, labels int").collect())) == [("A,C", 1), ("GG", 0)]
+    for n in (1, 2):
+        tables.publish_version(spark.range(n), f"file://{tmp_path}/versions")
+        assert tables.read_version(spark, f"file://{tmp_path}/versions").count() == n
     assert tables.keyed(rows, "k").count() == 2
     with pytest.raises(PySparkException):
         tables.keyed(rows.unionByName(rows), "k").collect()
@@ -64,6 +92,10 @@ def test_tables(spark, tmp_path):
 def test_manifest_end_to_end(spark, folder):
     fasta.register(spark)
     records = spark.read.format("fasta").load(f"file://{folder}").withColumn("source", F.substring("header", 1, 3))
+    assert {r.source: r.empty for r in manifest.empty_records(records.unionByName(records.limit(1).withColumn("sequence", F.lit(" ")))).collect()} == {"ARC": 1, "BAC": 0}
+    assert manifest.select_sources(records, ["ARC", "BAC"], ["BAC"]).count() == 1 and manifest.select_sources(records, ["ARC", "BAC"]).count() == 3
+    with pytest.raises(ValueError, match="XYZ"):
+        manifest.select_sources(records, ["ARC", "BAC"], ["XYZ"])
     six = "array<string>"
     meta = spark.createDataFrame([("ARC", "a.fna", ["p", "c", "o", "f", "g", "s"], "", "", 0, None, "genome"), ("BAC", "b.fna.gz", None, "", "", 0, None, "genome")], f"source string, filename string, snapshot {six}, votu string, uvig string, main_label int, sub_label int, record_type string")
     reasons = spark.createDataFrame([("BAC", "b.fna.gz", ["PHAGE:y", "EVE:x"])], "source string, filename string, host_reasons array<string>")
