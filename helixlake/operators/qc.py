@@ -37,9 +37,11 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
-    """(rows, total, parity): a digest of a multiset that any partitioning gives alike."""
-    h = F.xxhash64(*columns)
-    return df.agg(F.count("*").alias("rows"), F.sum((h % 1_000_000_007).cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("parity"))
+    """(rows, total, parity): a digest of a multiset that any partitioning gives alike, from 60 bits of each row's MD5,
+    so that any engine can recompute it. Nulls count as empty."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(h).alias("parity"))
 
 
 def shared_split(main: DataFrame, sub: DataFrame, columns: tuple[str, ...] = ("chunk_id", "sequence")) -> DataFrame:

@@ -17,7 +17,8 @@ from ..functions import numeric as N
 from ..functions import sequence as S
 from ..operators import audit, calibrate, chunks, evaluate, manifest, qc, similarity, splits, taxonomy, weights
 from ..operators.components import connected_components
-from ..session import ship
+from ..session import new_folder, save, ship
+from ..sources import fasta, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,7 +102,8 @@ K = 5
 
 def predictions(t: _Tables) -> DataFrame:
     v = F.col("vec_id")
-    logits = F.transform(F.slice("embedding", 1, K), lambda x: x.cast("double"))
+    every = lambda c: F.filter("embedding", lambda x, i: i % K == c)
+    logits = F.array(*[F.aggregate(every(c), F.lit(0.0), lambda a, x: a + x.cast("double")) for c in range(K)])  # each dimension counts for a class
     return t.embeddings.select(
         v.alias("chunk_id"), F.concat(F.lit("g"), v % 60).alias("genome_id"), F.concat(F.lit("c"), v % 150).alias("contig_id"), F.concat(F.lit("s"), v % 7).alias("source"),
         F.concat(F.lit("k"), v % 40).alias("split_group"), (100 + v * 37 % 6000).alias("valid_length"), (F.col("label") % K).cast("int").alias("truth"), logits.alias("logits"), N.softmax(logits).alias("p"),
@@ -109,7 +111,7 @@ def predictions(t: _Tables) -> DataFrame:
 
 
 PRED = f"""emb AS (SELECT vec_id AS chunk_id, 'g' || vec_id % 60 AS genome_id, 'c' || vec_id % 150 AS contig_id, 's' || vec_id % 7 AS source, 'k' || vec_id % 40 AS split_group,
-  100 + vec_id * 37 % 6000 AS valid_length, (label % {K})::INT AS truth, list_transform(embedding[1:{K}], lambda x: x::DOUBLE) AS logits FROM embeddings),
+  100 + vec_id * 37 % 6000 AS valid_length, (label % {K})::INT AS truth, list_transform(range({K}), lambda c: list_sum(list_transform(range(c, len(embedding), {K}), lambda i: embedding[i + 1]::DOUBLE))) AS logits FROM embeddings),
 pred0 AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM emb),
 pred AS (SELECT * EXCLUDE (e), list_transform(e, lambda x: x / list_sum(e)) AS p FROM pred0),
 sc AS (SELECT *, (list_position(p, list_max(p)) - 1)::INT AS predicted, list_max(p) AS confidence FROM pred)"""
@@ -294,49 +296,37 @@ def _(t):
 
 @query("j2_label_cascade", """SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'snapshot_metadata' WHEN e.k IS NOT NULL THEN 'gv_labels' WHEN p.k IS NOT NULL THEN 'provisional' ELSE 'missing' END AS taxonomy_source,
 CASE WHEN o_custkey % 4 = 0 THEN 'own' WHEN e.k IS NOT NULL THEN e.v WHEN p.k IS NOT NULL THEN p.v ELSE '' END AS phylum
-FROM orders LEFT JOIN (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 3 = 0) e ON o_custkey = e.k LEFT JOIN (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 5 = 0) p ON o_custkey = p.k""")
+FROM orders LEFT JOIN (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) e ON o_custkey = e.k LEFT JOIN (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_acctbal > 0) p ON o_custkey = p.k""")
 def _(t):
-    side = lambda m, v: t.customer.filter(F.col("c_custkey") % m == 0).select(F.lit("x").alias("source"), F.col("c_custkey").alias("raw_genome"), F.array(F.col(v), *[F.lit("")] * 5).alias("ranks"))
+    side = lambda having, v: t.customer.filter(having).select(F.lit("x").alias("source"), F.col("c_custkey").alias("raw_genome"), F.array(F.col(v), *[F.lit("")] * 5).alias("ranks"))
     own = F.when(F.col("o_custkey") % 4 == 0, F.array(F.lit("own"), *[F.lit("")] * 5))
     rows = t.orders.select("o_orderkey", F.lit("x").alias("source"), F.col("o_custkey").alias("raw_genome"), own.alias("snapshot"))
-    return manifest.taxonomy_cascade(rows, side(3, "c_mktsegment"), side(5, "c_name")).select("o_orderkey", "taxonomy_source", F.get("taxonomy", F.lit(0)).alias("phylum"))
+    return manifest.taxonomy_cascade(rows, side("c_mktsegment IN ('BUILDING', 'MACHINERY')", "c_mktsegment"), side("c_acctbal > 0", "c_name")).select("o_orderkey", "taxonomy_source", F.get("taxonomy", F.lit(0)).alias("phylum"))
 
 
-@query("j3_host_overlap", f"""WITH {PIECES}, b AS (SELECT sha256(substr(text, 1, 500)) AS hash, count(*) AS n FROM benchmark GROUP BY 1),
-m AS (SELECT DISTINCT record_id, source, hash FROM pc)
-SELECT m.record_id, count(*) AS matches, sum(b.n)::BIGINT AS items FROM m JOIN b USING (hash) GROUP BY m.record_id""")
+@query("j3_host_overlap", f"""WITH {PIECES}, m AS (SELECT DISTINCT record_id, source, hash FROM pc), o AS (SELECT hash, source, count(*) AS n FROM m GROUP BY 1, 2), h AS (SELECT hash, sum(n) AS n FROM o GROUP BY 1 HAVING count(*) > 1)
+SELECT m.record_id, count(*) AS matches, sum(h.n - o.n)::BIGINT AS records FROM m JOIN h USING (hash) JOIN o ON o.hash = m.hash AND o.source = m.source GROUP BY m.record_id""")
 def _(t):
-    """Benchmark items enter by all their fragments, cut as the documents are; items is of distinct items."""
-    cut = chunks.explode_chunks(t.benchmark.select(F.col("item_id").alias("record_id"), "text"), SIZE, TAIL, sequence="text")
-    items = cut.select(F.col("record_id").alias("item"), F.sha2(F.col("piece").cast("binary"), 256).alias("hash")).distinct()
-    found = pieces(t).select("record_id", "hash").join(items, "hash")
-    return found.groupBy("record_id").agg(F.countDistinct("hash").alias("matches"), F.countDistinct("item").alias("items"))
+    """Fragments that a record shares with records of other sources, and how many those are; counted by hash and source,
+    so that no pair of records is listed."""
+    mine = save(pieces(t).filter("source IS NOT NULL").select("record_id", "source", "hash").distinct(), "fragments")
+    own = save(mine.groupBy("hash", "source").agg(F.count("*").alias("own")), "fragments-by-source")
+    every = own.groupBy("hash").agg(F.sum("own").alias("n"), F.count("*").alias("sources")).filter("sources > 1").select("hash", "n")
+    found = mine.join(own.join(every, "hash"), ["hash", "source"])
+    return found.groupBy("record_id").agg(F.count("*").alias("matches"), F.sum(F.col("n") - F.col("own")).cast("long").alias("records"))
 
 
 @query("j3_j4_host_match", """WITH c AS (SELECT c_custkey, 'f__' || c_custkey || '.fna' AS filename, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS a, upper(c_custkey::VARCHAR) AS b, lower(c_mktsegment) AS s FROM customer),
-h AS (SELECT regexp_replace(upper(o_custkey::VARCHAR), '[^A-Z0-9]', '', 'g') AS k, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1),
-sp AS (SELECT lower(s_name) AS k, count(*) AS n FROM supplier GROUP BY 1)
-SELECT filename, 'exact_assembly_accession' AS match_type, h.k AS match_value, h.n AS matching_viral_records FROM c JOIN h ON h.k IN (c.a, c.b)
-UNION ALL SELECT filename, 'exact_host_species_name', sp.k, sp.n FROM c JOIN sp ON sp.k = c.s""")
-def _(t):
-    return host_match(t, t.orders.filter(F.col("o_orderkey") % 7 == 0))
-
-
-def host_match(t, orders):
-    genomes = t.customer.select(F.lit("BAC").alias("source"), F.concat(F.lit("f__"), "c_custkey", F.lit(".fna")).alias("filename"), F.col("c_name").alias("assembly_accession"), F.col("c_mktsegment").alias("species_name"), F.lit("").alias("organism_name"))
-    hosts = orders.select(F.lit("EVE_NCLDV").alias("viral_source"), F.col("o_custkey").cast("string").alias("host"))
-    species = t.supplier.select(F.concat(F.lit("s__"), "s_name").alias("taxonomy"))
-    return manifest.host_overlaps(genomes, hosts, species).select("filename", "match_type", "match_value", "matching_viral_records")
-
-
-@query("j3_j4_host_match_all", """WITH c AS (SELECT c_custkey, 'f__' || c_custkey || '.fna' AS filename, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS a, upper(c_custkey::VARCHAR) AS b, lower(c_mktsegment) AS s FROM customer),
 h AS (SELECT regexp_replace(upper(o_custkey::VARCHAR), '[^A-Z0-9]', '', 'g') AS k, count(*) AS n FROM orders GROUP BY 1),
 sp AS (SELECT lower(s_name) AS k, count(*) AS n FROM supplier GROUP BY 1),
 m AS (SELECT filename, unnest(list_distinct([a, b])) AS k FROM c)
 SELECT filename, 'exact_assembly_accession' AS match_type, h.k AS match_value, h.n AS matching_viral_records FROM m JOIN h USING (k)
 UNION ALL SELECT filename, 'exact_host_species_name', sp.k, sp.n FROM c JOIN sp ON sp.k = c.s""")
 def _(t):
-    return host_match(t, t.orders)
+    genomes = t.customer.select(F.lit("BAC").alias("source"), F.concat(F.lit("f__"), "c_custkey", F.lit(".fna")).alias("filename"), F.col("c_name").alias("assembly_accession"), F.col("c_mktsegment").alias("species_name"), F.lit("").alias("organism_name"))
+    hosts = t.orders.select(F.lit("EVE_NCLDV").alias("viral_source"), F.col("o_custkey").cast("string").alias("host"))
+    species = t.supplier.select(F.concat(F.lit("s__"), "s_name").alias("taxonomy"))
+    return manifest.host_overlaps(genomes, hosts, species).select("filename", "match_type", "match_value", "matching_viral_records")
 
 
 @query("j6_inventory_difference", """SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
@@ -366,7 +356,7 @@ def _(t):
 
 @query("j11_anti_conflict", f"""WITH {PIECES} SELECT record_id, start, hash FROM pc WHERE hash NOT IN (SELECT hash FROM pc GROUP BY hash HAVING count(DISTINCT source) > 1)""")
 def _(t):
-    p = pieces(t)
+    p = save(pieces(t).select("record_id", "start", "hash", "source"), "fragments")
     return p.join(splits.label_conflicts(p, "hash", "source"), "hash", "left_anti").select("record_id", "start", "hash")
 
 
@@ -422,8 +412,8 @@ FIRST = f"""{RECORDS}, h AS (SELECT doc_id, genome_id, lang AS label, sha256(tex
 f AS (SELECT *, first_value(genome_id) OVER w AS fg, first_value(label) OVER w AS fl, first_value(doc_id) OVER w AS fd FROM h WINDOW w AS (PARTITION BY hash ORDER BY doc_id))"""
 
 
-def _exact(t):
-    rows = records(t).select("record_id", F.col("genome_id").alias("grp"), F.col("lang").alias("label"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.col("doc_id").alias("pos"))
+def _exact(t, label="lang"):
+    rows = records(t).select("record_id", F.col("genome_id").alias("grp"), F.col(label).alias("label"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.col("doc_id").alias("pos"))
     return similarity.exact_edges(rows)
 
 
@@ -432,9 +422,9 @@ def _(t):
     return _exact(t)[0]
 
 
-@query("j24_cross_label_records", f"WITH {FIRST} SELECT DISTINCT unnest([doc_id, fd]) AS record_id FROM f WHERE label <> fl")
+@query("j24_cross_label_records", f"WITH {FIRST.replace('lang AS label', 'source AS label')} SELECT DISTINCT unnest([doc_id, fd]) AS record_id FROM f WHERE label <> fl")
 def _(t):
-    return _exact(t)[1].select("record_id")
+    return _exact(t, "source")[1].select("record_id")
 
 
 @query("j25_split_pairs", f"""WITH {PIECES}, s AS (SELECT DISTINCT hash, split FROM pc) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM s a JOIN s b ON a.hash = b.hash AND a.split < b.split GROUP BY 1, 2""")
@@ -444,7 +434,7 @@ def _(t):
 
 @query("j26_hash_membership", f"""WITH {PIECES} SELECT split, count(*) AS n FROM pc WHERE split <> 'train' AND hash IN (SELECT hash FROM pc WHERE split = 'train') GROUP BY split""")
 def _(t):
-    p = pieces(t).select("hash", "split")
+    p = save(pieces(t).select("hash", "split"), "fragments")
     return p.filter("split <> 'train'").join(p.filter("split = 'train'"), "hash", "left_semi").groupBy("split").agg(F.count("*").alias("n"))
 
 
@@ -519,9 +509,9 @@ def _(t):
     return qc.overlap_counts(_observed(t))
 
 
-@query("a13_chunk_label_conflicts", f"WITH {PIECES} SELECT hash AS key, count(DISTINCT quality) AS labels FROM pc GROUP BY 1 HAVING count(DISTINCT quality) > 1")
+@query("a13_chunk_label_conflicts", f"WITH {PIECES} SELECT hash AS key, count(DISTINCT source) AS labels FROM pc GROUP BY 1 HAVING count(DISTINCT source) > 1")
 def _(t):
-    return qc.label_conflicts(qc.observations(pieces(t).withColumn("chunk_hash", F.col("hash")), ("chunk_hash",), "quality"))
+    return qc.label_conflicts(qc.observations(pieces(t).withColumn("chunk_hash", F.col("hash")), ("chunk_hash",), "source"))
 
 
 @query("a14_overlap_examples", f"WITH {OBS} SELECT kind, key, splits FROM x ORDER BY kind, key LIMIT 20")
@@ -529,11 +519,10 @@ def _(t):
     return qc.overlap_examples(_observed(t))
 
 
-@query("a15_fingerprint", "SELECT count(*) AS differences FROM (SELECT doc_id, text FROM documents EXCEPT ALL SELECT doc_id, text FROM documents)")
+@query("a15_fingerprint", """WITH h AS (SELECT ('0x' || substr(md5(concat_ws(chr(31), doc_id::VARCHAR, coalesce(source, ''), coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents)
+SELECT count(*) AS rows, sum(h)::VARCHAR AS total, bit_xor(h) AS parity FROM h""")
 def _(t):
-    rows = t.documents.select("doc_id", "text")
-    a, b = qc.fingerprint(rows, "doc_id", "text"), qc.fingerprint(rows.repartition(5), "doc_id", "text")
-    return a.exceptAll(b).agg(F.count("*").alias("differences"))
+    return qc.fingerprint(t.documents, "doc_id", "source", "text")
 
 
 TAXA = f"tx AS (SELECT c_custkey AS genome_id, c_nationkey AS taxon, {sql_split('c_custkey')} AS split FROM customer UNION ALL SELECT c_custkey, 99, {sql_split('c_custkey')} FROM customer WHERE c_custkey % 10 = 0)"
@@ -628,6 +617,18 @@ def _(t):
     return out.select(*[r6(c).alias(c) for c in ("macro_f1", "balanced_accuracy", "accuracy")])
 
 
+VALIDATION = f"""{PRED}, {level_pred('genome_id').replace('arg_min(truth, chunk_id)', 'arg_max(truth, chunk_id)')}, gs AS (SELECT truth, list_position(p, list_max(p)) - 1 AS predicted FROM lv),
+gm AS (SELECT k.c, count_if(truth = k.c AND predicted = k.c) AS tp, count_if(truth = k.c) AS support, count_if(predicted = k.c) AS called FROM gs, range({K}) k(c) GROUP BY 1)"""
+
+
+@query("a22_validation_metrics", f"WITH {VALIDATION} SELECT round(avg(coalesce(tp / nullif(called, 0), 0)), 6) AS precision, round(avg(coalesce(tp / nullif(support, 0), 0)), 6) AS recall, round(avg(coalesce(2 * tp / nullif(called + support, 0), 0)), 6) AS macro_f1, round(avg(tp / support) FILTER (support > 0), 6) AS balanced_accuracy FROM gm")
+def _(t):
+    genomes = evaluate.scored(evaluate.aggregate_level(predictions(t), ["genome_id"], K, last=True))
+    each = evaluate.class_metrics(evaluate.confusion(genomes, K))
+    seen = F.when(F.col("support") > 0, F.col("recall"))
+    return each.agg(r6(F.avg("precision")).alias("precision"), r6(F.avg("recall")).alias("recall"), r6(F.avg("f1")).alias("macro_f1"), r6(F.avg(seen)).alias("balanced_accuracy"))
+
+
 CURVE = f"{PRED}, cv AS (SELECT least(floor(confidence * 10), 9)::INT AS bin, count(*) AS count, avg(confidence) AS mean_confidence, avg((predicted = truth)::INT) AS accuracy FROM sc GROUP BY 1)"
 
 
@@ -651,9 +652,6 @@ def _(t):
     return evaluate.average_precision(curve, ("class",)).select("class", r6("average_precision").alias("average_precision"), r6("pr_auc").alias("pr_auc"))
 
 
-REPEATS = 40
-
-
 def bootstrap_sql(repeats: int) -> str:
     return f"""WITH {PRED}, gr AS (SELECT split_group, row_number() OVER (ORDER BY split_group) - 1 AS i FROM (SELECT DISTINCT split_group FROM sc)), gn AS (SELECT count(*) AS g FROM gr),
 pick AS (SELECT rep, ('0x' || substr(sha256('0|' || rep || '|' || d), 1, 8))::BIGINT % g AS i FROM gn, range({repeats}) r(rep), range(1000000) q(d) WHERE d < g),
@@ -663,14 +661,8 @@ m AS (SELECT rep, sum(coalesce(f1, 0)) / {K} AS macro FROM f GROUP BY rep)
 SELECT round(quantile_cont(macro, 0.025), 6) AS low, round(quantile_cont(macro, 0.975), 6) AS high, (SELECT g FROM gn) AS groups FROM m"""
 
 
-@query("a28_bootstrap_ci", bootstrap_sql(REPEATS))
-def _(t):
-    return evaluate.bootstrap_hashed(evaluate.scored(predictions(t)), K, REPEATS, 0).select(r6("low").alias("low"), r6("high").alias("high"), "groups")
-
-
-@query("a28_bootstrap_ci_200", bootstrap_sql(Settings().bootstrap_repeats))
+@query("a28_bootstrap_ci", bootstrap_sql(Settings().bootstrap_repeats))
 def _(t):
-    """With the replicates of the settings."""
     return evaluate.bootstrap_hashed(evaluate.scored(predictions(t)), K, Settings().bootstrap_repeats, 0).select(r6("low").alias("low"), r6("high").alias("high"), "groups")
 
 
@@ -726,12 +718,7 @@ def _(t):
     return audit.keys_crossing(pieces(t), ["hash", "genome_id"])
 
 
-@query("a35_crosstab", f"WITH {RECORDS} SELECT split, count(DISTINCT genome_id) FILTER (lang = 'en') AS en, count(DISTINCT genome_id) FILTER (lang = 'de') AS de, count(DISTINCT genome_id) FILTER (lang = 'xx') AS xx FROM rec GROUP BY 1")
-def _(t):
-    return audit.crosstab(records(t), "split", "lang", ["en", "de", "xx"], "genome_id")
-
-
-@query("a35_crosstab_all", f"""WITH {RECORDS}, n AS (SELECT split, lang, count(DISTINCT genome_id) AS n FROM rec GROUP BY 1, 2)
+@query("a35_crosstab", f"""WITH {RECORDS}, n AS (SELECT split, lang, count(DISTINCT genome_id) AS n FROM rec GROUP BY 1, 2)
 SELECT s.split, l.lang, coalesce(n.n, 0) AS genomes FROM (SELECT DISTINCT split FROM rec) s CROSS JOIN (SELECT DISTINCT lang FROM rec) l LEFT JOIN n ON n.split = s.split AND n.lang IS NOT DISTINCT FROM l.lang""")
 def _(t):
     return audit.crosstab_rows(records(t), "split", "lang", "genome_id")
@@ -828,9 +815,13 @@ def _(t):
     return splits.allocate(_stats(t))
 
 
-@query("w7_history_repair")
+@query("w7_history_repair", """WITH hs AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, value FROM events),
+e AS (SELECT run, pos, value, pos - CASE WHEN pos > 17 THEN 5 ELSE 0 END AS e FROM hs),
+l AS (SELECT run, list([{'e': e, 'pos': pos, 'value': value}] ORDER BY pos) AS l FROM e GROUP BY run),
+f AS (SELECT run, list_reduce(list_prepend(l[1], l), lambda a, x: list_concat(list_filter(a, lambda y: y.e <= x[1].e), CASE WHEN list_contains(list_transform(a, lambda y: y.e), x[1].e) THEN [] ELSE x END)) AS kept FROM l)
+SELECT run, k.pos::INT AS pos, k.e / 10 AS epoch, k.value AS value FROM (SELECT run, unnest(kept) AS k FROM f) WHERE k.e <= 21""")
 def _(t):
-    """Epochs that go back where a run was resumed: every user's events, the 17th of each 20 starts again 5 earlier."""
+    """Epochs that go back where a run was resumed: from its 18th event on, a user's history starts again 5 earlier."""
     from pyspark.sql import Window
 
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -897,40 +888,25 @@ def _(t):
 
 # ---- graph ------------------------------------------------------------------------------------------------------
 
-EDGES = "ed AS (SELECT o_custkey AS u, o_custkey + 1000000 + o_orderkey % 40 AS v FROM orders WHERE o_orderkey % 9 = 0)"
+EDGES = "ed AS (SELECT o_custkey AS u, o_custkey + 1000000 + o_orderkey % 40 AS v FROM orders), sy AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed)"
+LABELS = """cc(node, component) USING KEY (node) AS (SELECT node, node FROM vertices
+UNION (SELECT sy.v, min(cc.component) FROM cc JOIN sy ON sy.u = cc.node JOIN recurring.cc AS old ON old.node = sy.v WHERE cc.component < old.component GROUP BY sy.v))"""
 
 
 def _edges(t):
-    return all_edges(t).filter("o_orderkey % 9 = 0").select("u", "v")
-
-
-def all_edges(t):
-    return t.orders.select("o_orderkey", F.col("o_custkey").alias("u"), (F.col("o_custkey") + 1000000 + F.col("o_orderkey") % 40).alias("v"))
+    return t.orders.select(F.col("o_custkey").alias("u"), (F.col("o_custkey") + 1000000 + F.col("o_orderkey") % 40).alias("v"))
 
 
-@query("h1_components", f"""WITH RECURSIVE {EDGES}, sy AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), reach AS (SELECT u AS node, u AS seen FROM sy UNION SELECT reach.node, sy.v FROM reach JOIN sy ON reach.seen = sy.u)
-SELECT node, min(seen) AS component FROM reach GROUP BY node""")
+@query("h1_components", f"WITH RECURSIVE {EDGES}, vertices AS (SELECT DISTINCT u AS node FROM sy), {LABELS} SELECT node, component FROM cc")
 def _(t):
     return connected_components(_edges(t))
 
 
-@query("h2_components_with_vertices", f"""WITH RECURSIVE {EDGES}, sy AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed UNION SELECT c_custkey, c_custkey FROM customer), reach AS (SELECT u AS node, u AS seen FROM sy UNION SELECT reach.node, sy.v FROM reach JOIN sy ON reach.seen = sy.u),
-c AS (SELECT node, min(seen) AS component FROM reach GROUP BY node) SELECT component, count(*) AS n FROM c GROUP BY 1""")
+@query("h2_components_with_vertices", f"WITH RECURSIVE {EDGES}, vertices AS (SELECT u AS node FROM sy UNION SELECT c_custkey FROM customer), {LABELS} SELECT component, count(*) AS n FROM cc GROUP BY 1")
 def _(t):
     return connected_components(_edges(t), vertices=t.customer.select(F.col("c_custkey").alias("node"))).groupBy("component").agg(F.count("*").alias("n"))
 
 
-@query("h1_components_all")
-def _(t):
-    """Over every order; the recursive SQL is for a ninth of them."""
-    return connected_components(all_edges(t))
-
-
-@query("h2_components_with_vertices_all")
-def _(t):
-    return connected_components(all_edges(t), vertices=t.customer.select(F.col("c_custkey").alias("node"))).groupBy("component").agg(F.count("*").alias("n"))
-
-
 @query("h3_first_reason", "SELECT least(l_suppkey, l_partkey) AS left_group, greatest(l_suppkey, l_partkey) AS right_group, arg_min(l_returnflag, (l_orderkey, l_linenumber)) AS reason FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2")
 def _(t):
     rows = t.lineitem.select(F.col("l_suppkey").alias("left_group"), F.col("l_partkey").alias("right_group"), F.col("l_returnflag").alias("reason"), F.struct("l_orderkey", "l_linenumber").alias("pos"))
@@ -1020,14 +996,8 @@ def _(t):
     return cut.select("record_id", F.col("r.start").alias("start"), F.col("number").cast("long").alias("number"))
 
 
-@query("o2_report_order", "SELECT c_mktsegment, c_nationkey, c_custkey FROM customer ORDER BY c_mktsegment, c_nationkey, c_custkey LIMIT 30")
-def _(t):
-    return t.customer.select("c_mktsegment", "c_nationkey", "c_custkey").orderBy("c_mktsegment", "c_nationkey", "c_custkey").limit(30)
-
-
-@query("o2_report_order_all", "SELECT c_mktsegment, c_nationkey, c_custkey FROM customer ORDER BY c_mktsegment, c_nationkey, c_custkey")
+@query("o2_report_order", "SELECT c_mktsegment, c_nationkey, c_custkey FROM customer ORDER BY c_mktsegment, c_nationkey, c_custkey")
 def _(t):
-    """The whole report in order; o2_report_order is its head."""
     return t.customer.select("c_mktsegment", "c_nationkey", "c_custkey").orderBy("c_mktsegment", "c_nationkey", "c_custkey")
 
 
@@ -1061,8 +1031,163 @@ def _(t):
 @query("s16_s17_fan_out", f"WITH {PIECES} SELECT task, split, count(*) AS n FROM (SELECT 'main' AS task, split FROM pc UNION ALL SELECT 'sub', split FROM pc WHERE quality IS NOT NULL) GROUP BY 1, 2")
 def _(t):
     """One write partitioned by split, read back; the sub task is a filter of it."""
-    from ..session import save
-
     table = save(pieces(t).select("record_id", "start", "quality", "split"), "chunks", "split")
     main, sub = table.withColumn("task", F.lit("main")), table.filter("quality IS NOT NULL").withColumn("task", F.lit("sub"))
     return main.unionByName(sub).groupBy("task", "split").agg(F.count("*").alias("n"))
+
+
+# ---- sources, sinks and the steps that use them --------------------------------------------------------------------
+
+READ = "translate(md5(p_partkey || p_name), '0123456789abcdef', 'acgtACGTACGTuNRY')"
+
+
+def _reads(t) -> DataFrame:
+    """Every part as a FASTA record of two lines."""
+    name = F.concat(F.lit(">ARC__g"), "p_partkey", F.lit("|c"), "p_partkey", F.lit(" text"))
+    return dna(t, F.concat("p_partkey", "p_name")).select(F.concat(name, F.lit("\n"), F.substring("s", 1, 20), F.lit("\n"), F.expr("substring(s, 21)")).alias("value"))
+
+
+def _fasta(t, folder: str, **options: str) -> DataFrame:
+    fasta.register(t.spark)
+    return t.spark.read.format("fasta").options(suffixes=".txt,.txt.gz", **options).load(folder)
+
+
+@query("s1_s3_s4_fasta_scan", f"SELECT 'ARC__g' || p_partkey || '|c' || p_partkey || ' text' AS header, {READ} AS sequence, 2 AS copies FROM part")
+def _(t):
+    """The same records in plain and in gzip files, below one folder."""
+    folder = new_folder(t.spark, "fasta")
+    _reads(t).write.text(f"{folder}/plain")
+    _reads(t).write.option("compression", "gzip").text(f"{folder}/zipped")
+    return _fasta(t, folder).groupBy("header", "sequence").agg(F.count("*").cast("int").alias("copies"))
+
+
+@query("s2_p1_header_scan", "SELECT 'ARC__g' || p_partkey || '|c' || p_partkey || ' text' AS header, true AS bare FROM part WHERE p_partkey::VARCHAR LIKE '1%'")
+def _(t):
+    folder = new_folder(t.spark, "fasta")
+    _reads(t).write.text(folder)
+    return _fasta(t, folder, headersOnly="true", prefix="ARC__g1").select("header", F.col("sequence").isNull().alias("bare"))
+
+
+@query("s1_native_fasta_scan", f"SELECT 'ARC__g' || p_partkey || '|c' || p_partkey || ' text' AS header, {READ} AS sequence FROM part")
+def _(t):
+    folder = new_folder(t.spark, "fasta")
+    _reads(t).write.text(folder)
+    return fasta.read_fasta_native(t.spark, folder).select("header", "sequence")
+
+
+@query("s5_s7_s8_keyed_tsv", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment, '' AS note FROM customer")
+def _(t):
+    """A keyed table, with an optional one that is missing."""
+    folder, columns = new_folder(t.spark, "tsv"), ["c_custkey", "c_name", "c_mktsegment"]
+    t.customer.select(*columns).write.csv(folder, sep="\t", header=True)
+    notes = tables.read_tsv(t.spark, f"{folder}/none.tsv", ["c_custkey", "note"], optional=True)
+    return tables.keyed(tables.read_tsv(t.spark, folder, columns), "c_custkey").join(notes, "c_custkey", "left").na.fill("")
+
+
+@query("s6_label_table", "SELECT o_custkey::VARCHAR AS id, 'root|' || max(o_orderkey) AS lineage FROM orders GROUP BY 1")
+def _(t):
+    """Lines in the order of the orders: a customer's last one wins."""
+    folder = new_folder(t.spark, "labels")
+    t.orders.orderBy("o_orderkey").select(F.concat("o_custkey", F.lit("\troot|"), "o_orderkey")).write.text(folder)
+    return tables.read_labels(t.spark, folder)
+
+
+@query("s9_chunk_csv", f"SELECT p_partkey, {READ} AS sequence, p_size AS labels FROM part")
+def _(t):
+    folder = new_folder(t.spark, "csv")
+    rows = dna(t, F.concat("p_partkey", "p_name")).join(t.part.select("p_partkey", F.col("p_size").alias("labels")), "p_partkey")
+    rows.select("p_partkey", F.col("s").alias("sequence"), "labels").write.option("compression", "gzip").csv(folder, header=True)
+    return tables.read_chunks(t.spark, folder, "p_partkey long, sequence string, labels int")
+
+
+@query("s13_cluster_table", "SELECT l_suppkey::VARCHAR AS representative, count(DISTINCT l_partkey) AS members FROM lineitem GROUP BY 1")
+def _(t):
+    folder = new_folder(t.spark, "clusters")
+    t.lineitem.select(F.concat_ws("\t", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"))).write.text(folder)
+    return tables.read_fields(t.spark, folder, ["representative", "member"]).groupBy("representative").agg(F.countDistinct("member").alias("members"))
+
+
+@query("s13_aligner_table", "SELECT o_custkey::VARCHAR AS \"left\", (o_orderkey % 100)::VARCHAR AS \"right\", o_totalprice AS ani, 0.5::DOUBLE AS af_left, 0.25::DOUBLE AS af_right FROM orders WHERE o_custkey <> o_orderkey % 100")
+def _(t):
+    folder = new_folder(t.spark, "hits")
+    names = {"Ref_file": F.col("o_custkey"), "Query_file": F.col("o_orderkey") % 100, "ANI": F.col("o_totalprice"), "Align_fraction_ref": F.lit(0.5), "Align_fraction_query": F.lit(0.25)}
+    t.orders.select(*[c.alias(n) for n, c in names.items()]).write.csv(folder, sep="\t", header=True)
+    return tables.read_hits(t.spark, folder)
+
+
+@query("s14_s15_current_version", "SELECT c_custkey, c_acctbal FROM customer")
+def _(t):
+    """Two versions are published; readers get the second."""
+    folder = new_folder(t.spark, "versions")
+    rows = t.customer.select("c_custkey", "c_acctbal")
+    tables.publish_version(rows.withColumn("c_acctbal", F.lit(0.0)), folder)
+    tables.publish_version(rows, folder)
+    return tables.read_version(t.spark, folder)
+
+
+@query("s18_json_reports", "SELECT c_custkey, json_object('c_name', c_name, 'c_nationkey', c_nationkey)::VARCHAR AS report FROM customer")
+def _(t):
+    return tables.reports(t.customer.select("c_custkey", "c_name", "c_nationkey"), "c_custkey")
+
+
+@query("p2_source_subset", "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2')")
+def _(t):
+    known = [f"src{i}" for i in range(20)]
+    return manifest.select_sources(t.documents.select("doc_id", "source"), known, ["src1", "src2"])
+
+
+@query("p3_empty_records", r"SELECT source, count_if(regexp_replace(coalesce(text, ''), '\s', '', 'g') = '') AS empty FROM documents GROUP BY 1")
+def _(t):
+    return manifest.empty_records(t.documents.withColumn("sequence", F.col("text")))
+
+
+@query("p10_shared_split", f"WITH {PIECES} SELECT split, split <> 'validation' AS shared FROM pc WHERE quality IS NOT NULL GROUP BY split")
+def _(t):
+    """Documents with a quality label are class 1; the sub task has them all, but other labels in one split."""
+    chunk = F.concat_ws(":", "record_id", "start")
+    main = pieces(t).select("split", chunk.alias("chunk_id"), F.col("hash").alias("sequence"), F.col("quality").isNotNull().cast("int").alias("labels"), F.col("quality").alias("sub_labels"))
+    other = F.when(F.col("split") == "validation", 1 - F.col("sub_labels")).otherwise(F.col("sub_labels"))
+    return qc.shared_split(main, main.filter("labels = 1").withColumn("labels", other))
+
+
+@query("p11_authoritative_taxa", f"""WITH {RECORDS} SELECT genome_id, split, taxon FROM (SELECT genome_id, CASE WHEN toxic = 1 THEN 'quarantine' ELSE split END AS split, CASE WHEN quality = 0 THEN 'Unclassified x' WHEN quality = 1 THEN 'mirus' ELSE source END AS taxon FROM rec WHERE lang IN ('en', 'de'))
+WHERE split <> 'quarantine' AND lower(taxon) <> 'mirus' AND taxon NOT LIKE 'Unclass%'""")
+def _(t):
+    origin = F.when(F.col("lang") == "en", "gv_labels").when(F.col("lang") == "de", "snapshot_metadata").otherwise("provisional")
+    taxon = F.when(F.col("quality") == 0, "Unclassified x").when(F.col("quality") == 1, " mirus ").otherwise(F.col("source"))
+    split = F.when(F.col("toxic") == 1, "quarantine").otherwise(F.col("split"))
+    rows = records(t).withColumns({"split": split, "taxonomy_source": origin, "taxonomy_genus": taxon, "source": F.lit("NCLDV")})
+    return taxonomy.usable_rows(rows, "NCLDV", "genus")
+
+
+@query("p12_unseen_taxa", f"""WITH {TAXA}, {ORDERS}, n AS (SELECT taxon FROM tx WHERE split = 'train' GROUP BY 1 HAVING count(DISTINCT genome_id) >= 45), r AS (SELECT genome_id, min(taxon) AS taxon FROM tx GROUP BY 1 HAVING count(DISTINCT taxon) = 1),
+x AS (SELECT ch.split, taxon IN (SELECT taxon FROM n) AS known FROM ch JOIN r USING (genome_id))
+SELECT 'dataset' AS part, split, count(*) AS n FROM x WHERE known OR split = 'inference' GROUP BY split UNION ALL SELECT 'unseen', split, count(*) FROM x WHERE NOT known GROUP BY split""")
+def _(t):
+    rows = _taxa(t)
+    named = taxonomy.relabel(chunked_orders(t), taxonomy.reliable_genomes(rows), taxonomy.vocabulary(rows, 45))
+    both = taxonomy.dataset(named).withColumn("part", F.lit("dataset")).unionByName(taxonomy.unseen(named).withColumn("part", F.lit("unseen")))
+    return both.groupBy("part", "split").agg(F.count("*").alias("n"))
+
+
+@query("f13_genus_fallback", "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN c_mktsegment WHEN c_nationkey = 4 THEN '' ELSE c_name END AS genus FROM customer")
+def _(t):
+    nation = F.col("c_nationkey")
+    genus = F.when(nation == 3, "").when(nation == 4, F.lit(None)).otherwise(F.col("c_name"))
+    return t.customer.select("c_custkey", S.genus_or_selected(genus, F.when(nation != 4, F.col("c_mktsegment"))).alias("genus"))
+
+
+@query("m1_build_manifest", f"""WITH r AS (SELECT 'ARC__g' || p_partkey || '|c' || p_partkey AS header, p_partkey AS k, {READ} AS s FROM part), n AS (SELECT header, k, {NORMAL} AS x FROM r),
+f AS (SELECT *, (length(x) - length(replace(x, 'N', ''))) / length(x) AS fr FROM n)
+SELECT 'REC_' || substr(sha256('ARC' || chr(31) || header), 1, 20) AS record_id, 'ARC__g' || k AS genome_id, 'ARC__c' || k AS contig_id, length(x) AS sequence_length, round(fr, 6) AS n_fraction, sha256(x) AS sequence_sha256,
+  sha256(least(x, {RC})) AS canonical_sha256, 'GENOME::ARC__g' || k AS base_group_id, CASE WHEN fr > 0.2 THEN 'n_fraction_above_0.2' END AS exclusion_reason, 'missing' AS taxonomy_source FROM f""")
+def _(t):
+    """From FASTA files to the manifest; without metadata, so that taxonomy is missing."""
+    folder, six = new_folder(t.spark, "fasta"), "array<string>"
+    _reads(t).select(F.regexp_replace("value", " text\n", "\n").alias("value")).write.text(folder)
+    found = _fasta(t, folder).withColumn("source", F.lit("ARC"))
+    meta = t.spark.createDataFrame([], f"source string, filename string, snapshot {six}, votu string, uvig string, main_label int, sub_label int, record_type string")
+    reasons = t.spark.createDataFrame([], f"source string, filename string, host_reasons {six}")
+    none = t.spark.createDataFrame([], f"source string, raw_genome string, ranks {six}")
+    rows = manifest.build_manifest(found, meta, reasons, none, none)
+    return rows.select("record_id", "genome_id", "contig_id", "sequence_length", r6("n_fraction").alias("n_fraction"), "sequence_sha256", "canonical_sha256", "base_group_id", "exclusion_reason", "taxonomy_source")
