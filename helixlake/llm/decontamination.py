@@ -5,11 +5,13 @@ consecutive words of a test item; an item of fewer words is one window. The set
 the scan probes it once for each word of a document, and the windows of a word found there are verified word by word
 around it. All widths take the one scan.
 
-The windows are counted first and broadcast in blocks of about ``broadcast_limit``, one scan per block: whatever the
-test set's size, a broadcast stays bounded and a document's words are never shuffled.
+The windows are measured first and broadcast in blocks of about ``broadcast_bytes``, one scan per block: whatever the
+test set's size, a broadcast stays bounded and a document's words are never shuffled. What is gathered per document is
+its hits, which its words bound, and the items they are of.
 
 Defined results: a null or wordless text has n_words 0 and no hits; null or wordless items have no windows; item rows
-with the same id count once; rows with equal id and text get equal results; empty tables give no hits or no rows.
+with the same id count once; rows with equal id and text get equal results; a very long text is one array of words in
+one task; other columns are not looked at; empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -40,13 +42,14 @@ def test_windows(items: DataFrame, width: int, item: str, text: str) -> DataFram
     return cut.select("item", n.alias("n"), F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("gram")).distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast_limit: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row per document: key, _t (hash of its text), n_words, n_hit, n_items, items_sha256, contaminated."""
     tests = test_windows(items, width, item, item_text)
     # each window is found by its longest word (the first of the greatest), which is seldom a common one
     longest = F.array_max(F.transform("gram", lambda x, i: F.struct(F.length(x).alias("len"), x.alias("word"), (-i).alias("at"))))
     side = tests.withColumn("_l", longest).select("item", "n", "gram", F.col("_l.word").alias("word"), (-F.col("_l.at")).alias("off"))
-    parts = max(1, math.ceil(tests.count() / broadcast_limit))
+    size = F.octet_length(F.array_join("gram", " ")) + F.octet_length("item") + 16 * F.size("gram") + 64  # in memory
+    parts = max(1, math.ceil((tests.agg(F.sum(size.cast("long"))).first()[0] or 0) / broadcast_bytes))
     part = F.pmod(F.xxhash64("item", "gram"), F.lit(parts))
     ident = [F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t")]
     base = docs.select(*ident, F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), RAW_GAP), "")).cast("long").alias("n_words"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_folder, save
-from .common import table
+from .common import prefix_sums, table
 from .files import contents, create, put
 
 MAGIC = b"HLXTOK01"
@@ -176,7 +176,7 @@ def encoder(path: str) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text", ids_per_file: int = 1 << 22) -> DataFrame:
-    """Write docs as token files below folder; the manifest: file, n_docs, n_tokens, one row per file."""
+    """Write docs as token files below folder; the manifest: file, part, n_docs, n_tokens, one row per file."""
     create(folder)
     tail = np.array([end_id], "<u4").tobytes()
 
@@ -194,12 +194,12 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, key:
             name = f"part-{part:07d}-{made:05d}-{attempt}.tok"  # in the order of keys
             ids = np.frombuffer(b"".join(parts), "<u4")
             put(folder, name, write_file(pa.chunked_array(keys).combine_chunks(), np.array(counts, np.int64), ids, max(code.vocab, end_id + 1)))
-            row = pa.RecordBatch.from_pylist([{"file": name, "n_docs": len(counts), "n_tokens": len(ids)}], schema)
+            row = pa.RecordBatch.from_pylist([{"file": name, "part": part, "n_docs": len(counts), "n_tokens": len(ids)}], schema)
             made, held = made + 1, 0
             keys.clear(), counts.clear(), parts.clear()
             return row
 
-        schema = pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+        schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 some = batch.slice(i, 2048)
@@ -216,7 +216,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, key:
 
     order = [F.col(key).asc_nulls_first(), F.col("_t")]
     ordered = docs.select(F.col(key), F.col(text), F.xxhash64(F.col(text)).alias("_t")).repartitionByRange(*order).sortWithinPartitions(*order)
-    return save(ordered.select(key, text).mapInArrow(write, "file string, n_docs long, n_tokens long"), "token-manifest")
+    return save(ordered.select(key, text).mapInArrow(write, "file string, part int, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_tokens(docs_type, folder: str, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -236,12 +236,12 @@ def read_tokens(docs_type, folder: str, manifest: DataFrame, key: str = "doc_id"
 
 def token_digest(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Write the files, read them back: key, start over all files, n_tokens, ids_crc32, file."""
-    from pyspark.sql import Window
-
     folder = folder or new_folder(docs.sparkSession, "tokens")
     manifest = write_tokens(docs, path, folder, end_id, key, text)
-    before = F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = manifest.select("file", F.coalesce(before, F.lit(0).cast("long")).alias("_first"))
+    files, last = manifest.agg(F.count("*"), F.max("part")).first()
+    placed = manifest.select("file", "n_tokens", (F.col("part") / F.lit((last or 0) + 1)).alias("_u"))
+    sums = prefix_sums(placed, [], "_u", [F.col("file")], F.col("n_tokens"), "_end", files)
+    firsts = sums.select("file", (F.col("_end") - F.col("n_tokens")).alias("_first"))
     found = read_tokens(docs.schema[key].dataType.simpleString(), folder, manifest, key)
     return found.join(firsts, "file").select(key, (F.col("_first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "file")
 

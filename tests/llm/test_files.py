@@ -119,30 +119,3 @@ def test_archive_format():
         held = zstandard.ZstdCompressionDict(data[8 : 8 + size])
         frame = zstandard.ZstdDecompressor(dict_data=held).stream_reader(io.BytesIO(data[8 + size :]), read_across_frames=False)
         assert frame.read(1 << 20) == some[0]  # each record is a frame of its own
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-    from helixlake.llm import decontamination, jaccard, mixing, toxicity
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard", "decontamination", "mixing", "tokens"]
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    read = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
-    model = toxicity.fit(docs, read("labels"))
-    clean = {r.doc_id for r in toxicity.score(docs, model).filter("predicted = 0").collect()}
-    kept = docs.filter(docs["doc_id"].isin(sorted(clean)))
-    after = [f(spark, docs, sf) for _, f in corpus_pipeline.STAGES[:1]][0]
-    assert {r.doc_id for r in after.collect()} == clean and after.columns == docs.columns
-    classes = jaccard.jaccard_classes(kept).collect()
-    one = {r.doc_id for r in classes if r.doc_id == r.class_id}
-    after = corpus_pipeline.without_near_copies(spark, kept, sf)
-    assert {r.doc_id for r in after.collect()} == one and after.columns == docs.columns
-    left = docs.filter(docs["doc_id"].isin(sorted(one)))
-    bad = {r.doc_id for r in decontamination.decontaminate(left, read("benchmark")).filter("contaminated").collect()}
-    after = corpus_pipeline.without_benchmark(spark, left, sf)
-    assert {r.doc_id for r in after.collect()} == one - bad and after.columns == docs.columns
-    rest = docs.filter(docs["doc_id"].isin(sorted(one - bad)))
-    copies = Counter({r["_key"]: r.copies for r in mixing.plan(rest).collect() if r.copies})
-    after = corpus_pipeline.mixed(spark, rest, sf)
-    assert Counter(r.doc_id for r in after.collect()) == copies and after.columns == docs.columns
-    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == copies

@@ -38,8 +38,8 @@ def test_decontamination_brute_force(spark, edge, edge_rows, empty):
     items = [(1, " ".join(long[10:40])), (2, "Word"), (3, None), (4, " ,,, "), (5, "nothing like this occurs"), (2, "Word"), (None, " ".join(long[50:63])), (7, "gämma1 über")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     grams = {(str(i) if i is not None else "", tuple(x[k : k + min(13, len(x))])) for i, t in items for x in [words(t)] if x for k in range(len(x) - min(13, len(x)) + 1)}
-    for limit in (500_000, 20):  # the second broadcasts in blocks
-        got = Counter(tuple(r) for r in decontamination.decontaminate(edge, bench, broadcast_limit=limit).drop("_t").collect())
+    for limit in (64 << 20, 4000):  # the second broadcasts in blocks
+        got = Counter(tuple(r) for r in decontamination.decontaminate(edge, bench, broadcast_bytes=limit).drop("_t").collect())
         want = Counter()
         for r in edge_rows:
             w = words(r[1])
