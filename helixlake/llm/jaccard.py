@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import save
-from .common import table
+from .common import table, tidy, trim
 from .words import chunks, mix, ngrams, per_row_unique, text_buffer, tokenise
 
 #: A task verifies two blocks of about so many n-grams and so many sets each.
@@ -103,7 +103,7 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int, key: str, text: str)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.string()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), lists], ["id", "_t", "node", "n", "bands"])
 
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("_t"), body.alias("text")).mapInArrow(run, f"id {kind}, _t long, node string, n long, bands array<long>")
+    return docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("_t"), body.alias("text")).mapInArrow(tidy(run), f"id {kind}, _t long, node string, n long, bands array<long>")
 
 
 def intersections(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
@@ -172,7 +172,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
                 grams += [values[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(grams, pa.binary())], schema=schema)
 
-    sets = save(wanted.mapInArrow(resolve, "node string, block long, copies long, grams binary"), "sets")
+    sets = save(wanted.mapInArrow(tidy(resolve), "node string, block long, copies long, grams binary"), "sets")
     dealt = sets.join(partners, "block")
 
     def verify(group: pa.Table) -> pa.Table:
@@ -187,6 +187,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
         if group["p"][0].as_py() != group["q"][0].as_py():
             link &= block[:, None] != block[None, :]
         counts = link @ copies
+        if len(at) > BLOCK_SETS // 2:
+            trim()
         left, edges = np.ones(len(at), bool), []
         for i in range(len(at)):
             if left[i]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lookups
-from .common import table
+from .common import table, trim
 from .words import chunks, ngrams, text_buffer, tokenise
 
 #: The key under which the number of words is counted.
@@ -151,6 +151,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, key: str = "doc_i
             context = left[n - 1][seen - 1]  # it ends one word earlier
             log[seen] = np.log(alpha) * (place[seen] - n) + np.log(left[n][seen]) - np.log(context)
         none = sizes == 0
+        trim()
         sums = np.add.reduceat(np.append(log, 0.0), texts.bounds[:-1]) * ~none
         return pa.table({key: group["id"].combine_chunks(), "n_words": pa.array(sizes), "log_score": pa.array(sums, mask=none), "score": pa.array(sums / np.maximum(sizes, 1), mask=none)})
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import save
 from . import lookups
-from .common import table
+from .common import table, trim
 from .suffix_array import repeated_spans
 from .words import CHUNK, chunks, mix, text_buffer
 
@@ -154,6 +154,7 @@ def _by_trees(contexts: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
 
     def cover(bucket: pa.Table) -> pa.Table:
         spans = repeated_spans([x.as_buffer().to_pybytes() for x in bucket["body"]], length)
+        trim()
         some = np.array([bool(x) for x in spans], bool) & ~bucket["repeats"].to_numpy()
         rest = bucket.select(["grp", "g", "c"]).filter(pa.array(some))
         return rest.append_column("spans", pa.array([x for x, s in zip(spans, some.tolist(), strict=True) if s], pa.list_(pa.int32())))
@@ -219,6 +220,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
             start = np.repeat(x.first[begin[~whole]], np.diff(part.offsets.to_numpy()) // 2)
             np.add.at(edge, start + ends[:, 0], 1)
             np.add.at(edge, start + ends[:, 1], -1)
+        trim()
         gone = np.cumsum(edge[:-1]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]

@@ -23,11 +23,12 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_folder, save
-from .common import prefix_sums, table
+from .common import prefix_sums, table, tidy
 from .files import contents, create, put
 
 MAGIC = b"HLXTOK01"
@@ -101,6 +102,8 @@ BYTE_LEVEL = byte_level()
 SPACE = chr(BYTE_LEVEL[32])
 
 
+#: Bytes of text that are cut into pieces at once: few enough for a processor's cache.
+SLICE = 1 << 18
 #: A stop or comma that does not follow a letter or digit; white space other than spaces and newlines.
 LOOSE_STOP = re.compile(r"(?<![^\W_])[.,]")
 OTHER_BLANK = re.compile(r"[^\S \n]")
@@ -175,6 +178,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def slices(texts: pa.Array):
+    """Ranges of rows of about SLICE bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    a = 0
+    while a < len(ends):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, side="right")))
+        yield a, z
+        a = z
+
+
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text", ids_per_file: int = 1 << 22) -> DataFrame:
     """Write docs as token files below folder; the manifest: file, part, n_docs, n_tokens, one row per file."""
     create(folder)
@@ -201,8 +214,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, key:
 
         schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                some = batch.slice(i, 2048)
+            for a, z in slices(batch.column(1)):
+                some = batch.slice(a, z - a)
                 coded = code.encode([x or "" for x in some.column(1).to_pylist()])
                 keys.append(some.column(0))
                 for x in coded:
@@ -216,7 +229,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, key:
 
     order = [F.col(key).asc_nulls_first(), F.col("_t")]
     ordered = docs.select(F.col(key), F.col(text), F.xxhash64(F.col(text)).alias("_t")).repartitionByRange(*order).sortWithinPartitions(*order)
-    return save(ordered.select(key, text).mapInArrow(write, "file string, part int, n_docs long, n_tokens long"), "token-manifest")
+    return save(ordered.select(key, text).mapInArrow(tidy(write), "file string, part int, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_tokens(docs_type, folder: str, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -231,7 +244,7 @@ def read_tokens(docs_type, folder: str, manifest: DataFrame, key: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(sums)), f.index["key"].combine_chunks(), pa.array(f.starts), pa.array(f.counts), pa.array(sums, pa.int64())], ["file", key, "start", "n_tokens", "ids_crc32"])
 
     spark = manifest.sparkSession
-    return contents(spark, folder, manifest).mapInArrow(read, f"file string, {key} {docs_type}, start long, n_tokens long, ids_crc32 long")
+    return contents(spark, folder, manifest).mapInArrow(tidy(read), f"file string, {key} {docs_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digest(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import save
-from .common import table, uniform
+from .common import table, tidy, uniform
 from .words import chunks, text_buffer, tokenise
 
 PREFIXES = (4, 6)
@@ -186,7 +186,7 @@ def _counts(rows: DataFrame) -> list[Levels]:
                         fold, label = folds[a:b][row[at]], toxic[a:b][row[at]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, np.int32)), pa.array(keys[at].view(np.int64)), pa.array(parent[at].view(np.int64)), pa.array(fold.astype(np.int32)), pa.array(label.astype(np.int64))], ["level", "key", "parent", "fold", "t"])
 
-    seen = rows.select("text", "toxic", "fold").mapInArrow(count, "level int, key long, parent long, fold int, t long")
+    seen = rows.select("text", "toxic", "fold").mapInArrow(tidy(count), "level int, key long, parent long, fold int, t long")
     by_fold = seen.groupBy("level", "key", "parent", "fold").agg(F.sum("t").alias("t"), F.count("*").alias("n"))
     each = F.array_agg(F.struct("fold", "t", "n")).alias("each")
     found = by_fold.groupBy("level", "key", "parent").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), each)
@@ -292,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(damp.astype(np.int32)), pa.array(at.astype(np.int64)), pa.array(total[damp, at].astype(np.int64))], ["damp", "at", "n"])
 
     clean = rows.filter("toxic = 0").select("text", "fold")
-    points = clean.mapInArrow(histogram, "damp int, at long, n long").groupBy("damp", "at").agg(F.sum("n").alias("n")).toPandas()
+    points = clean.mapInArrow(tidy(histogram), "damp int, at long, n long").groupBy("damp", "at").agg(F.sum("n").alias("n")).toPandas()
 
     def root(damp: int) -> float:
         part = points[points["damp"] == damp]
@@ -310,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                         total[damp] += (m * math.exp(-max(scores)), 0, 1) if scores else (0, m, 0)
             yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), *(pa.array(total[:, i]) for i in range(3))], ["damp", "best", "none", "found"])
 
-    sums = clean.mapInArrow(extremes, "damp int, best double, none double, found double").groupBy("damp").agg(*(F.sum(c).alias(c) for c in ("best", "none", "found"))).collect()
+    sums = clean.mapInArrow(tidy(extremes), "damp int, best double, none double, found double").groupBy("damp").agg(*(F.sum(c).alias(c) for c in ("best", "none", "found"))).collect()
     ks = {r["damp"]: karlin_k(r["best"], r["none"], r["found"]) for r in sums}
     model.lam, model.damped_lam, model.k, model.damped_k = *lams, ks[0], ks[1]
 
@@ -324,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in x], pa.float64()) for i in range(FEATURES)), toxic], [*(f"x{i}" for i in range(FEATURES)), "toxic"])
 
     names = [f"x{i}" for i in range(FEATURES)]
-    curve = rows.select("text", "fold", "toxic").mapInArrow(seen, ", ".join(f"{n} double" for n in names) + ", toxic int").toPandas().sort_values([*names, "toxic"])
+    curve = rows.select("text", "fold", "toxic").mapInArrow(tidy(seen), ", ".join(f"{n} double" for n in names) + ", toxic int").toPandas().sort_values([*names, "toxic"])
     model.curve = logistic(curve[names].to_numpy(), curve["toxic"].to_numpy().astype(float))
     folds.unpersist()
     return model
@@ -352,7 +352,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays(columns, [*out, *results])
 
     types = ("double", "int", "array<struct<first: int, last: int, score: double, e_value: double>>")
-    return docs.select(text, *rest).mapInArrow(run, kinds + ", ".join(f"{n} {t}" for n, t in zip(results, types, strict=False)))
+    return docs.select(text, *rest).mapInArrow(tidy(run), kinds + ", ".join(f"{n} {t}" for n, t in zip(results, types, strict=False)))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text", fit_on: DataFrame | None = None) -> DataFrame:

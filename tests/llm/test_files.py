@@ -51,6 +51,16 @@ def test_encoder_cuts_change_nothing(edge_rows):
     assert code.encode(texts) == direct(texts)
 
 
+def test_slices_have_every_row(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "SLICE", 10)
+    for texts in ([], [None], ["x" * 50, None, "", "abc", "é" * 4, "y" * 9, "z" * 30, None]):
+        found = list(token_files.slices(pa.array(texts, pa.string())))
+        assert [i for a, z in found for i in range(a, z)] == list(range(len(texts)))
+        assert all(z - a == 1 or sum(len((x or "").encode()) for x in texts[a:z]) <= 10 for a, z in found)
+
+
 def test_token_digest(spark, edge, edge_rows, empty):
     rows = token_files.token_digest(edge, token_files.default_vocabulary()).orderBy("start").collect()
     ids = direct([r[1] or "" for r in edge_rows])
