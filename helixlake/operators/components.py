@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", vertices:
     """
     now = save(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct(), "edges")
     parents: list[DataFrame] = []
-    while not now.isEmpty():
+    first = left = now.count()
+    while left:
         rank = len(parents)
 
         def place(name: str, salt: int = rank):
@@ -27,16 +28,17 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", vertices:
 
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(place("v")).alias("m"))
-        parent = save(least.select(F.col("u").alias("node"), F.least(F.col("m"), place("u"))["id"].alias("up")), "parents")
+        parent = save(least.select(F.col("u").alias("node"), F.least(F.col("m"), place("u"))["id"].alias("up")), "parents", rows=2 * left)
         parents.append(parent)
         moved = now.join(parent.withColumnsRenamed({"node": "u", "up": "pu"}), "u").join(parent.withColumnsRenamed({"node": "v", "up": "pv"}), "v")
-        now = save(moved.select(F.col("pu").alias("u"), F.col("pv").alias("v")).filter("u <> v").distinct(), "edges")
+        now = save(moved.select(F.col("pu").alias("u"), F.col("pv").alias("v")).filter("u <> v").distinct(), "edges", rows=left)
+        left = now.count()
     if parents:
         found = parents[-1].select("node", F.col("up").alias("root"))
         for parent in reversed(parents[:-1]):
             top = found.withColumnsRenamed({"node": "up", "root": "above"})
             found = parent.join(top, "up", "left").select("node", F.coalesce("above", "up").alias("root"))
-        found = save(found, "roots")
+        found = save(found, "roots", rows=2 * first)
     else:
         found = now.select(F.col("u").alias("node"), F.col("u").alias("root"))
     if vertices is not None:

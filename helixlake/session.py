@@ -54,13 +54,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def save(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+#: Rows of a narrow table that are worth a file of their own.
+ROWS_PER_FILE = 250_000
+
+
+def save(df: DataFrame, label: str, *partition_by: str, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
-    A lost executor then costs a re-read, never a recomputation of everything upstream.
+    A lost executor then costs a re-read, never a recomputation of everything upstream. ``rows`` is a bound of the rows
+    of a narrow table: few rows then go to few files, however many partitions the shuffle before had.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_PER_FILE + 1)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
