@@ -45,5 +45,5 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", vertices:
         alone = vertices.select("node").distinct().join(found, "node", "left_anti")
         found = found.unionByName(alone.select("node", F.col("node").alias("root")))
     # written apart, so that the join of a component that holds very many vertices can be split over tasks
-    names = save(found.groupBy("root").agg(F.min("node").alias("component")), "component-names")
+    names = save(found.groupBy("root").agg(F.min("node").alias("component")), "component-names", rows=2 * first if vertices is None else None)
     return found.join(names, "root").select("node", "component")
