@@ -141,18 +141,20 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     bands, rows = bands_for(threshold, recall)
     seen = save(sketch(docs, n, bands, rows, key, text), "sketches")
     first = F.min(F.struct(F.col("id").isNull(), "id", "_t"))
-    nodes = save(seen.filter("n > 0").groupBy("node").agg(first.alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = save(seen.filter("n > 0").groupBy("node").agg(first.alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes", rows=8 * seen.count())  # a row has all its bands
     nodes = nodes.select("node", F.col("f.id").alias("id"), F.col("f._t").alias("_t"), "copies", "n", "bands")
 
-    banded = save(nodes.select("node", F.explode("bands").alias("band")), "bands")
-    heads = save(banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("c")).filter("c > 1").select("band", "head"), "band-heads")
-    shared = save(banded.join(heads, "band"), "shared-bands")
-    clusters = save(shared.groupBy("node").agg(F.min("head").alias("cluster")).join(nodes.select("node", "id", "_t", "copies", "n"), "node"), "clusters")
-    size = save(clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks")), "cluster-sizes")
+    m = nodes.count()
+    most = m * bands
+    banded = save(nodes.select("node", F.explode("bands").alias("band")), "bands", rows=most)
+    heads = save(banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("c")).filter("c > 1").select("band", "head"), "band-heads", rows=most)
+    shared = save(banded.join(heads, "band"), "shared-bands", rows=most)
+    clusters = save(shared.groupBy("node").agg(F.min("head").alias("cluster")).join(nodes.select("node", "id", "_t", "copies", "n"), "node"), "clusters", rows=m)
+    size = save(clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks")), "cluster-sizes", rows=m)
     block = F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")))  # two blocks of one name would only verify more pairs
-    members = save(clusters.join(size, "cluster").select("node", "id", "_t", "copies", block.alias("block")), "members")
+    members = save(clusters.join(size, "cluster").select("node", "id", "_t", "copies", block.alias("block")), "members", rows=m)
     # which blocks meet: a band that very many nodes share is in few blocks, each listed once
-    in_bands = save(shared.select("node", "band").join(members.select("node", "block"), "node").select("band", "block").distinct(), "blocks-of-bands")
+    in_bands = save(shared.select("node", "band").join(members.select("node", "block"), "node").select("band", "block").distinct(), "blocks-of-bands", rows=most)
     meet = in_bands.withColumnRenamed("block", "p").join(in_bands.withColumnRenamed("block", "q"), "band").filter("p <= q").select("p", "q").distinct()
     meet = save(meet, "block-pairs")
     partners = meet.select(F.col("p").alias("block"), "p", "q").unionByName(meet.filter("p <> q").select(F.col("q").alias("block"), "p", "q"))
@@ -205,9 +207,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     classes = connected_components(checked.filter(F.col("other").isNotNull()).select(F.col("node").alias("u"), F.col("other").alias("v"))).withColumnRenamed("component", "class")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     full = nodes.select("node", "id", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    full = save(full, "node-classes")
+    full = save(full, "node-classes", rows=m)
     ids = full.groupBy("class").agg(F.min("id").alias("class_id"))
-    full = save(full.join(ids, "class").select("node", F.col("id").alias("copy_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "node-results")
+    full = save(full.join(ids, "class").select("node", F.col("id").alias("copy_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "node-results", rows=m)
     found = seen.select("id", "_t", "node", "n").join(full, "node", "left")
     own = F.col("node").isNull()
     return found.select(
@@ -219,10 +221,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class, that with the smallest id (of rows that repeat it, one), with its own columns."""
     classes = save(jaccard_classes(docs, key=key, text=text, **options), "classes")
-    gone = save(classes.filter(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_k"), F.col("_t").alias("_h")).distinct(), "copies")
+    n = classes.count()
+    gone = save(classes.filter(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_k"), F.col("_t").alias("_h")).distinct(), "copies", rows=n)
     body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     kept = docs.join(gone, docs[key].eqNullSafe(gone["_k"]) & (body == gone["_h"]), "left_anti")
-    repeated = save(classes.filter("n_grams > 0").groupBy(F.col(key).alias("_k"), F.col("_t").alias("_h")).count().filter("count > 1").drop("count"), "repeated-rows")
+    repeated = save(classes.filter("n_grams > 0").groupBy(F.col(key).alias("_k"), F.col("_t").alias("_h")).count().filter("count > 1").drop("count"), "repeated-rows", rows=n)
     if repeated.isEmpty():
         return kept
     same = kept[key].eqNullSafe(repeated["_k"]) & (body == repeated["_h"])
