@@ -9,8 +9,8 @@ The windows are measured first and broadcast in blocks of about ``broadcast_byte
 test set's size, a broadcast stays bounded and a document's words are never shuffled. What is gathered per document is
 its hits, which its words bound, and the items they are of.
 
-Defined results: a null or wordless text has n_words 0 and no hits; null or wordless items have no windows; item rows
-with the same id count once; rows with equal id and text get equal results; a very long text is one array of words in
+Defined results: a null or wordless text has n_words 0 and no hits; null or wordless items have no windows; a null
+item_id is the item ""; item rows with the same id count once; rows with equal id and text get equal results; a very long text is one array of words in
 one task; other columns are not looked at; empty tables give no hits or no rows.
 """
 

@@ -1,7 +1,7 @@
 """Toxicity: maximum-scoring segments of token log-odds with Dirichlet priors, calibrated by extreme-value statistics.
 
 Fit, on at most ``sample`` labelled rows of ``sample_bytes`` in all (chosen by a hash of the id; copies of a text count
-once), in FOLDS folds:
+once; a text of more than ``sample_bytes`` by itself is skipped), in FOLDS folds:
 
 1. Log-odds of toxic against other documents for each word, with Dirichlet priors in levels: the whole corpus is the
    prior of a word's first 4 bytes, those of its first 6, and those of the word. Each estimate is drawn back by its
@@ -160,6 +160,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
     once = save(once.select("text", "toxic", "_u", F.pmod(F.col("_t"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
     size = F.octet_length("text").cast("long")
     if (once.agg(F.sum(size)).first()[0] or 0) > sample_bytes:
+        once = once.filter(size <= sample_bytes)  # a text beyond the bound by itself is skipped, not all after it
         run = F.sum("size").over(Window.orderBy("_u"))  # over a bounded number of rows
         last = once.select("_u", size.alias("size")).withColumn("run", run).filter(F.col("run") <= sample_bytes).agg(F.max("_u")).first()[0]
         once = once.filter(F.col("_u") <= F.lit(-1.0 if last is None else last))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _code = np.arange(256)
 IS_WORD = ((_code >= 48) & (_code <= 57)) | ((_code >= 65) & (_code <= 90)) | ((_code >= 97) & (_code <= 122)) | (_code >= 128)
@@ -33,7 +34,7 @@ def _powers(n: int) -> np.ndarray:
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null is empty."""
-    column = pa.compute.fill_null(column, "") if column.null_count else column
+    column = pc.fill_null(column, "") if column.null_count else column
     column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
