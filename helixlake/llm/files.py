@@ -20,6 +20,14 @@ def put(folder: str, name: str, data: bytes) -> None:
     store.move(part, f"{root}/{name}")
 
 
+def get(folder: str, name: str) -> bytes:
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{root}/{name}") as found:
+        return found.read()
+
+
 def create(folder: str) -> str:
     from pyarrow import fs
 

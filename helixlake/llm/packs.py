@@ -65,6 +65,15 @@ def expand(data, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def squeeze_planes(x: np.ndarray) -> bytes:
+    """uint32 numbers byte plane by byte plane: the high bytes of small numbers are alike."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def expand_planes(data) -> np.ndarray:
+    return np.ascontiguousarray(expand(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def stored_keys(keys: pa.Array) -> bytes:
     """A column of keys of any type as an Arrow stream."""
     sink = pa.BufferOutputStream()

@@ -5,9 +5,13 @@ run of markers, so a text is segmented chunk by chunk: a chunk is a run of marke
 
 1. Documents are dealt into packs as they lie in the table; a pack holds its distinct chunks once, and the place of each
    chunk of each document.
-2. The distinct chunks of all packs, each once, are segmented by the sentencepiece library: the chunk table.
-3. Packs ask the table for their chunks by a join, and put the ids back by position. A chunk has one row a pack,
-   however often it occurs; both sides of the join are written tables, so the engine may split a frequent chunk's rows.
+2. The chunk table is dealt into buckets by a hash of the chunk. Packs ask each bucket for their chunks of it; the bucket
+   segments each chunk once, by the sentencepiece library, and answers pack by pack.
+3. Packs put the ids of the answers back by position. The bodies of packs (keys and codes) wait in files below the shared
+   folder, so only questions and answers are shuffled.
+
+A chunk is asked for once a pack, however often it occurs, so no chunk is hot. Questions pass a bucket one after the
+other; it holds its own chunks only. Packs are some megabytes. Files left by lost attempts are not read.
 
 The library normalises each whole text before it is cut, with the model's own rules. A model whose pieces do cross
 markers, or which is not of the BPE kind, gets each whole text as one chunk.
@@ -21,15 +25,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import save
-from .common import table, tidy
-from .packs import PACK, PIECE, expand, number, packed, restored_keys, squeeze, stored_keys
+from ..session import new_folder, save
+from .common import table, tidy, trim
+from .files import create, get, put
+from .packs import PACK, PIECE, expand, expand_planes, number, packed, restored_keys, squeeze, squeeze_planes, stored_keys
 
 #: What the library writes for a space.
 MARK = "▁"
@@ -37,9 +44,6 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Where a long text may be cut: at the first marker of a run.
 EDGE = re.compile(f"(?<!{MARK}){MARK}")
 CROSSING = re.compile(f"[^{MARK}]{MARK}")
-#: Chunks that are segmented by one call.
-CALL = 4096
-
 
 class Model:
     """The library's processor, and one that takes chunks as they are (normalised, with their markers)."""
@@ -71,7 +75,7 @@ class Model:
         yield CHUNK.findall(text, a)
 
     def segment(self, chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, "<u4") for ids in self.plain.encode(chunks, num_threads=1)]
+        return [np.array(ids, np.uint32) for ids in self.plain.encode(chunks, num_threads=1)]
 
 
 _models: dict[str, Model] = {}
@@ -83,37 +87,105 @@ def model(path: str) -> Model:
     return _models[path]
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", pack_bytes: int = PACK) -> DataFrame:
-    """(key, ids): the little-endian uint32 ids of each text with the end id, one row per document."""
-    kind = docs.schema[key].dataType.simpleString()
+#: Text for each bucket of the chunk table, and the most buckets: a pack asks each bucket at most once.
+BUCKET, BUCKETS = 2 << 20, 1 << 16
+BODY = -1
+PACKED = "pack long, bucket int, file string, chunks binary"
+BODIES = pa.schema([("keys", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("place", pa.binary())])
+
+
+def _strings(chunks: list[str]) -> bytes:
+    raw = [x.encode() for x in chunks]
+    return squeeze(np.frombuffer(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw), np.uint8))
+
+
+def _unstrings(data) -> list[str]:
+    raw = expand(data, np.uint8)
+    n = int(raw[:4].view("<u4")[0])
+    ends = np.cumsum(raw[4 : 4 + 4 * n].view("<u4"), dtype=np.int64)
+    body = raw[4 + 4 * n :].tobytes()
+    return [body[a:z].decode() for a, z in zip((ends - np.diff(ends, prepend=0)).tolist(), ends.tolist(), strict=True)]
+
+
+def _packs(docs: DataFrame, path: str, folder: str, key: str, text: str, pack_bytes: int, buckets: int) -> DataFrame:
+    """A row for each pack (bucket BODY and the file of its body: keys, chunks of each document by code, place of each
+    code in the answers), and one for each bucket of the chunk table that it asks (chunks)."""
+    schema = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("file", pa.string()), ("chunks", pa.binary())])
 
     def pack(batches):
-        for made, (keys, found) in enumerate(packed(batches, model(path).chunks, pack_bytes)):
-            row = {"pack": [number(made)], "keys": [stored_keys(keys)], "sizes": [squeeze(np.frombuffer(found.sizes, np.uint64))], "codes": [squeeze(np.frombuffer(found.codes, np.uint32))], "chunks": [list(found.known)]}
-            yield pa.RecordBatch.from_pydict(row, pa.schema([("pack", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("chunks", pa.list_(pa.string()))]))
+        from pyspark import TaskContext
 
-    def segment(batches):
-        for batch in batches:
-            for a in range(0, len(batch), CALL):
-                some = batch.column(0).slice(a, CALL)
-                ids = [x.tobytes() for x in model(path).segment(some.to_pylist())]
-                yield pa.RecordBatch.from_arrays([some, pa.array(ids, pa.binary())], ["chunk", "ids"])
+        attempt = TaskContext.get().taskAttemptId()
+        for made, (keys, found) in enumerate(packed(batches, model(path).chunks, pack_bytes)):
+            chunks, codes, at = list(found.known), np.frombuffer(found.codes, np.uint32), number(made)
+            often = np.argsort(-np.bincount(codes, minlength=len(chunks)), kind="stable")  # frequent chunks get small codes
+            rank = np.empty(len(chunks), np.uint32)
+            rank[often] = np.arange(len(chunks))
+            bucket = np.array([zlib.crc32(chunks[i].encode()) % buckets for i in often.tolist()], np.int64)
+            asked = np.argsort(bucket, kind="stable")
+            place = np.empty(len(chunks), np.uint32)
+            place[asked] = np.arange(len(chunks))
+            sizes = np.frombuffer(found.sizes, np.uint64).astype(np.uint32)
+            body = [stored_keys(keys), *map(squeeze_planes, (sizes, rank[codes], place))]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, BODIES) as out:
+                out.write_batch(pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in body], schema=BODIES))
+            put(folder, name := f"pack-{at}-{attempt}.arrow", sink.getvalue())
+            rows = [{"pack": at, "bucket": BODY, "file": name}]
+            first = np.flatnonzero(np.diff(bucket[asked], prepend=-1))
+            for a, z in zip(first.tolist(), np.append(first, len(asked))[1:].tolist(), strict=True):
+                rows.append({"pack": at, "bucket": int(bucket[asked[a]]), "chunks": _strings([chunks[often[i]] for i in asked[a:z].tolist()])})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return save(docs.select(key, text).mapInArrow(tidy(pack), PACKED), "packs")
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", pack_bytes: int = 2 * PACK, bucket_bytes: int = BUCKET) -> DataFrame:
+    """(key, ids): the little-endian uint32 ids of each text with the end id, one row per document."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    folder = create(new_folder(docs.sparkSession, "pieces"))
+    packs = _packs(docs, path, folder, key, text, pack_bytes, min(BUCKETS, total // bucket_bytes + 1))
+
+    def segment(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The answers of a bucket of the table, which segments each of its chunks as it is first asked for."""
+        known: dict[str, np.ndarray] = {}
+        for batch in frames:
+            answers = []
+            for asked in batch["chunks"]:
+                chunks = _unstrings(asked.as_buffer())
+                new = [x for x in chunks if x not in known]
+                known.update(zip(new, model(path).segment(new), strict=True))
+                ids = [known[x] for x in chunks]
+                answers.append((squeeze_planes(np.array([len(x) for x in ids], np.uint32)), squeeze_planes(np.concatenate(ids))))
+            yield pa.RecordBatch.from_arrays([batch["pack"], batch["bucket"], *(pa.array(x, pa.binary()) for x in zip(*answers, strict=True))], ["asker", "bucket", "sizes", "ids"])
+        trim()
 
     def place(packs: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, documents, tail = [], [], np.array([model(path).end], "<u4").tobytes()
-        found = answers.sort_by("at")["ids"].to_pylist()
-        for p in packs.to_pylist():  # one
-            codes, end = expand(p["codes"], np.uint32), np.cumsum(expand(p["sizes"], np.uint64)).astype(np.int64)
-            keys.append(restored_keys(p["keys"]))
-            documents += [b"".join([*map(found.__getitem__, codes[a:z].tolist()), tail]) for a, z in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
+        keys, documents, end_id = [], [], np.array([model(path).end], np.uint32)
+        answers = answers.sort_by("bucket")
+        both = [np.concatenate([expand_planes(x.as_buffer()) for x in answers[n]]) if len(answers) else np.empty(0, np.uint32) for n in ("sizes", "ids")]
+        sizes, ids = both[0].astype(np.int64), both[1]
+        starts = np.cumsum(sizes) - sizes
+        for name in packs["file"].to_pylist():  # one
+            row = pa.ipc.open_stream(get(folder, name)).read_all().to_pylist()[0]
+            at = expand_planes(row["place"])[expand_planes(row["codes"])]
+            ends = np.cumsum(expand_planes(row["sizes"]), dtype=np.int64)
+            keys.append(restored_keys(row["keys"]))
+            for a, z in zip((ends - np.diff(ends, prepend=0)).tolist(), ends.tolist(), strict=True):
+                parts = [ids[_ranges(starts[mine], sizes[mine])] for i in range(a, z, PIECE) if len(mine := at[i : min(z, i + PIECE)])]
+                documents.append(b"".join([*(x.tobytes() for x in parts), end_id.tobytes()]))
+        trim()
         return pa.table({key: pa.chunked_array(keys).combine_chunks(), "ids": pa.array(documents, pa.binary())})
 
-    packs = save(docs.select(key, text).mapInArrow(tidy(pack), "pack long, keys binary, sizes binary, codes binary, chunks array<string>"), "packs")
-    asked = packs.select(F.col("pack").alias("asker"), F.posexplode("chunks").alias("at", "chunk"))
-    chunk_table = save(asked.select("chunk").distinct().mapInArrow(tidy(segment), "chunk string, ids binary"), "chunks")
-    answers = asked.join(chunk_table, "chunk").select("asker", "at", "ids")
-    bodies = packs.select("pack", "keys", "sizes", "codes")
-    return bodies.groupBy("pack").cogroup(answers.groupBy("asker")).applyInArrow(place, f"`{key}` {kind}, ids binary")
+    asked = packs.filter(F.col("bucket") != BODY).select("pack", "bucket", "chunks")
+    answers = asked.groupBy("bucket").applyInArrow(segment, "asker long, bucket int, sizes binary, ids binary")
+    bodies = packs.filter(F.col("bucket") == BODY).select("pack", "file")
+    return bodies.groupBy("pack").cogroup(answers.groupBy("asker")).applyInArrow(place, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary")
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], ..., starts[0] + sizes[0] - 1, starts[1], ..."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 def decode(coded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
