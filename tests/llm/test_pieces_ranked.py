@@ -49,7 +49,7 @@ def test_encoding_equals_the_library(spark, edge, edge_rows, empty):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pack", F.lit(1)).withColumn("ids", F.lit("x")).repartition(5)
     want = Counter((k, *library(t)) for k, t in rows)
     for pack_bytes in (1, 500, 8 << 20):
-        assert Counter(map(tuple, pieces.digests(pieces.encode(docs, path, pack_bytes=pack_bytes), path).collect())) == want
+        assert Counter(map(tuple, pieces.digests(pieces.encode(docs, path, pack_bytes=pack_bytes, bucket_bytes=pack_bytes), path).collect())) == want
     decoded = pieces.decode(pieces.encode(docs, path), path).collect()
     assert Counter((r.doc_id, r.text) for r in decoded) == Counter((k, pieces.model(path).whole.decode(pieces.model(path).whole.encode(t or ""))) for k, t in rows)
     assert pieces.digests(pieces.encode(empty, path), path).count() == 0
