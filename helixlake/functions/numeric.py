@@ -8,12 +8,18 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 FLOOR = 1e-12
 
 
+def _shares(x: Column) -> Column:
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+    return bind(x, lambda e: bind(total(e), lambda t: F.transform(e, lambda v: v / t)))
+
+
 def softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    return bind(x, lambda y: bind(F.array_max(y), lambda top: _shares(F.transform(y, lambda v: F.exp(v - top)))))
 
 
 def clipped_log(p: Column) -> Column:
@@ -26,13 +32,12 @@ def temperature(p: Column, t: Column | float) -> Column:
 
 
 def undo_temperature(p: Column, t: float) -> Column:
-    raised = F.transform(p, lambda v: F.pow(v, F.lit(float(t))))
-    return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    return _shares(F.transform(p, lambda v: F.pow(v, F.lit(float(t)))))
 
 
 def argmax(p: Column) -> Column:
     """The first index of the greatest value."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return bind(p, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def accepted(p: Column, threshold: float = 0.8) -> Column:

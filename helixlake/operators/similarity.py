@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.binding import bind
 from ..session import save
 from .components import connected_components
 
@@ -37,31 +38,126 @@ def first_reason(edges: DataFrame, order: str = "pos") -> DataFrame:
     return pair.groupBy("left_group", "right_group").agg(F.min_by("reason", order).alias("reason"))
 
 
-def kmer_sketch(fragments: DataFrame, k: int = 21, keep: int = 80, sequence: str = "sequence") -> DataFrame:
-    """(id, kmer, rank): the ``keep`` smallest hashes of canonical k-mers of each fragment, exploded."""
+def _canonical_kmer_hashes(sequence: Column, k: int) -> Column:
+    """Hashes of the canonical k-mers of every place; a shorter sequence is one k-mer."""
     every = F.regexp_extract_all(sequence, F.lit(f"(?s)(?=(.{{{int(k)}}}))"), F.lit(1))  # one pass over the sequence
     kmers = F.when(F.length(sequence) < k, F.array(sequence)).otherwise(every)
-    hashes = F.array_distinct(F.transform(kmers, lambda x: F.xxhash64(F.least(x, S.reverse_complement(x)))))
+    return F.transform(kmers, lambda x: F.xxhash64(F.least(x, S.reverse_complement(x))))
+
+
+def kmer_sketch(fragments: DataFrame, k: int = 21, keep: int = 80, sequence: str = "sequence") -> DataFrame:
+    """(id, kmer, rank): the ``keep`` smallest hashes of canonical k-mers of each fragment, exploded."""
+    hashes = F.array_distinct(_canonical_kmer_hashes(F.col(sequence), k))
     return fragments.select("id", F.posexplode(F.slice(F.array_sort(hashes), 1, keep)).alias("rank", "kmer"))
 
 
-def near_pairs(fragments: DataFrame, identity: float = 0.95, coverage: float = 0.85, k: int = 21, keep: int = 80, sequence: str = "sequence") -> DataFrame:
-    """(left, right, identity): fragments alike on either strand.
+def seeds(fragments: DataFrame, k: int, keep: int) -> DataFrame:
+    """(id, n, kmer, at, turned): the ``keep`` smallest k-mer hashes of (id, s, n), with the first place of each and whether
+    it is the other strand's k-mer that is the canonical one."""
 
-    Sharing one of their smallest k-mers links each fragment to the bucket's centre, its longest member, so a bucket of
-    any size gives as many candidates as it has members. Each candidate is verified by edit distance, counted up to the
-    threshold only, on both strands, with the length ratio as the coverage of both.
+    def placed(hashes: Column) -> Column:
+        at = lambda h: F.array_position(hashes, h) - 1
+        kmer = lambda h: F.substring("s", at(h) + 1, F.lit(k))
+        return F.transform(F.slice(F.array_sort(F.array_distinct(hashes)), 1, keep), lambda h: F.struct(h.alias("kmer"), at(h).cast("int").alias("at"), (kmer(h) > S.reverse_complement(kmer(h))).alias("turned")))
+
+    found = fragments.filter("n > 0").select("id", "n", F.explode(bind(_canonical_kmer_hashes(F.col("s"), k), placed)).alias("x"))
+    return found.select("id", "n", "x.kmer", "x.at", "x.turned")
+
+
+def diagonals(found: DataFrame, k: int, band: int) -> DataFrame:
+    """(left, right, turned, from_left, from_right, to_left, to_right): for each fragment and each centre that it shares
+    k-mers with, the ends of the run of shared k-mers on the diagonal that most of them are on.
+
+    The centre of a k-mer is the longest fragment that has it (of equal ones the greatest id), so a k-mer of any number of
+    fragments gives as many pairs as it has fragments. Shared k-mers vote for (centre, strand, diagonal), in steps of
+    ``band`` letters; a vote counts for its step and the one before, so no run is cut by the steps.
+    """
+    found = save(found, "seeds")
+    centre = save(found.groupBy("kmer").agg(F.max_by(F.struct("id", "n", "at", "turned"), F.struct("n", "id")).alias("c"), F.count("*").alias("members")).filter("members > 1").select("kmer", "c"), "centres")
+    met = found.join(centre, "kmer").filter("id <> c.id")
+    width = F.least(F.lit(k), F.col("n"), F.col("c.n"))
+    turned = F.col("turned") != F.col("c.turned")
+    at = F.when(turned, F.col("n") - width - F.col("at")).otherwise(F.col("at"))  # in the orientation of the centre
+    step = F.floor((at - F.col("c.at")) / band)
+    votes = met.select("id", F.col("c.id").alias("centre"), turned.alias("turned"), F.struct(at.alias("l"), F.col("c.at").alias("r"), width.alias("w")).alias("x"), F.explode(F.array(step, step - 1)).alias("step"))
+    lines = votes.groupBy("id", "centre", "turned", "step").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("z"))
+    best = lines.groupBy("id", "centre").agg(F.max_by(F.struct("turned", "a", "z"), F.struct("n", ~F.col("turned"), -F.col("step"))).alias("b"))
+    return best.select(F.col("id").alias("left"), F.col("centre").alias("right"), "b.turned", F.col("b.a.l").alias("from_left"), F.col("b.a.r").alias("from_right"), (F.col("b.z.l") + F.col("b.z.w")).alias("to_left"), (F.col("b.z.r") + F.col("b.z.w")).alias("to_right"))
+
+
+def aligned(runs: DataFrame, base: DataFrame, identity: float, coverage: float) -> DataFrame:
+    """(left, right, strand, identity, left_coverage, right_coverage) of the runs whose alignment reaches the thresholds.
+
+    A run of shared k-mers is extended to both ends of the shorter side, and each of the three parts aligned by banded
+    edit distance, counted up to what the threshold allows. An end that is too different is left out of the span if the
+    rest reaches the thresholds without it; of what does, the longest span counts. base: (id, s, n).
+    """
+    both = lambda f: {c: f(c) for c in ("left", "right")}
+    for c in ("left", "right"):
+        runs = runs.join(base.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")), c)
+    runs = runs.withColumns({"before": F.least("from_left", "from_right"), "after": F.least(F.col("n_left") - F.col("to_left"), F.col("n_right") - F.col("to_right"))})
+    size = both(lambda c: F.col(f"to_{c}") - F.col(f"from_{c}"))
+    share = both(lambda c: (size[c] + F.col("before") + F.col("after")) / F.col(f"n_{c}"))
+    pairs = runs.filter((share["left"] >= coverage) & (share["right"] >= coverage))  # before any text is fetched
+    for c in ("left", "right"):
+        pairs = pairs.join(base.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}")), c)
+    pairs = pairs.withColumn("s_left", F.when(F.col("turned"), S.reverse_complement(F.col("s_left"))).otherwise(F.col("s_left")))
+    most = (F.ceil((F.greatest(*size.values()) + F.col("before") + F.col("after")) * (1 - identity)) + 1).cast("int")
+
+    def edits(start, length) -> Column:
+        """Of a part of both sides; -1 beyond ``most``."""
+        return F.call_function("levenshtein", *[F.substring(f"s_{c}", (start(c) + 1).cast("int"), length(c).cast("int")) for c in ("left", "right")], most)
+
+    measured = pairs.withColumns({
+        "d_before": edits(lambda c: F.col(f"from_{c}") - F.col("before"), lambda c: F.col("before")),
+        "d_run": edits(lambda c: F.col(f"from_{c}"), lambda c: size[c]),
+        "d_after": edits(lambda c: F.col(f"to_{c}"), lambda c: F.col("after")),
+    })
+
+    def span(*ends: str) -> Column:
+        whole = both(lambda c: sum((F.col(e) for e in ends), size[c]))
+        d = sum((F.col(f"d_{e}") for e in ends), F.col("d_run"))
+        alike, covered = 1 - d / F.greatest(*whole.values()), both(lambda c: whole[c] / F.col(f"n_{c}"))
+        good = (F.least(F.col("d_run"), *[F.col(f"d_{e}") for e in ends]) >= 0) if ends else F.col("d_run") >= 0
+        good = good & (alike >= identity - 1e-9) & (covered["left"] >= coverage) & (covered["right"] >= coverage)
+        return F.when(good, F.struct((whole["left"] + whole["right"]).alias("size"), alike.alias("identity"), covered["left"].alias("left_coverage"), covered["right"].alias("right_coverage")))
+
+    found = measured.withColumn("best", F.greatest(span("before", "after"), span("before"), span("after"), span()))
+    strand = F.when(F.col("turned"), "-").otherwise("+")
+    return found.filter("best IS NOT NULL").select("left", "right", strand.alias("strand"), "best.identity", "best.left_coverage", "best.right_coverage")
+
+
+def near_clusters(fragments: DataFrame, identity: float = 0.95, coverage: float = 0.85, k: int = 21, keep: int = 80, band: int = 32, sequence: str = "sequence") -> DataFrame:
+    """One row per fragment (id, sequence) with its class of near duplicates on either strand:
+
+    id, class (the smallest id in it), centre (the fragment that it was aligned with; where there is none, the smallest id
+    of its own sequence), strand (against the centre), identity, coverage and centre_coverage of that alignment, links
+    (alignments that its sequence has in all), copies (fragments of the same sequence on either strand).
+
+    Equal sequences meet first and count once. Others are linked to the centres of their k-mers, as in linear-time
+    clustering, and the components of the links are the classes. An alignment counts by its span: ``identity`` of its
+    letters and ``coverage`` of both fragments. Ids are unique and not null; null and empty sequences are a class of their
+    own; a sequence of fewer than k letters has equal ones only. No k-mer's fragments are cut off; ``keep`` bounds the
+    k-mers of a fragment.
     """
-    base = save(fragments.select("id", F.col(sequence).alias("s"), F.length(sequence).alias("n")), "fragments")
-    sketch = kmer_sketch(base.select("id", F.col("s").alias("sequence")), k, keep).join(base.select("id", "n"), "id")
-    centre = save(sketch.groupBy("kmer").agg(F.max_by("id", F.struct("n", "id")).alias("centre"), F.count("*").alias("c")).filter("c > 1").drop("c"), "centres")
-    found = sketch.join(centre, "kmer").filter("id <> centre").select(F.least("id", "centre").alias("left"), F.greatest("id", "centre").alias("right")).distinct()
-    a, b = base.select(F.col("id").alias("left"), F.col("s").alias("x"), F.col("n").alias("nx")), base.select(F.col("id").alias("right"), F.col("s").alias("y"), F.col("n").alias("ny"))
-    pairs = found.join(a, "left").join(b, "right").filter(F.least("nx", "ny") >= F.greatest("nx", "ny") * coverage)
-    most = F.floor(F.greatest("nx", "ny") * (1 - identity) + 1e-9).cast("int")
-    within = lambda y: f"levenshtein(x, {y}, most)"  # noqa: E731  -1 beyond it
-    near = pairs.withColumns({"most": most, "z": S.reverse_complement(F.col("y"))}).withColumn("d", F.array_min(F.filter(F.array(F.expr(within("y")), F.expr(within("z"))), lambda d: d >= 0)))
-    return near.filter("d IS NOT NULL").select("left", "right", (1 - F.col("d") / F.greatest("nx", "ny")).alias("identity")).filter(F.col("identity") >= identity - 1e-9)
+    text = fragments.select("id", F.coalesce(F.col(sequence), F.lit("")).alias("_s")).withColumn("_r", S.reverse_complement(F.col("_s")))
+    whole = text.select("id", (F.col("_s") > F.col("_r")).alias("turned"), F.least("_s", "_r").alias("s")).withColumn("key", F.sha2(F.col("s").cast("binary"), 256))
+    # equal hashes are equal sequences, so any of them will do
+    once = whole.groupBy("key").agg(F.min(F.struct("id", "turned")).alias("f"), F.first("s").alias("s"), F.count("*").alias("copies"))
+    once = save(once.select("key", "f.id", F.col("f.turned").alias("way"), "s", "copies", F.length("s").alias("n")), "distinct-fragments")
+    base = once.select("id", "s", "n")
+    links = save(aligned(diagonals(seeds(base, k, keep), k, band), base, identity, coverage), "near-links")
+    classes = connected_components(links, "left", "right", vertices=base.select(F.col("id").alias("node"))).select(F.col("node").alias("one"), F.col("component").alias("class"))
+    counts = links.select(F.explode(F.array("left", "right")).alias("one")).groupBy("one").agg(F.count("*").alias("links"))
+    best = links.groupBy(F.col("left").alias("one")).agg(F.max_by(F.struct("right", "strand", "identity", "left_coverage", "right_coverage"), F.struct("identity", "right_coverage", "right")).alias("b"))
+    own = once.select("key", F.col("id").alias("one"), "way", "copies").join(classes, "one").join(counts, "one", "left").join(best, "one", "left").withColumn("centre", F.coalesce("b.right", "one"))
+    ways = once.select(F.col("id").alias("centre"), F.col("way").alias("centre_way"))
+    named = save(own.join(ways, "centre").select(
+        "key", "class", "centre", ((F.col("centre_way") != F.coalesce(F.col("b.strand") == "-", F.lit(False)))).alias("way"), F.coalesce("b.identity", F.lit(1.0)).alias("identity"),
+        F.coalesce("b.left_coverage", F.lit(1.0)).alias("coverage"), F.coalesce("b.right_coverage", F.lit(1.0)).alias("centre_coverage"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "copies",
+    ), "fragment-classes")
+    strand = F.when(F.col("turned") != F.col("way"), "-").otherwise("+")
+    return whole.select("id", "turned", "key").join(named, "key").select("id", "class", "centre", strand.alias("strand"), "identity", "coverage", "centre_coverage", "links", "copies")
 
 
 def cluster_edges(pairs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:

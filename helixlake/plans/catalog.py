@@ -89,7 +89,7 @@ pc AS (SELECT rec.* EXCLUDE (text), a AS start, z AS "end", substr(text, (a + 1)
 
 
 def dna(t: _Tables, of: Column | None = None) -> DataFrame:
-    """Sequences of 32 letters with U, N and other codes."""
+    """Sequences of 32 letters with U, N and other codes, of the digests of names (or of what is given)."""
     return t.part.select("p_partkey", F.translate(F.md5((F.col("p_name") if of is None else of).cast("binary")), "0123456789abcdef", "acgtACGTACGTuNRY").alias("s"))
 
 
@@ -930,10 +930,30 @@ def mutants(rows):
     return base.unionByName(other)
 
 
-@query("j22_near_duplicates")
-def _(t):
-    """Near pairs among sequences with planted mutations, over the whole table."""
-    return similarity.near_pairs(mutants(dna(t)), k=15).select("left", "right", r6("identity").alias("identity"))
+KEYED = """dna AS (SELECT p_partkey, translate(md5(p_partkey || p_name), '0123456789abcdef', 'acgtACGTACGTuNRY') AS s FROM part),
+n AS (SELECT p_partkey * 2 AS id, s || translate(reverse(s), 'A', 'C') || s AS s FROM dna)"""
+FAR = 1_000_000_000_000
+
+
+@query("j22_near_duplicates", f"""WITH RECURSIVE {KEYED}, e AS (SELECT id, {NORMAL} AS q FROM n), o AS (SELECT id + 1 AS id, substr(q, 1, 40) || 'A' || substr(q, 42) AS x FROM e),
+al AS (SELECT id, q FROM e UNION ALL SELECT id, {RC} FROM o UNION ALL SELECT id + {FAR}, {RC.replace('x', 'q')} FROM e),
+cn AS (SELECT id, least(q, {RC.replace('x', 'q')}) AS s FROM al), ds AS (SELECT s, min(id) AS one, count(*) AS copies FROM cn GROUP BY s),
+w AS (SELECT one, substr(s, (i + 1)::INT, 15) AS x FROM (SELECT one, s, unnest(range(length(s) - 14)) AS i FROM ds)), km AS (SELECT DISTINCT one, least(x, {RC}) AS kmer FROM w),
+cand AS (SELECT DISTINCT a.one AS l, b.one AS r FROM km a JOIN km b ON a.kmer = b.kmer AND a.one < b.one),
+d AS (SELECT l, r, least(levenshtein(x.s, y.s), levenshtein(x.s, {RC.replace('x', 'y.s')})) / greatest(length(x.s), length(y.s)) AS away FROM cand JOIN ds x ON x.one = l JOIN ds y ON y.one = r),
+ok AS (SELECT * FROM d WHERE away <= 0.05), sy AS (SELECT l AS u, r AS v FROM ok UNION SELECT r, l FROM ok), vertices AS (SELECT one AS node FROM ds),
+cc(node, component) USING KEY (node) AS (SELECT node, node FROM vertices
+UNION (SELECT sy.v, min(cc.component) FROM cc JOIN sy ON sy.u = cc.node JOIN recurring.cc AS old ON old.node = sy.v WHERE cc.component < old.component GROUP BY sy.v)),
+up AS (SELECT l, max(r) AS r, arg_max(1 - away, r) AS identity FROM ok GROUP BY l), deg AS (SELECT u, count(*) AS links FROM sy GROUP BY u)
+SELECT cn.id, component AS class, coalesce(up.r, one) AS centre, round(coalesce(identity, 1), 6) AS identity, coalesce(links, 0) AS links, copies,
+  CASE WHEN levenshtein(m.q, c.q) <= levenshtein({RC.replace('x', 'm.q')}, c.q) THEN '+' ELSE '-' END AS strand
+FROM cn JOIN ds USING (s) JOIN cc ON node = one LEFT JOIN up ON up.l = one LEFT JOIN deg ON deg.u = one JOIN al m ON m.id = cn.id JOIN al c ON c.id = coalesce(up.r, one)""")
+def _(t):
+    """Classes of sequences with planted mutations and of copies on the other strand, over the whole table."""
+    base = mutants(dna(t, F.concat("p_partkey", "p_name")))
+    copies = base.filter("id % 2 = 0").select((F.col("id") + FAR).alias("id"), S.reverse_complement(F.col("sequence")).alias("sequence"))
+    found = similarity.near_clusters(base.unionByName(copies), k=15)
+    return found.select("id", "class", "centre", r6("identity").alias("identity"), "links", "copies", "strand")
 
 
 @query("j21_genome_ani", f"""WITH dna AS (SELECT p_partkey, translate(md5(p_partkey || p_name), '0123456789abcdef', 'acgtACGTACGTuNRY') AS s FROM part),

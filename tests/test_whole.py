@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from helixlake.config import Settings
 from helixlake.operators import audit, evaluate
@@ -16,7 +17,8 @@ def test_near_duplicates_take_every_part(spark, tmp_path):
     rnd = random.Random(5)
     names = [(i, "".join(rnd.choice("abcdefgh") for _ in range(12))) for i in [0, *range(281, 321)]]
     spark.createDataFrame(names, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
-    rows = [(r["id"], r["sequence"]) for r in catalog.mutants(catalog.dna(catalog._Tables(spark, str(tmp_path)))).collect()]
+    keyed = catalog.dna(catalog._Tables(spark, str(tmp_path)), F.concat("p_partkey", "p_name"))
+    rows = [(r["id"], r["sequence"]) for r in catalog.mutants(keyed).collect()]
     assert len({i for i, _ in rows}) == 2 * len(names)
     turned = [(i, s[::-1].translate(str.maketrans("ACGT", "TGCA"))) for i, s in rows]
     want = set()
@@ -24,7 +26,9 @@ def test_near_duplicates_take_every_part(spark, tmp_path):
         for (j, y), (_, z) in zip(rows, turned, strict=True):
             if i < j and min(duckdb.execute("SELECT levenshtein(?, ?), levenshtein(?, ?)", [x, y, x, z]).fetchall()[0]) <= 0.05 * max(len(x), len(y)):
                 want.add((i, j))
-    got = {(r["left"], r["right"]) for r in catalog.QUERIES["j22_near_duplicates"](spark, str(tmp_path)).collect()}
+    found = {r["id"]: r["class"] for r in catalog.QUERIES["j22_near_duplicates"](spark, str(tmp_path)).collect()}
+    assert len(found) == 3 * len(names) and all(found[i] == found[i + catalog.FAR] for i, _ in rows if i % 2 == 0)
+    got = {(i, j) for i, _ in rows for j, _ in rows if i < j and found[i] == found[j]}
     assert len(want) >= len(names) and got == want
 
 
