@@ -38,21 +38,15 @@ def repair_history(history: DataFrame, checkpoint: float, run: str = "run", orde
     """Keep, per run, the branch of a training history that the checkpoint stands for.
 
     Where the epoch goes back, rows after the new epoch are dropped; the row of an epoch that is already there stays.
-    Rows after the checkpoint go. Epochs compare at one decimal of their exact binary value. A run's history is small,
-    and one array of its rows is folded.
+    Rows after the checkpoint go. Epochs compare at one decimal of their exact binary value.
+
+    So a row goes if any later row has a smaller epoch, and of what is left the first row of each epoch stays: a running
+    minimum from the end, linear in a run's rows.
     """
-    at = N.round1(F.col("epoch").cast("double"))
-    rows = history.select(run, F.struct(F.col(order).alias("_o"), at.alias("_e"), F.struct(*history.columns).alias("_row")).alias("_x"))
-    listed = rows.groupBy(run).agg(F.array_sort(F.collect_list("_x")).alias("_l"))
-    nothing = F.filter("_l", lambda x: F.lit(False))
-
-    def step(kept: Column, x: Column) -> Column:
-        before = F.filter(kept, lambda y: y["_e"] <= x["_e"])
-        there = F.exists(before, lambda y: y["_e"] == x["_e"])
-        return F.when(there, before).otherwise(F.concat(before, F.array(x)))
-
-    kept = F.filter(F.aggregate("_l", nothing, step), lambda x: x["_e"] <= F.lit(round(checkpoint, 1)))
-    return listed.select(F.explode(kept).alias("_x")).select("_x._row.*")
+    at = history.withColumn("_e", N.round1(F.col("epoch").cast("double")))
+    later = F.min("_e").over(Window.partitionBy(run).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1))
+    left = at.withColumn("_later", later).filter(F.coalesce(F.col("_later") >= F.col("_e"), F.lit(True)) & (F.col("_e") <= F.lit(round(checkpoint, 1))))
+    return left.groupBy(run, "_e").agg(F.min_by(F.struct(*history.columns), order).alias("_row")).select("_row.*")
 
 
 def first_of_epoch(history: DataFrame, order: str = "pos") -> DataFrame:

@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.binding import bind
 
 
 def explode_chunks(records: DataFrame, size: int = 5000, min_tail: int = 500, sequence: str = "sequence", keep: tuple[str, ...] = ()) -> DataFrame:
     """(record_id, *keep, start, end, piece): ranges are closed-form, so this is one narrow step without a shuffle.
 
-    A record is cut in one pass from its start to its end, whatever its length; only a short remainder and the piece
-    before it are cut anew.
+    Where every character is one byte, as in nucleotide sequences, pieces are slices of the record's bytes: one copy of the
+    record, and then each piece costs its own length. Other texts are cut by one pass from start to end; only a short
+    remainder and the piece before it are cut anew.
     """
     cut = records.filter(F.length(sequence) > 0).select("record_id", *keep, F.col(sequence).alias("_s"), F.length(sequence).alias("_n"))
-    cut = cut.withColumn("_p", F.regexp_extract_all("_s", F.lit(f"(?s).{{1,{int(size)}}}"), F.lit(0)))
+    plain = F.octet_length("_s") == F.col("_n")
     rest = F.col("_n") % size
     short = (F.col("_n") > size) & (rest > 0) & (rest < min_tail)
-    last, middle = F.concat(F.element_at("_p", -2), F.element_at("_p", -1)), F.floor((size + rest) / 2).cast("int")
-    halves = F.array(F.substring(last, F.lit(1), middle), F.substring(last, middle + 1, F.length(last)))
-    pieces = F.when(short, F.concat(F.slice("_p", F.lit(1), F.size("_p") - 2), halves)).otherwise(F.col("_p"))
-    rows = cut.select("record_id", *keep, F.explode(F.arrays_zip(S.chunk_ranges(F.col("_n"), size, min_tail).alias("r"), pieces.alias("p"))).alias("x"))
-    return rows.select("record_id", *keep, F.col("x.r.start").alias("start"), F.col("x.r.end").alias("end"), F.col("x.p").alias("piece"))
+
+    def pieces(each: Column) -> Column:
+        last, middle = F.concat(F.element_at(each, -2), F.element_at(each, -1)), F.floor((size + rest) / 2).cast("int")
+        halves = F.array(F.substring(last, F.lit(1), middle), F.substring(last, middle + 1, F.length(last)))
+        return F.when(short, F.concat(F.slice(each, F.lit(1), F.size(each) - 2), halves)).otherwise(each)
+
+    each = F.regexp_extract_all("_s", F.lit(f"(?s).{{1,{int(size)}}}"), F.lit(0))
+    # all that is long is ready before the explode, so that no row of it copies or scans the record
+    ready = cut.select("record_id", *keep, S.chunk_ranges(F.col("_n"), size, min_tail).alias("_r"), F.when(plain, F.col("_s").cast("binary")).alias("_b"), F.when(~plain, bind(each, pieces)).alias("_p"))
+    rows = ready.select("record_id", *keep, "_b", "_p", F.posexplode("_r").alias("_i", "r"))
+    slice_ = F.substring("_b", (F.col("r.start") + 1).cast("int"), (F.col("r.end") - F.col("r.start")).cast("int")).cast("string")
+    return rows.select("record_id", *keep, "r.start", "r.end", F.coalesce(slice_, F.get("_p", F.col("_i"))).alias("piece"))
 
 
 def chunk_table(records: DataFrame, manifest: DataFrame, size: int = 5000, min_tail: int = 500, n_limit: float = 0.2) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,28 +52,34 @@ def allocate(stats: DataFrame, ratios: dict[str, float] | None = None, seed: int
     """(group, split): within each stratum groups go, largest first, to the split that is least filled after taking them.
 
     The fill is bases over target plus genomes over target; ties go by a hash of seed, group and split. The fold is
-    sequential by nature; a stratum is one task, holding a few numbers per group.
+    sequential by nature, so a stratum is one task; its rows come sorted from the engine and pass one after the other,
+    and what is kept of them is the fill of the splits.
     """
     ratios = dict(ratios or RATIOS)
-
-    def tie(*parts) -> str:
-        return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        bases, genomes = float(part["bases"].sum()), float(part["genomes"].sum())
-        goal = {s: (max(bases * r, 1), max(genomes * r, 1)) for s, r in ratios.items()}
-        used = {s: [0, 0] for s in ratios}
-        out = []
-        keyed = sorted((-b, tie(seed, g, "order"), g, b, n) for g, b, n in zip(part[group], part["bases"], part["genomes"], strict=True))
-        for _, _, g, b, n in keyed:
-            best = min(((used[s][0] + b) / goal[s][0] + (used[s][1] + n) / goal[s][1], tie(seed, g, s), s) for s in ratios)[2]
-            used[best][0] += b
-            used[best][1] += n
-            out.append((g, best))
-        return pd.DataFrame(out, columns=[group, "split"])
-
+    names = list(ratios)
     kind = stats.schema[group].dataType.simpleString()
-    return stats.select(group, "bases", "genomes", *strata).groupBy(*strata).applyInPandas(fold, f"{group} {kind}, split string")
+    totals = stats.groupBy(*[F.col(c).alias(f"_of_{c}") for c in strata]).agg(F.sum("bases").cast("double").alias("_bases"), F.sum("genomes").cast("double").alias("_genomes"))
+    same = F.lit(True)
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    tie = lambda *parts: S.tie_hash(F.lit(seed), F.col(group), *map(F.lit, parts))
+    keyed = stats.select(group, "bases", "genomes", *strata).join(totals, same).withColumns({"_order": tie("order"), "_stratum": F.to_json(F.struct(*strata), {"ignoreNullFields": "false"})})
+    sorted_rows = keyed.repartition("_stratum").sortWithinPartitions("_stratum", F.desc("bases"), "_order")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stratum, goal, used = None, {}, {}
+        for batch in batches:
+            out = []
+            for now, b, n, bases, genomes, *ties in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if now != stratum:
+                    stratum, goal, used = now, {s: (max(bases * r, 1), max(genomes * r, 1)) for s, r in ratios.items()}, {s: [0, 0] for s in ratios}
+                best = min(((used[s][0] + b) / goal[s][0] + (used[s][1] + n) / goal[s][1], t, s) for s, t in zip(names, ties, strict=True))[2]
+                used[best][0] += b
+                used[best][1] += n
+                out.append(best)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [group, "split"])
+
+    return sorted_rows.select(group, "_stratum", "bases", "genomes", "_bases", "_genomes", *[tie(s) for s in names]).mapInArrow(fold, f"`{group}` {kind}, split string")
 
 
 def final_manifest(manifest: DataFrame, components: DataFrame, assignment: DataFrame, conflicts: DataFrame, exclusions: DataFrame) -> DataFrame:

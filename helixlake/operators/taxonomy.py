@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import sequence as S
+from .ordered import ranks
 
 AUTHORITATIVE = ("gv_labels", "snapshot_metadata")
 
@@ -20,7 +21,7 @@ def vocabulary(rows: DataFrame, minimum: int) -> DataFrame:
     """(taxon, genomes, label_id): taxa with enough train genomes, counted before ambiguous genomes are left out;
     ids follow the names."""
     counts = rows.filter("split = 'train'").groupBy("taxon").agg(F.countDistinct("genome_id").alias("genomes")).filter(F.col("genomes") >= minimum)
-    return counts.withColumn("label_id", (F.row_number().over(Window.orderBy("taxon")) - 1).cast("int"))
+    return ranks(counts, [F.col("taxon")], "_n").select("taxon", "genomes", (F.col("_n") - 1).cast("int").alias("label_id"))
 
 
 def reliable_genomes(rows: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions import numeric as N
 from ..functions import sequence as S
 from ..operators import audit, calibrate, chunks, evaluate, manifest, qc, similarity, splits, taxonomy, weights
 from ..operators.components import connected_components
+from ..operators.ordered import ranks
 from ..session import new_folder, save, ship
 from ..sources import fasta, tables
 
@@ -673,6 +674,53 @@ def _(t):
     return out.withColumn("accuracy", r6("accuracy"))
 
 
+def _level(key: str, name: str) -> str:
+    return level_pred(key).replace("lv", name)
+
+
+REPORTS = f"""{PRED}, {_level("(genome_id, contig_id)", "lc")}, {_level("genome_id", "lg")},
+al AS (SELECT 'chunk' AS level, source, truth, p, valid_length FROM pred UNION ALL SELECT 'contig', source, truth, p, valid_length FROM lc UNION ALL SELECT 'genome', source, truth, p, valid_length FROM lg),
+sl AS (SELECT level, unnest([{{'kind': 'all', 'slice': ''}}, {{'kind': 'source', 'slice': source}}, {{'kind': 'band', 'slice': CASE WHEN valid_length < 500 THEN '<500' WHEN valid_length < 5000 THEN '500-4999' ELSE '>=5000' END}}]) AS s,
+  truth, p, (list_position(p, list_max(p)) - 1)::INT AS predicted, list_max(p) AS confidence FROM al),
+r AS (SELECT level, s.kind AS kind, s.slice AS slice, truth, p, predicted, confidence FROM sl), g AS (SELECT DISTINCT level, kind, slice FROM r), ks AS (SELECT unnest(range({K}))::INT AS class),
+cc AS (SELECT level, kind, slice, truth, predicted, count(*) AS n FROM r GROUP BY ALL),
+c AS (SELECT g.*, a.class AS truth, b.class AS predicted, coalesce(n, 0) AS n FROM g CROSS JOIN ks a CROSS JOIN ks b LEFT JOIN cc ON (cc.level, cc.kind, cc.slice, cc.truth, cc.predicted) = (g.level, g.kind, g.slice, a.class, b.class)),
+m AS (SELECT c.level, c.kind, c.slice, ks.class, sum(n) FILTER (truth = class AND predicted = class) AS tp, sum(n) FILTER (truth = class) AS support, sum(n) FILTER (predicted = class) AS called, sum(n) AS n FROM c, ks GROUP BY ALL),
+f AS (SELECT *, coalesce(tp / nullif(called, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(support, 0), 0)::DOUBLE AS recall, coalesce(2 * tp / nullif(called + support, 0), 0)::DOUBLE AS f1, support / n AS prevalence FROM m),
+top AS (SELECT level, kind, slice, any_value(n)::DOUBLE AS n, avg(f1) AS macro_f1, avg(recall) FILTER (support > 0) AS balanced_accuracy, sum(tp) / sum(support) AS accuracy FROM f GROUP BY ALL),
+b AS (SELECT level, kind, slice, least(floor(confidence * 10), 9)::INT AS bin, count(*)::DOUBLE AS count, avg(confidence) AS mean_confidence, avg((predicted = truth)::INT) AS accuracy FROM r GROUP BY ALL),
+e AS (SELECT level, kind, slice, sum(count * abs(mean_confidence - accuracy)) / sum(count) AS ece FROM b GROUP BY ALL),
+x AS (SELECT level, kind, slice, class, p[class + 1] AS s, truth = class AS y FROM r, ks), t AS (SELECT level, kind, slice, class, s, count_if(y) AS tp, count(*) AS n FROM x GROUP BY ALL),
+w AS (SELECT level, kind, slice, class, s, sum(tp) OVER d AS tp, sum(n) OVER d AS n, sum(tp) OVER q AS pos, sum(n) OVER q AS every FROM t WINDOW d AS (PARTITION BY level, kind, slice, class ORDER BY s DESC), q AS (PARTITION BY level, kind, slice, class)),
+l AS (SELECT *, tp / n AS pr, tp / nullif(pos, 0) AS rc, coalesce(lag(tp / nullif(pos, 0)) OVER o, 0) AS r0, coalesce(lag(tp / n) OVER o, 1) AS p0 FROM w WINDOW o AS (PARTITION BY level, kind, slice, class ORDER BY s DESC)),
+ap AS (SELECT level, kind, slice, class, CASE WHEN any_value(pos) > 0 AND any_value(pos) < any_value(every) THEN sum((rc - r0) * pr) END AS average_precision, CASE WHEN any_value(pos) > 0 AND any_value(pos) < any_value(every) THEN sum((rc - r0) * (pr + p0) / 2) END AS pr_auc FROM l GROUP BY ALL),
+reports AS (SELECT level, kind, slice, k.m AS metric, NULL::INT AS class, NULL::INT AS other, k.v::DOUBLE AS value FROM (SELECT level, kind, slice, unnest([{{'m': 'n', 'v': n}}, {{'m': 'macro_f1', 'v': macro_f1}}, {{'m': 'balanced_accuracy', 'v': balanced_accuracy}}, {{'m': 'accuracy', 'v': accuracy}}]) AS k FROM top)
+UNION ALL SELECT level, kind, slice, 'ece', NULL, NULL, ece FROM e
+UNION ALL SELECT level, kind, slice, k.m, class, NULL, k.v FROM (SELECT level, kind, slice, class, unnest([{{'m': 'precision', 'v': precision}}, {{'m': 'recall', 'v': recall}}, {{'m': 'f1', 'v': f1}}, {{'m': 'support', 'v': support::DOUBLE}}, {{'m': 'prevalence', 'v': prevalence}}]) AS k FROM f)
+UNION ALL SELECT level, kind, slice, k.m, class, NULL, k.v FROM (SELECT level, kind, slice, class, unnest([{{'m': 'average_precision', 'v': average_precision}}, {{'m': 'pr_auc', 'v': pr_auc}}]) AS k FROM ap)
+UNION ALL SELECT level, kind, slice, 'confusion', truth, predicted, n FROM c
+UNION ALL SELECT level, kind, slice, k.m, NULL, bin, k.v FROM (SELECT level, kind, slice, bin, unnest([{{'m': 'reliability_count', 'v': count}}, {{'m': 'reliability_mean_confidence', 'v': mean_confidence}}, {{'m': 'reliability_accuracy', 'v': accuracy}}]) AS k FROM b))"""
+
+
+@query("a29_slice_reports", f"WITH {REPORTS} SELECT level, kind, slice, metric, class, other, round(value, 6) AS value FROM reports")
+def _(t):
+    return evaluate.slice_reports(evaluate.all_levels(predictions(t), K), K).withColumn("value", r6("value"))
+
+
+@query("s18_metric_documents", f"""WITH {REPORTS}, v AS (SELECT level, kind || '/' || slice || '/' || metric || '/' || coalesce(class::VARCHAR, '') || '/' || coalesce(other::VARCHAR, '') AS k, value FROM reports)
+SELECT level, any_value(value::BIGINT) FILTER (k = 'all//n//') AS n, any_value(round(value, 6)) FILTER (k = 'all//macro_f1//') AS macro_f1, any_value(round(value, 6)) FILTER (k = 'all//average_precision/2/') AS ap_2,
+  any_value(round(value, 6)) FILTER (k = 'source/s3/accuracy//') AS s3_accuracy, any_value(value::BIGINT) FILTER (k = 'source/s3/confusion/1/4') AS s3_cell, any_value(round(value, 6)) FILTER (k = 'band/500-4999/ece//') AS band_ece,
+  count(DISTINCT split_part(k, '/', 2)) FILTER (k LIKE 'source/%') AS sources FROM v GROUP BY level""")
+def _(t):
+    """One nested document per level, and what is found in it."""
+    found = evaluate.metric_documents(evaluate.slice_reports(evaluate.all_levels(predictions(t), K), K))
+    at = lambda path, kind="double": F.get_json_object("document", path).cast(kind)
+    return found.select(
+        "level", at("$.n", "double").cast("long").alias("n"), r6(at("$.macro_f1")).alias("macro_f1"), r6(at("$.classes.2.average_precision")).alias("ap_2"), r6(at("$.by_source.s3.accuracy")).alias("s3_accuracy"),
+        at("$.by_source.s3.confusion_matrix[1][4]", "long").alias("s3_cell"), r6(at("$.by_band['500-4999'].ece")).alias("band_ece"), F.size(F.json_object_keys(F.get_json_object("document", "$.by_source"))).cast("long").alias("sources"),
+    )
+
+
 @query("g4_level_expansion", f"""WITH {PRED}, {level_pred('genome_id')} SELECT 'chunk' AS level, count(*) AS n, sum(valid_length)::BIGINT AS bp FROM pred UNION ALL SELECT 'contig', count(DISTINCT (genome_id, contig_id)), sum(valid_length)::BIGINT FROM pred UNION ALL SELECT 'genome', count(*), sum(valid_length)::BIGINT FROM lv""")
 def _(t):
     return evaluate.all_levels(predictions(t), K).groupBy("level").agg(F.count("*").alias("n"), F.sum("valid_length").cast("long").alias("bp"))
@@ -863,10 +911,8 @@ def _(t):
 
 @query("o3_group_order", "SELECT o_custkey AS component, row_number() OVER (ORDER BY sum(floor(o_totalprice)) DESC, sha256('0|' || o_custkey || '|order')) AS place FROM orders GROUP BY 1")
 def _(t):
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc("bases"), S.tie_hash(F.lit(0), F.col("component"), F.lit("order")))
-    return _stats(t).select("component", F.row_number().over(order).cast("long").alias("place"))
+    order = [F.desc("bases"), S.tie_hash(F.lit(0), F.col("component"), F.lit("order"))]
+    return ranks(_stats(t), order, "place").select("component", "place")
 
 
 @query("u1_union_sources", "SELECT origin, count(*) AS n FROM (SELECT 'documents' AS origin FROM documents UNION ALL SELECT 'pages' FROM pages UNION ALL SELECT 'benchmark' FROM benchmark) GROUP BY 1")
