@@ -1110,7 +1110,7 @@ READ = "translate(md5(p_partkey || p_name), '0123456789abcdef', 'acgtACGTACGTuNR
 def _reads(t) -> DataFrame:
     """Every part as a FASTA record of two lines."""
     name = F.concat(F.lit(">ARC__g"), "p_partkey", F.lit("|c"), "p_partkey", F.lit(" text"))
-    return dna(t, F.concat("p_partkey", "p_name")).select(F.concat(name, F.lit("\n"), F.substring("s", 1, 20), F.lit("\n"), F.expr("substring(s, 21)")).alias("value"))
+    return dna(t, F.concat("p_partkey", "p_name")).select("p_partkey", F.concat(name, F.lit("\n"), F.substring("s", 1, 20), F.lit("\n"), F.expr("substring(s, 21)")).alias("value"))
 
 
 def _fasta(t, folder: str, **options: str) -> DataFrame:
@@ -1122,22 +1122,38 @@ def _fasta(t, folder: str, **options: str) -> DataFrame:
 def _(t):
     """The same records in plain and in gzip files, below one folder."""
     folder = new_folder(t.spark, "fasta")
-    _reads(t).write.text(f"{folder}/plain")
-    _reads(t).write.option("compression", "gzip").text(f"{folder}/zipped")
+    _reads(t).select("value").write.text(f"{folder}/plain")
+    _reads(t).select("value").write.option("compression", "gzip").text(f"{folder}/zipped")
     return _fasta(t, folder).groupBy("header", "sequence").agg(F.count("*").cast("int").alias("copies"))
 
 
 @query("s2_p1_header_scan", "SELECT 'ARC__g' || p_partkey || '|c' || p_partkey || ' text' AS header, true AS bare FROM part WHERE p_partkey::VARCHAR LIKE '1%'")
 def _(t):
     folder = new_folder(t.spark, "fasta")
-    _reads(t).write.text(folder)
+    _reads(t).select("value").write.text(folder)
     return _fasta(t, folder, headersOnly="true", prefix="ARC__g1").select("header", F.col("sequence").isNull().alias("bare"))
 
 
+@query("s1_split_fasta_scan", f"SELECT 'ARC__g' || p_partkey || '|c' || p_partkey || ' text' AS header, {READ} AS sequence, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part")
+def _(t):
+    """All records in one file, read in ranges of a few kilobytes by many tasks; places are those in the file."""
+    folder = new_folder(t.spark, "fasta")
+    _reads(t).orderBy("p_partkey").coalesce(1).select("value").write.text(folder)
+    return fasta.read_fasta(t.spark, folder, split_bytes=16 << 10, suffixes=".txt").select("header", "sequence", "pos")
+
+
+@query("s2_p1_pushed_header_scan", "SELECT 'ARC__g' || p_partkey || '|c' || p_partkey || ' text' AS header, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part QUALIFY header LIKE 'ARC\\_\\_g2%' ESCAPE '\\'")
+def _(t):
+    """A prefix that reaches the scan as a filter, without sequences; places count the records that it leaves out."""
+    folder = new_folder(t.spark, "fasta")
+    _reads(t).orderBy("p_partkey").coalesce(1).select("value").write.text(folder)
+    return fasta.read_fasta(t.spark, folder, sequence=False, split_bytes=16 << 10, suffixes=".txt").filter(F.col("header").startswith("ARC__g2")).select("header", "pos")
+
+
 @query("s1_native_fasta_scan", f"SELECT 'ARC__g' || p_partkey || '|c' || p_partkey || ' text' AS header, {READ} AS sequence FROM part")
 def _(t):
     folder = new_folder(t.spark, "fasta")
-    _reads(t).write.text(folder)
+    _reads(t).select("value").write.text(folder)
     return fasta.read_fasta_native(t.spark, folder).select("header", "sequence")
 
 
