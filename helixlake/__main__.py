@@ -1,4 +1,5 @@
-"""Command line: ``python -m helixlake queries``, ``check``, or ``run NAME TABLES [--out FOLDER] [--force]``."""
+"""Command line: ``python -m helixlake queries``, ``check``, ``run NAME TABLES [--out FOLDER] [--force]``, or
+``preprocess FASTA_FOLDER METADATA_TSV OUTPUT [--settings JSON]``."""
 
 from __future__ import annotations
 
@@ -6,7 +7,8 @@ import argparse
 import json
 
 from . import session
-from .plans import catalog
+from .config import merge
+from .plans import catalog, preprocess
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -20,6 +22,12 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--out", help="write the result as Parquet (an existing output is an error)")
     run.add_argument("--force", action="store_true", help="replace an existing output")
     run.add_argument("--master")
+    whole = commands.add_parser("preprocess", help="from FASTA files to checked chunks; goes on where a run was stopped")
+    whole.add_argument("folder")
+    whole.add_argument("metadata", help="a table of the files: " + ", ".join(preprocess.METADATA))
+    whole.add_argument("output")
+    whole.add_argument("--settings", default="{}", help="settings other than the usual ones, as JSON")
+    whole.add_argument("--master")
     args = parser.parse_args(argv)
     if args.command == "queries":
         print("\n".join(catalog.QUERIES))
@@ -30,6 +38,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "check":
         print(json.dumps(session.check_environment(spark)))
         return 0
+    if args.command == "preprocess":
+        done = preprocess.run_folder(spark, args.folder, args.metadata, args.output, merge(json.loads(args.settings)))
+        print(json.dumps({"made": done.made, "kept": [t for t in done.digests if t not in done.made]}))
+        return 0
     result = catalog.QUERIES[args.name](spark, args.tables)
     if args.out:
         from .sources.tables import publish

@@ -87,8 +87,16 @@ def hms(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)
 
 
+#: A whole number without leading zeros, and a unit.
+MEMORY_LIMIT = "[1-9][0-9]*[KMGT]"
+
+
+def is_memory_limit(text: Column) -> Column:
+    return F.coalesce(text.rlike(f"^{MEMORY_LIMIT}$") & ~text.contains("\n"), F.lit(False))
+
+
 def memory_limit(text: str) -> str:
     """A size such as 48G; anything else is an error."""
-    if not re.fullmatch(r"[1-9][0-9]*[KMGT]", text):
+    if not re.fullmatch(MEMORY_LIMIT, text):
         raise ValueError(f"not a memory limit: {text!r}")
     return text

@@ -161,11 +161,15 @@ def near_clusters(fragments: DataFrame, identity: float = 0.95, coverage: float
 
 
 def cluster_edges(pairs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clusters of near fragments as stars from their smallest record, and the records of mixed-label clusters.
+    """``class_edges`` of the components of pairs (left, right)."""
+    return class_edges(connected_components(pairs, "left", "right").withColumnRenamed("node", "id"), records)
+
+
+def class_edges(groups: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of near fragments (id, component) as stars from their smallest record, and the records of mixed-label classes.
 
     records: (id, record_id, grp, label). Returns (left_group, right_group, reason) and (record_id, reason).
     """
-    groups = connected_components(pairs, "left", "right").withColumnRenamed("node", "id")
     members = save(groups.join(records, "id"), "cluster-members")
     head = save(members.groupBy("component").agg(F.min_by("grp", "record_id").alias("head"), F.countDistinct("label").alias("labels")), "cluster-heads")
     both = members.join(head, "component")

@@ -12,14 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import Settings, merge
 from ..functions import numeric as N
 from ..functions import sequence as S
 from ..operators import audit, calibrate, chunks, evaluate, manifest, qc, similarity, splits, taxonomy, weights
 from ..operators.components import connected_components
 from ..operators.ordered import ranks
-from ..session import new_folder, save, ship
+from ..session import new_folder, observed, save, ship
 from ..sources import fasta, tables
+from . import preprocess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1273,3 +1274,155 @@ def _(t):
     none = t.spark.createDataFrame([], f"source string, raw_genome string, ranks {six}")
     rows = manifest.build_manifest(found, meta, reasons, none, none)
     return rows.select("record_id", "genome_id", "contig_id", "sequence_length", r6("n_fraction").alias("n_fraction"), "sequence_sha256", "canonical_sha256", "base_group_id", "exclusion_reason", "taxonomy_source")
+
+
+# ---- settings, statistics and whole steps --------------------------------------------------------------------------
+
+EPSILON = Settings().label_smoothing
+
+
+@query("f32_smoothing_floor", f"""WITH {PRED}, x AS (SELECT source, (1 - {EPSILON}::DOUBLE) * -ln(least(greatest(p[truth + 1], 1e-12), 1)) + {EPSILON}::DOUBLE / {K} * list_sum(list_transform(p, lambda v: -ln(least(greatest(v, 1e-12), 1)))) AS ce FROM pred),
+h AS (SELECT 1 - {EPSILON}::DOUBLE + {EPSILON}::DOUBLE / {K} AS hit, {EPSILON}::DOUBLE / {K} AS miss)
+SELECT source, round(avg(ce) - any_value(-(hit * ln(hit) + {K - 1} * miss * ln(miss))), 6) AS above_floor, min(ce) >= any_value(-(hit * ln(hit) + {K - 1} * miss * ln(miss))) AS holds FROM x, h GROUP BY source""")
+def _(t):
+    """How far the smoothed loss of each source lies above what it can reach at best."""
+    floor = N.smoothing_floor(EPSILON, K)
+    loss = N.smoothed_cross_entropy(F.col("p"), F.col("truth"), EPSILON, K)
+    return predictions(t).groupBy("source").agg(r6(F.avg(loss) - floor).alias("above_floor"), (F.min(loss) >= floor).alias("holds"))
+
+
+@query("f33_file_sha256", "SELECT n_regionkey, length(string_agg(n_name, chr(10) ORDER BY n_name) || chr(10)) AS length, sha256(string_agg(n_name, chr(10) ORDER BY n_name) || chr(10)) AS sha256 FROM nation GROUP BY 1")
+def _(t):
+    """Checksums of text files, one for each region's nations."""
+    folder = new_folder(t.spark, "names")
+    t.nation.select("n_regionkey", F.col("n_name").alias("value")).repartition("n_regionkey").sortWithinPartitions("n_regionkey", "value").write.partitionBy("n_regionkey").text(folder)
+    return tables.file_sha256(t.spark, folder).select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("long").alias("n_regionkey"), "length", "sha256")
+
+
+@query("f35_memory_limit", "SELECT x, regexp_full_match(x, '[1-9][0-9]*[KMGT]') AS valid, count(*) AS n FROM (SELECT (p_size - 1)::VARCHAR || substr('KMGTX', (p_partkey % 6 + 1)::INT, 1) AS x FROM part) GROUP BY ALL")
+def _(t):
+    x = F.concat((F.col("p_size") - 1).cast("string"), F.substring(F.lit("KMGTX"), (F.col("p_partkey") % 6 + 1).cast("int"), F.lit(1)))
+    return t.part.select(x.alias("x")).groupBy("x", N.is_memory_limit(F.col("x")).alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query("x6_config_merge", "SELECT r_regionkey, 1000 + 100 * r_regionkey AS chunk_size, CASE WHEN r_regionkey % 2 = 0 THEN 90 ELSE 500 END AS minimum_tail, r_regionkey <> 3 AS accepted FROM region")
+def _(t):
+    """A task's settings over the common ones for each region; one of them names a setting that does not exist."""
+    out = []
+    for (key,) in t.region.select("r_regionkey").collect():  # a row a region
+        task = {"chunk_size": 1000 + 100 * key} | ({"minimum_tail": 90} if key % 2 == 0 else {})
+        try:
+            merge({"chunk_size": 1, "seed": 4}, task | ({"no_such": 1} if key == 3 else {}))
+            accepted = True
+        except ValueError:
+            accepted = False
+        found = merge({"chunk_size": 1, "seed": 4}, task)
+        out.append((key, found.chunk_size, found.minimum_tail, accepted))
+    return t.spark.createDataFrame(out, "r_regionkey long, chunk_size long, minimum_tail int, accepted boolean")
+
+
+@query("a47_run_statistics", f"WITH {PIECES} SELECT count(*) AS chunks, sum(valid_length)::BIGINT AS bases, count_if(split = 'train') AS train FROM pc")
+def _(t):
+    """What a run says of itself: measures that come with the write of its table, not from reading it again."""
+    watched, seen = observed(pieces(t).select("record_id", "start", "valid_length", "split"), "run", chunks=F.count(F.lit(1)), bases=F.sum("valid_length"), train=F.count_if(F.col("split") == "train"))
+    save(watched, "observed-chunks")
+    return t.spark.createDataFrame([seen.get], "chunks long, bases long, train long")
+
+
+@query("h2_build_components", """WITH RECURSIVE r AS (SELECT d.doc_id, 'G' || d.doc_id AS g, sha256(coalesce(text, '')) AS h, coalesce(l.quality::VARCHAR, '') || '/' AS cl, CASE WHEN toxic = 1 THEN 'quarantine' END AS split, lang, n_chars FROM documents d LEFT JOIN labels l USING (doc_id)),
+k AS (SELECT * FROM r WHERE split IS NULL), f AS (SELECT *, first_value(g) OVER w AS fg, first_value(cl) OVER w AS fc FROM k WINDOW w AS (PARTITION BY h ORDER BY doc_id)),
+e AS (SELECT g AS u, fg AS v FROM f WHERE cl = fc AND g <> fg UNION ALL SELECT g, 'G' || min(doc_id) OVER (PARTITION BY lang, n_chars) FROM r),
+sy AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v), vertices AS (SELECT g AS node FROM k UNION SELECT u FROM e UNION SELECT v FROM e),
+cc(node, component) USING KEY (node) AS (SELECT node, node FROM vertices
+UNION (SELECT sy.v, min(cc.component) FROM cc JOIN sy ON sy.u = cc.node JOIN recurring.cc AS old ON old.node = sy.v WHERE cc.component < old.component GROUP BY sy.v))
+SELECT node AS base_group_id, 'SIM_' || substr(sha256(component), 1, 20) AS similarity_component FROM cc""")
+def _(t):
+    """Documents as groups of one record: joined where texts are equal within a class, and by edges between equal lengths of
+    a language; quarantined records keep their edges only."""
+    docs = t.documents.join(t.labels, "doc_id", "left")
+    group = F.concat(F.lit("G"), "doc_id")
+    rows = docs.select(
+        group.alias("base_group_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("canonical_sha256"), F.col("quality").alias("main_label"), F.lit(None).cast("int").alias("sub_label"),
+        F.when(F.col("toxic") == 1, "quarantine").alias("split"), F.lit("documents").alias("source_path"), F.col("doc_id").alias("pos"),
+    )
+    every = t.documents
+    firsts = every.groupBy(F.col("lang").alias("l"), F.col("n_chars").alias("n")).agg(F.min("doc_id").alias("first"))
+    edges = every.join(firsts, every["lang"].eqNullSafe(firsts["l"]) & every["n_chars"].eqNullSafe(firsts["n"])).select(group.alias("left_group"), F.concat(F.lit("G"), "first").alias("right_group"))
+    return splits.build_components(rows, edges)
+
+
+SOURCES = "CASE p_partkey % 4 WHEN 0 THEN 'ARC' WHEN 1 THEN 'NCLDV' WHEN 2 THEN 'PHAGE' ELSE 'EVE_NCLDV' END"
+
+
+@query("m1_manifest_with_labels", f"""WITH r AS (SELECT {SOURCES} AS source, CASE p_partkey % 4 WHEN 0 THEN 'ARC__' WHEN 1 THEN 'NCLDV__' WHEN 2 THEN 'PHAGE__' ELSE 'EVE-NCLDV__' END AS prefix, p_partkey AS k, 'f' || p_partkey % 50 || '.fna' AS filename, {READ} AS s FROM part),
+h AS (SELECT *, CASE WHEN source = 'EVE_NCLDV' THEN 'GCA_' || k % 30 || '.1_eves' ELSE 'g' || k % 90 END AS raw0 FROM r),
+m AS (SELECT *, k % 50 AS fk, CASE WHEN source = 'EVE_NCLDV' THEN regexp_replace(regexp_replace(raw0, '_eves$', ''), '[_.]', '-', 'g') ELSE '' END AS host FROM h),
+j AS (SELECT *, fk % 3 = 0 AS snap, CASE WHEN fk % 7 = 0 THEN 'u' || fk ELSE raw0 END AS raw FROM m),
+x AS (SELECT *, source <> 'PHAGE' AND (k % 90) % 4 = 0 AND raw = raw0 AND source <> 'EVE_NCLDV' AS ex, source <> 'PHAGE' AND (k % 90) % 5 = 0 AND raw = raw0 AND source <> 'EVE_NCLDV' AS pr FROM j),
+g AS (SELECT *, CASE WHEN snap THEN 'snapshot_metadata' WHEN ex THEN 'gv_labels' WHEN pr THEN 'provisional' ELSE 'missing' END AS taxonomy_source, CASE WHEN snap THEN 'S' || fk % 5 WHEN ex THEN 'E' || k % 90 % 6 WHEN pr THEN 'unclassified' ELSE '' END AS genus,
+  CASE WHEN snap AND fk % 9 = 0 THEN 'Mirusviricota' WHEN snap THEN 'P' WHEN ex OR pr THEN 'Q' ELSE '' END AS phylum, regexp_replace(translate(upper(s), 'U', 'T'), '[^ACGTN]', 'N', 'g') AS q FROM x)
+SELECT 'REC_' || substr(sha256(source || chr(31) || prefix || raw0 || '|c' || k), 1, 20) AS record_id, source, source || '__' || CASE WHEN source = 'EVE_NCLDV' THEN host ELSE raw0 END AS genome_id, taxonomy_source, genus AS taxonomy_genus,
+  CASE WHEN source = 'NCLDV' AND genus <> '' AND genus <> 'unclassified' THEN 'NCLDV_GENUS::' || genus WHEN source = 'EVE_NCLDV' THEN 'EVE_HOST::' || host WHEN source = 'PHAGE' AND fk % 2 = 0 THEN 'PHAGE_VOTU::v' || fk ELSE 'GENOME::' || source || '__' || raw0 END AS base_group_id,
+  CASE WHEN source = 'ARC' AND fk % 10 = 0 THEN 'cellular_genome_is_viral_host:EVE:b,PHAGE:a' WHEN (length(q) - length(replace(q, 'N', ''))) / length(q) > 0.2 THEN 'n_fraction_above_0.2' WHEN source = 'PHAGE' AND phylum = 'Mirusviricota' THEN 'ncldv_or_mirus_in_phage_source' END AS exclusion_reason FROM g""")
+def _(t):
+    """Records of four sources with metadata, host matches and both label tables: every join and cascade of the manifest."""
+    k, turn = F.col("p_partkey"), F.col("p_partkey") % 4
+    source = F.when(turn == 0, "ARC").when(turn == 1, "NCLDV").when(turn == 2, "PHAGE").otherwise("EVE_NCLDV")
+    prefix = F.when(turn == 0, "ARC__").when(turn == 1, "NCLDV__").when(turn == 2, "PHAGE__").otherwise("EVE-NCLDV__")
+    raw = F.when(turn == 3, F.concat(F.lit("GCA_"), k % 30, F.lit(".1_eves"))).otherwise(F.concat(F.lit("g"), k % 90))
+    file = F.concat(F.lit("f"), k % 50, F.lit(".fna"))
+    rows = dna(t, F.concat("p_partkey", "p_name")).select(source.alias("source"), file.alias("filename"), file.alias("path"), k.alias("pos"), F.concat(prefix, raw, F.lit("|c"), k).alias("header"), F.col("s").alias("sequence"))
+    fk = k % 50
+    ranks = lambda phylum, genus: F.array(phylum, *[F.lit("")] * 3, genus, F.lit(""))
+    snapshot = F.when(fk % 3 == 0, ranks(F.when(fk % 9 == 0, "Mirusviricota").otherwise("P"), F.concat(F.lit("S"), fk % 5)))
+    meta = t.part.select(
+        source.alias("source"), file.alias("filename"), snapshot.alias("snapshot"), F.when(fk % 2 == 0, F.concat(F.lit("v"), fk)).alias("votu"), F.when(fk % 7 == 0, F.concat(F.lit("u"), fk)).alias("uvig"),
+        F.lit(0).alias("main_label"), F.lit(None).cast("int").alias("sub_label"), F.lit("genome").alias("record_type"),
+    ).distinct()
+    reasons = t.part.filter((turn == 0) & (fk % 10 == 0)).select(source.alias("source"), file.alias("filename"), F.array(F.lit("PHAGE:a"), F.lit("EVE:b")).alias("host_reasons")).distinct()
+    named = t.part.filter((turn == 0) | (turn == 1)).select(source.alias("source"), raw.alias("raw_genome"), (k % 90).alias("n")).distinct()
+    exact = named.filter("n % 4 = 0").select("source", "raw_genome", ranks(F.lit("Q"), F.concat(F.lit("E"), F.col("n") % 6)).alias("ranks"))
+    provisional = named.filter("n % 5 = 0").select("source", "raw_genome", ranks(F.lit("Q"), F.lit("unclassified")).alias("ranks"))
+    found = manifest.build_manifest(rows, meta, reasons, exact, provisional)
+    return found.select("record_id", "source", "genome_id", "taxonomy_source", "taxonomy_genus", "base_group_id", "exclusion_reason")
+
+
+HEX = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+MADE = f"{HEX.format("'a' || {k}")} || {HEX.format("'b' || {k}")}"
+FOLD = GREEDY[GREEDY.index("tot AS") : GREEDY.index("SELECT g AS component")]
+
+
+@query("x9_preprocess_run", f"""WITH RECURSIVE k AS (SELECT p_partkey AS k FROM part), s0 AS (SELECT k, {MADE.format(k="k")} AS own, {MADE.format(k="(k - 1)")} AS one, {MADE.format(k="(k - 7)")} AS seven FROM k),
+r AS (SELECT k, CASE WHEN k % 10 = 1 THEN {RC.replace('x', 'one')} WHEN k % 10 = 4 THEN substr(one, 1, 49) || translate(substr(one, 50, 1), 'ACGT', 'CGTA') || substr(one, 51) WHEN k % 50 = 7 THEN seven ELSE own END AS q,
+  (k // 100 % 2 + (k % 50 = 7)::INT) % 2 || '/' AS label, CASE WHEN k // 10 % 2 = 0 THEN 'ARC' ELSE 'BAC' END AS source FROM s0),
+m AS (SELECT *, 'GENOME::' || source || '__g' || k AS grp, least(q, {RC.replace('x', 'q')}) AS canon FROM r),
+bad AS (SELECT canon FROM m GROUP BY canon HAVING count(DISTINCT label) > 1),
+fr AS (SELECT k, grp, label, start, least(x, {RC}) AS h FROM (SELECT k, grp, label, 0 AS start, substr(q, 1, 40) AS x FROM m UNION ALL SELECT k, grp, label, 40, substr(q, 41) FROM m)),
+fi AS (SELECT *, first_value(k) OVER w AS fk, first_value(grp) OVER w AS fg, first_value(label) OVER w AS fl FROM fr WINDOW w AS (PARTITION BY h ORDER BY k, start)),
+gone AS (SELECT DISTINCT unnest([k, fk]) AS k FROM fi WHERE label <> fl UNION SELECT k FROM fr WHERE h IN (SELECT h FROM fr GROUP BY h HAVING count(DISTINCT label) > 1)),
+eq AS (SELECT grp, label, first_value(grp) OVER w AS fg, first_value(label) OVER w AS fl FROM m WINDOW w AS (PARTITION BY canon ORDER BY k)),
+ed AS (SELECT grp AS u, fg AS v FROM fi WHERE label = fl UNION SELECT grp, fg FROM eq WHERE label = fl), sy AS (SELECT u, v FROM ed WHERE u <> v UNION SELECT v, u FROM ed WHERE u <> v), vertices AS (SELECT grp AS node FROM m),
+cc(node, component) USING KEY (node) AS (SELECT node, node FROM vertices
+UNION (SELECT sy.v, min(cc.component) FROM cc JOIN sy ON sy.u = cc.node JOIN recurring.cc AS old ON old.node = sy.v WHERE cc.component < old.component GROUP BY sy.v)),
+kept AS (SELECT m.*, 'SIM_' || substr(sha256(component), 1, 20) AS g FROM m JOIN cc ON node = grp WHERE k NOT IN (SELECT k FROM gone) AND canon NOT IN (SELECT canon FROM bad)),
+st AS (SELECT g, any_value(source || '|' || label) AS s, sum(length(q))::BIGINT AS b, count(DISTINCT k) AS n FROM kept GROUP BY g), {FOLD.replace('NULL::BIGINT AS g', 'NULL::VARCHAR AS g')}
+SELECT fold.split, 2 * count(*) AS chunks, sum(length(q))::BIGINT AS bases, count(DISTINCT kept.k) AS genomes, count(DISTINCT kept.g) AS groups, true AS sound FROM kept JOIN fold ON fold.g = kept.g GROUP BY fold.split""")
+def _(t):
+    """FASTA files of the parts, with copies on the other strand, near copies and copies under another label, to checked
+    chunks; the tables of the run stay in its folder."""
+    k = F.col("p_partkey")
+    made = lambda n: F.concat(*[F.translate(F.md5(F.concat(F.lit(c), n.cast("string")).cast("binary")), "0123456789abcdef", "ACGT" * 4) for c in "ab"])
+    near = F.concat(F.substring(made(k - 1), 1, 49), F.translate(F.substring(made(k - 1), 50, 1), "ACGT", "CGTA"), F.substring(made(k - 1), 51, 64))
+    sequence = F.when(k % 10 == 1, S.reverse_complement(made(k - 1))).when(k % 10 == 4, near).when(k % 50 == 7, made(k - 7)).otherwise(made(k))
+    source = F.when(F.floor(k / 10) % 2 == 0, "ARC").otherwise("BAC")
+    folder = new_folder(t.spark, "preprocess")
+    t.part.select(F.concat(F.lit(">"), source, F.lit("__g"), k, F.lit("|c"), k, F.lit("\n"), sequence).alias("value")).repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey").write.text(f"{folder}/in")
+    read = fasta.read_fasta(t.spark, f"{folder}/in", split_bytes=64 << 10, suffixes=".txt")
+    number = F.regexp_extract("header", r"(\d+)$", 1).cast("long")
+    records = read.select(F.substring("header", 1, 3).alias("source"), F.concat(F.lit("f"), number, F.lit(".fna")).alias("filename"), F.lit("in").alias("path"), number.alias("pos"), "header", "sequence")
+    label = ((F.floor(k / 100) % 2 + (k % 50 == 7).cast("int")) % 2).cast("int")
+    meta = t.part.select(source.alias("source"), F.concat(F.lit("f"), k, F.lit(".fna")).alias("filename"), F.lit(None).cast("array<string>").alias("snapshot"), F.lit("").alias("votu"), F.lit("").alias("uvig"), label.alias("main_label"), F.lit(None).cast("int").alias("sub_label"), F.lit("genome").alias("record_type"))
+    preprocess.run(t.spark, save(records, "records"), meta, f"{folder}/out", Settings(chunk_size=40, minimum_tail=10))
+    chunks_ = t.spark.read.parquet(f"{folder}/out/chunks")
+    sound = t.spark.read.parquet(f"{folder}/out/lineage").filter("table = 'checks'").first()["rows"] == 0
+    return chunks_.groupBy("split").agg(F.count("*").alias("chunks"), F.sum("valid_length").cast("long").alias("bases"), F.countDistinct("genome_id").alias("genomes"), F.countDistinct("split_group").alias("groups"), F.lit(sound).alias("sound"))
