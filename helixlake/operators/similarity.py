@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -177,17 +180,77 @@ def class_edges(groups: DataFrame, records: DataFrame) -> tuple[DataFrame, DataF
     return edges, both.filter("labels > 1").select("record_id", F.lit("cross_label_near_fragment").alias("reason")).distinct()
 
 
-def ani_edges(sketches: DataFrame, sizes: DataFrame, k: int = 21, ani: float = 0.95, fraction: float = 0.85) -> DataFrame:
+#: Genomes of a k-mer that meet as one block; two blocks are at most this squared many pairs.
+POSTINGS = 256
+
+
+def _candidates(kmers: DataFrame, sizes: DataFrame, least: float, postings: int) -> DataFrame:
+    """(l, r), l < r: every pair that may share ``least`` of the k-mers of the one with fewer; sizes: (genome, k).
+
+    Of a genome's k-mers, rarest first, all but that share less one are its prefix: a pair that shares so many has one of
+    the prefix of the smaller in common. So k-mers that very many genomes have are mostly never looked up. The genomes of
+    a k-mer are cut into blocks, and blocks meet two by two, so no k-mer is one task.
+    """
+    held = save(kmers.groupBy("kmer").agg(F.count("*").alias("g")).filter("g > 1"), "shared-kmers")
+    shared = save(kmers.join(held, "kmer").join(sizes, "genome"), "shared-postings")
+    own = Window.partitionBy("genome")
+    blank = F.col("k") - F.count("*").over(own)  # k-mers of no other genome are the rarest
+    rank = blank + F.row_number().over(own.orderBy("g", "kmer"))
+    prefix = shared.withColumn("rank", rank).filter(F.col("rank") <= F.col("k") - F.ceil(F.col("k") * least * (1 - 1e-9)) + 1)
+    blocks = F.ceil(F.col("g") / postings)
+    block, every = F.pmod(F.xxhash64("genome"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    small = prefix.select("kmer", F.col("genome").alias("s"), F.col("k").alias("ks"), block.alias("a"), every.alias("b"))
+    large = shared.select("kmer", F.col("genome").alias("t"), F.col("k").alias("kt"), block.alias("b"), every.alias("a"))
+    met = small.join(large, ["kmer", "a", "b"]).filter("s <> t AND ks <= kt")
+    return met.select(F.least("s", "t").alias("l"), F.greatest("s", "t").alias("r")).distinct()
+
+
+def _heaviest_chain(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of a longest run of matches that do not go back in x nor in y."""
+    order = np.lexsort((y, x))
+    ends: list[int] = []  # least y of a chain of each length
+    at: list[int] = []
+    before = np.full(len(order), -1)
+    for i, v in enumerate(y[order].tolist()):
+        j = bisect_right(ends, v)
+        before[i] = at[j - 1] if j else -1
+        if j == len(ends):
+            ends.append(v), at.append(i)
+        else:
+            ends[j], at[j] = v, i
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(order[i])
+        i = before[i]
+    return np.array(out, np.int64)
+
+
+def _collinear(matches: pa.Table) -> pa.Table:
+    """(l, r, common, hit_l, hit_r) of a pair's matches (kmer, wl, wr): distinct k-mers, and the windows of either side in
+    the heavier of the forward and the backward chain."""
+    wl, wr = (matches[c].to_numpy().astype(np.int64) for c in ("wl", "wr"))
+    chain = max((_heaviest_chain(wl, y) for y in (wr, -wr)), key=len)
+    out = {"l": matches["l"].slice(0, 1), "r": matches["r"].slice(0, 1), "common": [len(np.unique(matches["kmer"].to_numpy()))], "hit_l": [len(np.unique(wl[chain]))], "hit_r": [len(np.unique(wr[chain]))]}
+    return pa.table(out)
+
+
+def ani_edges(sketches: DataFrame, sizes: DataFrame, k: int = 21, ani: float = 0.95, fraction: float = 0.85, postings: int = POSTINGS) -> DataFrame:
     """Genome pairs i < j by shared k-mer hashes (published as FracMinHash containment): ANI is the containment to the
-    power 1/k, the aligned fraction the share of windows with a shared hash, taken on the shorter genome.
+    power 1/k, the aligned fraction the share of windows in a collinear chain of shared k-mers, on the shorter genome.
 
-    sketches: (genome, window, kmer); sizes: (genome, bp). Pairs come from an equi-join on k-mers, never all genomes.
+    sketches: (genome, window, kmer), windows numbered along the genome; sizes: (genome, bp). Every pair that reaches the
+    ANI is found, though only pairs that can reach it are compared (see ``_candidates``). A pair's matches are one group,
+    bounded by the two sketches. Genomes without k-mers have no pairs.
     """
-    kmers = sketches.select("genome", "kmer").distinct()
-    totals, windows = kmers.groupBy("genome").agg(F.count("*").alias("k")), sketches.groupBy("genome").agg(F.countDistinct("window").alias("w"))
+    rows = save(sketches.select("genome", "window", "kmer").distinct(), "sketch-rows")
+    kmers = rows.select("genome", "kmer").distinct()
+    totals, windows = kmers.groupBy("genome").agg(F.count("*").alias("k")), rows.select("genome", "window").distinct().groupBy("genome").agg(F.count("*").alias("w"))
     info = save(totals.join(windows, "genome").join(sizes, "genome"), "genome-info")
-    a, b = sketches.withColumnsRenamed({"genome": "l", "window": "at_l"}), sketches.withColumnsRenamed({"genome": "r", "window": "at_r"})
-    shared = a.join(b, "kmer").filter("l < r").groupBy("l", "r").agg(F.countDistinct("kmer").alias("common"), F.countDistinct("at_l").alias("hit_l"), F.countDistinct("at_r").alias("hit_r"))
+    pairs = save(_candidates(kmers, info.select("genome", "k"), ani**k, postings), "genome-pairs")
+    left, right = (rows.withColumnsRenamed({"genome": c, "window": f"w{c}"}) for c in "lr")
+    matches = pairs.join(left, "l").join(right, ["r", "kmer"]).select("l", "r", "kmer", "wl", "wr")
+    kind = sketches.schema["genome"].dataType.simpleString()
+    shared = matches.groupBy("l", "r").applyInArrow(_collinear, f"l {kind}, r {kind}, common long, hit_l long, hit_r long")
     left, right = (info.select(F.col("genome").alias(c), F.col("k").alias(f"k_{c}"), F.col("w").alias(f"w_{c}"), F.col("bp").alias(f"bp_{c}")) for c in "lr")
     scored = shared.join(left, "l").join(right, "r").select(
         F.col("l").alias("left_genome"), F.col("r").alias("right_genome"), F.pow(F.col("common") / F.least("k_l", "k_r"), F.lit(1 / k)).alias("ani"),
