@@ -105,7 +105,7 @@ SPACE = chr(BYTE_LEVEL[32])
 #: Bytes of text that are cut into pieces at once: few enough for a processor's cache.
 SLICE = 1 << 18
 #: A stop or comma that does not follow a letter or digit; white space other than spaces and newlines.
-LOOSE_STOP = re.compile(r"(?<![^\W_])[.,]")
+LOOSE_STOP = re.compile(r"[.,](?<![^\W_][.,])")
 OTHER_BLANK = re.compile(r"[^\S \n]")
 #: Marks the cuts of a text; a text that has it is encoded whole.
 CUT = "\x1f"
