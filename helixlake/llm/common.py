@@ -69,9 +69,10 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], u: str, ties: Sequence[Colum
     """Add ``out``: the running sum of ``amount`` within ``keys`` (none: over all rows), in the order of ``u`` in [0, 1)
     and then ``ties``.
 
-    No group meets in one task: rows fall into order-preserving buckets of ``u`` (about ``per_bucket`` rows each,
+    No group of ``keys`` meets in one task: rows fall into order-preserving buckets of ``u`` (about ``per_bucket`` rows each,
     however large the group), buckets into ranges of ``fan`` buckets, those into larger ones, until one range is left;
-    each level adds what lies before it. ``counted`` has the same rows in fewer columns, for the buckets' totals.
+    each level adds what lies before it. Rows of equal ``u`` share a bucket: here those that repeat both key and text.
+    ``counted`` has the same rows in fewer columns, for the buckets' totals.
     """
     keys, buckets = list(keys), max(1, math.ceil(rows / per_bucket))
 
