@@ -164,6 +164,7 @@ def length_band(length: Column, low: int = 500, high: int = 5000) -> Column:
 
 
 def fine_band(length: Column) -> Column:
+    # Limits and names of the bands
     return (
         F.when(length < 500, F.lit("1–499")).when(length < 1000, F.lit("500–999")).when(length < 2000, F.lit("1,000–1,999"))
         .when(length < 3000, F.lit("2,000–2,999")).when(length < 4000, F.lit("3,000–3,999")).when(length < 5000, F.lit("4,000–4,999"))

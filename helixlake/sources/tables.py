@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import save
+
 RANKS = ("phylum", "class", "order", "family", "genus", "species")
 
 
@@ -58,8 +60,9 @@ def read_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def keyed(table: DataFrame, key: str) -> DataFrame:
     """Rows with a key; a key that repeats is an error."""
     rows = table.filter(F.trim(F.col(key)) != "")
-    n = F.count("*").over(Window.partitionBy(key))
-    return rows.withColumn("_n", n).withColumn(key, F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key)))).otherwise(F.col(key))).drop("_n")
+    again = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")  # a sound table has none, so no row is moved for it
+    checked = F.when(F.col("_n").isNotNull(), F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key)))).otherwise(F.col(key))
+    return rows.join(again, key, "left").select(*[checked.alias(c) if c == key else F.col(c) for c in table.columns])
 
 
 def publish(df: DataFrame, path: str, *partition_by: str, force: bool = False) -> None:
@@ -95,9 +98,10 @@ def read_version(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_outputs(df: DataFrame, condition, path: str, other: str) -> None:
-    """Side output: rows that meet the condition to one table, the others to a second."""
-    publish(df.filter(condition), path)
-    publish(df.filter(~condition), other)
+    """Side output: rows that meet the condition to one table, the others (null among them) to a second; df is computed once."""
+    once = save(df.withColumn("_main", F.coalesce(condition, F.lit(False))), "both-outputs")
+    publish(once.filter("_main").drop("_main"), path)
+    publish(once.filter("NOT _main").drop("_main"), other)
 
 
 def file_sha256(spark: SparkSession, path: str) -> DataFrame:
