@@ -41,16 +41,15 @@ def first_reason(edges: DataFrame, order: str = "pos") -> DataFrame:
     return pair.groupBy("left_group", "right_group").agg(F.min_by("reason", order).alias("reason"))
 
 
-def _canonical_kmer_hashes(sequence: Column, k: int) -> Column:
-    """Hashes of the canonical k-mers of every place; a shorter sequence is one k-mer."""
+def _kmers(sequence: Column, k: int) -> Column:
+    """The k-mers of every place; a shorter sequence is one."""
     every = F.regexp_extract_all(sequence, F.lit(f"(?s)(?=(.{{{int(k)}}}))"), F.lit(1))  # one pass over the sequence
-    kmers = F.when(F.length(sequence) < k, F.array(sequence)).otherwise(every)
-    return F.transform(kmers, lambda x: F.xxhash64(F.least(x, S.reverse_complement(x))))
+    return F.when(F.length(sequence) < k, F.array(sequence)).otherwise(every)
 
 
 def kmer_sketch(fragments: DataFrame, k: int = 21, keep: int = 80, sequence: str = "sequence") -> DataFrame:
     """(id, kmer, rank): the ``keep`` smallest hashes of canonical k-mers of each fragment, exploded."""
-    hashes = F.array_distinct(_canonical_kmer_hashes(F.col(sequence), k))
+    hashes = F.array_distinct(F.transform(_kmers(F.col(sequence), k), lambda x: F.xxhash64(F.least(x, S.reverse_complement(x)))))
     return fragments.select("id", F.posexplode(F.slice(F.array_sort(hashes), 1, keep)).alias("rank", "kmer"))
 
 
@@ -58,13 +57,15 @@ def seeds(fragments: DataFrame, k: int, keep: int) -> DataFrame:
     """(id, n, kmer, at, turned): the ``keep`` smallest k-mer hashes of (id, s, n), with the first place of each and whether
     it is the other strand's k-mer that is the canonical one."""
 
-    def placed(hashes: Column) -> Column:
-        at = lambda h: F.array_position(hashes, h) - 1
-        kmer = lambda h: F.substring("s", at(h) + 1, F.lit(k))
-        return F.transform(F.slice(F.array_sort(F.array_distinct(hashes)), 1, keep), lambda h: F.struct(h.alias("kmer"), at(h).cast("int").alias("at"), (kmer(h) > S.reverse_complement(kmer(h))).alias("turned")))
+    def named(x: Column) -> Column:
+        """63 bits of the canonical k-mer's hash, and one that says which strand it is on."""
+        return bind(S.reverse_complement(x), lambda r: F.shiftleft(F.xxhash64(F.least(x, r)), 1).bitwiseOR((x > r).cast("long")))
 
-    found = fragments.filter("n > 0").select("id", "n", F.explode(bind(_canonical_kmer_hashes(F.col("s"), k), placed)).alias("x"))
-    return found.select("id", "n", "x.kmer", "x.at", "x.turned")
+    def placed(names: Column) -> Column:
+        return F.transform(F.slice(F.array_sort(F.array_distinct(names)), 1, keep), lambda x: F.struct(x.alias("x"), (F.array_position(names, x) - 1).cast("int").alias("at")))
+
+    found = fragments.filter("n > 0").select("id", "n", F.explode(bind(F.transform(_kmers(F.col("s"), k), named), placed)).alias("p"))
+    return found.select("id", "n", F.shiftrightunsigned("p.x", 1).alias("kmer"), "p.at", (F.col("p.x").bitwiseAND(F.lit(1)) == 1).alias("turned"))
 
 
 def diagonals(found: DataFrame, k: int, band: int) -> DataFrame:
@@ -111,23 +112,24 @@ def aligned(runs: DataFrame, base: DataFrame, identity: float, coverage: float)
         """Of a part of both sides; -1 beyond ``most``."""
         return F.call_function("levenshtein", *[F.substring(f"s_{c}", (start(c) + 1).cast("int"), length(c).cast("int")) for c in ("left", "right")], most)
 
-    measured = pairs.withColumns({
-        "d_before": edits(lambda c: F.col(f"from_{c}") - F.col("before"), lambda c: F.col("before")),
-        "d_run": edits(lambda c: F.col(f"from_{c}"), lambda c: size[c]),
-        "d_after": edits(lambda c: F.col(f"to_{c}"), lambda c: F.col("after")),
-    })
+    parts = F.struct(
+        edits(lambda c: F.col(f"from_{c}") - F.col("before"), lambda c: F.col("before")).alias("before"),
+        edits(lambda c: F.col(f"from_{c}"), lambda c: size[c]).alias("run"),
+        edits(lambda c: F.col(f"to_{c}"), lambda c: F.col("after")).alias("after"),
+    )
 
-    def span(*ends: str) -> Column:
+    def span(d: Column, *ends: str) -> Column:
         whole = both(lambda c: sum((F.col(e) for e in ends), size[c]))
-        d = sum((F.col(f"d_{e}") for e in ends), F.col("d_run"))
-        alike, covered = 1 - d / F.greatest(*whole.values()), both(lambda c: whole[c] / F.col(f"n_{c}"))
-        good = (F.least(F.col("d_run"), *[F.col(f"d_{e}") for e in ends]) >= 0) if ends else F.col("d_run") >= 0
-        good = good & (alike >= identity - 1e-9) & (covered["left"] >= coverage) & (covered["right"] >= coverage)
+        changes = sum((d[e] for e in ends), d["run"])
+        alike, covered = 1 - changes / F.greatest(*whole.values()), both(lambda c: whole[c] / F.col(f"n_{c}"))
+        good = (alike >= identity - 1e-9) & (covered["left"] >= coverage) & (covered["right"] >= coverage)
+        for part in ("run", *ends):
+            good = good & (d[part] >= 0)
         return F.when(good, F.struct((whole["left"] + whole["right"]).alias("size"), alike.alias("identity"), covered["left"].alias("left_coverage"), covered["right"].alias("right_coverage")))
 
-    found = measured.withColumn("best", F.greatest(span("before", "after"), span("before"), span("after"), span()))
+    best = bind(parts, lambda d: F.array_compact(F.array(F.greatest(span(d, "before", "after"), span(d, "before"), span(d, "after"), span(d)))))
     strand = F.when(F.col("turned"), "-").otherwise("+")
-    return found.filter("best IS NOT NULL").select("left", "right", strand.alias("strand"), "best.identity", "best.left_coverage", "best.right_coverage")
+    return pairs.select("left", "right", strand.alias("strand"), F.explode(best).alias("best")).select("left", "right", "strand", "best.identity", "best.left_coverage", "best.right_coverage")
 
 
 def near_clusters(fragments: DataFrame, identity: float = 0.95, coverage: float = 0.85, k: int = 21, keep: int = 80, band: int = 32, sequence: str = "sequence") -> DataFrame:
