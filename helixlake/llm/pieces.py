@@ -45,6 +45,7 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 EDGE = re.compile(f"(?<!{MARK}){MARK}")
 CROSSING = re.compile(f"[^{MARK}]{MARK}")
 
+
 class Model:
     """The library's processor, and one that takes chunks as they are (normalised, with their markers)."""
 
