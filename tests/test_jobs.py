@@ -203,9 +203,16 @@ def test_settings():
         assert json.loads((ROOT / f"jobs/{job.__name__.split('.')[-1]}.json").read_text()) == job.DEFAULTS
 
 
-def test_command_line(spark, tmp_path):
-    spark.createDataFrame(documents(20), "doc_id long, text string, source string, status string").coalesce(1).write.parquet(f"{tmp_path}/in")
-    call = [sys.executable, "-m", "jobs.ingest_fragments", "--master", "local[2]", "--config", str(ROOT / "jobs/ingest_fragments.json"), *(x for n in ("input", "output", "checkpoint") for x in (f"--{n}", f"{tmp_path}/{'in' if n == 'input' else n}"))]
-    done = subprocess.run(call, cwd=ROOT, capture_output=True, text=True, timeout=300)
-    assert done.returncode == 0, done.stderr[-2000:]
-    assert "batch 0 of" in done.stderr and ingest_fragments.fragments(spark, f"{tmp_path}/output").count() > 0
+@pytest.mark.parametrize("job, inputs, table, said", [("ingest_fragments", ("input",), "fragments", "batch 0 of"), ("build_dataset", ("records", "labels"), "chunks", "wrote")])
+def test_command_line(spark, tmp_path, job, inputs, table, said):
+    """The config file, the log of what is read and written, and a second run that changes nothing."""
+    spark.createDataFrame([r for r in documents(20) if r[0] is not None], "doc_id long, text string, source string, status string").coalesce(1).write.parquet(f"{tmp_path}/{inputs[0]}")
+    spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels")
+    names = [*inputs, "output", *(["checkpoint"] if job == "ingest_fragments" else [])]
+    call = [sys.executable, "-m", f"jobs.{job}", "--master", "local[2]", "--config", str(ROOT / f"jobs/{job}.json"), *(x for n in names for x in (f"--{n}", f"{tmp_path}/{n}"))]
+    seen = []
+    for text in (said, "nothing new" if job == "ingest_fragments" else "up to date"):
+        done = subprocess.run(call, cwd=ROOT, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0 and text in done.stderr, done.stderr[-2000:]
+        seen.append(sorted(map(repr, spark.read.parquet(f"{tmp_path}/output/{table}").collect())))
+    assert seen[0] == seen[1] and seen[0]
