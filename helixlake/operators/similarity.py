@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions.binding import bind
-from ..session import save
+from ..session import save, ship
 from .components import connected_components
 
 
@@ -47,9 +47,14 @@ def _kmers(sequence: Column, k: int) -> Column:
     return F.when(F.length(sequence) < k, F.array(sequence)).otherwise(every)
 
 
+def _strands(sequence: Column, k: int) -> Column:
+    """(x, y) of every place: the k-mer and its reverse complement, which is a k-mer of the turned sequence."""
+    return F.arrays_zip(_kmers(sequence, k).alias("x"), F.reverse(_kmers(S.reverse_complement(sequence), k)).alias("y"))
+
+
 def kmer_sketch(fragments: DataFrame, k: int = 21, keep: int = 80, sequence: str = "sequence") -> DataFrame:
     """(id, kmer, rank): the ``keep`` smallest hashes of canonical k-mers of each fragment, exploded."""
-    hashes = F.array_distinct(F.transform(_kmers(F.col(sequence), k), lambda x: F.xxhash64(F.least(x, S.reverse_complement(x)))))
+    hashes = F.array_distinct(F.transform(_strands(F.col(sequence), k), lambda z: F.xxhash64(F.least(z["x"], z["y"]))))
     return fragments.select("id", F.posexplode(F.slice(F.array_sort(hashes), 1, keep)).alias("rank", "kmer"))
 
 
@@ -57,14 +62,14 @@ def seeds(fragments: DataFrame, k: int, keep: int) -> DataFrame:
     """(id, n, kmer, at, turned): the ``keep`` smallest k-mer hashes of (id, s, n), with the first place of each and whether
     it is the other strand's k-mer that is the canonical one."""
 
-    def named(x: Column) -> Column:
+    def named(z: Column) -> Column:
         """63 bits of the canonical k-mer's hash, and one that says which strand it is on."""
-        return bind(S.reverse_complement(x), lambda r: F.shiftleft(F.xxhash64(F.least(x, r)), 1).bitwiseOR((x > r).cast("long")))
+        return F.shiftleft(F.xxhash64(F.least(z["x"], z["y"])), 1).bitwiseOR((z["x"] > z["y"]).cast("long"))
 
     def placed(names: Column) -> Column:
         return F.transform(F.slice(F.array_sort(F.array_distinct(names)), 1, keep), lambda x: F.struct(x.alias("x"), (F.array_position(names, x) - 1).cast("int").alias("at")))
 
-    found = fragments.filter("n > 0").select("id", "n", F.explode(bind(F.transform(_kmers(F.col("s"), k), named), placed)).alias("p"))
+    found = fragments.filter("n > 0").select("id", "n", F.explode(bind(F.transform(_strands(F.col("s"), k), named), placed)).alias("p"))
     return found.select("id", "n", F.shiftrightunsigned("p.x", 1).alias("kmer"), "p.at", (F.col("p.x").bitwiseAND(F.lit(1)) == 1).alias("turned"))
 
 
@@ -227,13 +232,52 @@ def _heaviest_chain(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _collinear(matches: pa.Table) -> pa.Table:
-    """(l, r, common, hit_l, hit_r) of a pair's matches (kmer, wl, wr): distinct k-mers, and the windows of either side in
-    the heavier of the forward and the backward chain."""
-    wl, wr = (matches[c].to_numpy().astype(np.int64) for c in ("wl", "wr"))
-    chain = max((_heaviest_chain(wl, y) for y in (wr, -wr)), key=len)
-    out = {"l": matches["l"].slice(0, 1), "r": matches["r"].slice(0, 1), "common": [len(np.unique(matches["kmer"].to_numpy()))], "hit_l": [len(np.unique(wl[chain]))], "hit_r": [len(np.unique(wr[chain]))]}
-    return pa.table(out)
+def _collinear(batches):
+    """(l, r, common, hit_l, hit_r) of pairs with their matches (l, r, m: for each shared k-mer the windows of either side):
+    distinct k-mers, and the windows of either side in the heavier of the forward and the backward chain."""
+    for batch in batches:
+        each = batch.column(2)
+        wl, wr = each.flatten().flatten()
+        ends, al, ar = (x.offsets.to_numpy().astype(np.int64) for x in (each, wl, wr))
+        al, ar = al - al[0], ar - ar[0]
+        nl, nr = np.diff(al), np.diff(ar)
+        first = np.concatenate([[0], np.cumsum(nl * nr)])  # every window of one side with every window of the other
+        of = np.repeat(np.arange(len(nl)), nl * nr)
+        at = np.arange(first[-1]) - first[of]
+        xs, ys = wl.flatten().to_numpy().astype(np.int64)[al[of] + at // nr[of]], wr.flatten().to_numpy().astype(np.int64)[ar[of] + at % nr[of]]
+        ends = ends - ends[0]
+        hits = np.ones((len(ends) - 1, 2), np.int64)
+        for i, (p, q) in enumerate(zip(first[ends[:-1]].tolist(), first[ends[1:]].tolist(), strict=True)):
+            if q - p > 1:
+                x, y = xs[p:q], ys[p:q]
+                chain = max((_heaviest_chain(x, side) for side in (y, -y)), key=len)
+                hits[i] = len(set(x[chain].tolist())), len(set(y[chain].tolist()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends)), pa.array(hits[:, 0]), pa.array(hits[:, 1])], ["l", "r", "common", "hit_l", "hit_r"])
+
+
+def _frequent(rows: DataFrame, postings: int) -> DataFrame:
+    """(kmer) that more than about ``postings`` genomes have, by a part of the genomes that a hash draws: it decides how a
+    k-mer's genomes meet, never whether they do."""
+    part = max(1, postings // 8)
+    some = rows.filter(F.pmod(F.xxhash64("genome"), F.lit(part)) == 0).select("genome", "kmer").distinct()
+    return save(some.groupBy("kmer").agg(F.count("*").alias("g")).filter("g > 8").select("kmer"), "frequent-kmers")
+
+
+def _common_matches(rest: DataFrame, frequent: DataFrame, info: DataFrame, least: float, postings: int) -> DataFrame:
+    """(l, r, wl, wr): matches by frequent k-mers of all pairs that reach ``least`` by them or with them.
+
+    Taking a genome's frequent k-mers as its most common ones, a pair that reaches it shares a k-mer that is not frequent
+    (then it is in rest) or one of the frequent ones of the prefix. frequent: (genome, kmer, windows).
+    """
+    held = frequent.groupBy("genome").agg(F.count("*").alias("h"))
+    sizes = save(info.select("genome", "k").join(held, "genome"), "frequent-sizes")
+    found = rest.groupBy("l", "r").agg(F.count("*").alias("c"))
+    for c in "lr":
+        found = found.join(sizes.withColumnsRenamed({"genome": c, "k": f"k_{c}", "h": f"h_{c}"}), c)
+    found = found.filter(F.col("c") + F.least("h_l", "h_r") >= F.least("k_l", "k_r") * least * (1 - 1e-9)).select("l", "r")
+    pairs = save(found.unionByName(_candidates(frequent.select("genome", "kmer"), sizes.select("genome", "k"), least, postings)).distinct(), "genome-pairs")
+    left, right = (frequent.withColumnsRenamed({"genome": c, "windows": f"w{c}"}) for c in "lr")
+    return pairs.join(left, "l").join(right, ["r", "kmer"]).select("l", "r", "wl", "wr")
 
 
 def ani_edges(sketches: DataFrame, sizes: DataFrame, k: int = 21, ani: float = 0.95, fraction: float = 0.85, postings: int = POSTINGS) -> DataFrame:
@@ -241,18 +285,35 @@ def ani_edges(sketches: DataFrame, sizes: DataFrame, k: int = 21, ani: float = 0
     power 1/k, the aligned fraction the share of windows in a collinear chain of shared k-mers, on the shorter genome.
 
     sketches: (genome, window, kmer), windows numbered along the genome; sizes: (genome, bp). Every pair that reaches the
-    ANI is found, though only pairs that can reach it are compared (see ``_candidates``). A pair's matches are one group,
-    bounded by the two sketches. Genomes without k-mers have no pairs.
+    ANI is found. The rows are shuffled once, to the k-mers; the genomes of a k-mer are one list and meet there, and a
+    pair's matches are counted and chained where they come together. Only the genomes of frequent k-mers are never one list
+    nor one task: they meet in blocks, by prefixes (see ``_candidates``). Genomes without k-mers have no pairs.
     """
-    rows = save(sketches.select("genome", "window", "kmer").distinct(), "sketch-rows")
-    kmers = rows.select("genome", "kmer").distinct()
-    totals, windows = kmers.groupBy("genome").agg(F.count("*").alias("k")), rows.select("genome", "window").distinct().groupBy("genome").agg(F.count("*").alias("w"))
+    spark = sketches.sparkSession
+    ship(spark)
+    rows = sketches.select("genome", "window", "kmer").filter("genome IS NOT NULL AND kmer IS NOT NULL")
+    often = _frequent(rows, postings)
+    some = not often.isEmpty()
+    split = lambda how: rows.join(often, "kmer", how) if some else rows
+    lists = split("left_anti").repartition("kmer").groupBy("kmer").agg(F.collect_set(F.struct("genome", "window")).alias("m"))
+    lists = save(lists.select("m", F.array_distinct("m.genome").alias("genomes")), "genome-lists")
+    counts = lists.select(F.explode("genomes").alias("genome"))
+    frequent = None
+    if some:
+        frequent = save(split("left_semi").groupBy("genome", "kmer").agg(F.collect_set("window").alias("windows")), "frequent-postings")
+        counts = counts.unionByName(frequent.select("genome"))
+    totals = counts.groupBy("genome").agg(F.count("*").alias("k"))
+    windows = rows.select("genome", "window").distinct().groupBy("genome").agg(F.count("*").alias("w"))
     info = save(totals.join(windows, "genome").join(sizes, "genome"), "genome-info")
-    pairs = save(_candidates(kmers, info.select("genome", "k"), ani**k, postings), "genome-pairs")
-    left, right = (rows.withColumnsRenamed({"genome": c, "window": f"w{c}"}) for c in "lr")
-    matches = pairs.join(left, "l").join(right, ["r", "kmer"]).select("l", "r", "kmer", "wl", "wr")
+    one = lists.filter(F.size("genomes") > 1).select("m", "genomes", F.explode("genomes").alias("l"))
+    two = one.select("m", "l", F.explode(F.filter("genomes", lambda x: x > F.col("l"))).alias("r"))
+    at = lambda g: F.filter("m", lambda x: x["genome"] == F.col(g))["window"]
+    matches = two.select("l", "r", at("l").alias("wl"), at("r").alias("wr"))
+    if frequent is not None:
+        matches = matches.unionByName(_common_matches(matches, frequent, info, ani**k, postings))
     kind = sketches.schema["genome"].dataType.simpleString()
-    shared = matches.groupBy("l", "r").applyInArrow(_collinear, f"l {kind}, r {kind}, common long, hit_l long, hit_r long")
+    pairs = matches.repartition("l", "r").groupBy("l", "r").agg(F.collect_list(F.struct("wl", "wr")).alias("m"))
+    shared = pairs.mapInArrow(_collinear, f"l {kind}, r {kind}, common long, hit_l long, hit_r long")
     left, right = (info.select(F.col("genome").alias(c), F.col("k").alias(f"k_{c}"), F.col("w").alias(f"w_{c}"), F.col("bp").alias(f"bp_{c}")) for c in "lr")
     scored = shared.join(left, "l").join(right, "r").select(
         F.col("l").alias("left_genome"), F.col("r").alias("right_genome"), F.pow(F.col("common") / F.least("k_l", "k_r"), F.lit(1 / k)).alias("ani"),

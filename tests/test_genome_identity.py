@@ -97,3 +97,52 @@ def test_chains():
                 best = max(best, len(some))
         assert len(chain) == best
     assert len(similarity._heaviest_chain(np.empty(0, int), np.empty(0, int))) == 0 and Counter() == {}
+
+
+def shuffled(spark, run) -> int:
+    """Rows that run writes into shuffles."""
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+
+    def total() -> int:
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+def test_the_sketches_are_shuffled_once(spark):
+    """80 k-mers a genome, of which pairs share 70: the rows go to the k-mers once, and matches to their pair; with random
+    k-mers that meet by chance, no more."""
+    rnd = random.Random(8)
+    rows = []
+    for g in range(0, 200, 2):
+        own = [rnd.getrandbits(50) for _ in range(90)]
+        rows += [(g + side, i // 10, h) for side in (0, 1) for i, h in enumerate(own[10 * side : 80 + 10 * side])]
+    frame = spark.createDataFrame(rows, "genome long, window long, kmer long")
+    sizes = spark.createDataFrame([(g, 1000 + g) for g in range(200)], "genome long, bp long")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = []
+    moved = shuffled(spark, lambda: found.extend(similarity.ani_edges(frame, sizes).collect()))
+    assert len(found) == 100 and moved < 2.5 * len(rows), moved / len(rows)
+
+
+def test_frequent_kmers_add_to_the_others(spark):
+    """Pairs that reach the threshold only with k-mers that all genomes have, only by them, and not at all."""
+    rnd = random.Random(9)
+    common = [rnd.getrandbits(40) for _ in range(30)]
+    rows = []
+    for g in range(40):
+        pair = random.Random(1000 + g // 2)
+        own = [pair.getrandbits(40) for _ in range(10)] if g < 20 else []
+        other = [rnd.getrandbits(40) for _ in range(25 if g < 20 else 5 if g < 30 else 60)]
+        rows += [(g, i // 10, h) for i, h in enumerate(common + own + other)]
+    frame = spark.createDataFrame(rows, "genome long, window long, kmer long")
+    sizes = spark.createDataFrame([(g, 1000 + g) for g in range(40)], "genome long, bp long")
+    for postings in (1, 16, 10_000):
+        found = {(r.left_genome, r.right_genome): r.ani for r in similarity.ani_edges(frame, sizes, 21, 0.97, 0.0, postings).collect()}
+        want = brute(rows, None, 21, 0.97, 0.0)
+        assert found.keys() == want.keys() and {(0, 1), (20, 21)} <= want.keys() and (0, 2) not in want
+        assert all(abs(found[p] - want[p]) < 1e-12 for p in want)
