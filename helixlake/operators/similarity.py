@@ -80,18 +80,32 @@ def diagonals(found: DataFrame, k: int, band: int) -> DataFrame:
     The centre of a k-mer is the longest fragment that has it (of equal ones the greatest id), so a k-mer of any number of
     fragments gives as many pairs as it has fragments. Shared k-mers vote for (centre, strand, diagonal), in steps of
     ``band`` letters; a vote counts for its step and the one before, so no run is cut by the steps.
+
+    Seeds are shuffled once to find their centres, and what meets once more to be counted; only the seeds of frequent
+    k-mers, which are no one task's, find theirs by an aggregate and a join.
     """
     found = save(found, "seeds")
-    centre = save(found.groupBy("kmer").agg(F.max_by(F.struct("id", "n", "at", "turned"), F.struct("n", "id")).alias("c"), F.count("*").alias("members")).filter("members > 1").select("kmer", "c"), "centres")
-    met = found.join(centre, "kmer").filter("id <> c.id")
+    often = _frequent(found.select(F.col("id").alias("genome"), "kmer"), POSTINGS)
+    centre = lambda of: of(F.struct("n", "id", "at", "turned"))
+    rest = found
+    if some := not often.isEmpty():
+        rest = found.join(often, "kmer", "left_anti")
+    met = rest.withColumn("c", centre(F.max).over(Window.partitionBy("kmer")))
+    if some:
+        common = found.join(often, "kmer", "left_semi")
+        met = met.unionByName(common.join(save(common.groupBy("kmer").agg(centre(F.max).alias("c")), "centres"), "kmer"))
+    met = met.filter("id <> c.id")
     width = F.least(F.lit(k), F.col("n"), F.col("c.n"))
     turned = F.col("turned") != F.col("c.turned")
     at = F.when(turned, F.col("n") - width - F.col("at")).otherwise(F.col("at"))  # in the orientation of the centre
-    step = F.floor((at - F.col("c.at")) / band)
-    votes = met.select("id", F.col("c.id").alias("centre"), turned.alias("turned"), F.struct(at.alias("l"), F.col("c.at").alias("r"), width.alias("w")).alias("x"), F.explode(F.array(step, step - 1)).alias("step"))
-    lines = votes.groupBy("id", "centre", "turned", "step").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("z"))
-    best = lines.groupBy("id", "centre").agg(F.max_by(F.struct("turned", "a", "z"), F.struct("n", ~F.col("turned"), -F.col("step"))).alias("b"))
-    return best.select(F.col("id").alias("left"), F.col("centre").alias("right"), "b.turned", F.col("b.a.l").alias("from_left"), F.col("b.a.r").alias("from_right"), (F.col("b.z.l") + F.col("b.z.w")).alias("to_left"), (F.col("b.z.r") + F.col("b.z.w")).alias("to_right"))
+    place = F.shiftleft(at.cast("long"), 32).bitwiseOR(F.col("c.at").cast("long"))  # in the order of (at, c.at)
+    votes = met.select("id", F.col("c.id").alias("centre"), turned.alias("turned"), place.alias("x"), width.alias("w")).repartition("id", "centre")
+    left, right = lambda x: F.shiftright(x, 32).cast("int"), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    step = F.floor((left(F.col("x")) - right(F.col("x"))) / band)
+    lines = votes.withColumn("step", F.explode(F.array(step, step - 1))).groupBy("id", "centre", "turned", "step").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("z"), F.max("w").alias("w"))
+    best = lines.groupBy("id", "centre").agg(F.max_by(F.struct("turned", "a", "z", "w"), F.struct("n", ~F.col("turned"), -F.col("step"))).alias("b"))
+    a, z = F.col("b.a"), F.col("b.z")
+    return best.select(F.col("id").alias("left"), F.col("centre").alias("right"), "b.turned", left(a).alias("from_left"), right(a).alias("from_right"), (left(z) + F.col("b.w")).alias("to_left"), (right(z) + F.col("b.w")).alias("to_right"))
 
 
 def aligned(runs: DataFrame, base: DataFrame, identity: float, coverage: float) -> DataFrame:
@@ -151,7 +165,8 @@ def near_clusters(fragments: DataFrame, identity: float = 0.95, coverage: float
     k-mers of a fragment.
     """
     text = fragments.select("id", F.coalesce(F.col(sequence), F.lit("")).alias("_s")).withColumn("_r", S.reverse_complement(F.col("_s")))
-    whole = text.select("id", (F.col("_s") > F.col("_r")).alias("turned"), F.least("_s", "_r").alias("s")).withColumn("key", F.sha2(F.col("s").cast("binary"), 256))
+    whole = text.select("id", (F.col("_s") > F.col("_r")).alias("turned"), F.least("_s", "_r").alias("s")).withColumn("key", F.unhex(F.sha2(F.col("s").cast("binary"), 256)))
+    whole = save(whole, "fragments")
     # equal hashes are equal sequences, so any of them will do
     once = whole.groupBy("key").agg(F.min(F.struct("id", "turned")).alias("f"), F.first("s").alias("s"), F.count("*").alias("copies"))
     once = save(once.select("key", "f.id", F.col("f.turned").alias("way"), "s", "copies", F.length("s").alias("n")), "distinct-fragments")

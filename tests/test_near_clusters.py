@@ -108,3 +108,28 @@ def test_a_common_kmer_gives_as_many_pairs_as_it_has_fragments(spark):
     seeds = similarity.seeds(spark.createDataFrame(rows, "id long, s string, n int"), 21, 400)
     pairs = similarity.diagonals(seeds, 21, 32)
     assert Counter(r.right for r in pairs.collect()).most_common(1) == [(299, 299)] and pairs.count() < 10 * 300
+
+
+def test_seeds_are_shuffled_once_to_their_centres(spark):
+    """Frequent k-mers (all fragments have them) find their centres as the others do, and no row goes to them twice."""
+    from .test_genome_identity import shuffled
+
+    rnd = random.Random(7)
+    run = "".join(rnd.choice("ACGT") for _ in range(40))
+    rows = []
+    for i in range(300):
+        own = "".join(rnd.choice("ACGT") for _ in range(120))
+        for j in range(2):
+            s = own[: 60 + j] + (run if i % 2 else turned(run)) + own[60 + j :]
+            rows.append((2 * i + j, s, len(s)))
+    seeds = similarity.seeds(spark.createDataFrame(rows, "id long, s string, n int"), 21, 400).cache()
+    plain = seeds.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    pairs = {}
+    moved = shuffled(spark, lambda: pairs.update({(r.left, r.right): r for r in similarity.diagonals(seeds, 21, 32).collect()}))
+    holders = defaultdict(list)
+    for r in plain:
+        holders[r.kmer].append((r.n, r.id))
+    want = {(i, max(of)[1]) for of in holders.values() for _, i in of if i != max(of)[1]}
+    assert pairs.keys() == want and max(map(len, holders.values())) == 600
+    assert moved < 2.5 * len(plain), moved / len(plain)
