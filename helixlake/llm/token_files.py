@@ -111,6 +111,19 @@ OTHER_BLANK = re.compile(r"[^\S \n]")
 CUT = "\x1f"
 
 
+class Pieces(dict):
+    """Ids of pieces, each found when it is first asked for; emptied when it holds ``keep``."""
+
+    def __init__(self, find, keep: int):
+        self.find, self.keep = find, keep
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.keep:
+            self.clear()
+        self[piece] = ids = self.find(piece)
+        return ids
+
+
 class Encoder:
     """Ids of texts, by the tokenizers library.
 
@@ -131,7 +144,8 @@ class Encoder:
         self.pieces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec.get("truncation")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.vocab = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known = Pieces(self._find, self.KEEP)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -146,27 +160,19 @@ class Encoder:
             cut = cut.replace("\n", CUT + "\n" + CUT)
         return cut.replace(" ", CUT + " ").split(CUT)
 
-    def _learn(self, new: set[str]) -> None:
+    def _find(self, piece: str) -> bytes:
         """Letters, with or without a space before them, are one word to the pre-tokenizer and go to the model at once."""
-        tokenize, other = self.tokenizer.model.tokenize, []
-        for piece in new:
-            if self.pieces and (piece[1:] if piece[:1] == " " else piece).isalpha():
-                plain = piece.replace(" ", SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LEVEL)
-                self.known[piece] = array("I", [x.id for x in tokenize(plain)]).tobytes()
-            else:
-                other.append(piece)
-        self.known.update(zip(other, self._encode(other), strict=True))
+        if (piece[1:] if piece[:1] == " " else piece).isalpha():
+            plain = piece.replace(" ", SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LEVEL)
+            return array("I", [x.id for x in self.tokenize(plain)]).tobytes()
+        return self._encode([piece])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         cuts = [self._cut(x) for x in texts]
-        parts = [c for c in cuts if len(c) > 1]
-        new = set().union(*parts).difference(self.known)
-        if len(self.known) + len(new) > self.KEEP:
-            self.known, new = {}, set().union(*parts)
-        self._learn(new)
+        self.known.keep, known = self.KEEP, self.known.__getitem__
         whole = iter(self._encode([c[0] for c in cuts if len(c) == 1]))
-        return [next(whole) if len(c) == 1 else b"".join(map(self.known.__getitem__, c)) for c in cuts]
+        return [next(whole) if len(c) == 1 else b"".join(map(known, c)) for c in cuts]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -129,3 +129,16 @@ def test_archive_format():
         held = zstandard.ZstdCompressionDict(data[8 : 8 + size])
         frame = zstandard.ZstdDecompressor(dict_data=held).stream_reader(io.BytesIO(data[8 + size :]), read_across_frames=False)
         assert frame.read(1 << 20) == some[0]  # each record is a frame of its own
+
+
+def test_the_cache_of_pieces_is_bounded_and_asked_once_a_piece():
+    words = [f"{a}{b}rn" for a in "bcdfgh" for b in "aeiou"]
+    texts = [" ".join(words), " ".join(reversed(words)) + ", 12."]
+    code = token_files.Encoder(token_files.default_vocabulary())
+    found, asked = code.known.find, Counter()
+    code.known.find = lambda piece: asked.update([piece]) or found(piece)
+    assert code.encode(texts * 3) == direct(texts * 3)
+    assert set(asked.values()) == {1} and len(asked) == len(code.known)
+    code = token_files.Encoder(token_files.default_vocabulary())
+    code.KEEP = 10  # fewer than a text has
+    assert code.encode(texts) == direct(texts) and len(code.known) <= 10
