@@ -133,3 +133,20 @@ def test_seeds_are_shuffled_once_to_their_centres(spark):
     want = {(i, max(of)[1]) for of in holders.values() for _, i in of if i != max(of)[1]}
     assert pairs.keys() == want and max(map(len, holders.values())) == 600
     assert moved < 2.5 * len(plain), moved / len(plain)
+
+
+def test_seeds_that_pair_up_are_not_joined_by_shuffles(spark):
+    from .test_genome_identity import shuffled
+
+    rnd = random.Random(3)
+    base = ["".join(rnd.choice("ACGT") for _ in range(120)) for _ in range(100)]
+    rows = [(2 * i + j, s[j:], 120 - j) for i, s in enumerate(base) for j in range(2)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seeds = similarity.seeds(spark.createDataFrame(rows, "id long, s string, n int"), 21, 400).cache()
+        n = seeds.count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        moved = shuffled(spark, lambda: similarity.diagonals(seeds, 21, 32).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved < 1.9 * n, moved / n
