@@ -41,9 +41,9 @@ def chunk_table(records: DataFrame, manifest: DataFrame, size: int = 5000, min_t
     """
     kept = manifest.filter("split IN ('train', 'validation', 'inference')")
     bp = F.sum("sequence_length").over(Window.partitionBy("genome_id"))
-    info = kept.withColumn("genome_total_bp", bp).select("record_id", "source", "genome_id", "contig_id", "split_group", "split", "main_label", "sub_label", "genome_total_bp", "sequence_sha256", "n_fraction")
+    info = kept.withColumn("genome_total_bp", bp).select("record_id", "source", "genome_id", "contig_id", "split_group", "split", "main_label", "sub_label", "genome_total_bp", F.unhex("sequence_sha256").alias("_sha"), "n_fraction")
     joined = records.join(info, "record_id")
-    checked = joined.withColumn("sequence", F.when(S.sequence_hash(F.col("sequence")) == F.col("sequence_sha256"), F.col("sequence")).otherwise(F.raise_error(F.concat(F.lit("sequence changed: "), "record_id")))).filter(F.col("n_fraction") <= n_limit)
+    checked = joined.withColumn("sequence", F.when(F.unhex(S.sequence_hash(F.col("sequence"))) == F.col("_sha"), F.col("sequence")).otherwise(F.raise_error(F.concat(F.lit("sequence changed: "), "record_id")))).filter(F.col("n_fraction") <= n_limit)
     keep = ("source", "genome_id", "contig_id", "split_group", "split", "main_label", "sub_label", "genome_total_bp")
     cut = explode_chunks(checked, size, min_tail, keep=keep)
     return cut.select(

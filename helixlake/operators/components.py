@@ -41,9 +41,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", vertices:
         found = save(found, "roots", rows=2 * first)
     else:
         found = now.select(F.col("u").alias("node"), F.col("u").alias("root"))
-    if vertices is not None:
-        alone = vertices.select("node").distinct().join(found, "node", "left_anti")
-        found = found.unionByName(alone.select("node", F.col("node").alias("root")))
     # written apart, so that the join of a component that holds very many vertices can be split over tasks
-    names = save(found.groupBy("root").agg(F.min("node").alias("component")), "component-names", rows=2 * first if vertices is None else None)
-    return found.join(names, "root").select("node", "component")
+    names = save(found.groupBy("root").agg(F.min("node").alias("component")), "component-names", rows=2 * first)
+    named = found.join(names, "root").select("node", "component")
+    if vertices is not None:  # those without edges need no name
+        alone = vertices.select("node").distinct().join(found, "node", "left_anti")
+        named = named.unionByName(alone.select("node", F.col("node").alias("component")))
+    return named

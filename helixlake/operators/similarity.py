@@ -23,12 +23,12 @@ def exact_edges(fragments: DataFrame, hash_col: str = "hash", group: str = "grp"
     records under quarantine. strict: every record of a hash with several labels goes, whatever the order.
     Returns (left_group, right_group, reason) and (record_id, reason).
     """
-    first = fragments.groupBy(hash_col).agg(F.min_by(F.struct("record_id", group, label, *order), F.struct(*order)).alias("f"), F.countDistinct(label).alias("labels"), F.count("*").alias("n"))
+    first = fragments.groupBy(hash_col).agg(F.min_by(F.struct("record_id", group, label, *order), F.struct(*order)).alias("f"), (F.min(label) < F.max(label)).alias("mixed"), F.count("*").alias("n"))
     pairs = fragments.join(first.filter("n > 1"), hash_col)
     same, other = F.col(label) == F.col(f"f.{label}"), F.col(label) != F.col(f"f.{label}")
     edges = pairs.filter(same & (F.col(group) != F.col(f"f.{group}"))).select(F.least(group, f"f.{group}").alias("left_group"), F.greatest(group, f"f.{group}").alias("right_group"), F.lit("exact_fragment").alias("reason")).distinct()
     if strict:
-        gone = pairs.filter("labels > 1").select("record_id")
+        gone = pairs.filter("mixed").select("record_id")
     else:
         clash = pairs.filter(other)
         gone = clash.select("record_id").unionByName(clash.select(F.col("f.record_id").alias("record_id")))
@@ -156,33 +156,42 @@ def near_clusters(fragments: DataFrame, identity: float = 0.95, coverage: float
 
     id, class (the smallest id in it), centre (the fragment that it was aligned with; where there is none, the smallest id
     of its own sequence), strand (against the centre), identity, coverage and centre_coverage of that alignment, links
-    (alignments that its sequence has in all), copies (fragments of the same sequence on either strand).
+    (alignments that its sequence has in all), copies (fragments of the same sequence on either strand), first (the
+    smallest id of them).
 
     Equal sequences meet first and count once. Others are linked to the centres of their k-mers, as in linear-time
     clustering, and the components of the links are the classes. An alignment counts by its span: ``identity`` of its
     letters and ``coverage`` of both fragments. Ids are unique and not null; null and empty sequences are a class of their
     own; a sequence of fewer than k letters has equal ones only. No k-mer's fragments are cut off; ``keep`` bounds the
     k-mers of a fragment.
+
+    Distinct sequences are numbered in the order of their ids, so that their seeds, votes and links travel by numbers, of
+    which the least and the greatest are those of the ids; only sequences that have links get names of others.
     """
     text = fragments.select("id", F.coalesce(F.col(sequence), F.lit("")).alias("_s")).withColumn("_r", S.reverse_complement(F.col("_s")))
     whole = text.select("id", (F.col("_s") > F.col("_r")).alias("turned"), F.least("_s", "_r").alias("s")).withColumn("key", F.unhex(F.sha2(F.col("s").cast("binary"), 256)))
     whole = save(whole, "fragments")
     # equal hashes are equal sequences, so any of them will do
     once = whole.groupBy("key").agg(F.min(F.struct("id", "turned")).alias("f"), F.first("s").alias("s"), F.count("*").alias("copies"))
-    once = save(once.select("key", "f.id", F.col("f.turned").alias("way"), "s", "copies", F.length("s").alias("n")), "distinct-fragments")
+    once = once.select("key", F.col("f.id").alias("first"), F.col("f.turned").alias("way"), "s", "copies", F.length("s").alias("n"))
+    once = save(once.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "distinct-fragments")
     base = once.select("id", "s", "n")
     links = save(aligned(diagonals(seeds(base, k, keep), k, band), base, identity, coverage), "near-links")
-    classes = connected_components(links, "left", "right", vertices=base.select(F.col("id").alias("node"))).select(F.col("node").alias("one"), F.col("component").alias("class"))
-    counts = links.select(F.explode(F.array("left", "right")).alias("one")).groupBy("one").agg(F.count("*").alias("links"))
-    best = links.groupBy(F.col("left").alias("one")).agg(F.max_by(F.struct("right", "strand", "identity", "left_coverage", "right_coverage"), F.struct("identity", "right_coverage", "right")).alias("b"))
-    own = once.select("key", F.col("id").alias("one"), "way", "copies").join(classes, "one").join(counts, "one", "left").join(best, "one", "left").withColumn("centre", F.coalesce("b.right", "one"))
-    ways = once.select(F.col("id").alias("centre"), F.col("way").alias("centre_way"))
-    named = save(own.join(ways, "centre").select(
-        "key", "class", "centre", ((F.col("centre_way") != F.coalesce(F.col("b.strand") == "-", F.lit(False)))).alias("way"), F.coalesce("b.identity", F.lit(1.0)).alias("identity"),
-        F.coalesce("b.left_coverage", F.lit(1.0)).alias("coverage"), F.coalesce("b.right_coverage", F.lit(1.0)).alias("centre_coverage"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "copies",
-    ), "fragment-classes")
+    classes = connected_components(links, "left", "right").withColumnRenamed("node", "id")
+    counts = links.select(F.explode(F.array("left", "right")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    best = links.groupBy(F.col("left").alias("id")).agg(F.max_by(F.struct("right", "strand", "identity", "left_coverage", "right_coverage"), F.struct("identity", "right_coverage", "right")).alias("b"))
+    names = once.select("id", "first", "way")
+    linked = save(classes.join(counts, "id").join(best, "id", "left").join(names, "id"), "linked-fragments")
+    named = lambda c, *more: linked.select(F.col("id").alias(f"_{c}"), F.col("first").alias(c), *more)
+    linked = linked.join(named("class"), F.col("component") == F.col("_class")).join(named("centre", F.col("way").alias("centre_way")), F.coalesce("b.right", "id") == F.col("_centre"))
+    linked = save(linked.select("id", "class", "centre", "links", "b", "centre_way"), "linked-names")
+    own = once.select("key", "id", "first", "way", "copies").join(linked, "id", "left").select(
+        "key", "first", F.coalesce("class", "first").alias("class"), F.coalesce("centre", "first").alias("centre"), (F.coalesce("centre_way", "way") != F.coalesce(F.col("b.strand") == "-", F.lit(False))).alias("way"),
+        F.coalesce("b.identity", F.lit(1.0)).alias("identity"), F.coalesce("b.left_coverage", F.lit(1.0)).alias("coverage"), F.coalesce("b.right_coverage", F.lit(1.0)).alias("centre_coverage"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"), "copies",
+    )
     strand = F.when(F.col("turned") != F.col("way"), "-").otherwise("+")
-    return whole.select("id", "turned", "key").join(named, "key").select("id", "class", "centre", strand.alias("strand"), "identity", "coverage", "centre_coverage", "links", "copies")
+    return whole.select("id", "turned", "key").join(own, "key").select("id", "class", "centre", strand.alias("strand"), "identity", "coverage", "centre_coverage", "links", "copies", "first")
 
 
 def cluster_edges(pairs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -195,11 +204,15 @@ def class_edges(groups: DataFrame, records: DataFrame) -> tuple[DataFrame, DataF
 
     records: (id, record_id, grp, label). Returns (left_group, right_group, reason) and (record_id, reason).
     """
-    members = save(groups.join(records, "id"), "cluster-members")
-    head = save(members.groupBy("component").agg(F.min_by("grp", "record_id").alias("head"), F.countDistinct("label").alias("labels")), "cluster-heads")
+    return member_edges(save(groups.join(records, "id"), "cluster-members"))
+
+
+def member_edges(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``class_edges`` of fragments that have both: (component, record_id, grp, label)."""
+    head = save(members.groupBy("component").agg(F.min_by("grp", "record_id").alias("head"), F.min("label").alias("least"), F.max("label").alias("most")), "cluster-heads")
     both = members.join(head, "component")
-    edges = both.filter("labels = 1 AND grp <> head").select(F.least("grp", "head").alias("left_group"), F.greatest("grp", "head").alias("right_group"), F.lit("near_fragment").alias("reason")).distinct()
-    return edges, both.filter("labels > 1").select("record_id", F.lit("cross_label_near_fragment").alias("reason")).distinct()
+    edges = both.filter("least = most AND grp <> head").select(F.least("grp", "head").alias("left_group"), F.greatest("grp", "head").alias("right_group"), F.lit("near_fragment").alias("reason")).distinct()
+    return edges, both.filter("least < most").select("record_id", F.lit("cross_label_near_fragment").alias("reason")).distinct()
 
 
 #: Genomes of a k-mer that meet as one block; two blocks are at most this squared many pairs.

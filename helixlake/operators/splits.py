@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..session import save
 from .components import connected_components
 
 RATIOS = {"train": 0.8, "validation": 0.1, "inference": 0.1}
@@ -18,20 +19,28 @@ def class_label(main: str = "main_label", sub: str = "sub_label") -> Column:
     return F.concat_ws("/", F.col(main).cast("string"), F.coalesce(F.col(sub).cast("string"), F.lit("")))
 
 
-def build_components(manifest: DataFrame, edges: DataFrame) -> DataFrame:
+def equal_records(manifest: DataFrame) -> DataFrame:
+    """The manifest's rows (their identity, group and class) whose canonical hash other rows share, or very nearly only those."""
+    rows = manifest.select("canonical_sha256", "base_group_id", "split", "source_path", "pos", class_label().alias("_class"), F.xxhash64("canonical_sha256").alias("_h"))
+    held = save(rows.groupBy("_h").agg(F.count("*").alias("n")).filter("n > 1").select("_h"), "shared-hashes")
+    return save(rows.join(held, "_h", "left_semi").drop("_h"), "equal-records")
+
+
+def build_components(manifest: DataFrame, edges: DataFrame, equal: DataFrame | None = None) -> DataFrame:
     """(base_group_id, similarity_component): groups joined by edges and by equal records of one class.
 
     Equal records link to the first of their hash only, if the classes agree. Quarantined records are left out; records
     excluded later (pre-split exclusions, conflicting hashes) still count. Edges may bring groups that the manifest
-    lacks; blank ends are dropped. A component is named by a hash of its smallest group.
+    lacks; blank ends are dropped. A component is named by a hash of its smallest group. equal: ``equal_records``, if known.
     """
-    rows = manifest.filter("split IS NULL OR split <> 'quarantine'").withColumn("_class", class_label())
+    kept = "split IS NULL OR split <> 'quarantine'"
+    groups, rows = manifest.filter(kept).select(F.col("base_group_id").alias("node")), (equal_records(manifest) if equal is None else equal).filter(kept)
     firsts = rows.groupBy("canonical_sha256").agg(F.min_by(F.struct("base_group_id", "_class"), F.struct("source_path", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     equal = rows.join(firsts, "canonical_sha256").filter("_class = f._class AND base_group_id <> f.base_group_id")
     links = edges.select(F.trim("left_group").alias("u"), F.trim("right_group").alias("v")).filter("u <> '' AND v <> ''")
     links = links.unionByName(equal.select(F.col("base_group_id").alias("u"), F.col("f.base_group_id").alias("v")))
     loose = links.select(F.explode(F.array("u", "v")).alias("node"))  # ends of edges to themselves are vertices, too
-    found = connected_components(links, vertices=rows.select(F.col("base_group_id").alias("node")).unionByName(loose))
+    found = connected_components(links, vertices=groups.unionByName(loose))
     return found.select(F.col("node").alias("base_group_id"), S.stable_id(F.col("component"), prefix="SIM_").alias("similarity_component"))
 
 
@@ -87,10 +96,10 @@ def final_manifest(manifest: DataFrame, components: DataFrame, assignment: DataF
     manifest's own reason."""
     clash = conflicts.select("canonical_sha256", F.lit("conflicting_labels_for_identical_sequence").alias("_c")).distinct()
     early = exclusions.groupBy("record_id").agg(F.max("reason").alias("_x"))
-    joined = manifest.join(clash, "canonical_sha256", "left").join(early, "record_id", "left").join(components, "base_group_id", "left")
+    placed = components.join(assignment.select(F.col("component").alias("similarity_component"), F.col("split").alias("_s")), "similarity_component", "left")  # narrow rows
+    joined = manifest.join(clash, "canonical_sha256", "left").join(early, "record_id", "left").join(placed, "base_group_id", "left")
     joined = joined.withColumn("exclusion_reason", F.coalesce("_c", "_x", "exclusion_reason")).drop("_c", "_x", "split")
-    placed = joined.join(assignment.select(F.col("component").alias("similarity_component"), F.col("split").alias("_s")), "similarity_component", "left")
-    return placed.withColumns({"split": F.when(F.col("exclusion_reason").isNotNull(), "quarantine").otherwise(F.col("_s")), "split_group": F.col("similarity_component")}).drop("_s")
+    return joined.withColumns({"split": F.when(F.col("exclusion_reason").isNotNull(), "quarantine").otherwise(F.col("_s")), "split_group": F.col("similarity_component")}).drop("_s")
 
 
 def group_assignments(manifest: DataFrame) -> DataFrame:

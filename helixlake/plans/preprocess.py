@@ -24,6 +24,7 @@ import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +33,12 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import sequence as S
 from ..operators import chunks, manifest, qc, similarity, splits
-from ..session import ship
+from ..session import save, ship
 from ..sources import fasta, tables
 
 METADATA = ("source", "filename", "main_label", "sub_label", "votu", "uvig", "record_type", "lineage")
+#: Of the tables below the output; those of another one are made again.
+LAYOUT = 2
 
 
 @dataclass
@@ -53,17 +56,19 @@ class Run:
         self.digests[name] = self._digest(table)[1]
         return table
 
-    def table(self, name: str, build: Callable[[], DataFrame], inputs: tuple[str, ...], uses: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
-        """The table made by build from the named inputs and settings."""
+    def table(self, name: str, build: Callable[[], DataFrame], inputs: tuple[str, ...], uses: tuple[str, ...] = (), by: tuple[str, ...] = (), check: Callable[[DataFrame], None] | None = None) -> DataFrame:
+        """The table made by build from the named inputs and settings; what check raises leaves it without lineage."""
         settings = {k: v for k, v in asdict(self.settings).items() if k in uses}
-        key = hashlib.sha256(json.dumps([name, {i: self.digests[i] for i in inputs}, settings], sort_keys=True).encode()).hexdigest()
+        key = hashlib.sha256(json.dumps([LAYOUT, name, {i: self.digests[i] for i in inputs}, settings], sort_keys=True).encode()).hexdigest()
         path, known = f"{self.output}/{name}", self._known(name)
         found = self._read(path)
         if known is None or known["key"] != key or found is None or self._digest(found) != (known["rows"], known["digest"]):
             frame = build()
             writer = frame.write.mode("overwrite")
-            (writer.partitionBy(*by) if by else writer).parquet(path)
+            (writer.partitionBy(*by) if by else writer).option("compression", "zstd").parquet(path)  # ids and hashes in hex
             found = self.spark.read.schema(frame.schema).parquet(path)
+            if check:
+                check(found)
             rows, digest = self._digest(found)
             line = self.spark.createDataFrame([(key, rows, digest, json.dumps(settings), name)], "key string, rows long, digest string, settings string, table string")
             line.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table").parquet(f"{self.output}/lineage")
@@ -102,44 +107,55 @@ def run(spark: SparkSession, records: DataFrame, metadata: DataFrame, output: st
     r.source("metadata", metadata), r.source("reasons", reasons)
     exact, provisional = r.source("exact labels", none if exact is None else exact), r.source("provisional labels", none if provisional is None else provisional)
 
-    rows = r.table("manifest", lambda: _unique(manifest.build_manifest(records, metadata, reasons, exact, provisional, use.n_fraction_limit)), ("records", "metadata", "reasons", "exact labels", "provisional labels"), ("n_fraction_limit",))
+    rows = r.table("manifest", lambda: manifest.build_manifest(records, metadata, reasons, exact, provisional, use.n_fraction_limit), ("records", "metadata", "reasons", "exact labels", "provisional labels"), ("n_fraction_limit",), check=_unique)
     named = records.select(S.stable_id(F.col("source"), F.col("header"), prefix="REC_").alias("record_id"), S.normalize_dna(F.col("sequence")).alias("sequence"))
     sizes = ("chunk_size", "minimum_tail")
 
     def fragments() -> DataFrame:
-        known = rows.filter("exclusion_reason IS NULL").select("record_id", F.col("base_group_id").alias("grp"), splits.class_label().alias("label"), "source_path", F.col("pos").alias("place"))
-        cut = chunks.explode_chunks(named.join(known, "record_id"), use.chunk_size, use.minimum_tail, keep=("grp", "label", "source_path", "place"))
-        return cut.select(F.concat_ws(":", "record_id", "start").alias("id"), "record_id", "grp", "label", F.struct("source_path", "place", "start").alias("pos"), F.col("piece").alias("sequence"), S.canonical_hash(F.col("piece")).alias("hash"))
+        """(id, sequence) of the pieces of the records that are not excluded. Those that are come from a table, so that few
+        of them are broadcast and no sequence is shuffled."""
+        out = save(rows.filter("exclusion_reason IS NOT NULL").select("record_id"), "excluded")
+        cut = chunks.explode_chunks(named.join(out, "record_id", "left_anti"), use.chunk_size, use.minimum_tail)
+        return cut.select(F.concat_ws(":", "record_id", "start").alias("id"), F.col("piece").alias("sequence"))
 
     kinds = ("identity", "coverage", "kmers_per_fragment")
-    near = r.table("near", lambda: similarity.near_clusters(fragments().select("id", "sequence"), use.identity, use.coverage, keep=use.kmers_per_fragment), ("records", "manifest"), (*sizes, *kinds))
+    near = r.table("near", lambda: similarity.near_clusters(fragments(), use.identity, use.coverage, keep=use.kmers_per_fragment), ("records", "manifest"), (*sizes, *kinds))
 
+    @cache
     def links() -> tuple[DataFrame, DataFrame]:
-        edges, clash = similarity.exact_edges(fragments())
-        close, mixed = similarity.class_edges(near.select("id", F.col("class").alias("component")), fragments().select("id", "record_id", "grp", "label"))
+        """Only fragments that are not alone in their class give edges or clashes, and they are found once for both."""
+        told = rows.select("record_id", F.col("base_group_id").alias("grp"), splits.class_label().alias("label"), "source_path", F.col("pos").alias("place"))
+        some = near.filter("copies > 1 OR links > 0").select(F.substring_index("id", ":", 1).alias("record_id"), F.substring_index("id", ":", -1).cast("long").alias("start"), F.col("class").alias("component"), "first", "copies")
+        members = save(some.join(told, "record_id"), "members")
+        edges, clash = similarity.exact_edges(members.filter("copies > 1").select("record_id", "grp", "label", F.struct("source_path", "place", "start").alias("pos"), "first"), "first")
+        close, mixed = similarity.member_edges(members)
         return edges.unionByName(close), clash.unionByName(mixed)
 
     inputs = ("records", "manifest", "near")
     edges = r.table("similarity", lambda: links()[0], inputs, sizes)
     gone = r.table("exclusions", lambda: links()[1].groupBy("record_id").agg(F.min("reason").alias("reason")), inputs, sizes)
-    components = r.table("components", lambda: splits.build_components(rows, edges), ("manifest", "similarity"))
-    conflicts = splits.label_conflicts(rows.withColumn("_class", splits.class_label()), "canonical_sha256", "_class")
+    equal = cache(lambda: splits.equal_records(rows))
+    conflicts = cache(lambda: save(splits.label_conflicts(equal(), "canonical_sha256", "_class"), "conflicts"))
+    components = r.table("components", lambda: splits.build_components(rows, edges, equal()), ("manifest", "similarity"))
 
     def assigned() -> DataFrame:
-        left = rows.filter("exclusion_reason IS NULL").join(gone, "record_id", "left_anti").join(conflicts, "canonical_sha256", "left_anti").join(components, "base_group_id")
+        left = rows.filter("exclusion_reason IS NULL").join(gone, "record_id", "left_anti").join(conflicts(), "canonical_sha256", "left_anti").join(components, "base_group_id")
         each = left.select(F.col("similarity_component").alias("component"), F.col("sequence_length").alias("bases"), "genome_id", "source", splits.class_label().alias("label"), F.struct("source_path", "pos").alias("pos"))
-        numbered = each.withColumn("pos", F.xxhash64("pos"))  # any fixed order of first sight
-        stats = splits.component_stats(numbered)
+        numbered = save(each.withColumn("pos", F.xxhash64("pos")), "placed-records")  # any fixed order of first sight
+        stats = save(splits.component_stats(numbered), "component-stats")
         return splits.allocate(stats, use.ratios, use.seed)
 
     assignments = r.table("assignments", assigned, ("manifest", "exclusions", "components"), ("train", "validation", "inference", "seed"))
-    final = r.table("final", lambda: splits.final_manifest(rows, components, assignments, conflicts, gone), ("manifest", "exclusions", "components", "assignments"))
+    final = r.table("final", lambda: splits.final_manifest(rows, components, assignments, conflicts(), gone), ("manifest", "exclusions", "components", "assignments"))
     table = r.table("chunks", lambda: chunks.chunk_table(named, final, use.chunk_size, use.minimum_tail, use.n_fraction_limit), ("records", "final"), (*sizes, "n_fraction_limit"), ("split",))
 
     def checks() -> DataFrame:
+        """Keys that cross splits, and chunks under several labels, by one aggregate."""
         seen = qc.observations(table.withColumn("chunk_hash", S.canonical_hash(F.col("sequence"))))
-        crossing = qc.crossing(seen).select(F.lit("crosses splits").alias("problem"), "kind", "key")
-        return crossing.unionByName(qc.label_conflicts(seen).select(F.lit("several labels").alias("problem"), F.lit("chunk_hash").alias("kind"), "key"))
+        differ = lambda c: F.min(c) < F.max(c)
+        keys = seen.groupBy("kind", "key").agg(differ("split").alias("crosses"), differ("label").alias("several"))
+        found = F.array(F.when(F.col("crosses"), "crosses splits"), F.when(F.col("several") & (F.col("kind") == "chunk_hash"), "several labels"))
+        return keys.filter("crosses OR several").select(F.explode(F.array_compact(found)).alias("problem"), "kind", "key")
 
     problems = r.table("checks", checks, ("chunks",))
     if n := problems.count():
@@ -147,11 +163,10 @@ def run(spark: SparkSession, records: DataFrame, metadata: DataFrame, output: st
     return r
 
 
-def _unique(rows: DataFrame) -> DataFrame:
+def _unique(rows: DataFrame) -> None:
     """An id that repeats is an error."""
-    repeated = manifest.repeated_ids(rows).select("record_id", F.lit(True).alias("_again"))
-    twice = rows.join(repeated, "record_id", "left")
-    return twice.withColumn("record_id", F.when(F.col("_again"), F.raise_error(F.concat(F.lit("record id repeats: "), "record_id"))).otherwise(F.col("record_id"))).drop("_again")
+    repeated = manifest.repeated_ids(rows)
+    repeated.select(F.raise_error(F.concat(F.lit("record id repeats: "), "record_id"))).collect()
 
 
 def run_folder(spark: SparkSession, folder: str, metadata: str, output: str, settings: Settings | None = None) -> Run:

@@ -150,3 +150,24 @@ def test_seeds_that_pair_up_are_not_joined_by_shuffles(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert moved < 1.9 * n, moved / n
+
+
+def test_seeds_travel_by_numbers_and_classes_have_the_names_of_ids(spark, monkeypatch):
+    """Ids are long texts, in another order than their rows: numbers take their place among the seeds and keep their order."""
+    rnd = random.Random(9)
+    rows, want = [], {}
+    for i in range(40):
+        base = "".join(rnd.choice("ACGT") for _ in range(120))
+        other = base[:60] + ("A" if base[60] != "A" else "C") + base[61:]
+        ids = sorted(f"REC_{rnd.getrandbits(80):020x}:{rnd.randrange(9)}" for _ in range(3))
+        two = rnd.sample(ids, 2)  # of one sequence; the third is near them
+        rows += [(x, (base if x == two[0] else turned(base)) if x in two else other) for x in ids]
+        one, third = min(two), next(x for x in ids if x not in two)
+        top = max(one, third)
+        want |= {x: (ids[0], top, 1, 2 if x in two else 1, one if x in two else third) for x in ids}
+    rnd.shuffle(rows)
+    kinds, whole = [], similarity.seeds
+    monkeypatch.setattr(similarity, "seeds", lambda fragments, *given: kinds.append(fragments.schema["id"].dataType.simpleString()) or whole(fragments, *given))
+    found = similarity.near_clusters(spark.createDataFrame(rows, "id string, sequence string").repartition(5)).collect()
+    assert {r.id: (r["class"], r.centre, r.links, r.copies, r["first"]) for r in found} == want
+    assert kinds == ["bigint"]

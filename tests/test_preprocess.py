@@ -7,7 +7,7 @@ import pytest
 
 from helixlake import __main__
 from helixlake.config import Settings
-from helixlake.operators import chunks
+from helixlake.operators import chunks, similarity
 from helixlake.plans import preprocess
 
 ALL = ["manifest", "near", "similarity", "exclusions", "components", "assignments", "final", "chunks", "checks"]
@@ -91,3 +91,14 @@ def test_a_repeated_record_id_is_an_error(spark, inputs):
     (top / "in" / "g0.fna").write_text(">ARC__g0|c1\nACGT\n>ARC__g0|c1\nGGGG\n")
     with pytest.raises(Exception, match="record id repeats"):
         preprocess.run_folder(spark, f"file://{top}/in", f"file://{top}/meta.tsv", f"{top}/out", SETTINGS)
+
+
+def test_links_are_found_once_and_of_fragments_that_are_not_alone(spark, inputs, monkeypatch):
+    top, _ = inputs
+    given, whole = [], similarity.exact_edges
+    monkeypatch.setattr(similarity, "exact_edges", lambda fragments, *more: given.append(fragments.count()) or whole(fragments, *more))
+    preprocess.run_folder(spark, f"file://{top}/in", f"file://{top}/meta.tsv", f"{top}/out", SETTINGS)
+    near = spark.read.parquet(f"{top}/out/near")
+    assert given == [near.filter("copies > 1").count()] and 0 < given[0] < near.count() / 2
+    assert {r.reason for r in spark.read.parquet(f"{top}/out/similarity").collect()} == {"exact_fragment", "near_fragment"}
+    assert {r.reason for r in spark.read.parquet(f"{top}/out/exclusions").collect()} == {"cross_label_exact_fragment"}
