@@ -35,6 +35,14 @@ def exact_edges(fragments: DataFrame, hash_col: str = "hash", group: str = "grp"
     return edges, gone.distinct().withColumn("reason", F.lit("cross_label_exact_fragment"))
 
 
+def shared(rows: DataFrame, key: str = "hash") -> DataFrame:
+    """The rows whose key others have (and, where 64 bits of different keys agree, a few that no other has). Only hashes of
+    the keys are shuffled to find them; they are written, so that few of them are broadcast to the rows."""
+    hashed = rows.withColumn("_h", F.xxhash64(key))
+    held = save(hashed.groupBy("_h").agg(F.count("*").alias("n")).filter("n > 1").select("_h"), "shared-hashes")
+    return hashed.join(held, "_h", "left_semi").drop("_h")
+
+
 def first_reason(edges: DataFrame, order: str = "pos") -> DataFrame:
     """One row per undirected pair with the reason that came first; self pairs go."""
     pair = edges.filter("left_group <> right_group").select(F.least("left_group", "right_group").alias("left_group"), F.greatest("left_group", "right_group").alias("right_group"), "reason", order)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..session import save
 from .components import connected_components
+from .similarity import shared
 
 RATIOS = {"train": 0.8, "validation": 0.1, "inference": 0.1}
 
@@ -21,9 +22,8 @@ def class_label(main: str = "main_label", sub: str = "sub_label") -> Column:
 
 def equal_records(manifest: DataFrame) -> DataFrame:
     """The manifest's rows (their identity, group and class) whose canonical hash other rows share, or very nearly only those."""
-    rows = manifest.select("canonical_sha256", "base_group_id", "split", "source_path", "pos", class_label().alias("_class"), F.xxhash64("canonical_sha256").alias("_h"))
-    held = save(rows.groupBy("_h").agg(F.count("*").alias("n")).filter("n > 1").select("_h"), "shared-hashes")
-    return save(rows.join(held, "_h", "left_semi").drop("_h"), "equal-records")
+    rows = manifest.select("canonical_sha256", "base_group_id", "split", "source_path", "pos", class_label().alias("_class"))
+    return save(shared(rows, "canonical_sha256"), "equal-records")
 
 
 def build_components(manifest: DataFrame, edges: DataFrame, equal: DataFrame | None = None) -> DataFrame:

@@ -24,8 +24,8 @@ Defined results: records with a null or empty text have no chunks and are in no
 with the same id and text are one record, rows with the same id and another text are an error; null sources are the
 source ""; empty inputs give empty tables.
 
-At scale: the texts are shuffled once, to drop repeated rows. Fragments meet by their hash, reduced to the first of each
-hash before the join; groups are contracted in a logarithm of rounds; allocation holds a few numbers of one group at a
+At scale: the texts are shuffled once, to the split of their record, and cut after it; rows that repeat an id are brought
+together before. Fragments are hashed once and only those whose hash others have meet, by the first of each hash; groups are contracted in a logarithm of rounds; allocation holds a few numbers of one group at a
 time.
 """
 
@@ -52,37 +52,51 @@ DEFAULTS: dict[str, Any] = {
 TABLES = ("chunks", "quarantine", "groups")
 
 
-def read_records(records: DataFrame, labels: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """(record_id, source, label, text), each record once."""
+def read_records(records: DataFrame, labels: DataFrame, config: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
+    """(record_id, source, text) and (record_id, source, bases, label), each record once.
+
+    Only rows whose id repeats (or is null) are brought together; the texts of the others stay where they are.
+    """
     key = config["id"]
     rows = records.select(F.col(key).alias("record_id"), F.coalesce(config["source"], F.lit("")).alias("source"), F.coalesce(config["text"], F.lit("")).alias("text")).filter("text <> ''")
+    slim = save(rows.select("record_id", "source", F.length("text").alias("bases")), "record-rows")
+    again = save(slim.filter("record_id IS NOT NULL").groupBy("record_id").agg(F.count("*").alias("n")).filter("n > 1").select("record_id"), "repeated-ids")
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    once = rows.groupBy("record_id").agg(F.min("source").alias("source"), F.first("text").alias("text"), F.min(sha).alias("_a"), F.max(sha).alias("_z"))
-    once = once.withColumn("text", F.when(F.col("_a").eqNullSafe(F.col("_z")) | F.col("record_id").isNull(), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("two texts have the id "), F.col("record_id").cast("string"))))).drop("_a", "_z")
+    twice = rows.join(again, "record_id", "left_semi").unionByName(rows.filter("record_id IS NULL"))
+    once = twice.groupBy("record_id").agg(F.min("source").alias("source"), F.first("text").alias("text"), F.min(sha).alias("_a"), F.max(sha).alias("_z"))
+    once = save(once.withColumn("text", F.when(F.col("_a").eqNullSafe(F.col("_z")) | F.col("record_id").isNull(), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("two texts have the id "), F.col("record_id").cast("string"))))).drop("_a", "_z"), "repeated-records")
+    others = lambda t: t.filter("record_id IS NOT NULL").join(again, "record_id", "left_anti")
+    texts = others(rows).unionByName(once)
+    if not again.isEmpty():
+        texts = save(texts, "records")
+    facts = others(slim).unionByName(once.select("record_id", "source", F.length("text").alias("bases")))
     known = labels.groupBy(F.col(key).alias("record_id")).agg(F.min(config["label"]).cast("string").alias("label"))
-    return once.join(known, "record_id", "left").withColumn("label", F.coalesce("label", F.lit("none")))
+    return texts, save(facts.join(known, "record_id", "left").withColumn("label", F.coalesce("label", F.lit("none"))), "record-facts")
 
 
-def cut(records: DataFrame, config: dict[str, Any]) -> DataFrame:
-    pieces = chunks.explode_chunks(records, config["fragment_size"], config["minimum_tail"], sequence="text", keep=("source", "label"))
+def cut(records: DataFrame, config: dict[str, Any], *keep: str) -> DataFrame:
+    pieces = chunks.explode_chunks(records, config["fragment_size"], config["minimum_tail"], sequence="text", keep=keep)
     return pieces.withColumn("hash", F.sha2(F.col("piece").cast("binary"), 256))
 
 
-def placed_groups(fragments: DataFrame, records: DataFrame, config: dict[str, Any]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(record_id, split_group, split) of the kept records, (record_id, reason) of the others, and the groups."""
-    rows = fragments.select("record_id", F.col("record_id").alias("grp"), "label", "hash", F.struct("record_id", "start").alias("pos"))
-    edges, clash = similarity.exact_edges(rows.filter("record_id IS NOT NULL"))
+def placed_groups(texts: DataFrame, records: DataFrame, config: dict[str, Any]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(record_id, label, split_group, split) of the kept records, (record_id, reason) of the others, and the groups."""
+    named = records.filter("record_id IS NOT NULL")
+    hashes = save(cut(texts.filter("record_id IS NOT NULL"), config).select("record_id", "start", F.unhex("hash").alias("hash")), "fragment-hashes")
+    met = save(similarity.shared(hashes).join(named.select("record_id", "label"), "record_id"), "shared-fragments")
+    edges, clash = similarity.exact_edges(met.select("record_id", F.col("record_id").alias("grp"), "label", "hash", F.struct("record_id", "start").alias("pos")))
     gone = clash.unionByName(records.filter("record_id IS NULL").select("record_id", F.lit("no_id").alias("reason")))
     gone = save(gone, "quarantine")
-    left = save(records.filter("record_id IS NOT NULL").join(gone, "record_id", "left_anti").select("record_id", "source", "label", F.length("text").alias("bases")), "kept-records")
+    left = save(named.join(gone, "record_id", "left_anti").select("record_id", "source", "label", "bases"), "kept-records")
     edges = edges.select(F.col("left_group").alias("u"), F.col("right_group").alias("v"))
     group = connected_components(edges, vertices=left.select(F.col("record_id").alias("node"))).withColumnRenamed("node", "record_id")
     grouped = save(left.join(group, "record_id"), "grouped-records")
-    stats = splits.component_stats(grouped, genome="record_id", order="record_id")
+    stats = save(splits.component_stats(grouped, genome="record_id", order="record_id"), "group-stats")
     ratios = {"train": config["train"], "validation": config["validation"], "inference": round(1 - config["train"] - config["validation"], 12)}
     groups = stats.join(splits.allocate(stats, ratios, config["seed"]), "component").withColumn("split_group", S.stable_id(F.col("component"), prefix="SIM_"))
     groups = save(groups.select("component", "split_group", F.col("main_source").alias("source"), F.col("main_label").alias("label"), "bases", "contigs", "genomes", "split"), "groups")
-    return grouped.join(groups.select("component", "split_group", "split"), "component").select("record_id", "split_group", "split"), gone, groups.drop("component")
+    placed = grouped.join(groups.select("component", "split_group", "split"), "component").select("record_id", "label", "split_group", "split")
+    return save(placed, "placed-records"), gone, groups.drop("component")
 
 
 #: Of a table without rows.
@@ -117,18 +131,18 @@ def run(spark: SparkSession, records_path: str, labels_path: str, output: str, g
         if current(spark, output, inputs):
             log.info("%s is up to date", output)
             return False
-        records = save(read_records(raw, labels, config), "records")
-        fragments = cut(records, config)
-        placed, gone, groups = placed_groups(fragments, records, config)
-        joined = fragments.join(placed, "record_id").withColumn("valid_length", F.col("end") - F.col("start"))
-        sized = joined.join(records.select("record_id", F.length("text").alias("_bp")), "record_id")
-        table = sized.select("record_id", "source", "label", "split_group", "start", "end", "hash", "valid_length", S.sample_weight(F.col("valid_length"), F.col("_bp")).alias("sample_weight"), F.col("piece").alias("text"), "split")
+        texts, records = read_records(raw, labels, config)
+        placed, gone, groups = placed_groups(texts, records, config)
+        joined = texts.join(placed, "record_id").withColumn("_bp", F.length("text"))
+        pieces = cut(joined, config, "source", "label", "split_group", "split", "_bp").withColumn("valid_length", F.col("end") - F.col("start"))
+        table = pieces.select("record_id", "source", "label", "split_group", "start", "end", "hash", "valid_length", S.sample_weight(F.col("valid_length"), F.col("_bp")).alias("sample_weight"), F.col("piece").alias("text"), "split")
         counted, wrote = observed(table, "chunks", rows=F.count(F.lit(1)), chars=F.sum("valid_length"))
         counted.write.mode("overwrite").partitionBy("split").parquet(f"{output}/chunks")
         gone.write.mode("overwrite").parquet(f"{output}/quarantine")
         groups.write.mode("overwrite").parquet(f"{output}/groups")
         made = {t: spark.read.schema(x.schema).parquet(f"{output}/{t}") for t, x in zip(TABLES, (table, gone, groups), strict=True)}
-        crossing = qc.crossing(qc.observations(made["chunks"], ("hash", "split_group"), "label")).count()
+        several = F.bit_count(F.bit_or(F.when(F.col("split") == "train", 1).when(F.col("split") == "validation", 2).otherwise(4))) > 1
+        crossing = qc.observations(made["chunks"], ("hash", "split_group"), "label").groupBy("kind", "key").agg(several.alias("crosses")).filter("crosses").count()
         if crossing:
             raise RuntimeError(f"{crossing} fragments or groups are in several splits")
         lineage = [*inputs, *((t, *digest(made[t])) for t in TABLES)]

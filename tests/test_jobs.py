@@ -176,6 +176,18 @@ def test_build_takes_odd_rows_and_keeps_what_is_current(spark, tmp_path):
     assert rows(read("chunks"), read("chunks").columns) == first
 
 
+def test_only_fragments_that_others_have_meet(spark, tmp_path, monkeypatch):
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(40)), "s") for i in range(30)]
+    texts += [(100 + i, texts[i][1], "s") for i in range(3)] + [texts[5]]  # three copies, and a row twice
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/records")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels")
+    given, whole = [], build_dataset.similarity.exact_edges
+    monkeypatch.setattr(build_dataset.similarity, "exact_edges", lambda fragments, *more: given.append(fragments.count()) or whole(fragments, *more))
+    assert build_dataset.run(spark, f"{tmp_path}/records", f"{tmp_path}/labels", f"{tmp_path}/out", {"fragment_size": 20, "minimum_tail": 5})
+    held = Counter(text[a:z] for text in dict((i, text) for i, text, _ in texts).values() for a, z in cut(text, 20, 5))
+    assert given == [sum(n for n in held.values() if n > 1)] and 0 < given[0] < sum(held.values()) / 2
+
+
 def test_build_from_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/records")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels")
