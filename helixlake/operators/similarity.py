@@ -327,7 +327,7 @@ def ani_edges(sketches: DataFrame, sizes: DataFrame, k: int = 21, ani: float = 0
     """
     spark = sketches.sparkSession
     ship(spark)
-    rows = sketches.select("genome", "window", "kmer").filter("genome IS NOT NULL AND kmer IS NOT NULL")
+    rows = sketches.select("genome", F.col("window").cast("long").alias("window"), "kmer").filter("genome IS NOT NULL AND kmer IS NOT NULL")
     often = _frequent(rows, postings)
     some = not often.isEmpty()
     split = lambda how: rows.join(often, "kmer", how) if some else rows
