@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +11,8 @@ from ..functions import sequence as S
 from ..functions.binding import bind
 from ..session import save, ship
 from .components import connected_components
+from .genome_batches import OFTEN, draw_rows, drawn_part, identity_rows, pair_rows, posting_rows
+from .genome_batches import heaviest_chain as _heaviest_chain  # noqa: F401 (tests)
 
 
 def exact_edges(fragments: DataFrame, hash_col: str = "hash", group: str = "grp", label: str = "label", order: tuple[str, ...] = ("pos",), strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -248,72 +247,16 @@ def _candidates(kmers: DataFrame, sizes: DataFrame, least: float, postings: int)
     return met.select(F.least("s", "t").alias("l"), F.greatest("s", "t").alias("r")).distinct()
 
 
-def _heaviest_chain(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Places of a longest run of matches that do not go back in x nor in y."""
-    order = np.lexsort((y, x))
-    ends: list[int] = []  # least y of a chain of each length
-    at: list[int] = []
-    before = np.full(len(order), -1)
-    for i, v in enumerate(y[order].tolist()):
-        j = bisect_right(ends, v)
-        before[i] = at[j - 1] if j else -1
-        if j == len(ends):
-            ends.append(v), at.append(i)
-        else:
-            ends[j], at[j] = v, i
-    out, i = [], at[-1] if at else -1
-    while i >= 0:
-        out.append(order[i])
-        i = before[i]
-    return np.array(out, np.int64)
-
-
-def _collinear(batches):
-    """(l, r, common, hit_l, hit_r) of pairs with their matches (l, r, m: for each shared k-mer the windows of either side):
-    distinct k-mers, and the windows of either side in the heavier of the forward and the backward chain."""
-    for batch in batches:
-        each = batch.column(2)
-        wl, wr = each.flatten().flatten()
-        ends, al, ar = (x.offsets.to_numpy().astype(np.int64) for x in (each, wl, wr))
-        al, ar = al - al[0], ar - ar[0]
-        nl, nr = np.diff(al), np.diff(ar)
-        first = np.concatenate([[0], np.cumsum(nl * nr)])  # every window of one side with every window of the other
-        of = np.repeat(np.arange(len(nl)), nl * nr)
-        at = np.arange(first[-1]) - first[of]
-        xs, ys = wl.flatten().to_numpy().astype(np.int64)[al[of] + at // nr[of]], wr.flatten().to_numpy().astype(np.int64)[ar[of] + at % nr[of]]
-        ends = ends - ends[0]
-        hits = np.ones((len(ends) - 1, 2), np.int64)
-        for i, (p, q) in enumerate(zip(first[ends[:-1]].tolist(), first[ends[1:]].tolist(), strict=True)):
-            if q - p > 1:
-                x, y = xs[p:q], ys[p:q]
-                chain = max((_heaviest_chain(x, side) for side in (y, -y)), key=len)
-                hits[i] = len(set(x[chain].tolist())), len(set(y[chain].tolist()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends)), pa.array(hits[:, 0]), pa.array(hits[:, 1])], ["l", "r", "common", "hit_l", "hit_r"])
+def _drawn(postings: int) -> Column:
+    """A part of the genomes that a hash draws."""
+    return F.pmod(F.xxhash64("genome"), F.lit(drawn_part(postings))) == 0
 
 
 def _frequent(rows: DataFrame, postings: int) -> DataFrame:
-    """(kmer) that more than about ``postings`` genomes have, by a part of the genomes that a hash draws: it decides how a
-    k-mer's genomes meet, never whether they do."""
-    part = max(1, postings // 8)
-    some = rows.filter(F.pmod(F.xxhash64("genome"), F.lit(part)) == 0).select("genome", "kmer").distinct()
-    return save(some.groupBy("kmer").agg(F.count("*").alias("g")).filter("g > 8").select("kmer"), "frequent-kmers")
-
-
-def _common_matches(rest: DataFrame, frequent: DataFrame, info: DataFrame, least: float, postings: int) -> DataFrame:
-    """(l, r, wl, wr): matches by frequent k-mers of all pairs that reach ``least`` by them or with them.
-
-    Taking a genome's frequent k-mers as its most common ones, a pair that reaches it shares a k-mer that is not frequent
-    (then it is in rest) or one of the frequent ones of the prefix. frequent: (genome, kmer, windows).
-    """
-    held = frequent.groupBy("genome").agg(F.count("*").alias("h"))
-    sizes = save(info.select("genome", "k").join(held, "genome"), "frequent-sizes")
-    found = rest.groupBy("l", "r").agg(F.count("*").alias("c"))
-    for c in "lr":
-        found = found.join(sizes.withColumnsRenamed({"genome": c, "k": f"k_{c}", "h": f"h_{c}"}), c)
-    found = found.filter(F.col("c") + F.least("h_l", "h_r") >= F.least("k_l", "k_r") * least * (1 - 1e-9)).select("l", "r")
-    pairs = save(found.unionByName(_candidates(frequent.select("genome", "kmer"), sizes.select("genome", "k"), least, postings)).distinct(), "genome-pairs")
-    left, right = (frequent.withColumnsRenamed({"genome": c, "windows": f"w{c}"}) for c in "lr")
-    return pairs.join(left, "l").join(right, ["r", "kmer"]).select("l", "r", "wl", "wr")
+    """(kmer) that more than about ``postings`` genomes have, by the drawn ones: it decides how a k-mer's genomes meet,
+    never whether they do."""
+    some = rows.filter(_drawn(postings)).select("genome", "kmer").distinct()
+    return save(some.groupBy("kmer").agg(F.count("*").alias("g")).filter(f"g > {OFTEN}").select("kmer"), "frequent-kmers")
 
 
 def ani_edges(sketches: DataFrame, sizes: DataFrame, k: int = 21, ani: float = 0.95, fraction: float = 0.85, postings: int = POSTINGS) -> DataFrame:
@@ -321,42 +264,75 @@ def ani_edges(sketches: DataFrame, sizes: DataFrame, k: int = 21, ani: float = 0
     power 1/k, the aligned fraction the share of windows in a collinear chain of shared k-mers, on the shorter genome.
 
     sketches: (genome, window, kmer), windows numbered along the genome; sizes: (genome, bp). Every pair that reaches the
-    ANI is found. The rows are shuffled once, to the k-mers; the genomes of a k-mer are one list and meet there, and a
-    pair's matches are counted and chained where they come together. Only the genomes of frequent k-mers are never one list
-    nor one task: they meet in blocks, by prefixes (see ``_candidates``). Genomes without k-mers have no pairs.
+    ANI is found (see ``_identity``). A genome's sketch is one row of a task. Genomes without k-mers have no pairs.
     """
-    spark = sketches.sparkSession
+    rows = sketches.select("genome", F.col("window").cast("long").alias("window"), F.col("kmer").cast("long").alias("kmer")).filter("genome IS NOT NULL AND window IS NOT NULL AND kmer IS NOT NULL")
+    return _identity(rows.groupBy("genome").agg(F.collect_set(F.struct("window", "kmer")).alias("body")).join(sizes, "genome"), k, 1, ani, fraction, postings)
+
+
+def spread(rows: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """As many tasks as shuffles have, however few bytes come in, and ``least`` of them."""
+    return rows.repartition(max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def genome_identity(genomes: DataFrame, k: int = 21, step: int = 1000, ani: float = 0.95, fraction: float = 0.85, postings: int = POSTINGS) -> DataFrame:
+    """``ani_edges`` of normalised sequences (genome, sequence) by all their k-mers, in windows of ``step`` of them; several
+    sequences of a genome number their windows alike, and equal ones are one. A genome's sequences are one row of a task."""
+    bodies = spread(genomes.filter("genome IS NOT NULL"), "genome").groupBy("genome").agg(F.collect_set("sequence").alias("body"))
+    length = F.aggregate("body", F.lit(0).cast("long"), lambda n, s: n + F.length(s))
+    return _identity(bodies.withColumn("bp", length), k, step, ani, fraction, postings)
+
+
+#: K-mers that are told to all tasks as common ones, and k-mers that are sorted by one task.
+COMMON, SORTED = 1 << 20, 1 << 21
+
+
+def _identity(bodies: DataFrame, k: int, step: int, ani: float, fraction: float, postings: int) -> DataFrame:
+    """``ani_edges`` of (genome, body, bp): see ``genome_batches``.
+
+    A pair that reaches the ANI shares some share of the k-mers of the one with fewer. So in any order of the k-mers, it
+    shares the first of them within either genome's prefix, all its k-mers but that share less LINKS: only these are
+    shuffled to the k-mers, where they are sorted and genomes meet, and only pairs that share LINKS of them get their
+    bodies, for all k-mers and the chain. K-mers that many genomes have are the last in the order, by the drawn genomes;
+    that changes how much is looked at, never what is found. Those that are often meet in blocks, so no k-mer is one task.
+    """
+    spark, least = bodies.sparkSession, ani**k
     ship(spark)
-    rows = sketches.select("genome", F.col("window").cast("long").alias("window"), "kmer").filter("genome IS NOT NULL AND kmer IS NOT NULL")
-    often = _frequent(rows, postings)
-    some = not often.isEmpty()
-    split = lambda how: rows.join(often, "kmer", how) if some else rows
-    lists = split("left_anti").repartition("kmer").groupBy("kmer").agg(F.collect_set(F.struct("genome", "window")).alias("m"))
-    lists = save(lists.select("m", F.array_distinct("m.genome").alias("genomes")), "genome-lists")
-    counts = lists.select(F.explode("genomes").alias("genome"))
-    frequent = None
-    if some:
-        frequent = save(split("left_semi").groupBy("genome", "kmer").agg(F.collect_set("window").alias("windows")), "frequent-postings")
-        counts = counts.unionByName(frequent.select("genome"))
-    totals = counts.groupBy("genome").agg(F.count("*").alias("k"))
-    windows = rows.select("genome", "window").distinct().groupBy("genome").agg(F.count("*").alias("w"))
-    info = save(totals.join(windows, "genome").join(sizes, "genome"), "genome-info")
-    one = lists.filter(F.size("genomes") > 1).select("m", "genomes", F.explode("genomes").alias("l"))
-    two = one.select("m", "l", F.explode(F.filter("genomes", lambda x: x > F.col("l"))).alias("r"))
-    at = lambda g: F.filter("m", lambda x: x["genome"] == F.col(g))["window"]
-    matches = two.select("l", "r", at("l").alias("wl"), at("r").alias("wr"))
-    if frequent is not None:
-        matches = matches.unionByName(_common_matches(matches, frequent, info, ani**k, postings))
-    kind = sketches.schema["genome"].dataType.simpleString()
-    pairs = matches.repartition("l", "r").groupBy("l", "r").agg(F.collect_list(F.struct("wl", "wr")).alias("m"))
-    shared = pairs.mapInArrow(_collinear, f"l {kind}, r {kind}, common long, hit_l long, hit_r long")
-    left, right = (info.select(F.col("genome").alias(c), F.col("k").alias(f"k_{c}"), F.col("w").alias(f"w_{c}"), F.col("bp").alias(f"bp_{c}")) for c in "lr")
-    scored = shared.join(left, "l").join(right, "r").select(
-        F.col("l").alias("left_genome"), F.col("r").alias("right_genome"), F.pow(F.col("common") / F.least("k_l", "k_r"), F.lit(1 / k)).alias("ani"),
-        (F.col("hit_l") / F.col("w_l")).alias("af_left"), (F.col("hit_r") / F.col("w_r")).alias("af_right"), F.col("bp_l").alias("left_bp"), F.col("bp_r").alias("right_bp"),
+    kind = bodies.schema["genome"].dataType.simpleString()
+    bodies = save(bodies.select("genome", "body", "bp"), "genome-bodies")
+    draws = save(spread(bodies, "genome").select("body", _drawn(postings).alias("drawn")).mapInArrow(draw_rows(k, step), "kmer long, n long, total long"), "genome-draws")
+    (fewest, total), common = draws.agg(F.coalesce(F.min("n"), F.lit(1)), F.coalesce(F.sum("total"), F.lit(0))).first(), _common(draws)
+    tasks = total // SORTED + 1
+    told = spark.sparkContext.broadcast(common)
+    posted = spread(bodies, "genome").select("genome", F.hash("genome").cast("long").alias("draw"), "body").mapInArrow(posting_rows(k, step, least, fewest, told, postings), f"genome {kind}, place long, n long, pos long, block long")
+    pairs = spread(posted, "place", least=tasks).sortWithinPartitions("place").mapInArrow(pair_rows(least), f"l {kind}, r {kind}, need long")
+    pairs = spread(pairs, "l", "r", least=tasks).groupBy("l", "r").agg(F.count("*").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("l", "r")
+    for c in "lr":
+        pairs = spread(pairs, c).join(bodies.select(F.col("genome").alias(c), F.col("body").alias(f"body_{c}")), c)
+    shared = pairs.select("l", "r", "body_l", "body_r").mapInArrow(identity_rows(k, step), f"l {kind}, r {kind}, k_l long, k_r long, common long, w_l long, w_r long, hit_l long, hit_r long")
+    near = shared.withColumn("ani", F.pow(F.col("common") / F.least("k_l", "k_r"), F.lit(1 / k))).filter(F.col("ani") >= ani)
+    for c in "lr":
+        near = near.join(bodies.select(F.col("genome").alias(c), F.col("bp").alias(f"bp_{c}")), c)
+    scored = near.select(
+        F.col("l").alias("left_genome"), F.col("r").alias("right_genome"), "ani", (F.col("hit_l") / F.col("w_l")).alias("af_left"),
+        (F.col("hit_r") / F.col("w_r")).alias("af_right"), F.col("bp_l").alias("left_bp"), F.col("bp_r").alias("right_bp"),
     )
     shorter = F.when(F.col("left_bp") <= F.col("right_bp"), F.col("af_left")).otherwise(F.col("af_right"))
-    return scored.withColumn("af_shorter", shorter).filter((F.col("ani") >= ani) & (F.col("af_shorter") >= fraction))
+    return scored.withColumn("af_shorter", shorter).filter(F.col("af_shorter") >= fraction)
+
+
+def _common(draws: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The k-mers that most drawn genomes have, COMMON at most and three genomes at least, sorted, and how many have them."""
+    counts = save(draws.filter("kmer IS NOT NULL").groupBy("kmer").agg(F.count("*").alias("g")).filter("g > 2"), "common-kmers")
+    least, held = None, 0
+    for r in counts.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("g")).toLocalIterator():
+        held += r.n
+        if held > COMMON:
+            break
+        least = r.g
+    found = [counts.filter(F.col("g") >= least).toArrow()[c].to_numpy() for c in ("kmer", "g")] if least else [np.empty(0, np.int64)] * 2
+    order = np.argsort(found[0])
+    return found[0][order], found[1][order]
 
 
 def mutate(sequence: str, rate: float, seed: int) -> str:

@@ -970,11 +970,20 @@ def _(t):
     return similarity.cluster_edges(pairs, rows.drop("cl"))[0].select("left_group", "right_group")
 
 
+def thrice(s: Column) -> Column:
+    """A digest, turned, and again."""
+    return S.normalize_dna(F.concat(s, F.translate(F.reverse(s), "A", "C"), s))
+
+
+def mutant(sequence: Column) -> Column:
+    """A copy with one letter changed on the other strand."""
+    return S.reverse_complement(F.concat(F.substring(sequence, 1, 40), F.lit("A"), F.substring(sequence, 42, 200)))
+
+
 def mutants(rows):
     """(id, sequence): every part's digest, repeated (even ids), and a copy with one letter changed on the other strand."""
-    base = rows.select((F.col("p_partkey") * 2).alias("id"), S.normalize_dna(F.concat("s", F.translate(F.reverse("s"), "A", "C"), "s")).alias("sequence"))
-    other = base.select((F.col("id") + 1).alias("id"), S.reverse_complement(F.concat(F.substring("sequence", 1, 40), F.lit("A"), F.substring("sequence", 42, 200))).alias("sequence"))
-    return base.unionByName(other)
+    base = rows.select((F.col("p_partkey") * 2).alias("id"), thrice(F.col("s")).alias("sequence"))
+    return base.unionByName(base.select((F.col("id") + 1).alias("id"), mutant(F.col("sequence")).alias("sequence")))
 
 
 KEYED = """dna AS (SELECT p_partkey, translate(md5(p_partkey || p_name), '0123456789abcdef', 'acgtACGTACGTuNRY') AS s FROM part),
@@ -1013,12 +1022,9 @@ sc AS (SELECT l, r, pow(common / least(a.k, b.k), 1 / 15) AS ani, hl / a.w AS af
 SELECT l AS left_genome, r AS right_genome, round(ani, 6) AS ani, round(af, 6) AS af_shorter FROM sc WHERE ani >= 0.95 AND af >= 0.85""")
 def _(t):
     """Such sequences as genomes, in windows of 32 k-mer starts; the key is in the digest, as few names are distinct."""
-    k, step = 15, 32
-    rows = mutants(dna(t, F.concat("p_partkey", "p_name")))
-    at = F.explode(F.sequence(F.lit(0), F.length("sequence") - k, F.lit(step)))
-    windows = rows.select(F.col("id").alias("g"), "sequence", at.alias("a")).select(F.struct("g", "a").alias("id"), F.substring("sequence", F.col("a") + 1, F.lit(step + k - 1)).alias("sequence"))
-    sketch = similarity.kmer_sketch(windows, k, step).select(F.col("id.g").alias("genome"), F.col("id.a").alias("window"), "kmer")
-    found = similarity.ani_edges(sketch, rows.select(F.col("id").alias("genome"), F.length("sequence").alias("bp")), k)
+    rows = similarity.spread(dna(t, F.concat("p_partkey", "p_name")), "p_partkey").select((F.col("p_partkey") * 2).alias("id"), thrice(F.col("s")).alias("sequence"))
+    both = F.array(F.struct("id", "sequence"), F.struct((F.col("id") + 1).alias("id"), mutant(F.col("sequence")).alias("sequence")))
+    found = similarity.genome_identity(rows.select(F.inline(both)).withColumnRenamed("id", "genome"), k=15, step=32)
     return found.select("left_genome", "right_genome", r6("ani").alias("ani"), r6("af_shorter").alias("af_shorter"))
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixlake.operators import genome_batches as batches
 from helixlake.operators import similarity
 
 
@@ -146,3 +147,66 @@ def test_frequent_kmers_add_to_the_others(spark):
         want = brute(rows, None, 21, 0.97, 0.0)
         assert found.keys() == want.keys() and {(0, 1), (20, 21)} <= want.keys() and (0, 2) not in want
         assert all(abs(found[p] - want[p]) < 1e-12 for p in want)
+
+
+def test_chance_matches_are_not_shuffled(spark):
+    """Each of 1,000 genomes has 5 of 50 k-mers that 100 genomes have: 250,000 matches of genomes that are nothing alike."""
+    rnd = random.Random(10)
+    pool = [rnd.getrandbits(50) for _ in range(50)]
+    rows = [(g, i // 10, h) for g in range(1000) for i, h in enumerate([rnd.getrandbits(50) for _ in range(40)] + rnd.sample(pool, 5))]
+    frame = spark.createDataFrame(rows, "genome long, window long, kmer long")
+    sizes = spark.createDataFrame([(g, 1000) for g in range(1000)], "genome long, bp long")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = []
+    moved = shuffled(spark, lambda: found.extend(similarity.ani_edges(frame, sizes).collect()))
+    assert not found and moved < 4 * len(rows), moved / len(rows)
+
+
+@pytest.mark.parametrize("k", [1, 2, 15, 21, 27, 31])
+def test_kmers_of_both_strands(k):
+    rnd = random.Random(k)
+    text = "".join(rnd.choice("ACGTN") for _ in range(300)) + "A" * 40
+    turned = text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    codes = lambda s: np.array(["ACGTN".index(c) for c in s], np.uint8)
+    found, back = batches.canonical_kmers(codes(text), k), batches.canonical_kmers(codes(turned), k)
+    assert found.tolist() == back[::-1].tolist()
+    words = [min(text[i : i + k], turned[len(text) - i - k : len(text) - i]) for i in range(len(text) - k + 1)]
+    assert len(dict(zip(words, found.tolist(), strict=True))) == len(set(found.tolist())) == len(set(words)) == len(set(zip(words, found.tolist(), strict=True)))
+
+
+def test_sequences_as_windows_of_kmers(spark):
+    """Whole sequences give what their sketched windows give; short, null, repeated and several sequences of a genome."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(0, 60, 3):
+        base = "".join(rng.choice(list("ACGTN"), int(rng.integers(90, 400)), p=[0.24] * 4 + [0.04]))
+        rows += [(f"g{g}", base), (f"g{g + 1}", similarity.mutate(base, 0.01, g)[::-1].translate(str.maketrans("ACGT", "TGCA"))), (f"g{g + 2}", similarity.mutate(base, 0.04, g))]
+    rows += [("poly", "A" * 200), ("poly2", "T" * 150)]
+    k, step = 15, 32
+    windows = [((g, a), s[a : a + step + k - 1]) for g, s in rows for a in range(0, len(s) - k + 1, step)]
+    frame = spark.createDataFrame(windows, "id struct<g: string, a: int>, sequence string")
+    sketch = similarity.kmer_sketch(frame, k, step).select(F.col("id.g").alias("genome"), F.col("id.a").alias("window"), "kmer")
+    want = similarity.ani_edges(sketch, spark.createDataFrame([(g, len(s)) for g, s in rows], "genome string, bp long"), k, 0.95, 0.5).collect()
+    odd = rows + rows[:3] + [("short", "ACG"), ("none", None), (None, rows[0][1])]
+    for postings in (1, 16, 256):
+        found = similarity.genome_identity(spark.createDataFrame(odd, "genome string, sequence string"), k, step, 0.95, 0.5, postings).collect()
+        assert len(want) > 30 and sorted(found) == sorted(want)
+    two = spark.createDataFrame([("a", rows[0][1]), ("a", rows[3][1]), ("b", rows[3][1]), ("b", rows[0][1])], "genome string, sequence string")
+    assert [(r.ani, r.af_shorter, r.left_bp) for r in similarity.genome_identity(two, k, step).collect()] == [(1.0, 1.0, len(rows[0][1]) + len(rows[3][1]))]
+    with pytest.raises(Exception, match="not normalised"):
+        similarity.genome_identity(two.withColumn("sequence", F.lit("acgu" * 9)), k, step).collect()
+
+
+@pytest.mark.parametrize("cells", [0, 24, 1000])
+def test_chains_side_by_side(monkeypatch, cells):
+    """As pair by pair, and where cells are too many to be chained so."""
+    monkeypatch.setattr(batches, "CELLS", cells)
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 30, 200)
+    pair = rng.permutation(np.repeat(np.arange(200), sizes))
+    x, y = rng.integers(0, 5, len(pair)), rng.integers(0, 5, len(pair)) * 10**rng.integers(0, 2)
+    found = batches.chain_hits(pair, x, y, 200)
+    for p in range(200):
+        xs, ys = x[pair == p], y[pair == p]
+        chain = max((similarity._heaviest_chain(xs, side) for side in (ys, -ys)), key=len)
+        assert found[p].tolist() == [len(set(xs[chain].tolist())), len(set(ys[chain].tolist()))]
